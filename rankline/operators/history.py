@@ -24,7 +24,10 @@ from rankline.functions.columns import whole_days
 
 SUBJECT = "SubjectID"
 TIME = "UpdateDT"
-ORDER = [F.col(TIME).asc_nulls_first(), F.col("Model").asc_nulls_first(), F.col("Rank").asc_nulls_first()]
+
+
+def order_cols() -> list[Column]:
+    return [F.col(TIME).asc_nulls_first(), F.col("Model").asc_nulls_first(), F.col("Rank").asc_nulls_first()]
 
 # Rows per subject above which a subject is split into time segments, and the
 # target rows per segment.  Tunable per call; defaults sized for executor memory.
@@ -38,7 +41,7 @@ HISTORY_COLS = ["PrevRank", "PrevUpdateDT", "RankChange", "ObsNumber",
 
 
 def subject_window(*extra_keys: str) -> W:
-    return W.partitionBy(SUBJECT, *extra_keys).orderBy(*ORDER)
+    return W.partitionBy(SUBJECT, *extra_keys).orderBy(*order_cols())
 
 
 def _ensure_model(df: DataFrame) -> tuple[DataFrame, bool]:
@@ -175,11 +178,16 @@ def _segmented(df: DataFrame, hot: DataFrame, ignore_nulls: bool, segment_rows:
         "s_first_rank", "s_chg_sum", "s_chg_cnt",
         F.sum("s_rows").over(whole).alias("subj_rows"),
     )
-    prev_of_first = F.col("c_prev_nn") if ignore_nulls else F.col("c_prev_rank")
-    c = c.withColumn("b_chg", F.col("s_first_rank") - prev_of_first)
+    # The boundary row is the first row whose change reaches into the previous
+    # segment: row 1 for lag, the first non-null rank for last-non-null.
+    if ignore_nulls:
+        c = c.withColumns({"b_chg": F.col("s_fnn")["Rank"] - F.col("c_prev_nn"), "b_rn": F.col("s_fnn")["_rn"]})
+    else:
+        c = c.withColumns({"b_chg": F.col("s_first_rank") - F.col("c_prev_rank"), "b_rn": F.lit(1)})
     c = c.select(
         "*",
-        F.coalesce(F.sum(F.col("s_chg_sum") + F.coalesce("b_chg", F.lit(0))).over(prev), F.lit(0)).alias("c_chg_sum"),
+        F.coalesce(F.sum(F.coalesce("s_chg_sum", F.lit(0)) + F.coalesce("b_chg", F.lit(0))).over(prev),
+                   F.lit(0)).alias("c_chg_sum"),
         F.coalesce(F.sum(F.col("s_chg_cnt") + F.col("b_chg").isNotNull().cast("bigint")).over(prev),
                    F.lit(0)).alias("c_chg_cnt"),
         F.first(F.when(F.col("s_fnn").isNotNull(),
@@ -194,9 +202,10 @@ def _segmented(df: DataFrame, hot: DataFrame, ignore_nulls: bool, segment_rows:
                  else F.when(first, F.col("c_prev_rank")).otherwise(F.col("_lag_rank")))
     cnt = F.col("c_cnt") + F.col("_cnt_b")
     tot = F.col("c_sum") + F.coalesce("_sum_b", F.lit(0))
-    b_in = F.when(~first & F.col("b_chg").isNotNull(), F.lit(1)).otherwise(F.lit(0))
+    past_boundary = F.coalesce(F.col("_rn") > F.col("b_rn"), F.lit(False))
+    b_in = F.when(past_boundary & F.col("b_chg").isNotNull(), F.lit(1)).otherwise(F.lit(0))
     chg_cnt = F.col("c_chg_cnt") + b_in + F.col("_chg_cnt_b")
-    chg_sum = (F.col("c_chg_sum") + F.when(~first, F.coalesce("b_chg", F.lit(0))).otherwise(F.lit(0))
+    chg_sum = (F.col("c_chg_sum") + F.when(past_boundary, F.coalesce("b_chg", F.lit(0))).otherwise(F.lit(0))
                + F.coalesce("_chg_sum_b", F.lit(0)))
     avg_prev = F.when(cnt > 0, tot.cast("double") / cnt)
     obs = (F.col("c_rows") + F.col("_rn") - 1).cast("bigint")
@@ -214,7 +223,7 @@ def _segmented(df: DataFrame, hot: DataFrame, ignore_nulls: bool, segment_rows:
     y = y.withColumn("RankChange", F.col("Rank") - F.col("PrevRank")) \
          .withColumn("AvgPreviousRanksFilled", filled)
     helper = [c for c in y.columns if c.startswith("_") or c.startswith("c_") or c.startswith("subj_")
-              or c == "b_chg"]
+              or c in ("b_chg", "b_rn")]
     return y.drop(*helper)
 
 

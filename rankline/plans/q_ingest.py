@@ -1 +1,52 @@
-"""placeholder"""
+"""Registered queries: raw ingest and insert-if-absent."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rankline.plans.catalog import register
+from rankline.plans.q_history import rankings
+from rankline.plans.sql_twins import with_views
+from rankline.schema import DRIVERS
+from rankline.sources import ingest as I
+from rankline.sources.fixtures import view
+
+DL = ", ".join(DRIVERS)
+PARSE = "try_strptime(UpdateDT, '%m/%d/%Y %H:%M')"
+
+
+@register("ingest_rankings", with_views("rankings_raw") + f"""
+SELECT DISTINCT TRY_CAST(SubjectID AS BIGINT) AS SubjectID, TRY_CAST(Rank AS INTEGER) AS Rank, {DL},
+       {PARSE} AS UpdateDT, true AS OriginalDataFlag, CAST(NULL AS VARCHAR) AS Model
+FROM rankings_raw WHERE {PARSE} IS NOT NULL""")
+def ingest_rankings(spark, sf):
+    rows, _rejects = I.ingest(I.align_raw(view(spark, sf, "rankings_raw")))
+    return rows
+
+
+def _insert_sql(null_safe: bool) -> str:
+    eq = "IS NOT DISTINCT FROM" if null_safe else "="
+    return with_views("rankings", "rankings_multi") + f"""
+SELECT *, false AS inserted FROM rankings
+UNION ALL
+SELECT n.*, true FROM rankings_multi n WHERE NOT EXISTS (
+  SELECT 1 FROM rankings r WHERE r.SubjectID {eq} n.SubjectID AND r.UpdateDT {eq} n.UpdateDT AND r.Model {eq} n.Model)"""
+
+
+def _insert(spark, sf, null_safe):
+    existing = rankings(spark, sf)
+    new = view(spark, sf, "rankings_multi")
+    add = I.rows_to_insert(existing, new, null_safe=null_safe)
+    return existing.withColumn("inserted", F.lit(False)).unionByName(add.withColumn("inserted", F.lit(True)))
+
+
+@register("insert_if_absent", _insert_sql(True))
+def insert_if_absent(spark, sf):
+    """Table after inserting a batch of observations + predictions; existing keys skipped."""
+    return _insert(spark, sf, True)
+
+
+@register("insert_if_absent_sqlite", _insert_sql(False))
+def insert_if_absent_sqlite(spark, sf):
+    """Same with SQLite key semantics: a NULL Model never collides."""
+    return _insert(spark, sf, False)

@@ -66,7 +66,12 @@ def spearman(pairs: DataFrame, by: list[str], y: str = "y", p: str = "p") -> Dat
     ry, rp = _avg_ranks(pairs, by, y), _avg_ranks(pairs, by, p)
     # rank tables hold at most MAX_HIST rows per group (checked above)
     x = pairs.select(*by, y, p).join(F.broadcast(ry), [*by, y]).join(F.broadcast(rp), [*by, p])
-    return x.groupBy(*by).agg(F.corr(f"_r_{y}", f"_r_{p}").alias("spearman"))
+    return x.groupBy(*by).agg(safe_corr(f"_r_{y}", f"_r_{p}").alias("spearman"))
+
+
+def safe_corr(a: str, b: str):
+    """Pearson correlation; NULL (not an error) when either side is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def _spearman_mllib(pairs: DataFrame, by: list[str], y: str, p: str) -> DataFrame:

@@ -1 +1,119 @@
-"""placeholder"""
+"""Registered queries: model training, evaluation, scoring, importances, tuning.
+
+Rows-only checks (no SQL twin): the values depend on Spark ML's learners.
+"""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from rankline.operators import features as FE
+from rankline.operators import metrics as M
+from rankline.plans import models as ML
+from rankline.plans.catalog import register, rounded
+from rankline.plans.q_history import FIXTURE_VOCAB, rankings
+from rankline.schema import RANK_MAX
+from rankline.sources.fixtures import view
+
+PCA_K = 5
+TUNE_GRID = [{"maxDepth": 3, "maxIter": 10}, {"maxDepth": 5, "maxIter": 10},
+             {"maxDepth": 3, "maxIter": 20}, {"maxDepth": 5, "maxIter": 20}]
+
+
+def split_features(spark, sf):
+    """Enhanced features of the whole table, split by time (newest 20 % = test)."""
+    r = rankings(spark, sf)
+    feats = FE.rank_features(r, FIXTURE_VOCAB)
+    s = M.time_split(feats)
+    s = s.persist(StorageLevel.MEMORY_AND_DISK)
+    return s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+
+
+def _train_eval(spark, sf, name):
+    train, test = split_features(spark, sf)
+    cols = ML.feature_columns(FIXTURE_VOCAB)
+    model = ML.fit(train, cols, name)
+    pred = model.transform(test)
+    return rounded(M.flag_best(ML.evaluate(pred, name, "newest_20pct")))
+
+
+@register("train_rf")
+def train_rf(spark, sf):
+    return _train_eval(spark, sf, "Random Forest")
+
+
+@register("train_gbt")
+def train_gbt(spark, sf):
+    return _train_eval(spark, sf, "Gradient Boosting")
+
+
+@register("train_ordinal")
+def train_ordinal(spark, sf):
+    train, test = split_features(spark, sf)
+    cols = ML.feature_columns(FIXTURE_VOCAB)
+    fitted = ML.ordinal_fit(train, cols, RANK_MAX)
+    pred = ML.ordinal_predict(fitted, test)
+    return rounded(ML.evaluate(pred, "Ordinal LogisticIT", "newest_20pct"))
+
+
+@register("pca_features")
+def pca_features(spark, sf):
+    train, test = split_features(spark, sf)
+    cols = ML.feature_columns(FIXTURE_VOCAB)
+    model = ML.pipeline(cols, None, pca_k=PCA_K).fit(train)
+    out = model.transform(train.unionByName(test))
+    arr = vector_to_array("features")
+    return rounded(out.select("SubjectID", "UpdateDT", "Model", "Rank", "split",
+                              *[arr[i].alias(f"pc{i + 1}") for i in range(PCA_K)]))
+
+
+@register("score_batch")
+def score_batch(spark, sf):
+    """Fit on the stored history, then score every new input row against that history."""
+    hist = rankings(spark, sf)
+    train = FE.rank_features(hist, FIXTURE_VOCAB)
+    model = ML.fit(train, ML.feature_columns(FIXTURE_VOCAB), "Gradient Boosting")
+    new = view(spark, sf, "inputs").withColumn("SubjectID", F.expr("try_cast(SubjectID AS BIGINT)"))
+    serve = FE.serving_features(hist, new, FIXTURE_VOCAB)
+    return ML.score(model, serve, ["event_id", "SubjectID", "UpdateDT"])
+
+
+@register("feature_importance")
+def feature_importance(spark, sf):
+    """Top-10 factor features of a random forest by importance (the report's view)."""
+    train, _ = split_features(spark, sf)
+    model = ML.fit(train, ML.feature_columns(FIXTURE_VOCAB), "Random Forest")
+    return ML.feature_importance(model, top_n=10, factors_only=True)
+
+
+@register("tune_gbt")
+def tune_gbt(spark, sf):
+    train, _ = split_features(spark, sf)
+    return rounded(ML.tune(train, ML.feature_columns(FIXTURE_VOCAB), "Gradient Boosting", TUNE_GRID))
+
+
+@register("model_leaderboard")
+def model_leaderboard(spark, sf):
+    """RF, GBT, ordinal and two baselines on one test set; best = lowest MAE."""
+    train, test = split_features(spark, sf)
+    cols = ML.feature_columns(FIXTURE_VOCAB)
+    parts = []
+    for name in ("Random Forest", "Gradient Boosting"):
+        pred = ML.fit(train, cols, name).transform(test)
+        parts.append(pred.select(F.col("Rank").alias("y"), F.col("prediction").alias("p"),
+                                 F.lit(name).alias("model_name")))
+    fitted = ML.ordinal_fit(train, cols, RANK_MAX)
+    parts.append(ML.ordinal_predict(fitted, test).select(F.col("Rank").alias("y"), F.col("prediction").alias("p"),
+                                                         F.lit("Ordinal LogisticIT").alias("model_name")))
+    med = train.agg(F.median("Rank").alias("p"))
+    parts.append(test.select(F.col("Rank").alias("y")).crossJoin(F.broadcast(med))
+                 .withColumn("model_name", F.lit("Median")))
+    parts.append(test.select(F.col("Rank").alias("y"), F.col("PrevRank").cast("double").alias("p"),
+                             F.lit("Previous rank").alias("model_name")))
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p)
+    pairs = pairs.withColumn("eval_set", F.lit("newest_20pct"))
+    return rounded(M.flag_best(M.all_metrics(pairs, ["eval_set", "model_name"])))

@@ -1 +1,59 @@
-"""placeholder"""
+"""Registered queries: streaming insert and streaming scoring (file source, availableNow).
+
+The stream inputs are written from the fixture views into a fresh folder under
+``spark.checkpoint.dir`` (the shared folder), then replayed through the
+stream; the result is the stored table read back.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from rankline.operators.features import rank_features
+from rankline.plans import models as ML
+from rankline.plans.catalog import register
+from rankline.plans.q_history import FIXTURE_VOCAB, rankings
+from rankline.plans.q_ingest import _insert_sql
+from rankline.schema import RANKINGS
+from rankline.session import ensure_checkpoint_dir
+from rankline.sources.fixtures import view
+from rankline.streaming.jobs import stream_insert as _stream_insert, stream_score as _stream_score
+
+SOURCE_FILES = 4
+SCORE_MODEL = "Gradient Boosting"
+
+
+def _scratch(spark) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), f"rankline-stream-{uuid.uuid4().hex}")
+
+
+@register("stream_insert", "SELECT * EXCLUDE (inserted) FROM (" + _insert_sql(True) + ")")
+def stream_insert(spark, sf):
+    """rankings as the table; rankings_multi arrives twice (a replay) in several files."""
+    base = _scratch(spark)
+    table, src, ckpt = f"{base}/table", f"{base}/source", f"{base}/ckpt"
+    rankings(spark, sf).write.parquet(table)
+    multi = view(spark, sf, "rankings_multi").select(*RANKINGS.fieldNames())
+    multi.repartition(SOURCE_FILES).write.parquet(src)
+    multi.repartition(SOURCE_FILES).write.mode("append").parquet(src)   # the same rows again
+    q = _stream_insert(spark, src, table, ckpt, files_per_batch=2)
+    q.awaitTermination()
+    return spark.read.schema(RANKINGS).parquet(table)
+
+
+@register("stream_score")
+def stream_score(spark, sf):
+    """Train on stored history, then score arriving input rows in micro-batches and store them."""
+    base = _scratch(spark)
+    table, src, ckpt = f"{base}/table", f"{base}/source", f"{base}/ckpt"
+    hist = rankings(spark, sf)
+    hist.write.parquet(table)
+    model = ML.fit(rank_features(hist, FIXTURE_VOCAB), ML.feature_columns(FIXTURE_VOCAB), SCORE_MODEL)
+    inputs = view(spark, sf, "inputs")
+    inputs.repartition(SOURCE_FILES).write.parquet(src)
+    q = _stream_score(spark, src, inputs.schema, table, ckpt, model, FIXTURE_VOCAB, SCORE_MODEL, files_per_batch=2)
+    q.awaitTermination()
+    return spark.read.schema(RANKINGS).parquet(table).where(F.col("Model") == SCORE_MODEL)

@@ -270,6 +270,7 @@ def asof_prev_rank(history: DataFrame, new_rows: DataFrame, id_col: str = "event
     at equal times, so the match is inclusive (like an ASOF ``>=`` join).
     """
     id_type = dict(new_rows.dtypes)[id_col]
+    history, _ = _ensure_model(history)
     h = history.select(SUBJECT, TIME, F.col("Rank").alias("_r"), F.col("Model").alias("_m"),
                        F.lit(None).cast(id_type).alias(id_col), F.lit(0).alias("_side"))
     n = new_rows.select(SUBJECT, TIME, F.lit(None).cast("int").alias("_r"), F.lit(None).cast("string").alias("_m"),

@@ -36,7 +36,7 @@ def regressor(name: str, **params):
     if name == "Random Forest":
         est = RandomForestRegressor(numTrees=40, maxDepth=8, subsamplingRate=0.8, **common)
     elif name in ("Gradient Boosting", "XGBoost", "LightGBM"):
-        est = GBTRegressor(maxIter=40, maxDepth=5, stepSize=0.1, checkpointInterval=10, **common)
+        est = GBTRegressor(maxIter=20, maxDepth=5, stepSize=0.1, checkpointInterval=10, **common)
     else:
         raise ValueError(f"unknown model {name}")
     return est.setParams(**params) if params else est
@@ -116,7 +116,7 @@ def feature_importance(model: PipelineModel, top_n: int | None = None, factors_o
 
 # ---- ordinal regression (immediate-threshold logistic) --------------------------------------
 
-def ordinal_fit(train: DataFrame, cols: list[str], n_ranks: int, reg: float = 0.01, max_iter: int = 50):
+def ordinal_fit(train: DataFrame, cols: list[str], n_ranks: int, reg: float = 0.01, max_iter: int = 25):
     """Immediate-threshold ordinal logistic regression.
 
     Each row with rank y yields rows for thresholds k in {y-1, y} (1 <= k < K)

@@ -52,22 +52,38 @@ def rank_features(df: DataFrame, vocab: list[str], leak_free: bool = True, dedup
     )
 
 
+# New-row batches with at most this many distinct subjects restrict the history
+# scan by broadcasting the subject list (its size is counted first).
+SERVING_BROADCAST_SUBJECTS = 1_000_000
+
+
 def serving_features(history: DataFrame, new_rows: DataFrame, vocab: list[str],
-                     id_col: str = "event_id", hot_rows: int | None = H.HOT_ROWS) -> DataFrame:
+                     id_col: str = "event_id", hot_rows: int | None = H.HOT_ROWS,
+                     first_time: DataFrame | None = None) -> DataFrame:
     """Enhanced features for new rows computed against the stored history.
 
     New rows (Rank NULL) are unioned with history; PrevRank is the previous
     non-null rank so several new rows per subject work; only new rows are kept.
-    The global first time comes from the history (a train-time constant).
+    Only the history of subjects present in the batch is read: a left-semi
+    join against the batch's subject list (broadcast when its counted size
+    allows), so scoring a small batch does not window the whole table.  The
+    global first time comes from the full history, or from ``first_time``
+    (a one-row frame saved with the model).
     """
     cols = ["SubjectID", "Rank", *DRIVERS, "UpdateDT", "Model"]
-    h = history.select(*cols, F.lit(None).cast(dict(new_rows.dtypes)[id_col]).alias(id_col))
+    batch_subjects = new_rows.select(F.col("SubjectID").cast("bigint").alias("SubjectID")).distinct()
+    n_subjects = batch_subjects.count()
+    if n_subjects <= SERVING_BROADCAST_SUBJECTS:
+        batch_subjects = F.broadcast(batch_subjects)
+    relevant = history.join(batch_subjects, "SubjectID", "left_semi")
+    h = relevant.select(*cols, F.lit(None).cast(dict(new_rows.dtypes)[id_col]).alias(id_col))
     n = new_rows.select(F.col("SubjectID").cast("bigint").alias("SubjectID"), F.lit(None).cast("int").alias("Rank"),
                         *[blank_to_null(d).alias(d) for d in DRIVERS], "UpdateDT",
                         F.lit(None).cast("string").alias("Model"), id_col)
     u = h.unionByName(n)
     x = H.history_columns(u, prev_ignore_nulls=True, hot_rows=hot_rows)
-    x = H.with_scalar(x.where(F.col(id_col).isNotNull()), H.global_first_time(history))
+    t0 = first_time if first_time is not None else H.global_first_time(history)
+    x = H.with_scalar(x.where(F.col(id_col).isNotNull()), t0)
     return x.select(
         id_col, "SubjectID", "UpdateDT",
         F.coalesce(whole_days(F.col("_t_first"), F.col("UpdateDT")), F.lit(0)).cast("bigint").alias("DaysSinceFirst"),

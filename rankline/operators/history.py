@@ -36,7 +36,7 @@ SEGMENT_ROWS = 1_000_000
 # Largest hot-subject list joined by broadcast (its size is counted first).
 BROADCAST_KEYS = 200_000
 
-HISTORY_COLS = ["PrevRank", "PrevUpdateDT", "RankChange", "ObsNumber",
+HISTORY_COLS = ["PrevRank", "PrevUpdateDT", "PrevRankUpdateDT", "RankChange", "ObsNumber",
                 "AvgPreviousRanks", "AvgPreviousRankChanges", "AvgPreviousRanksFilled"]
 
 
@@ -52,11 +52,14 @@ def _ensure_model(df: DataFrame) -> tuple[DataFrame, bool]:
 
 def history_columns(df: DataFrame, prev_ignore_nulls: bool = False,
                     hot_rows: int | None = HOT_ROWS, segment_rows: int = SEGMENT_ROWS,
-                    force_split: bool = False, dedup: bool = False) -> DataFrame:
+                    force_split: bool = False, dedup: bool = False,
+                    keys: list[str] | None = None, order: list[Column] | None = None) -> DataFrame:
     """Add HISTORY_COLS.
 
     PrevRank      rank of the previous row (or previous non-null rank when
                   ``prev_ignore_nulls``), NULL on the first row
+    PrevUpdateDT  time of the previous row
+    PrevRankUpdateDT  time of the row PrevRank comes from
     RankChange    Rank - PrevRank
     ObsNumber     0-based row number within the subject
     AvgPreviousRanks        mean of earlier non-null ranks, NULL if none
@@ -64,35 +67,45 @@ def history_columns(df: DataFrame, prev_ignore_nulls: bool = False,
     AvgPreviousRanksFilled  AvgPreviousRanks back-filled within the subject
                             (the leaky variant: the first row sees row 2's mean)
 
-    ``dedup`` drops whole-row duplicates first, clustered on the same keys as
-    the windows (duplicates share subject and time), so it adds no exchange.
+    ``keys`` (default SubjectID) and ``order`` (default time, Model, Rank) set
+    the window.  ``dedup`` drops whole-row duplicates first, clustered on the
+    same keys as the windows (duplicates share them), so it adds no exchange.
     """
     df, added = _ensure_model(df)
+    keys = keys or [SUBJECT]
+    order = order or order_cols()
     hot = None
     if force_split:
-        hot = _hot_subjects(df, 0)
+        hot = _hot_subjects(df, 0, keys)
     elif hot_rows is not None:
-        candidate = _hot_subjects(df, hot_rows)
+        candidate = _hot_subjects(df, hot_rows, keys)
         if candidate.limit(1).count() > 0:
             hot = candidate
     if hot is None:
         if dedup:
-            df = df.repartition(SUBJECT).dropDuplicates()
-        out = _plain(df, prev_ignore_nulls)
+            df = df.repartition(*keys).dropDuplicates()
+        out = _plain(df, prev_ignore_nulls, keys, order)
     else:
-        out = _segmented(df, hot, prev_ignore_nulls, segment_rows, dedup)
+        out = _segmented(df, hot, prev_ignore_nulls, segment_rows, dedup, keys, order)
     return out.drop("Model") if added else out
 
 
-def _plain(df: DataFrame, ignore_nulls: bool) -> DataFrame:
-    w = subject_window()
+def _plain(df: DataFrame, ignore_nulls: bool, keys: list[str], order: list[Column]) -> DataFrame:
+    w = W.partitionBy(*keys).orderBy(*order)
     before = w.rowsBetween(W.unboundedPreceding, -1)
     after = w.rowsBetween(W.currentRow, W.unboundedFollowing)
-    prev = F.last("Rank", True).over(before) if ignore_nulls else F.lag("Rank").over(w)
+    lag_t = F.lag(TIME).over(w)
+    if ignore_nulls:
+        known = F.last(F.when(F.col("Rank").isNotNull(), F.struct(F.col("Rank").alias("r"), F.col(TIME).alias("t"))),
+                       True).over(before)
+        prev, prev_t = known["r"], known["t"]
+    else:
+        prev, prev_t = F.lag("Rank").over(w), lag_t
     x = df.select(
         "*",
         prev.alias("PrevRank"),
-        F.lag(TIME).over(w).alias("PrevUpdateDT"),
+        lag_t.alias("PrevUpdateDT"),
+        prev_t.alias("PrevRankUpdateDT"),
         (F.row_number().over(w) - 1).cast("bigint").alias("ObsNumber"),
         F.avg("Rank").over(before).alias("AvgPreviousRanks"),
     )
@@ -104,59 +117,58 @@ def _plain(df: DataFrame, ignore_nulls: bool) -> DataFrame:
     ).withColumn("AvgPreviousRanksFilled", F.coalesce("AvgPreviousRanks", "_bfill")).drop("_bfill")
 
 
-def _hot_subjects(df: DataFrame, hot_rows: int) -> DataFrame:
+def _hot_subjects(df: DataFrame, hot_rows: int, keys: list[str] | None = None) -> DataFrame:
     micros = F.unix_micros(F.col(TIME).cast("timestamp"))
-    return (df.groupBy(SUBJECT)
+    return (df.groupBy(*(keys or [SUBJECT]))
               .agg(F.count(F.lit(1)).alias("_n"), F.min(micros).alias("_t0"), F.max(micros).alias("_t1"))
               .where(F.col("_n") > F.lit(hot_rows)))
 
 
 def _segmented(df: DataFrame, hot: DataFrame, ignore_nulls: bool, segment_rows: int,
-               dedup: bool = False) -> DataFrame:
+               dedup: bool, keys: list[str], order: list[Column]) -> DataFrame:
     cols = df.columns
     n_hot = hot.count()
     pieces = F.ceil(F.col("_n") / F.lit(max(1, segment_rows)))
-    hot = hot.select(SUBJECT, "_t0",
-                     (F.floor((F.col("_t1") - F.col("_t0")) / pieces) + 1).alias("_grain"))
+    hot = hot.select(*keys, "_t0", (F.floor((F.col("_t1") - F.col("_t0")) / pieces) + 1).alias("_grain"))
     if n_hot <= BROADCAST_KEYS:
         hot = F.broadcast(hot)
     micros = F.unix_micros(F.col(TIME).cast("timestamp"))
     seg = F.when(F.col("_grain").isNull(), F.lit(0)).otherwise(
         F.coalesce(F.floor((micros - F.col("_t0")) / F.col("_grain")), F.lit(-1)))
-    x = df.join(hot, SUBJECT, "left").withColumn("_seg", seg.cast("bigint")).drop("_t0", "_grain")
+    x = df.join(hot, keys, "left").withColumn("_seg", seg.cast("bigint")).drop("_t0", "_grain")
     if dedup:
-        x = x.repartition(SUBJECT, "_seg").dropDuplicates(cols)
+        x = x.repartition(*keys, "_seg").dropDuplicates(cols)
 
-    # 1. local windows inside (subject, segment)
-    wl = subject_window("_seg")
+    # 1. local windows inside (keys, segment)
+    wl = W.partitionBy(*keys, "_seg").orderBy(*order)
     before = wl.rowsBetween(W.unboundedPreceding, -1)
     after = wl.rowsBetween(W.currentRow, W.unboundedFollowing)
+    known = F.when(F.col("Rank").isNotNull(), F.struct(F.col("Rank").alias("r"), F.col(TIME).alias("t")))
     x = x.select(
         "*",
         F.row_number().over(wl).alias("_rn"),
         F.lag("Rank").over(wl).alias("_lag_rank"),
-        F.last("Rank", True).over(before).alias("_last_nn"),
+        F.last(known, True).over(before).alias("_last_nn"),
         F.lag(TIME).over(wl).alias("_lag_ts"),
         F.count("Rank").over(before).alias("_cnt_b"),
         F.sum("Rank").over(before).alias("_sum_b"),
     )
-    x = x.withColumn("_chg", F.col("Rank") - (F.col("_last_nn") if ignore_nulls else F.col("_lag_rank")))
+    x = x.withColumn("_chg", F.col("Rank") - (F.col("_last_nn")["r"] if ignore_nulls else F.col("_lag_rank")))
     x = x.select("*", F.count("_chg").over(before).alias("_chg_cnt_b"),
-                 F.sum("_chg").over(before).alias("_chg_sum_b"),
-                 F.first(F.when(F.col("Rank").isNotNull(), F.col("_rn")), True).over(after).alias("_nn_after"))
+                 F.sum("_chg").over(before).alias("_chg_sum_b"))
 
     # 2. per-segment summary (small: one row per segment)
     def at_last(c: str) -> Column:
         return F.max(F.struct(F.col("_rn"), F.col(c)))[c]
 
     nn = F.col("Rank").isNotNull()
-    summary = x.groupBy(SUBJECT, "_seg").agg(
+    summary = x.groupBy(*keys, "_seg").agg(
         F.count(F.lit(1)).alias("s_rows"),
         F.count("Rank").alias("s_cnt"),
         F.sum("Rank").alias("s_sum"),
         F.max(F.when(F.col("_rn") == 1, F.col("Rank"))).alias("s_first_rank"),
         F.min(F.when(nn, F.struct(F.col("_rn"), F.col("Rank")))).alias("s_fnn"),
-        F.max(F.when(nn, F.struct(F.col("_rn"), F.col("Rank")))).alias("s_lnn"),
+        F.max(F.when(nn, F.struct(F.col("_rn"), F.col("Rank").alias("r"), F.col(TIME).alias("t")))).alias("s_lnn"),
         at_last("Rank").alias("s_last_rank"),
         at_last(TIME).alias("s_last_ts"),
         F.sum("_chg").alias("s_chg_sum"),
@@ -164,24 +176,26 @@ def _segmented(df: DataFrame, hot: DataFrame, ignore_nulls: bool, segment_rows:
     )
 
     # 3. carries across segments (window over the summary, one row per segment)
-    ws = W.partitionBy(SUBJECT).orderBy("_seg")
+    ws = W.partitionBy(*keys).orderBy("_seg")
     prev = ws.rowsBetween(W.unboundedPreceding, -1)
     whole = ws.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     c = summary.select(
-        SUBJECT, "_seg", "s_rows", "s_fnn",
+        *keys, "_seg", "s_rows", "s_fnn",
         F.coalesce(F.sum("s_rows").over(prev), F.lit(0)).alias("c_rows"),
         F.coalesce(F.sum("s_cnt").over(prev), F.lit(0)).alias("c_cnt"),
         F.coalesce(F.sum("s_sum").over(prev), F.lit(0)).alias("c_sum"),
         F.lag("s_last_rank").over(ws).alias("c_prev_rank"),
         F.lag("s_last_ts").over(ws).alias("c_prev_ts"),
-        F.last(F.col("s_lnn")["Rank"], True).over(prev).alias("c_prev_nn"),
+        F.last(F.when(F.col("s_lnn").isNotNull(),
+                      F.struct(F.col("s_lnn")["r"].alias("r"), F.col("s_lnn")["t"].alias("t"))),
+               True).over(prev).alias("c_prev_nn"),
         "s_first_rank", "s_chg_sum", "s_chg_cnt",
         F.sum("s_rows").over(whole).alias("subj_rows"),
     )
     # The boundary row is the first row whose change reaches into the previous
     # segment: row 1 for lag, the first non-null rank for last-non-null.
     if ignore_nulls:
-        c = c.withColumns({"b_chg": F.col("s_fnn")["Rank"] - F.col("c_prev_nn"), "b_rn": F.col("s_fnn")["_rn"]})
+        c = c.withColumns({"b_chg": F.col("s_fnn")["Rank"] - F.col("c_prev_nn")["r"], "b_rn": F.col("s_fnn")["_rn"]})
     else:
         c = c.withColumns({"b_chg": F.col("s_first_rank") - F.col("c_prev_rank"), "b_rn": F.lit(1)})
     c = c.select(
@@ -195,11 +209,16 @@ def _segmented(df: DataFrame, hot: DataFrame, ignore_nulls: bool, segment_rows:
                                 F.col("s_fnn")["Rank"].alias("rank"))), True).over(whole).alias("subj_fnn"),
     ).drop("s_rows", "s_fnn", "s_first_rank", "s_chg_sum", "s_chg_cnt")
 
-    # 4. join the carry back on (subject, segment); both sides are keyed the same way
-    y = x.join(c, [SUBJECT, "_seg"], "inner")
+    # 4. join the carry back on (keys, segment); both sides are keyed the same way
+    y = x.join(c, [*keys, "_seg"], "inner")
     first = F.col("_rn") == 1
-    prev_rank = (F.coalesce("_last_nn", "c_prev_nn") if ignore_nulls
-                 else F.when(first, F.col("c_prev_rank")).otherwise(F.col("_lag_rank")))
+    prev_ts = F.when(first, F.col("c_prev_ts")).otherwise(F.col("_lag_ts"))
+    if ignore_nulls:
+        known_prev = F.coalesce(F.col("_last_nn"), F.col("c_prev_nn"))
+        prev_rank, prev_rank_ts = known_prev["r"], known_prev["t"]
+    else:
+        prev_rank = F.when(first, F.col("c_prev_rank")).otherwise(F.col("_lag_rank"))
+        prev_rank_ts = prev_ts
     cnt = F.col("c_cnt") + F.col("_cnt_b")
     tot = F.col("c_sum") + F.coalesce("_sum_b", F.lit(0))
     past_boundary = F.coalesce(F.col("_rn") > F.col("b_rn"), F.lit(False))
@@ -213,7 +232,8 @@ def _segmented(df: DataFrame, hot: DataFrame, ignore_nulls: bool, segment_rows:
     y = y.select(
         "*",
         prev_rank.alias("PrevRank"),
-        F.when(first, F.col("c_prev_ts")).otherwise(F.col("_lag_ts")).alias("PrevUpdateDT"),
+        prev_ts.alias("PrevUpdateDT"),
+        prev_rank_ts.alias("PrevRankUpdateDT"),
         obs.alias("ObsNumber"),
         avg_prev.alias("AvgPreviousRanks"),
         F.when(chg_cnt > 0, chg_sum.cast("double") / chg_cnt).alias("AvgPreviousRankChanges"),
@@ -262,23 +282,24 @@ def subject_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def asof_prev_rank(history: DataFrame, new_rows: DataFrame, id_col: str = "event_id") -> DataFrame:
+def asof_prev_rank(history: DataFrame, new_rows: DataFrame, id_col: str = "event_id",
+                   hot_rows: int | None = HOT_ROWS, force_split: bool = False) -> DataFrame:
     """For each new row, the latest history row at or before its time (as-of join).
 
-    Union + ``last(ignorenulls)`` over one window: each side is shuffled once
-    by SubjectID and no pairs are formed.  History rows sort before new rows
-    at equal times, so the match is inclusive (like an ASOF ``>=`` join).
+    New rows (rank unknown) are unioned with the history and ordered after
+    history rows of the same time; the previous known rank is then the as-of
+    match.  This reuses the history windows, including the hot-subject split,
+    so each side is shuffled once by SubjectID and no pairs are formed.
     """
     id_type = dict(new_rows.dtypes)[id_col]
     history, _ = _ensure_model(history)
-    h = history.select(SUBJECT, TIME, F.col("Rank").alias("_r"), F.col("Model").alias("_m"),
-                       F.lit(None).cast(id_type).alias(id_col), F.lit(0).alias("_side"))
-    n = new_rows.select(SUBJECT, TIME, F.lit(None).cast("int").alias("_r"), F.lit(None).cast("string").alias("_m"),
-                        F.col(id_col), F.lit(1).alias("_side"))
-    w = W.partitionBy(SUBJECT).orderBy(F.col(TIME).asc_nulls_first(), F.col("_side"),
-                                       F.col("_m").asc_nulls_first(), F.col("_r").asc_nulls_first())
-    hist = F.when(F.col("_side") == 0, F.struct(F.col(TIME).alias("t"), F.col("_r").alias("r")))
-    u = h.unionByName(n)
-    u = u.select("*", F.last(hist, True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_p"))
-    return u.where(F.col("_side") == 1).select(
-        id_col, SUBJECT, TIME, F.col("_p")["r"].alias("prev_rank"), F.col("_p")["t"].alias("prev_update"))
+    h = history.select(SUBJECT, TIME, "Model", "Rank", F.lit(None).cast(id_type).alias(id_col),
+                       F.lit(0).alias("_side"))
+    n = new_rows.select(SUBJECT, TIME, F.lit(None).cast("string").alias("Model"),
+                        F.lit(None).cast("int").alias("Rank"), F.col(id_col), F.lit(1).alias("_side"))
+    order = [F.col(TIME).asc_nulls_first(), F.col("_side"), F.col("Model").asc_nulls_first(),
+             F.col("Rank").asc_nulls_first()]
+    x = history_columns(h.unionByName(n), prev_ignore_nulls=True, hot_rows=hot_rows, force_split=force_split,
+                        order=order)
+    return x.where(F.col("_side") == 1).select(id_col, SUBJECT, TIME, F.col("PrevRank").alias("prev_rank"),
+                                               F.col("PrevRankUpdateDT").alias("prev_update"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankline.operators.history import subject_summary
+from rankline.operators.history import HOT_ROWS, history_columns, subject_summary
 
 
 def history_for_model(df: DataFrame, model: str) -> DataFrame:
@@ -17,11 +17,23 @@ def series_name() -> F.Column:
     return F.coalesce(F.concat(F.lit("Model: "), F.col("Model")), F.lit("Historical Data"))
 
 
-def rank_series(df: DataFrame) -> DataFrame:
-    """One time-ordered series per (subject, observed | model) with a point number."""
+def rank_series(df: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """One time-ordered series per (subject, observed | model) with a 1-based point number.
+
+    The point number is the running row count of the history windows, so a
+    very long series is split into time segments like any hot subject.
+    """
     x = df.select("SubjectID", series_name().alias("series"), "UpdateDT", "Rank")
-    w = W.partitionBy("SubjectID", "series").orderBy(F.col("UpdateDT").asc_nulls_first(), F.col("Rank").asc_nulls_first())
-    return x.withColumn("point", F.row_number().over(w))
+    order = [F.col("UpdateDT").asc_nulls_first(), F.col("Rank").asc_nulls_first()]
+    h = history_columns(x, keys=["SubjectID", "series"], order=order,
+                        hot_rows=HOT_ROWS if hot_rows is None else hot_rows)
+    return h.select("SubjectID", "series", "UpdateDT", "Rank", (F.col("ObsNumber") + 1).alias("point"))
+
+
+def rows_per_subject(df: DataFrame) -> DataFrame:
+    """Rows with their subject's row count: partial aggregate + join (AQE splits a hot subject)."""
+    n = df.groupBy("SubjectID").agg(F.count(F.lit(1)).alias("n_subject_rows"))
+    return df.join(n, "SubjectID")
 
 
 def subject_card(df: DataFrame) -> DataFrame:

@@ -19,10 +19,9 @@ MODELS = ["Random Forest", "XGBoost"]
 
 def lag_pairs(spark, sf):
     """y = Rank, p = previous rank of the subject (else a constant)."""
-    r = rankings(spark, sf)
-    w = H.subject_window()
-    return r.select("SubjectID", "UpdateDT", F.col("Rank").alias("y"),
-                    F.coalesce(F.lag("Rank").over(w), F.lit(FIRST_ROW_GUESS)).alias("p"))
+    h = H.history_columns(rankings(spark, sf).select("SubjectID", "UpdateDT", "Model", "Rank"))
+    return h.select("SubjectID", "UpdateDT", F.col("Rank").alias("y"),
+                    F.coalesce(F.col("PrevRank"), F.lit(FIRST_ROW_GUESS)).alias("p"))
 
 
 PAIRS_SQL = with_views("rankings") + f""", pairs AS (

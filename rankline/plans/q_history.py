@@ -55,9 +55,8 @@ SELECT SubjectID, UpdateDT, Model, Rank, count(*) OVER (PARTITION BY SubjectID)
 FROM rankings""")
 def subject_rows(spark, sf):
     """All rows grouped by subject (a point lookup is this plus a pushed-down filter)."""
-    r = rankings(spark, sf)
-    return r.select("SubjectID", "UpdateDT", "Model", "Rank",
-                    F.count(F.lit(1)).over(W.partitionBy("SubjectID")).alias("n_subject_rows"))
+    r = rankings(spark, sf).select("SubjectID", "UpdateDT", "Model", "Rank")
+    return R.rows_per_subject(r)
 
 
 @register("history_for_model", with_views("rankings") + """

@@ -81,3 +81,20 @@ def test_asof_inclusive_and_strict_subject(spark):
                                 "event_id long, SubjectID long, UpdateDT timestamp_ntz")
     got = {r.event_id: r.prev_rank for r in H.asof_prev_rank(hist, new).collect()}
     assert got == {1: 10, 2: 15, 3: 20, 4: None}
+
+
+def test_asof_split_path_equals_plain(spark):
+    r = view(spark, SF_SMALL, "rankings")
+    new = view(spark, SF_SMALL, "inputs").select("event_id", F.expr("try_cast(SubjectID AS BIGINT)").alias("SubjectID"),
+                                                  (F.col("UpdateDT") + F.expr("INTERVAL 1 HOUR")).alias("UpdateDT"))
+    a = H.asof_prev_rank(r, new, hot_rows=None)
+    b = H.asof_prev_rank(r, new, force_split=True)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_rank_series_split_path_equals_plain(spark):
+    from rankline.operators.reports import rank_series
+    m = view(spark, SF_SMALL, "rankings_multi")
+    a = rank_series(m, hot_rows=10 ** 9)
+    b = rank_series(m, hot_rows=5)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

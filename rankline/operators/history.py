@@ -124,6 +124,16 @@ def _hot_subjects(df: DataFrame, hot_rows: int, keys: list[str] | None = None) -
               .where(F.col("_n") > F.lit(hot_rows)))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi-join where NULL keys match (windows treat a NULL key as one group too)."""
+    r = right.select(*[F.col(k).alias(f"_rk_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_rk_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_rk_{k}" for k in keys])
+
+
 def _segmented(df: DataFrame, hot: DataFrame, ignore_nulls: bool, segment_rows: int,
                dedup: bool, keys: list[str], order: list[Column]) -> DataFrame:
     cols = df.columns
@@ -135,12 +145,20 @@ def _segmented(df: DataFrame, hot: DataFrame, ignore_nulls: bool, segment_rows:
     micros = F.unix_micros(F.col(TIME).cast("timestamp"))
     seg = F.when(F.col("_grain").isNull(), F.lit(0)).otherwise(
         F.coalesce(F.floor((micros - F.col("_t0")) / F.col("_grain")), F.lit(-1)))
-    x = df.join(hot, keys, "left").withColumn("_seg", seg.cast("bigint")).drop("_t0", "_grain")
+    x = _join_null_safe(df, hot, keys, "left").withColumn("_seg", seg.cast("bigint")).drop("_t0", "_grain")
+    # NULL-free internal keys (value, is-null flag): plain equality on them is
+    # null-safe, so the carry join below reuses the windows' partitioning.
+    types = dict(df.dtypes)
+    ikeys = []
+    for i, k in enumerate(keys):
+        default = F.lit("") if types[k] == "string" else F.lit(0).cast(types[k])
+        x = x.withColumns({f"_ik{i}": F.coalesce(F.col(k), default), f"_in{i}": F.col(k).isNull()})
+        ikeys += [f"_ik{i}", f"_in{i}"]
     if dedup:
-        x = x.repartition(*keys, "_seg").dropDuplicates(cols)
+        x = x.repartition(*ikeys, "_seg").dropDuplicates(cols)
 
     # 1. local windows inside (keys, segment)
-    wl = W.partitionBy(*keys, "_seg").orderBy(*order)
+    wl = W.partitionBy(*ikeys, "_seg").orderBy(*order)
     before = wl.rowsBetween(W.unboundedPreceding, -1)
     after = wl.rowsBetween(W.currentRow, W.unboundedFollowing)
     known = F.when(F.col("Rank").isNotNull(), F.struct(F.col("Rank").alias("r"), F.col(TIME).alias("t")))
@@ -162,7 +180,7 @@ def _segmented(df: DataFrame, hot: DataFrame, ignore_nulls: bool, segment_rows:
         return F.max(F.struct(F.col("_rn"), F.col(c)))[c]
 
     nn = F.col("Rank").isNotNull()
-    summary = x.groupBy(*keys, "_seg").agg(
+    summary = x.groupBy(*ikeys, "_seg").agg(
         F.count(F.lit(1)).alias("s_rows"),
         F.count("Rank").alias("s_cnt"),
         F.sum("Rank").alias("s_sum"),
@@ -176,11 +194,11 @@ def _segmented(df: DataFrame, hot: DataFrame, ignore_nulls: bool, segment_rows:
     )
 
     # 3. carries across segments (window over the summary, one row per segment)
-    ws = W.partitionBy(*keys).orderBy("_seg")
+    ws = W.partitionBy(*ikeys).orderBy("_seg")
     prev = ws.rowsBetween(W.unboundedPreceding, -1)
     whole = ws.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     c = summary.select(
-        *keys, "_seg", "s_rows", "s_fnn",
+        *ikeys, "_seg", "s_rows", "s_fnn",
         F.coalesce(F.sum("s_rows").over(prev), F.lit(0)).alias("c_rows"),
         F.coalesce(F.sum("s_cnt").over(prev), F.lit(0)).alias("c_cnt"),
         F.coalesce(F.sum("s_sum").over(prev), F.lit(0)).alias("c_sum"),
@@ -210,7 +228,7 @@ def _segmented(df: DataFrame, hot: DataFrame, ignore_nulls: bool, segment_rows:
     ).drop("s_rows", "s_fnn", "s_first_rank", "s_chg_sum", "s_chg_cnt")
 
     # 4. join the carry back on (keys, segment); both sides are keyed the same way
-    y = x.join(c, [*keys, "_seg"], "inner")
+    y = x.join(c, [*ikeys, "_seg"], "inner")
     first = F.col("_rn") == 1
     prev_ts = F.when(first, F.col("c_prev_ts")).otherwise(F.col("_lag_ts"))
     if ignore_nulls:

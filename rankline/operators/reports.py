@@ -32,8 +32,10 @@ def rank_series(df: DataFrame, hot_rows: int | None = None) -> DataFrame:
 
 def rows_per_subject(df: DataFrame) -> DataFrame:
     """Rows with their subject's row count: partial aggregate + join (AQE splits a hot subject)."""
-    n = df.groupBy("SubjectID").agg(F.count(F.lit(1)).alias("n_subject_rows"))
-    return df.join(n, "SubjectID")
+    n = df.groupBy("SubjectID").agg(F.count(F.lit(1)).alias("n_subject_rows")) \
+          .withColumnRenamed("SubjectID", "_sid")
+    # null-safe: rows without a subject form one group, as in a window
+    return df.join(n, df["SubjectID"].eqNullSafe(n["_sid"]), "left").drop("_sid")
 
 
 def subject_card(df: DataFrame) -> DataFrame:

@@ -45,28 +45,53 @@ def error_metrics(pairs: DataFrame, by: list[str], y: str = "y", p: str = "p",
     return agg.withColumn("r2", r2).drop("_sse", "_var")
 
 
-def _avg_ranks(pairs: DataFrame, by: list[str], c: str) -> DataFrame:
+MAX_CELLS = 5_000_000     # distinct (y, p) cells for the cell-based rank statistics
+
+
+def _cells(pairs: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
+    """(by, y, p, n): the pairs collapsed to distinct cells (partial aggregation).
+
+    The cells are written to the shared checkpoint folder: every rank statistic
+    reads this small table instead of recomputing the upstream pipeline.
+    """
+    from rankline.session import cut_lineage
+    cells = pairs.groupBy(*by, y, p).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return cut_lineage(cells)
+
+
+def _avg_ranks(cells: DataFrame, by: list[str], c: str) -> DataFrame:
     """(by, value) -> average 1-based rank of the value within its group (ties averaged)."""
-    hist = pairs.groupBy(*by, c).agg(F.count(F.lit(1)).alias("_k"))
+    hist = cells.groupBy(*by, c).agg(F.sum("n").alias("_k"))
     w = W.partitionBy(*by).orderBy(c) if by else W.orderBy(c)
-    before = F.coalesce(F.sum("_k").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("_k").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     return hist.select(*by, c, (before + (F.col("_k") + 1) / 2.0).alias(f"_r_{c}"))
 
 
-def _max_group_distinct(pairs: DataFrame, by: list[str], c: str) -> int:
-    g = pairs.groupBy(*by, c).count().groupBy(*by).count()
-    row = g.agg(F.max("count")).first()
-    return int(row[0] or 0)
+def _max_distinct(cells: DataFrame, by: list[str], c: str) -> int:
+    g = cells.groupBy(*by).agg(F.count_distinct(c).alias("_d")) if by else cells.agg(F.count_distinct(c).alias("_d"))
+    return int(g.agg(F.max("_d")).first()[0] or 0)
 
 
 def spearman(pairs: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    biggest = max(_max_group_distinct(pairs, by, y), _max_group_distinct(pairs, by, p))
-    if biggest > MAX_HIST:
+    """Spearman = Pearson correlation of average ranks, weighted over distinct cells."""
+    cells = _cells(pairs, by, y, p)
+    n_cells = cells.count()
+    if n_cells > MAX_CELLS or max(_max_distinct(cells, by, y), _max_distinct(cells, by, p)) > MAX_HIST:
         return _spearman_mllib(pairs, by, y, p)
-    ry, rp = _avg_ranks(pairs, by, y), _avg_ranks(pairs, by, p)
+    ry, rp = _avg_ranks(cells, by, y), _avg_ranks(cells, by, p)
     # rank tables hold at most MAX_HIST rows per group (checked above)
-    x = pairs.select(*by, y, p).join(F.broadcast(ry), [*by, y]).join(F.broadcast(rp), [*by, p])
-    return x.groupBy(*by).agg(safe_corr(f"_r_{y}", f"_r_{p}").alias("spearman"))
+    x = cells.join(F.broadcast(ry), [*by, y]).join(F.broadcast(rp), [*by, p])
+    a, b, n = F.col(f"_r_{y}"), F.col(f"_r_{p}"), F.col("n")
+    m = x.groupBy(*by).agg(F.sum(n).alias("_n"), F.sum(n * a).alias("_sa"), F.sum(n * b).alias("_sb"),
+                           F.sum(n * a * a).alias("_saa"), F.sum(n * b * b).alias("_sbb"),
+                           F.sum(n * a * b).alias("_sab"),
+                           F.count_distinct(y).alias("_dy"), F.count_distinct(p).alias("_dp"))
+    cov = F.col("_sab") / F.col("_n") - F.col("_sa") * F.col("_sb") / (F.col("_n") * F.col("_n"))
+    va = F.col("_saa") / F.col("_n") - F.pow(F.col("_sa") / F.col("_n"), 2)
+    vb = F.col("_sbb") / F.col("_n") - F.pow(F.col("_sb") / F.col("_n"), 2)
+    # a constant side has one distinct value: correlation undefined (NULL)
+    rho = F.when((F.col("_dy") > 1) & (F.col("_dp") > 1), cov / F.sqrt(va * vb))
+    return m.select(*by, rho.alias("spearman"))
 
 
 def safe_corr(a: str, b: str):
@@ -88,16 +113,16 @@ def _spearman_mllib(pairs: DataFrame, by: list[str], y: str, p: str) -> DataFram
         vec = VectorAssembler(inputCols=[y, p], outputCol="_v").transform(
             part.select(F.col(y).cast("double").alias(y), F.col(p).cast("double").alias(p)))
         m = Correlation.corr(vec, "_v", "spearman").head()[0]
-        rows.append((*(g or ()), float(m[0, 1])))
+        v = float(m[0, 1])
+        rows.append((*(g or ()), None if v != v else v))
     schema = ", ".join([f"{k} {dict(pairs.dtypes)[k]}" for k in by] + ["spearman double"])
     return spark.createDataFrame(rows, schema)
 
 
 def kendall_tau_b(pairs: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """Kendall tau-b per group (exact)."""
-    cells = pairs.groupBy(*by, y, p).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    dy = pairs.groupBy(*by, y).count().groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    dp = pairs.groupBy(*by, p).count().groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    cells = _cells(pairs, by, y, p)
+    dy, dp = _max_distinct(cells, by, y), _max_distinct(cells, by, p)
     if dy * dp <= MAX_GRID:
         cd = _kendall_grid(cells, by, y, p)
     else:

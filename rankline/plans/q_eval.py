@@ -10,6 +10,7 @@ from rankline.operators import metrics as M
 from rankline.plans.catalog import register, rounded
 from rankline.plans.q_history import WORD, rankings
 from rankline.plans.sql_twins import with_views
+from rankline.session import cut_lineage
 from rankline.sources.fixtures import view
 
 # Fallback prediction for a subject's first row in the metric fixture.
@@ -109,7 +110,9 @@ def model_pairs(spark, sf):
     cmp = multi.groupBy("SubjectID", "UpdateDT").agg(
         F.max(F.when(F.col("Model").isNull(), F.col("Rank"))).alias("y"),
         *[F.max(F.when(F.col("Model") == m, F.col("Rank"))).alias(m) for m in MODELS])
-    cmp = M.time_split(cmp).where(F.col("split") == "test")
+    # narrow (subject, time, y, one column per model) table: written once to the
+    # shared checkpoint folder, then read by the cutoff passes and every metric
+    cmp = M.time_split(cut_lineage(cmp)).where(F.col("split") == "test")
     cols = [f"`{m}`" for m in MODELS]
     pairs = cmp.select("SubjectID", "UpdateDT", "y", F.expr(
         f"stack({len(MODELS)}, {', '.join(f'{chr(39)}{m}{chr(39)}, {c}' for m, c in zip(MODELS, cols))}) AS (model_name, p)"))

@@ -25,9 +25,9 @@ TUNE_GRID = [{"maxDepth": 3, "maxIter": 10}, {"maxDepth": 5, "maxIter": 10},
 def split_features(spark, sf):
     """Enhanced features of the whole table, split by time (newest 20 % = test)."""
     r = rankings(spark, sf)
-    feats = FE.rank_features(r, FIXTURE_VOCAB)
+    # reused by the cutoff passes, every learner and the evaluation; spills to disk
+    feats = FE.rank_features(r, FIXTURE_VOCAB).persist(StorageLevel.MEMORY_AND_DISK)
     s = M.time_split(feats)
-    s = s.persist(StorageLevel.MEMORY_AND_DISK)
     return s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
 
 

@@ -11,6 +11,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Give an input with fewer scan partitions than cores one task per core.
+
+    A small file with a single row group is one scan task, so all row-local
+    work before the first shuffle would run on one core.  A large input has
+    many more scan partitions than cores and is returned unchanged (no shuffle
+    is added at scale).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Only the columns the views need; the parquet reader prunes the rest.
-    return read_table(spark, sf_dir, "events").select(*EVENT_COLUMNS)
+    return spread_small_input(read_table(spark, sf_dir, "events").select(*EVENT_COLUMNS))

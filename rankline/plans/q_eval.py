@@ -149,7 +149,8 @@ def leaderboard(spark, sf):
         FROM mp GROUP BY model_name)
 SELECT r.SubjectID, r.UpdateDT, r.Model, r.Rank AS predicted_rank,
        round(e.mae, 1) AS expected_error, round(e.accuracy_10 * 100, 1) AS within_10_pct,
-       len(list_filter([{", ".join(f"r.Driver{i}" for i in range(1, 18))}], lambda x: x IS NOT NULL AND x <> '')) AS factors_used
+       CAST(len(list_filter([{", ".join(f"r.Driver{i}" for i in range(1, 18))}], lambda x: x IS NOT NULL AND x <> ''))
+            AS INTEGER) AS factors_used
 FROM rankings_multi r LEFT JOIN e ON r.Model = e.model_name WHERE r.Model IS NOT NULL""")
 def predictions_with_error(spark, sf):
     board = M.error_metrics(model_pairs(spark, sf), ["model_name"])

@@ -119,8 +119,8 @@ def pad_drivers(spark, sf):
 
 
 @register("calendar_features", with_views("rankings") + """
-SELECT SubjectID, UpdateDT, year(UpdateDT) AS Year, month(UpdateDT) AS Month, day(UpdateDT) AS DayOfMonth,
-       isodow(UpdateDT) - 1 AS DayOfWeek FROM rankings""")
+SELECT SubjectID, UpdateDT, CAST(year(UpdateDT) AS INTEGER) AS Year, CAST(month(UpdateDT) AS INTEGER) AS Month,
+       CAST(day(UpdateDT) AS INTEGER) AS DayOfMonth, CAST(isodow(UpdateDT) - 1 AS INTEGER) AS DayOfWeek FROM rankings""")
 def calendar_features(spark, sf):
     return FE.calendar_columns(rankings(spark, sf).select("SubjectID", "UpdateDT"))
 
@@ -146,7 +146,7 @@ def rounded_rank(spark, sf):
 
 
 @register("valid_inputs", with_views("inputs") + f"""
-SELECT event_id, SubjectID, len({CHOSEN_SQL}) AS factors_used FROM inputs WHERE len({CHOSEN_SQL}) > 0""")
+SELECT event_id, SubjectID, CAST(len({CHOSEN_SQL}) AS INTEGER) AS factors_used FROM inputs WHERE len({CHOSEN_SQL}) > 0""")
 def valid_inputs(spark, sf):
     x = inputs(spark, sf).select("event_id", "SubjectID", C.count_chosen(C.driver_array()).alias("factors_used"))
     return x.where(F.col("factors_used") > 0)
@@ -160,7 +160,8 @@ def input_defaults(spark, sf):
 
 
 @register("dq_unique_factors", with_views("inputs") + f"""
-SELECT event_id, SubjectID, len({CHOSEN_SQL}) AS n_chosen, len(list_distinct({CHOSEN_SQL})) AS n_distinct
+SELECT event_id, SubjectID, CAST(len({CHOSEN_SQL}) AS INTEGER) AS n_chosen,
+       CAST(len(list_distinct({CHOSEN_SQL})) AS INTEGER) AS n_distinct
 FROM inputs WHERE len({CHOSEN_SQL}) > len(list_distinct({CHOSEN_SQL}))""")
 def dq_unique_factors(spark, sf):
     arr = C.nonblank(C.driver_array())
@@ -172,8 +173,8 @@ def dq_unique_factors(spark, sf):
 # ---- J2 / I5 / J3 / D3 -----------------------------------------------------------------------
 
 _BASE_COMMON = """event_id, coalesce(nullif(i.SubjectID, ''), 'new_input') AS SubjectID, i.Rank, i.UpdateDT,
-       year(i.UpdateDT) AS Year, month(i.UpdateDT) AS Month, day(i.UpdateDT) AS DayOfMonth,
-       isodow(i.UpdateDT) - 1 AS DayOfWeek,
+       CAST(year(i.UpdateDT) AS INTEGER) AS Year, CAST(month(i.UpdateDT) AS INTEGER) AS Month,
+       CAST(day(i.UpdateDT) AS INTEGER) AS DayOfMonth, CAST(isodow(i.UpdateDT) - 1 AS INTEGER) AS DayOfWeek,
        CAST(coalesce(datesub('day', s.t0, i.UpdateDT), 0) AS BIGINT) AS DaysSinceFirst,
        CAST(0 AS BIGINT) AS DaysSincePrev, round(coalesce(s.mean_rank, 50.0), 6) AS PrevRank,
        0 AS RankChange"""

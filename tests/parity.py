@@ -44,6 +44,10 @@ def duck(sf_dir: str):
     return con
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP"}
+
+
 def compare(spark, con, key, fn, sql, sf_dir):
     t = time.time()
     sdf = fn(spark, sf_dir)
@@ -59,6 +63,11 @@ def compare(spark, con, key, fn, sql, sf_dir):
     if sorted(s_cols) != sorted(d_cols):
         out.update(ok=False, why=f"cols spark-only {sorted(set(s_cols)-set(d_cols))} duck-only {sorted(set(d_cols)-set(s_cols))}")
         return out
+    d_types = dict(zip(d_cols, [str(t) for t in rel.types]))
+    bad_types = {c: (t, d_types[c]) for c, t in sdf.dtypes if SPARK_TO_DUCK.get(t, t) != d_types[c]}
+    if bad_types:
+        out.update(ok=False, why=f"types differ {bad_types}")
+        return out
     order = sorted(s_cols)
     si = [s_cols.index(c) for c in order]
     di = [d_cols.index(c) for c in order]

@@ -18,6 +18,15 @@ from rankline.schema import DEFAULT_FACTORS, DRIVERS
 MAX_VOCABULARY = 10_000
 
 
+def driver_columns(df: DataFrame) -> list[str]:
+    """Columns named Driver<digits> (schema only, no job); else positions 2..18."""
+    import re
+    found = [c for c in df.columns if re.fullmatch(r"Driver\d+", c)]
+    if not found and len(df.columns) > 2:
+        found = df.columns[2:19]
+    return found
+
+
 def driver_long(df: DataFrame, ids: list[str], drivers: list[str] | None = None) -> DataFrame:
     """Wide -> long: one row per (ids, Driver, Factor) plus the driver number."""
     drivers = drivers or DRIVERS

@@ -88,6 +88,15 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
     return PipelineModel.load(path), meta
 
 
+def write_feature_sets(sets: dict[str, DataFrame], base_dir: str, split_col: str = "split") -> None:
+    """Write each feature set under base_dir/feature_set=<name>/, partitioned by split."""
+    for name, df in sets.items():
+        w = df.write.mode("overwrite")
+        if split_col in df.columns:
+            w = w.partitionBy(split_col)
+        w.parquet(os.path.join(base_dir, f"feature_set={name}"))
+
+
 def feature_importance(model: PipelineModel, top_n: int | None = None, factors_only: bool = False) -> DataFrame:
     """(Feature, Importance) sorted descending; names from the assembler, so lengths agree.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankline.functions.columns import parse_raw_ts, pad_to
-from rankline.schema import DRIVERS, KEY, NULL_TOKENS, RANKINGS
+from rankline.schema import DRIVERS, KEY, LEADERBOARD, NULL_TOKENS, RANKINGS
 
 RAW_COLUMNS = ["SubjectID", "Rank", *DRIVERS, "UpdateDT"]
 # New batches up to this many keys are matched against the table by
@@ -60,6 +60,21 @@ def ingest(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.dropDuplicates(), rejects
 
 
+def read_leaderboard(spark: SparkSession, path: str) -> DataFrame:
+    """Model-summary CSV with a fixed schema; blanks after commas are tolerated."""
+    return (spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True)
+            .option("ignoreTrailingWhiteSpace", True).schema(LEADERBOARD).csv(path))
+
+
+def read_table_or_none(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """The table at ``path`` or None when it does not exist (existence check, no data read)."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException:
+        return None
+
+
 def create_if_absent(spark: SparkSession, path: str) -> None:
     """Create an empty table with the fixed schema unless one exists."""
     spark.createDataFrame([], RANKINGS).write.mode("ignore").parquet(path)

@@ -97,3 +97,10 @@ def test_scenarios_are_permutations_and_seeded(spark):
     b = FA.factor_scenarios(subj, vocab, 3, "s1").orderBy("SubjectID", "Scenario").collect()
     assert a == b and len(a) == 6
     assert all(sorted(list(r)[2:]) == sorted(vocab) for r in a)
+
+
+def test_driver_column_discovery(spark):
+    df = spark.createDataFrame([(1, 2, "a", "b")], "SubjectID long, Rank int, Driver1 string, Driver2 string")
+    assert FA.driver_columns(df) == ["Driver1", "Driver2"]
+    odd = spark.createDataFrame([(1, 2, "a", "b")], "id long, r int, x string, y string")
+    assert FA.driver_columns(odd) == ["x", "y"]

@@ -41,3 +41,13 @@ def test_ordinal_predictions_in_range(spark):
     pred = ML.ordinal_predict(fitted, train)
     r = pred.agg(F.min("prediction"), F.max("prediction"), F.count("prediction")).first()
     assert 1 <= r[0] <= r[1] <= 265 and r[2] == train.count()
+
+
+def test_write_feature_sets(spark):
+    from rankline.operators import metrics as M
+    feats = M.time_split(_train(spark))
+    base = tempfile.mkdtemp()
+    ML.write_feature_sets({"enhanced": feats}, base)
+    back = spark.read.parquet(os.path.join(base, "feature_set=enhanced"))
+    assert sorted(r.split for r in back.select("split").distinct().collect()) == ["test", "train"]
+    assert back.count() == feats.count()

@@ -53,7 +53,8 @@ def _ensure_model(df: DataFrame) -> tuple[DataFrame, bool]:
 def history_columns(df: DataFrame, prev_ignore_nulls: bool = False,
                     hot_rows: int | None = HOT_ROWS, segment_rows: int = SEGMENT_ROWS,
                     force_split: bool = False, dedup: bool = False,
-                    keys: list[str] | None = None, order: list[Column] | None = None) -> DataFrame:
+                    keys: list[str] | None = None, order: list[Column] | None = None,
+                    clustered: bool = False) -> DataFrame:
     """Add HISTORY_COLS.
 
     PrevRank      rank of the previous row (or previous non-null rank when
@@ -70,6 +71,8 @@ def history_columns(df: DataFrame, prev_ignore_nulls: bool = False,
     ``keys`` (default SubjectID) and ``order`` (default time, Model, Rank) set
     the window.  ``dedup`` drops whole-row duplicates first, clustered on the
     same keys as the windows (duplicates share them), so it adds no exchange.
+    ``clustered`` says the input is already hash-clustered by the keys (a table
+    bucketed by SubjectID): then neither the dedup nor the windows shuffle.
     """
     df, added = _ensure_model(df)
     keys = keys or [SUBJECT]
@@ -83,7 +86,7 @@ def history_columns(df: DataFrame, prev_ignore_nulls: bool = False,
             hot = candidate
     if hot is None:
         if dedup:
-            df = df.repartition(*keys).dropDuplicates()
+            df = (df if clustered else df.repartition(*keys)).dropDuplicates()
         out = _plain(df, prev_ignore_nulls, keys, order)
     else:
         out = _segmented(df, hot, prev_ignore_nulls, segment_rows, dedup, keys, order)

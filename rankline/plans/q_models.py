@@ -5,7 +5,6 @@ Rows-only checks (no SQL twin): the values depend on Spark ML's learners.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from rankline.plans import models as ML
 from rankline.plans.catalog import register, rounded
 from rankline.plans.q_history import FIXTURE_VOCAB, rankings
 from rankline.schema import RANK_MAX
+from rankline.session import cut_lineage
 from rankline.sources.fixtures import view
 
 PCA_K = 5
@@ -25,8 +25,9 @@ TUNE_GRID = [{"maxDepth": 3, "maxIter": 10}, {"maxDepth": 5, "maxIter": 10},
 def split_features(spark, sf):
     """Enhanced features of the whole table, split by time (newest 20 % = test)."""
     r = rankings(spark, sf)
-    # reused by the cutoff passes, every learner and the evaluation; spills to disk
-    feats = FE.rank_features(r, FIXTURE_VOCAB).persist(StorageLevel.MEMORY_AND_DISK)
+    # reused by the cutoff passes, every learner and the evaluation: written once
+    # as a table in the shared checkpoint folder (no cache held, no recompute)
+    feats = cut_lineage(FE.rank_features(r, FIXTURE_VOCAB))
     s = M.time_split(feats)
     return s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
 

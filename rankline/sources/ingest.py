@@ -60,6 +60,13 @@ def ingest(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.dropDuplicates(), rejects
 
 
+def save_bucketed(df: DataFrame, table: str, n_buckets: int) -> None:
+    """Store rows bucketed and sorted by SubjectID, so per-subject windows and
+    joins on SubjectID read co-located data without a shuffle."""
+    (df.write.mode("overwrite").bucketBy(n_buckets, "SubjectID").sortBy("SubjectID", "UpdateDT")
+       .format("parquet").saveAsTable(table))
+
+
 def read_leaderboard(spark: SparkSession, path: str) -> DataFrame:
     """Model-summary CSV with a fixed schema; blanks after commas are tolerated."""
     return (spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True)

@@ -14,7 +14,8 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from rankline.session import build_session
     s = build_session("local[4]", 8, app_name="rankline-tests",
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="rankline-test-ckpt-")})
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="rankline-test-ckpt-"),
+                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="rankline-test-wh-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

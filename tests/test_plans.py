@@ -32,3 +32,14 @@ def test_subject_filter_reaches_scan(spark):
 def test_column_pruning(spark):
     df = view(spark, SF_MID, "rankings").select("SubjectID", "Rank").groupBy("SubjectID").count()
     assert "ReadSchema: struct<user_id:bigint>" in _plan(df)
+
+
+def test_bucketed_table_needs_no_shuffle(spark):
+    from rankline.sources.ingest import save_bucketed
+    save_bucketed(view(spark, SF_MID, "rankings"), "rankings_bucketed", 8)
+    t = spark.table("rankings_bucketed")
+    df = FE.rank_features(t, FIXTURE_VOCAB, hot_rows=None, clustered=True)
+    p = _plan(df)
+    assert "Exchange hashpartitioning" not in p
+    plain = FE.rank_features(view(spark, SF_MID, "rankings"), FIXTURE_VOCAB, hot_rows=None)
+    assert df.exceptAll(plain).count() == 0 and plain.exceptAll(df).count() == 0

@@ -15,8 +15,6 @@ back.  Both paths give identical values.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 

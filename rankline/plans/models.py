@@ -134,7 +134,6 @@ def ordinal_fit(train: DataFrame, cols: list[str], n_ranks: int, reg: float = 0.
     Prediction: 1 + #{k : theta_k + w.x > 0}.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import Vectors, VectorUDT  # noqa: F401
     from pyspark.ml.feature import OneHotEncoder
 
     x = train.where(F.col(LABEL).isNotNull())
@@ -182,7 +181,6 @@ def tune(train: DataFrame, cols: list[str], name: str, grid: list[dict], num: in
     Random splits would leak future rows into training, hence the time cut.
     """
     from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import ParamGridBuilder  # noqa: F401
 
     s = M.time_split(train, num=num, den=den)
     fit_part = s.where(F.col("split") == "train").drop("split", "cutoff")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from rankline.operators import quality as Q
 from rankline.plans.catalog import register

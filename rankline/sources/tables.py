@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value"]
+# Session setting that turns the small-input spreading off ("false").
+SPREAD_CONF = "rankline.spreadSmallInputs"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +21,10 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     many more scan partitions than cores and is returned unchanged (no shuffle
     is added at scale).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    if spark.conf.get(SPREAD_CONF, "true").lower() != "true":
+        return df
+    cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

@@ -8,15 +8,10 @@ from pyspark.sql import functions as F
 from rankline.functions.columns import blank_to_null, weekday_mon0, whole_days
 from rankline.operators import history as H
 from rankline.operators.factors import onehot_columns, position_columns
-from rankline.schema import DRIVERS, NEW_SUBJECT
+from rankline.schema import DEFAULT_PREV_RANK, DRIVERS, NEW_SUBJECT, NON_FEATURES  # noqa: F401
 
-# Columns that are never model inputs.
-NON_FEATURES = ["SubjectID", "Rank", "UpdateDT", "RankChange", "Year", "Month", "DayOfMonth",
-                "DayOfWeek", "OriginalDataFlag", "Model"]
 HISTORY_FEATURES = ["DaysSinceFirst", "DaysSincePrev", "PrevRank", "AvgPreviousRanks",
                     "AvgPreviousRankChanges"]
-# Fallback PrevRank when no reference ranks exist.
-DEFAULT_PREV_RANK = 50.0
 
 
 def calendar_columns(df: DataFrame, ts: str = "UpdateDT") -> DataFrame:

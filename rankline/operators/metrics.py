@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from rankline.functions.columns import half_even_int
+from rankline.schema import ACCURACY_KS
 
-ACCURACY_KS = (5, 10, 20)
 MAX_HIST = 100_000        # distinct values per group for the histogram path
 MAX_GRID = 4_000_000      # grid cells for the prefix-sum Kendall path
 

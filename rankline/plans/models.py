@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from rankline.functions.columns import half_even_int
 from rankline.operators import metrics as M
 from rankline.operators.features import HISTORY_FEATURES
+from rankline.schema import MODEL_NAMES
 from rankline.session import ensure_checkpoint_dir
 
 SEED = 42
@@ -33,12 +34,12 @@ def regressor(name: str, **params):
     """Named presets.  XGBoost / LightGBM entries use Spark's GBT under the same
     interface (the external libraries are optional and not required)."""
     common = dict(featuresCol="features", labelCol=LABEL, seed=SEED)
+    if name not in MODEL_NAMES:
+        raise ValueError(f"unknown model {name}")
     if name == "Random Forest":
         est = RandomForestRegressor(numTrees=40, maxDepth=8, subsamplingRate=0.8, **common)
-    elif name in ("Gradient Boosting", "XGBoost", "LightGBM"):
-        est = GBTRegressor(maxIter=20, maxDepth=5, stepSize=0.1, checkpointInterval=10, **common)
     else:
-        raise ValueError(f"unknown model {name}")
+        est = GBTRegressor(maxIter=20, maxDepth=5, stepSize=0.1, checkpointInterval=10, **common)
     return est.setParams(**params) if params else est
 
 

@@ -24,6 +24,15 @@ NEW_SUBJECT = "new_input"
 # Raw timestamp text of the source CSV and the stored text form.
 RAW_TS_FORMAT = "M/d/yyyy H:mm"
 STORED_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# PrevRank used when no reference ranks exist.
+DEFAULT_PREV_RANK = 50.0
+# Columns that are never model inputs in the enhanced feature set.
+NON_FEATURES = ["SubjectID", "Rank", "UpdateDT", "RankChange", "Year", "Month", "DayOfMonth",
+                "DayOfWeek", "OriginalDataFlag", "Model"]
+# Accuracy is reported as the share of predictions within these many ranks.
+ACCURACY_KS = (5, 10, 20)
+# Model names offered for scoring.
+MODEL_NAMES = ["XGBoost", "Random Forest", "LightGBM", "Gradient Boosting"]
 # Text a pandas CSV reader turns into missing values (default na_values).
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
                "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",

@@ -24,7 +24,7 @@ def calendar_columns(df: DataFrame, ts: str = "UpdateDT") -> DataFrame:
 def rank_features(df: DataFrame, vocab: list[str], leak_free: bool = True, dedup: bool = True,
                   first_time: DataFrame | None = None, keep: list[str] | None = None,
                   hot_rows: int | None = H.HOT_ROWS, force_split: bool = False,
-                  clustered: bool = False) -> DataFrame:
+                  clustered: bool = False, segment_rows: int = H.SEGMENT_ROWS) -> DataFrame:
     """Enhanced positional feature set: 5 history features + one position per factor.
 
     ``leak_free`` keeps the first row's AvgPreviousRanks at 0 instead of
@@ -33,7 +33,8 @@ def rank_features(df: DataFrame, vocab: list[str], leak_free: bool = True, dedup
     constant); by default it is computed from ``df``.
     """
     keep = keep if keep is not None else ["SubjectID", "UpdateDT", "Model", "Rank"]
-    x = H.history_columns(df, hot_rows=hot_rows, force_split=force_split, dedup=dedup, clustered=clustered)
+    x = H.history_columns(df, hot_rows=hot_rows, force_split=force_split, dedup=dedup, clustered=clustered,
+                          segment_rows=segment_rows)
     scalars = first_time if first_time is not None else H.global_first_time(df)
     x = H.with_scalar(x, scalars)
     avg_prev = "AvgPreviousRanks" if leak_free else "AvgPreviousRanksFilled"

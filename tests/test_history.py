@@ -98,3 +98,17 @@ def test_rank_series_split_path_equals_plain(spark):
     a = rank_series(m, hot_rows=10 ** 9)
     b = rank_series(m, hot_rows=5)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_one_subject_with_a_third_of_rows(spark):
+    """A realistic skew: subject 0 holds a third of all rows; only it is split."""
+    from rankline.operators import features as FE
+    from rankline.plans.q_history import FIXTURE_VOCAB
+    r = view(spark, SF_MID, "rankings")
+    skewed = r.withColumn("SubjectID", F.when(F.hash("UpdateDT") % 3 == 0, F.lit(0).cast("bigint"))
+                          .otherwise(F.col("SubjectID")))
+    hot = H._hot_subjects(skewed, 1000).collect()
+    assert [row.SubjectID for row in hot] == [0]
+    a = _norm(FE.rank_features(skewed, FIXTURE_VOCAB, hot_rows=None))
+    b = _norm(FE.rank_features(skewed, FIXTURE_VOCAB, hot_rows=1000, segment_rows=300))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -63,3 +63,18 @@ def model_comparison(df: DataFrame, models: list[str]) -> DataFrame:
         *[F.max(F.when(m == F.lit(name), F.col("Rank"))).alias(name) for name in models],
         (F.max(pred) - F.min(pred)).alias("model_range"),
     )
+
+
+def model_card(board: DataFrame, model_name: str) -> DataFrame:
+    """One model's leaderboard row with display fields (accuracy shares as percent).
+
+    A model missing from the leaderboard gives one row of NULLs (the card's
+    not-found case) instead of no row.
+    """
+    wanted = board.sparkSession.createDataFrame([(model_name,)], "model_name string")
+    row = wanted.join(board, "model_name", "left")
+    return row.select(
+        "model_name", "mae", "rmse", "r2", "spearman", "kendall",
+        *[F.round(F.col(f"accuracy_{k}") * 100, 1).alias(f"within_{k}_pct") for k in (5, 10, 20)],
+        F.format_string("±%.1f ranks", F.col("mae")).alias("expected_accuracy"),
+    )

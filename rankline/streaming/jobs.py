@@ -28,15 +28,28 @@ def _start(stream: DataFrame, fn, checkpoint: str, available_now: bool) -> Strea
 
 def stream_insert(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str,
                   files_per_batch: int | None = None, available_now: bool = True,
-                  null_safe: bool = True) -> StreamingQuery:
-    """Parquet files of table rows arriving in ``source_dir`` -> insert-if-absent into ``table_path``."""
+                  null_safe: bool = True, dedup_delay: str | None = None) -> StreamingQuery:
+    """Parquet files of table rows arriving in ``source_dir`` -> insert-if-absent into ``table_path``.
+
+    ``dedup_delay`` (e.g. "1 hour") also drops repeated keys inside the stream
+    with ``dropDuplicatesWithinWatermark``: repeats arriving within the delay
+    never reach the table anti-join.  Zone-less times are cast to timestamps
+    for the watermark (which rejects timestamp_ntz).  Correctness does not
+    depend on it: the anti-join against the table still catches late repeats.
+    """
     create_if_absent(spark, table_path)
     reader = spark.readStream.schema(RANKINGS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     stream = reader.parquet(source_dir)
+    if dedup_delay:
+        stream = (stream.withColumn("_event_time", F.col("UpdateDT").cast("timestamp"))
+                        .withWatermark("_event_time", dedup_delay)
+                        .dropDuplicatesWithinWatermark(["SubjectID", "UpdateDT", "Model"]))
 
     def batch(df: DataFrame, epoch_id: int) -> None:
+        if "_event_time" in df.columns:
+            df = df.drop("_event_time")
         insert_if_absent(df.sparkSession, table_path, df, null_safe=null_safe)
 
     return _start(stream, batch, checkpoint, available_now)

@@ -29,3 +29,14 @@ def test_null_equal_duplicate_count(spark):
     df = spark.createDataFrame([(1, None, None), (1, None, None), (2, None, "m")],
                                "SubjectID long, UpdateDT timestamp_ntz, Model string")
     assert Q.duplicate_keys(df).first().duplicates == 1
+
+
+def test_model_card_found_and_missing(spark):
+    from rankline.operators.reports import model_card
+    board = spark.createDataFrame([("RF", 17.45, 25.0, 0.8, 0.89, 0.74, 0.226, 0.428, 0.694)],
+                                  "model_name string, mae double, rmse double, r2 double, spearman double, "
+                                  "kendall double, accuracy_5 double, accuracy_10 double, accuracy_20 double")
+    r = model_card(board, "RF").first()
+    assert r.within_10_pct == 42.8 and r.expected_accuracy == "±17.5 ranks"
+    m = model_card(board, "nope").collect()
+    assert len(m) == 1 and m[0].mae is None

@@ -23,3 +23,17 @@ def test_stream_insert_equals_batch_and_is_idempotent(spark):
     # restarting with the same checkpoint processes nothing new
     stream_insert(spark, src, table, ckpt, files_per_batch=2).awaitTermination()
     assert spark.read.schema(RANKINGS).parquet(table).count() == want.count()
+
+
+def test_stream_insert_with_watermark_dedup(spark):
+    base = tempfile.mkdtemp()
+    table, src, ckpt = (os.path.join(base, x) for x in ("t", "s", "c"))
+    existing = view(spark, SF_SMALL, "rankings")
+    existing.write.parquet(table)
+    multi = view(spark, SF_SMALL, "rankings_multi").select(*RANKINGS.fieldNames())
+    multi.repartition(2).write.parquet(src)
+    multi.repartition(2).write.mode("append").parquet(src)
+    stream_insert(spark, src, table, ckpt, files_per_batch=2, dedup_delay="1 hour").awaitTermination()
+    got = spark.read.schema(RANKINGS).parquet(table)
+    want = existing.unionByName(rows_to_insert(existing, multi))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -126,49 +126,61 @@ def feature_importance(model: PipelineModel, top_n: int | None = None, factors_o
 
 # ---- ordinal regression (immediate-threshold logistic) --------------------------------------
 
-def ordinal_fit(train: DataFrame, cols: list[str], n_ranks: int, reg: float = 0.01, max_iter: int = 25):
-    """Immediate-threshold ordinal logistic regression.
-
-    Each row with rank y yields rows for thresholds k in {y-1, y} (1 <= k < K)
-    with label 1[y > k]; features are the shared inputs plus a one-hot of k.
-    A no-intercept logistic regression then holds w (shared) and theta_k.
-    Prediction: 1 + #{k : theta_k + w.x > 0}.
+def ordinal_fit(train: DataFrame, cols: list[str], n_ranks: int, reg: float = 0.01, max_iter: int = 25,
+                thresholds: str = "immediate", bin_width: int = 1):
+    """Threshold ordinal logistic regression.
+
+    Ranks are optionally binned (``bin_width``) into K classes.  Each row with
+    class y yields rows for thresholds k (1 <= k < K) with label 1[y > k]:
+    k in {y-1, y} for ``thresholds="immediate"``, every k for ``"all"`` (the
+    stronger variant; K-1 rows per input row, hence the binning).  Features are
+    the shared inputs plus a one-hot of k; a no-intercept logistic regression
+    then holds w (shared) and theta_k.  Prediction: 1 + #{k : theta_k + w.x > 0}.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import OneHotEncoder
 
+    n_classes = -(-n_ranks // bin_width)
     x = train.where(F.col(LABEL).isNotNull())
-    x = x.select("*", F.explode(F.array(F.col(LABEL) - 1, F.col(LABEL))).alias("_k"))
-    x = x.where((F.col("_k") >= 1) & (F.col("_k") < n_ranks))
-    x = x.withColumns({"_label": (F.col(LABEL) > F.col("_k")).cast("double"),
+    x = x.withColumn("_y", F.ceil(F.col(LABEL) / F.lit(bin_width)).cast("int"))
+    if thresholds == "immediate":
+        ks = F.array(F.col("_y") - 1, F.col("_y"))
+    elif thresholds == "all":
+        ks = F.sequence(F.lit(1), F.lit(n_classes - 1))
+    else:
+        raise ValueError("thresholds must be 'immediate' or 'all'")
+    x = x.select("*", F.explode(ks).alias("_k"))
+    x = x.where((F.col("_k") >= 1) & (F.col("_k") < n_classes))
+    x = x.withColumns({"_label": (F.col("_y") > F.col("_k")).cast("double"),
                        "_kidx": (F.col("_k") - 1).cast("double")})
     assembler = VectorAssembler(inputCols=cols, outputCol="_shared", handleInvalid="keep")
     scaler = StandardScaler(inputCol="_shared", outputCol="_sharedz", withMean=False, withStd=True)
-    enc = OneHotEncoder(inputCols=["_kidx"], outputCols=["_kvec"], dropLast=False)
-    enc = enc.setParams(handleInvalid="keep")
+    enc = OneHotEncoder(inputCols=["_kidx"], outputCols=["_kvec"], dropLast=False, handleInvalid="keep")
     full = VectorAssembler(inputCols=["_sharedz", "_kvec"], outputCol="features")
     lr = LogisticRegression(featuresCol="features", labelCol="_label", fitIntercept=False,
                             regParam=reg, maxIter=max_iter, standardization=False)
     prep = Pipeline(stages=[assembler, scaler]).fit(x)
     # the threshold one-hot has a fixed size (K - 1), known from the rank scale
-    enc_model = enc.fit(x.sparkSession.range(n_ranks - 1).select(F.col("id").cast("double").alias("_kidx")))
+    enc_model = enc.fit(x.sparkSession.range(n_classes - 1).select(F.col("id").cast("double").alias("_kidx")))
     model = Pipeline(stages=[full, lr]).fit(enc_model.transform(prep.transform(x)))
-    lr_model = model.stages[-1]
-    coef = lr_model.coefficients.toArray()
+    coef = model.stages[-1].coefficients.toArray()
     n_shared = len(cols)
-    return {"prep": prep, "w": coef[:n_shared].tolist(), "theta": coef[n_shared:n_shared + n_ranks - 1].tolist(),
-            "cols": cols}
+    return {"prep": prep, "w": coef[:n_shared].tolist(), "theta": coef[n_shared:n_shared + n_classes - 1].tolist(),
+            "cols": cols, "bin_width": bin_width, "n_ranks": n_ranks}
 
 
 def ordinal_predict(fitted: dict, df: DataFrame) -> DataFrame:
-    """prediction = 1 + count(theta_k + w.x > 0); theta has K-1 entries (rank scale, bounded)."""
+    """class = 1 + count(theta_k + w.x > 0) (theta has K-1 entries, bounded by the rank
+    scale); with binning the prediction is the class's middle rank."""
     from pyspark.ml.functions import vector_to_array
     x = fitted["prep"].transform(df)
     z = vector_to_array("_sharedz")
     w = fitted["w"]
     margin = sum((z[i] * F.lit(float(w[i])) for i in range(len(w))), F.lit(0.0))
     thetas = F.array(*[F.lit(float(t)) for t in fitted["theta"]])
-    pred = F.lit(1) + F.size(F.filter(thetas, lambda t: t + F.col("_margin") > 0))
+    cls = F.lit(1) + F.size(F.filter(thetas, lambda t: t + F.col("_margin") > 0))
+    bw = fitted.get("bin_width", 1)
+    pred = cls.cast("double") if bw == 1 else F.least(F.lit(float(fitted["n_ranks"])), (cls - 0.5) * bw)
     return x.withColumn("_margin", margin).withColumn("prediction", pred.cast("double")) \
             .drop("_shared", "_sharedz", "_margin")
 

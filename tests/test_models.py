@@ -51,3 +51,11 @@ def test_write_feature_sets(spark):
     back = spark.read.parquet(os.path.join(base, "feature_set=enhanced"))
     assert sorted(r.split for r in back.select("split").distinct().collect()) == ["test", "train"]
     assert back.count() == feats.count()
+
+
+def test_ordinal_all_thresholds_binned(spark):
+    train = _train(spark)
+    fitted = ML.ordinal_fit(train, ML.feature_columns(FIXTURE_VOCAB), 265, max_iter=10, thresholds="all", bin_width=10)
+    assert len(fitted["theta"]) == 26
+    r = ML.ordinal_predict(fitted, train).agg(F.min("prediction"), F.max("prediction")).first()
+    assert 1 <= r[0] <= r[1] <= 265

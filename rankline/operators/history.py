@@ -2,15 +2,17 @@
 
 All windows are ``PARTITION BY SubjectID ORDER BY UpdateDT`` with a fixed
 tie-break (Model NULLS FIRST, Rank), so one exchange + one sort serves every
-column.
+column.  Other keys / orders (a series per subject and model, the as-of
+union) reuse the same machinery.
 
 A subject holding a large share of all rows would put that share into one
 window task.  ``history_columns`` therefore checks the per-subject row counts
 first (a partial aggregate of one column) and, for subjects above
 ``hot_rows``, splits the subject into time segments: windows run per
-(subject, segment), a small per-segment summary carries counts, sums and the
-boundary row across segments, and a join on (subject, segment) puts the carry
-back.  Both paths give identical values.
+(subject, segment), a small per-segment summary carries counts, sums, the
+boundary row and the last known rank across segments, and a join on
+NULL-free internal keys puts the carry back without a second shuffle of the
+rows.  Both paths give identical values.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ TIME = "UpdateDT"
 def order_cols() -> list[Column]:
     return [F.col(TIME).asc_nulls_first(), F.col("Model").asc_nulls_first(), F.col("Rank").asc_nulls_first()]
 
+
 # Rows per subject above which a subject is split into time segments, and the
 # target rows per segment.  Tunable per call; defaults sized for executor memory.
 HOT_ROWS = 4_000_000
@@ -282,9 +285,8 @@ def days_since_prev() -> Column:
 
 def latest_per_subject(df: DataFrame) -> DataFrame:
     """Latest row of every subject (top-1 per group; planner adds WindowGroupLimit)."""
-    w = W.partitionBy(SUBJECT).orderBy(*[c.desc_nulls_last() if i == 0 else c
-                                         for i, c in enumerate([F.col(TIME), F.col("Model").asc_nulls_first(),
-                                                                F.col("Rank").asc_nulls_first()])])
+    w = W.partitionBy(SUBJECT).orderBy(F.col(TIME).desc_nulls_last(), F.col("Model").asc_nulls_first(),
+                                       F.col("Rank").asc_nulls_first())
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 
@@ -303,7 +305,7 @@ def subject_summary(df: DataFrame) -> DataFrame:
 
 def asof_prev_rank(history: DataFrame, new_rows: DataFrame, id_col: str = "event_id",
                    hot_rows: int | None = HOT_ROWS, force_split: bool = False) -> DataFrame:
-    """For each new row, the latest history row at or before its time (as-of join).
+    """For each new row, the latest history row with a known rank at or before its time (as-of join).
 
     New rows (rank unknown) are unioned with the history and ordered after
     history rows of the same time; the previous known rank is then the as-of

@@ -144,3 +144,24 @@ def report(spark: SparkSession, table: DataFrame | None, source: DataFrame | Non
     ok = all(r[2] for r in got)
     got.append(("overall", "PASSED" if ok else "FAILED", ok, sum(1 for r in got if not r[2]), ""))
     return spark.createDataFrame(got, REPORT_SCHEMA)
+
+
+def validate(spark: SparkSession, table_path: str, csv_path: str | None = None) -> DataFrame:
+    """Validation report for a stored table and, optionally, its source CSV.
+
+    A missing table is one failed row.  A named CSV that does not exist adds a
+    passing WARNING row ("source_exists") and skips the source checks.
+    """
+    from rankline.sources.ingest import read_raw_csv, read_table_or_none
+    table = read_table_or_none(spark, table_path)
+    source, missing_source = None, False
+    if csv_path is not None:
+        try:
+            source = read_raw_csv(spark, csv_path)
+        except Exception:  # a missing file is reported, not raised
+            missing_source = True
+    rep = report(spark, table, source)
+    if missing_source:
+        extra = spark.createDataFrame([("source_exists", "WARNING", True, 0, csv_path)], REPORT_SCHEMA)
+        rep = extra.unionByName(rep)
+    return rep

@@ -40,3 +40,21 @@ def test_model_card_found_and_missing(spark):
     assert r.within_10_pct == 42.8 and r.expected_accuracy == "±17.5 ranks"
     m = model_card(board, "nope").collect()
     assert len(m) == 1 and m[0].mae is None
+
+
+def test_validate_paths(spark):
+    import os
+    import tempfile
+    from rankline.sources.ingest import create_if_absent, rows_from_lists, insert_if_absent
+    base = tempfile.mkdtemp()
+    assert [r.status for r in Q.validate(spark, os.path.join(base, "none")).collect()] == ["FAILED"]
+    path = os.path.join(base, "t")
+    create_if_absent(spark, path)
+    insert_if_absent(spark, path, rows_from_lists(spark, [(1, 10, ["A"], "2025-03-08 14:30:00", True, None)]))
+    csv = os.path.join(base, "rank.csv")
+    with open(csv, "w") as f:
+        f.write("SubjectID,Rank,Driver1,UpdateDT\n1,10,A,3/8/2025 14:30\n")
+    rep = {r.check: r for r in Q.validate(spark, path, csv).collect()}
+    assert rep["overall"].passed and rep["source_reconcile"].status == "PASSED"
+    rep2 = {r.check: r for r in Q.validate(spark, path, os.path.join(base, "missing.csv")).collect()}
+    assert rep2["source_exists"].status == "WARNING" and rep2["overall"].passed

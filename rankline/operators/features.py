@@ -54,7 +54,7 @@ def rank_features(df: DataFrame, vocab: list[str], leak_free: bool = True, dedup
 SERVING_BROADCAST_SUBJECTS = 1_000_000
 
 
-def serving_features(history: DataFrame, new_rows: DataFrame, vocab: list[str],
+def serving_features(history: DataFrame | None, new_rows: DataFrame, vocab: list[str],
                      id_col: str = "event_id", hot_rows: int | None = H.HOT_ROWS,
                      first_time: DataFrame | None = None) -> DataFrame:
     """Enhanced features for new rows computed against the stored history.
@@ -66,7 +66,17 @@ def serving_features(history: DataFrame, new_rows: DataFrame, vocab: list[str],
     allows), so scoring a small batch does not window the whole table.  The
     global first time comes from the full history, or from ``first_time``
     (a one-row frame saved with the model).
+
+    ``history=None`` reproduces scoring each new row on its own: every
+    history feature is 0 (the reference's serving behaviour).
     """
+    if history is None:
+        nb = new_rows.select(id_col, F.col("SubjectID").cast("bigint").alias("SubjectID"), "UpdateDT",
+                             *[blank_to_null(d).alias(d) for d in DRIVERS])
+        zeros = {"DaysSinceFirst": F.lit(0).cast("bigint"), "DaysSincePrev": F.lit(0).cast("bigint"),
+                 "PrevRank": F.lit(0), "AvgPreviousRanks": F.lit(0.0), "AvgPreviousRankChanges": F.lit(0.0)}
+        return nb.select(id_col, "SubjectID", "UpdateDT", *[v.alias(k) for k, v in zeros.items()],
+                         *position_columns(vocab))
     cols = ["SubjectID", "Rank", *DRIVERS, "UpdateDT", "Model"]
     batch_subjects = new_rows.select(F.col("SubjectID").cast("bigint").alias("SubjectID")).distinct()
     n_subjects = batch_subjects.count()

@@ -104,3 +104,15 @@ def test_driver_column_discovery(spark):
     assert FA.driver_columns(df) == ["Driver1", "Driver2"]
     odd = spark.createDataFrame([(1, 2, "a", "b")], "id long, r int, x string, y string")
     assert FA.driver_columns(odd) == ["x", "y"]
+
+
+def test_serving_without_history_gives_zero_history_features(spark):
+    from rankline.plans.q_history import FIXTURE_VOCAB
+    new = view(spark, SF_SMALL, "inputs")
+    with_h = FE.serving_features(view(spark, SF_SMALL, "rankings"), new.withColumn(
+        "SubjectID", F.expr("try_cast(SubjectID AS BIGINT)")), FIXTURE_VOCAB)
+    alone = FE.serving_features(None, new, FIXTURE_VOCAB)
+    assert alone.columns == with_h.columns
+    r = alone.agg(F.max("PrevRank"), F.max("AvgPreviousRanks"), F.max("DaysSinceFirst")).first()
+    assert tuple(r) == (0, 0.0, 0)
+    assert alone.count() == new.count()

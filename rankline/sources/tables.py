@@ -28,6 +28,19 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+# Session setting for scaling runs: replicate events r times as new subjects
+# (SubjectID + k * 1,000,000, event_id + k * 1,000,000,000), default 1.
+REPLICATE_CONF = "rankline.replicateEvents"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Only the columns the views need; the parquet reader prunes the rest.
-    return spread_small_input(read_table(spark, sf_dir, "events").select(*EVENT_COLUMNS))
+    ev = read_table(spark, sf_dir, "events").select(*EVENT_COLUMNS)
+    r = int(spark.conf.get(REPLICATE_CONF, "1"))
+    if r > 1:
+        from pyspark.sql import functions as F
+        ev = ev.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(r - 1).cast("bigint"))).alias("_k"))
+        ev = ev.select((F.col("event_id") + F.col("_k") * 1_000_000_000).alias("event_id"), "ts",
+                       (F.col("user_id") + F.col("_k") * 1_000_000).alias("user_id"), "event_type", "value")
+        ev = ev.repartition(max(spark.sparkContext.defaultParallelism, r))
+    return spread_small_input(ev)

@@ -7,4 +7,4 @@ from rankline.llm.registry import ORACLE, QUERIES  # noqa: F401
 
 def load_all() -> None:
     # importing the modules registers their queries
-    from rankline.llm import bpe, simhash  # noqa: F401
+    from rankline.llm import bpe, chat, mixing, simhash  # noqa: F401

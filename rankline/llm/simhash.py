@@ -155,9 +155,10 @@ def keep_representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -
     Rows without a doc_id are kept only where no row of the component has one, one of them.
     """
     found = components_of(docs.select("doc_id", "text"), shingle, max_bits)
+    key = fresh(docs, "_keep_id")
     keep = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_keep_id")).distinct())
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep_id")), "left_semi")
+            .select(F.col("doc_id").alias(key)).distinct())
+    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
     return out.dropDuplicates(["doc_id"])
 
 

@@ -23,7 +23,7 @@ output is replaced; all other columns and all rows, repeated ones included, pass
 from __future__ import annotations
 
 import base64
-from itertools import chain
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +31,11 @@ from pyspark.sql import functions as F
 from rankline.llm.common import table
 from rankline.llm.registry import register
 
-# Entries a worker keeps of each memo (a bound on memory only).  A full memo of pieces becomes
-# the older one, from which pieces that come up again move back.
+# Entries a worker keeps of each memo (a bound on memory only).
 PIECE_MEMO = 300_000
 PAIR_MEMO = 300_000
 # Longer pieces are encoded each time: long runs hardly repeat and would fill the memo.
-MEMO_BYTES = 48
+MEMO_CHARS = 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -70,8 +69,7 @@ class ByteBPE:
         self.automaton.make_automaton()
         self.shorter = {i: self._prefix(self.token[i].decode("latin-1")) for i in self.length}
         self.pair: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.memo = _Memo(self.piece)
 
     def _prefix(self, text: str) -> int | None:
         for n in range(len(text) - 1, 0, -1):
@@ -175,30 +173,40 @@ class ByteBPE:
             last, pos = i, end
             i = longest[pos - 1]
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of a piece that the younger memo lacks; what the older one has moves over."""
-        ids = self.older.pop(piece, None)
-        if ids is None:
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
-            ids = (whole,) if whole is not None else tuple(self.walk(raw.decode("latin-1")))
-            if len(raw) > MEMO_BYTES:
-                return ids
-        if len(self.memo) >= PIECE_MEMO:
-            self.older = dict(self.memo)
-            self.memo.clear()
-        self.memo[piece] = ids
-        return ids
+    def piece(self, piece: str) -> bytes:
+        """Ids of one piece, as 32-bit integers one after another."""
+        raw = piece.encode()
+        whole = self.ranks.get(raw)
+        return array("i", (whole,) if whole is not None else self.walk(raw.decode("latin-1"))).tobytes()
+
+    def packed(self, text: str | None) -> bytes:
+        return b"".join(map(self.memo.__getitem__, self.pieces(text))) if text else b""
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        get, piece = self.memo.get, self.piece
-        return list(chain.from_iterable([get(p) or piece(p) for p in self.pieces(text)]))
+        return array("i", self.packed(text)).tolist()
+
+
+class _Memo(dict):
+    """Pieces met lately and their packed ids.  When full, it becomes the older generation,
+    from which pieces that come up again move back."""
+
+    def __init__(self, piece):
+        super().__init__()
+        self.piece, self.older = piece, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.pop(piece, None) or self.piece(piece)
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= PIECE_MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 # The codec that this Python worker has built, by rank file and pattern.
 _BUILT: dict[tuple[str, str], ByteBPE] = {}
+_TOKENS: dict = {}
 
 
 def _codec(ranks, pattern: str) -> ByteBPE:
@@ -216,15 +224,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
     @F.arrow_udf("array<int>")
     def run(texts):
+        import numpy as np
         import pyarrow as pa
         codec = _codec(ranks, pattern)
-        flat, offsets = [], [0]
-        for t in texts:
-            got = codec.encode(t.as_py())
-            flat.append(pa.array(got, pa.int32()))
-            offsets.append(offsets[-1] + len(got))
-        values = pa.concat_arrays(flat) if flat else pa.array([], pa.int32())
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        packed = [codec.packed(t.as_py()) for t in texts]
+        ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+        flat = np.frombuffer(b"".join(packed), np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
     return df.withColumn(ids, run(F.col(text)))
 
@@ -232,16 +238,27 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add ``decoded`` (binary): the bytes that ``ids`` stand for."""
     ranks = df.sparkSession.sparkContext.broadcast((ranks_path, read_ranks(ranks_path)))
-    tables: dict[int, dict[int, bytes]] = {}
 
     @F.arrow_udf("binary")
     def run(lists):
+        import numpy as np
         import pyarrow as pa
-        if 0 not in tables:
-            tables[0] = {i: b for b, i in ranks.value[1].items()}
-        get, empty = tables[0].get, b""
-        out = [b"".join([get(i, empty) for i in x.values.to_pylist()]) if x.is_valid else empty for x in lists]
-        return pa.array(out, pa.binary())
+        path, table_ = ranks.value
+        if path not in _TOKENS:
+            # bytes by id; the entry after the last id is empty and stands for unknown ids
+            by_id = dict(zip(table_.values(), table_))
+            _TOKENS[path] = pa.array([by_id.get(i, b"") for i in range(max(by_id) + 2)], pa.large_binary())
+        tokens = _TOKENS[path]
+        counts = np.array([len(x.values) if x.is_valid else 0 for x in lists], np.int64)
+        flat = lists.flatten()
+        got = flat.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+        got = np.where((got < 0) | (got >= len(tokens)), len(tokens) - 1, got)
+        parts = tokens.take(pa.array(got))
+        ends = np.frombuffer(parts.buffers()[1], np.int64)[:len(got) + 1] if len(got) else np.zeros(1, np.int64)
+        rows = ends[np.concatenate([[0], np.cumsum(counts)])]
+        data = parts.buffers()[2] if len(got) else None
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(rows.tobytes()), data or pa.py_buffer(b"")])
+        return whole.cast(pa.binary())
 
     return df.withColumn(decoded, run(F.col(ids)))
 

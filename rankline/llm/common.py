@@ -28,29 +28,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, y) of the labelled rows that may be learned from.
-
-    NULL ids, NULL or non-binary labels and held-out ids are left out; a document with
-    repeated label rows keeps the largest label, a NULL text counts as empty.
+def training_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int,
+                    max_chars: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """(texts with labels, number of labelled documents by label) to learn from.
+
+    Held-out ids, NULL ids and labels other than 0 and 1 are left out; a document with
+    repeated label rows has the largest one, a NULL text counts as empty.  The numbers
+    cover all labels; of each label, at most ``per_class`` ids are drawn by a hash of the id,
+    and of their texts those up to ``max_chars``.  So at most 2 * per_class * max_chars
+    characters reach the driver, whatever the size of the corpus.
     """
     y = (labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
          .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")))
-    d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return d.join(y, "doc_id").dropDuplicates(["doc_id"])
-
-
-def training_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int,
-                    max_chars: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` training texts of each label, drawn by a hash of the id.
-
-    Texts over ``max_chars`` are not drawn, so at most 2 * per_class * max_chars
-    characters reach the driver whatever the size of the corpus.
-    """
-    rows = labelled(documents, labels, label).where(F.length("text") <= max_chars)
-    out = []
-    for y in (0, 1):
-        got = (rows.where(F.col("y") == y).select("text", F.xxhash64("doc_id").alias("_h"), "doc_id")
-               .orderBy("_h", "doc_id").limit(per_class).select("text").collect())
-        out += [(r.text, y) for r in got]
-    return out
+    numbers = {r.y: r.n for r in y.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = [r for k in (0, 1) for r in
+             y.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
+    of = {r.doc_id: r.y for r in drawn}
+    if not of:
+        return [], numbers
+    ids = documents.sparkSession.createDataFrame([(i,) for i in of], "doc_id long")
+    d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_chars)
+    got = d.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect()
+    return [(r.text, of[r.doc_id]) for r in sorted(got, key=lambda r: r.doc_id)], numbers

@@ -7,5 +7,5 @@ from rankline.llm.registry import ORACLE, QUERIES  # noqa: F401
 
 def load_all() -> None:
     # importing the modules registers their queries
-    from rankline.llm import (bpe, chat, compress_quality, line_dedup, mixing, quality_rules,
-                              simhash, toxicity)  # noqa: F401
+    from rankline.llm import (bpe, chat, compress_quality, hamming_search, line_dedup, lm_score, mixing,
+                              quality_rules, simhash, toxicity)  # noqa: F401

@@ -9,3 +9,7 @@ def load_all() -> None:
     # importing the modules registers their queries
     from rankline.llm import (bpe, chat, compress_quality, hamming_search, line_dedup, lm_score, mixing,
                               quality_rules, simhash, toxicity)  # noqa: F401
+    import corpus_pipeline
+    QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -36,10 +36,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankline.llm.common import fresh, table
+from rankline.llm.common import table
 from rankline.llm.components import components
 from rankline.llm.registry import register
 from rankline.session import cut_lineage
@@ -137,29 +137,41 @@ def links(fingerprints: DataFrame, max_bits: int, crowded: int = CROWDED) -> Dat
     return near.unionByName(met.where(F.col("a") < F.col("b"))).distinct()
 
 
-def components_of(docs: DataFrame, shingle: int = 3, max_bits: int = 2, crowded: int = CROWDED) -> DataFrame:
-    """doc_id, fp (long) and component_id for every row of ``docs``."""
-    rows = cut_lineage(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")))
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _components(docs: DataFrame, shingle: int, max_bits: int, crowded: int) -> DataFrame:
+    """doc_id, fp, key (hash of the text), root (of the component), component_id per row."""
+    rows = cut_lineage(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp"), _text_key(F.col("text")).alias("key")))
     first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(first, max_bits, crowded), "a", "b").select(F.col("node").alias("fp"), "root")
     # component of each distinct fingerprint, then its smallest id
     member = first.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     low = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = member.join(low, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(member.join(low, "root").select("fp", "root", "component_id"), "fp")
+
+
+def components_of(docs: DataFrame, shingle: int = 3, max_bits: int = 2, crowded: int = CROWDED) -> DataFrame:
+    """doc_id, fp (long) and component_id for every row of ``docs``."""
+    return _components(docs, shingle, max_bits, crowded).select("doc_id", "fp", "component_id")
 
 
 def keep_representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest; one row of each such id.
+    """One row of each component, with all its columns: that of the smallest doc_id.
 
-    Rows without a doc_id are kept only where no row of the component has one, one of them.
+    Of rows that share this id, the one with the smallest hash of its text is kept, and of
+    identical rows one.  A component without any id keeps a row without an id.
     """
-    found = components_of(docs.select("doc_id", "text"), shingle, max_bits)
-    key = fresh(docs, "_keep_id")
-    keep = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias(key)).distinct())
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    found = _components(docs, shingle, max_bits, CROWDED).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = found.groupBy("root").agg(F.first("component_id").alias("id"), F.min("key").alias("_key"))
+    names = ["_null", "_id", "_key"]
+    keep = keep.select(F.col("id").isNull().alias("_null"), F.coalesce("id", F.lit(0)).alias("_id"), "_key").distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").isNull().alias("_null"),
+                       F.coalesce("doc_id", F.lit(0)).alias("_id"), _text_key(F.col("text")).alias("_key"))
+    once = Window.partitionBy(*names).orderBy("_key")
+    kept = rows.join(keep, names, "left_semi").withColumn("_n", F.row_number().over(once)).where(F.col("_n") == 1)
+    return kept.select("_row.*")
 
 
 @register("op4_simhash_near_dedup")

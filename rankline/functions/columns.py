@@ -9,7 +9,7 @@ from rankline.schema import DRIVERS, N_DRIVERS, RAW_TS_FORMAT, STORED_TS_FORMAT
 
 __all__ = [
     "whole_days", "weekday_mon0", "half_even_int", "driver_array", "nonblank", "blank_to_null",
-    "position_first", "position_last", "parse_raw_ts", "parse_stored_ts", "round6",
+    "position_first", "position_last", "parse_raw_ts", "parse_stored_ts",
     "pad_to", "compose_ts", "count_chosen", "has_repeat",
 ]
 
@@ -29,10 +29,6 @@ def half_even_int(c) -> Column:
     return F.bround(_c(c), 0).cast("int")
 
 
-def round6(c) -> Column:
-    return F.round(_c(c).cast("double"), 6)
-
-
 def driver_array(cols: list[str] | None = None) -> Column:
     return F.array(*[F.col(c) for c in (cols or DRIVERS)])
 

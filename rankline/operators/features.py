@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankline.functions.columns import blank_to_null, weekday_mon0, whole_days
 from rankline.operators import history as H
 from rankline.operators.factors import onehot_columns, position_columns
-from rankline.schema import DEFAULT_PREV_RANK, DRIVERS, NEW_SUBJECT, NON_FEATURES  # noqa: F401
+from rankline.schema import DEFAULT_PREV_RANK, DRIVERS, NEW_SUBJECT
 
 HISTORY_FEATURES = ["DaysSinceFirst", "DaysSincePrev", "PrevRank", "AvgPreviousRanks",
                     "AvgPreviousRankChanges"]
@@ -33,10 +33,15 @@ def rank_features(df: DataFrame, vocab: list[str], leak_free: bool = True, dedup
     constant); by default it is computed from ``df``.
     """
     keep = keep if keep is not None else ["SubjectID", "UpdateDT", "Model", "Rank"]
+    if first_time is None:
+        # one aggregate tells the largest subject and the first time
+        most, t0 = H.profile(df)
+        if hot_rows is not None and most <= hot_rows:
+            hot_rows = None
+        first_time = df.sparkSession.range(1).select(F.lit(t0).cast("timestamp_ntz").alias("_t_first"))
     x = H.history_columns(df, hot_rows=hot_rows, force_split=force_split, dedup=dedup, clustered=clustered,
                           segment_rows=segment_rows)
-    scalars = first_time if first_time is not None else H.global_first_time(df)
-    x = H.with_scalar(x, scalars)
+    x = H.with_scalar(x, first_time)
     avg_prev = "AvgPreviousRanks" if leak_free else "AvgPreviousRanksFilled"
     return x.select(
         *keep,
@@ -50,61 +55,79 @@ def rank_features(df: DataFrame, vocab: list[str], leak_free: bool = True, dedup
 
 
 # New-row batches with at most this many distinct subjects restrict the history
-# scan by broadcasting the subject list (its size is counted first).
+# scan by broadcasting the subject list (its size is counted first); larger
+# batches use a plain join with the same result.
 SERVING_BROADCAST_SUBJECTS = 1_000_000
 
 
+def training_rows(df: DataFrame) -> DataFrame:
+    """Observed rows (Model NULL): the only rows that learners and evaluations may use as labels."""
+    return df.where(F.col("Model").isNull())
+
+
 def serving_features(history: DataFrame | None, new_rows: DataFrame, vocab: list[str],
                      id_col: str = "event_id", hot_rows: int | None = H.HOT_ROWS,
-                     first_time: DataFrame | None = None) -> DataFrame:
+                     first_time: DataFrame | None = None, history_model: str | None = None,
+                     keep: list[str] | None = None, broadcast_subjects: int = SERVING_BROADCAST_SUBJECTS) -> DataFrame:
     """Enhanced features for new rows computed against the stored history.
 
-    New rows (Rank NULL) are unioned with history; PrevRank is the previous
-    non-null rank so several new rows per subject work; only new rows are kept.
+    History is the observed rows, and with ``history_model`` also that model's
+    stored predictions; other models' predictions are never history.  New rows
+    (Rank NULL) are unioned with it.  A history row at or before a new row's time
+    precedes it, another new row never supplies a rank or a time: PrevRank is the
+    last known rank and DaysSincePrev counts from the row it comes from.
+
     Only the history of subjects present in the batch is read: a left-semi
     join against the batch's subject list (broadcast when its counted size
-    allows), so scoring a small batch does not window the whole table.  The
-    global first time comes from the full history, or from ``first_time``
-    (a one-row frame saved with the model).
+    allows).  The global first time comes from the full history, or from
+    ``first_time`` (a one-row frame saved with the model).
 
-    ``history=None`` reproduces scoring each new row on its own: every
-    history feature is 0 (the reference's serving behaviour).
+    Rows without a subject id have no history: their history features are 0.
+    ``history=None`` treats every row so (each new row scored on its own).
+    ``keep``: further columns of the new rows to carry along.
     """
+    keep = keep or []
+    sid = F.col("SubjectID").cast("bigint")
+    blank = [blank_to_null(d).alias(d) for d in DRIVERS]
+    zeros = [F.lit(0).cast("bigint").alias("DaysSincePrev"), F.lit(0).alias("PrevRank"),
+             F.lit(0.0).alias("AvgPreviousRanks"), F.lit(0.0).alias("AvgPreviousRankChanges")]
+    more = [c for c in keep if c not in DRIVERS]
+    new = new_rows.select(id_col, sid.alias("SubjectID"), "UpdateDT", *blank, *more)
+    carried = [id_col, "SubjectID", "UpdateDT", *keep]
     if history is None:
-        nb = new_rows.select(id_col, F.col("SubjectID").cast("bigint").alias("SubjectID"), "UpdateDT",
-                             *[blank_to_null(d).alias(d) for d in DRIVERS])
-        zeros = {"DaysSinceFirst": F.lit(0).cast("bigint"), "DaysSincePrev": F.lit(0).cast("bigint"),
-                 "PrevRank": F.lit(0), "AvgPreviousRanks": F.lit(0.0), "AvgPreviousRankChanges": F.lit(0.0)}
-        return nb.select(id_col, "SubjectID", "UpdateDT", *[v.alias(k) for k, v in zeros.items()],
-                         *position_columns(vocab))
-    cols = ["SubjectID", "Rank", *DRIVERS, "UpdateDT", "Model"]
-    batch_subjects = new_rows.select(F.col("SubjectID").cast("bigint").alias("SubjectID")).distinct()
-    n_subjects = batch_subjects.count()
-    if n_subjects <= SERVING_BROADCAST_SUBJECTS:
-        batch_subjects = F.broadcast(batch_subjects)
-    relevant = history.join(batch_subjects, "SubjectID", "left_semi")
-    h = relevant.select(*cols, F.lit(None).cast(dict(new_rows.dtypes)[id_col]).alias(id_col))
-    n = new_rows.select(F.col("SubjectID").cast("bigint").alias("SubjectID"), F.lit(None).cast("int").alias("Rank"),
-                        *[blank_to_null(d).alias(d) for d in DRIVERS], "UpdateDT",
-                        F.lit(None).cast("string").alias("Model"), id_col)
-    u = h.unionByName(n)
-    x = H.history_columns(u, prev_ignore_nulls=True, hot_rows=hot_rows)
+        return new.select(*carried, F.lit(0).cast("bigint").alias("DaysSinceFirst"), *zeros, *position_columns(vocab))
+    observed = F.col("Model").isNull()
+    history = history.where(observed | (F.col("Model") == F.lit(history_model)) if history_model else observed)
     t0 = first_time if first_time is not None else H.global_first_time(history)
-    x = H.with_scalar(x.where(F.col(id_col).isNotNull()), t0)
-    return x.select(
-        id_col, "SubjectID", "UpdateDT",
-        F.coalesce(whole_days(F.col("_t_first"), F.col("UpdateDT")), F.lit(0)).cast("bigint").alias("DaysSinceFirst"),
-        H.days_since_prev().alias("DaysSincePrev"),
+    first = F.coalesce(whole_days(F.col("_t_first"), F.col("UpdateDT")), F.lit(0)).cast("bigint").alias("DaysSinceFirst")
+    known, anonymous = new.where(F.col("SubjectID").isNotNull()), new.where(F.col("SubjectID").isNull())
+    subjects = known.select("SubjectID").distinct()
+    if subjects.count() <= broadcast_subjects:
+        subjects = F.broadcast(subjects)
+    types = dict(new.dtypes)
+    relevant = history.join(subjects, "SubjectID", "left_semi")
+    h = relevant.select("SubjectID", "Rank", *DRIVERS, "UpdateDT", "Model", F.lit(0).alias("_side"),
+                        *[F.lit(None).cast(types[c]).alias(c) for c in [id_col, *more]])
+    n = known.select("SubjectID", F.lit(None).cast("int").alias("Rank"), *DRIVERS, "UpdateDT",
+                     F.lit(None).cast("string").alias("Model"), F.lit(1).alias("_side"), id_col, *more)
+    x = H.history_columns(h.unionByName(n), prev_ignore_nulls=True, hot_rows=hot_rows, order=H.asof_order())
+    x = H.with_scalar(x.where(F.col("_side") == 1), t0).select(
+        *carried, first,
+        F.coalesce(whole_days(F.col("PrevRankUpdateDT"), F.col("UpdateDT")), F.lit(0)).cast("bigint").alias("DaysSincePrev"),
         F.coalesce(F.col("PrevRank"), F.lit(0)).cast("int").alias("PrevRank"),
         F.coalesce(F.col("AvgPreviousRanks"), F.lit(0.0)).alias("AvgPreviousRanks"),
         F.coalesce(F.col("AvgPreviousRankChanges"), F.lit(0.0)).alias("AvgPreviousRankChanges"),
         *position_columns(vocab),
     )
+    alone = H.with_scalar(anonymous, t0).select(*carried, first, *zeros, *position_columns(vocab))
+    return x.unionByName(alone)
 
 
 def input_defaults(df: DataFrame) -> DataFrame:
-    """Blank / missing SubjectID -> 'new_input'; blank factors -> NULL."""
-    sid = F.coalesce(blank_to_null(F.col("SubjectID").cast("string")), F.lit(NEW_SUBJECT))
+    """SubjectID -> NewSubjectID if that column is there and filled, else the given id, else
+    'new_input'; blank factors -> NULL."""
+    given = [blank_to_null(F.trim(F.col(c).cast("string"))) for c in ("NewSubjectID", "SubjectID") if c in df.columns]
+    sid = F.coalesce(*given, F.lit(NEW_SUBJECT))
     return df.withColumn("SubjectID", sid).withColumns({d: blank_to_null(d) for d in DRIVERS if d in df.columns})
 
 

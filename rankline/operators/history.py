@@ -8,8 +8,8 @@ union) reuse the same machinery.
 A subject holding a large share of all rows would put that share into one
 window task.  ``history_columns`` therefore checks the per-subject row counts
 first (a partial aggregate of one column) and, for subjects above
-``hot_rows``, splits the subject into time segments: windows run per
-(subject, segment), a small per-segment summary carries counts, sums, the
+``hot_rows``, splits the subject into segments of about ``segment_rows`` rows
+along the window order: windows run per (subject, segment), a small per-segment summary carries counts, sums, the
 boundary row and the last known rank across segments, and a join on
 NULL-free internal keys puts the carry back without a second shuffle of the
 rows.  Both paths give identical values.
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from rankline.functions.columns import whole_days
+from rankline.session import cut_lineage
 
 SUBJECT = "SubjectID"
 TIME = "UpdateDT"
@@ -41,8 +42,17 @@ HISTORY_COLS = ["PrevRank", "PrevUpdateDT", "PrevRankUpdateDT", "RankChange", "O
                 "AvgPreviousRanks", "AvgPreviousRankChanges", "AvgPreviousRanksFilled"]
 
 
-def subject_window(*extra_keys: str) -> W:
-    return W.partitionBy(SUBJECT, *extra_keys).orderBy(*order_cols())
+def asof_order() -> list[Column]:
+    """Order of a union of history (_side 0) and new rows (_side 1): a history row at the same time precedes."""
+    return [F.col(TIME).asc_nulls_first(), F.col("_side"), F.col("Model").asc_nulls_first(),
+            F.col("Rank").asc_nulls_first()]
+
+
+def profile(df: DataFrame) -> tuple[int, object]:
+    """(rows of the largest subject, first time) in one pre-aggregated pass."""
+    per = df.groupBy(SUBJECT).agg(F.count(F.lit(1)).alias("n"), F.min(TIME).alias("t"))
+    r = per.agg(F.max("n"), F.min("t")).first()
+    return int(r[0] or 0), r[1]
 
 
 def _ensure_model(df: DataFrame) -> tuple[DataFrame, bool]:
@@ -122,9 +132,7 @@ def _plain(df: DataFrame, ignore_nulls: bool, keys: list[str], order: list[Colum
 
 
 def _hot_subjects(df: DataFrame, hot_rows: int, keys: list[str] | None = None) -> DataFrame:
-    micros = F.unix_micros(F.col(TIME).cast("timestamp"))
-    return (df.groupBy(*(keys or [SUBJECT]))
-              .agg(F.count(F.lit(1)).alias("_n"), F.min(micros).alias("_t0"), F.max(micros).alias("_t1"))
+    return (df.groupBy(*(keys or [SUBJECT])).agg(F.count(F.lit(1)).alias("_n"))
               .where(F.col("_n") > F.lit(hot_rows)))
 
 
@@ -141,18 +149,24 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
 def _segmented(df: DataFrame, hot: DataFrame, ignore_nulls: bool, segment_rows: int,
                dedup: bool, keys: list[str], order: list[Column]) -> DataFrame:
     cols = df.columns
-    n_hot = hot.count()
-    pieces = F.ceil(F.col("_n") / F.lit(max(1, segment_rows)))
-    hot = hot.select(*keys, "_t0", (F.floor((F.col("_t1") - F.col("_t0")) / pieces) + 1).alias("_grain"))
+    n_hot, n_rows = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    hot = hot.select(*keys, F.lit(True).alias("_hot"))
     if n_hot <= BROADCAST_KEYS:
         hot = F.broadcast(hot)
-    micros = F.unix_micros(F.col(TIME).cast("timestamp"))
-    seg = F.when(F.col("_grain").isNull(), F.lit(0)).otherwise(
-        F.coalesce(F.floor((micros - F.col("_t0")) / F.col("_grain")), F.lit(-1)))
-    x = _join_null_safe(df, hot, keys, "left").withColumn("_seg", seg.cast("bigint")).drop("_t0", "_grain")
+    x = _join_null_safe(df, hot, keys, "left")
+    # Hot rows are dealt out by range over the whole window order (rows that tie by a hash of the
+    # row), so a segment has about segment_rows rows however the times lie.  The rows are written
+    # with their segment number: it must not change when a lost task runs again.
+    tie = F.xxhash64(*cols)
+    pieces = max(1, -(-int(n_rows or 0) // max(1, segment_rows)))
+    cut = x.where(F.col("_hot")).drop("_hot").repartitionByRange(
+        pieces, *[F.col(k).asc_nulls_first() for k in keys], *order, tie)
+    cut = cut_lineage(cut.withColumn("_seg", F.spark_partition_id().cast("bigint")))
+    rest = x.where(F.col("_hot").isNull()).drop("_hot").withColumn("_seg", F.lit(0).cast("bigint"))
+    types = dict(df.dtypes)
+    x = cut.unionByName(rest)
     # NULL-free internal keys (value, is-null flag): plain equality on them is
     # null-safe, so the carry join below reuses the windows' partitioning.
-    types = dict(df.dtypes)
     ikeys = []
     for i, k in enumerate(keys):
         default = F.lit("") if types[k] == "string" else F.lit(0).cast(types[k])
@@ -284,15 +298,17 @@ def days_since_prev() -> Column:
 
 
 def latest_per_subject(df: DataFrame) -> DataFrame:
-    """Latest row of every subject (top-1 per group; planner adds WindowGroupLimit)."""
-    w = W.partitionBy(SUBJECT).orderBy(F.col(TIME).desc_nulls_last(), F.col("Model").asc_nulls_first(),
-                                       F.col("Rank").asc_nulls_first())
+    """Latest row of every subject: the last in the order of the history windows (top-1 per group;
+    planner adds WindowGroupLimit)."""
+    w = W.partitionBy(SUBJECT).orderBy(F.col(TIME).desc_nulls_last(), F.col("Model").desc_nulls_last(),
+                                       F.col("Rank").desc_nulls_last())
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 
 def subject_summary(df: DataFrame) -> DataFrame:
     """previous (latest) rank, last update, count, mean / min / max rank per subject."""
-    latest = F.max(F.struct(F.col(TIME), F.col("Rank")))
+    # the last row in the order of the history windows, as in latest_per_subject
+    latest = F.max(F.struct(F.col(TIME), F.col("Model"), F.col("Rank")))
     return df.groupBy(SUBJECT).agg(
         latest["Rank"].alias("previous_rank"),
         F.max(TIME).alias("last_update"),
@@ -318,9 +334,12 @@ def asof_prev_rank(history: DataFrame, new_rows: DataFrame, id_col: str = "event
                        F.lit(0).alias("_side"))
     n = new_rows.select(SUBJECT, TIME, F.lit(None).cast("string").alias("Model"),
                         F.lit(None).cast("int").alias("Rank"), F.col(id_col), F.lit(1).alias("_side"))
-    order = [F.col(TIME).asc_nulls_first(), F.col("_side"), F.col("Model").asc_nulls_first(),
-             F.col("Rank").asc_nulls_first()]
-    x = history_columns(h.unionByName(n), prev_ignore_nulls=True, hot_rows=hot_rows, force_split=force_split,
-                        order=order)
-    return x.where(F.col("_side") == 1).select(id_col, SUBJECT, TIME, F.col("PrevRank").alias("prev_rank"),
-                                               F.col("PrevRankUpdateDT").alias("prev_update"))
+    # rows without a subject match nothing and stay out of the windows
+    n, alone = n.where(F.col(SUBJECT).isNotNull()), n.where(F.col(SUBJECT).isNull())
+    x = history_columns(h.where(F.col(SUBJECT).isNotNull()).unionByName(n), prev_ignore_nulls=True, hot_rows=hot_rows,
+                        force_split=force_split, order=asof_order())
+    x = x.where(F.col("_side") == 1).select(id_col, SUBJECT, TIME, F.col("PrevRank").alias("prev_rank"),
+                                            F.col("PrevRankUpdateDT").alias("prev_update"))
+    none = alone.select(id_col, SUBJECT, TIME, F.lit(None).cast("int").alias("prev_rank"),
+                        F.lit(None).cast(dict(x.dtypes)["prev_update"]).alias("prev_update"))
+    return x.unionByName(none)

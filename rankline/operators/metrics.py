@@ -1,18 +1,17 @@
 """Model evaluation: error metrics, rank correlations, leaderboards.
 
-All metrics are grouped (``by``) so one job scores many models / eval sets.
+All metrics are grouped (``by``) so one job scores many models / eval sets.  A pair
+without a label or without a prediction is left out of every metric and counted
+in ``n_incomplete``.
 
 * MAE, RMSE, R^2 (1 - SSE / (n * var_pop(y))), share within k ranks: one
   aggregation with map-side partial aggregates.
-* Spearman: average ranks come from a histogram of distinct values per group
-  (bounded by the rank scale), broadcast back, then ``corr``.  When a group
-  has more distinct values than ``MAX_HIST`` the MLlib Spearman (distributed
-  sort) is used instead.
-* Kendall tau-b: counts on the (label, prediction) grid; concordant and
-  discordant pair counts come from 2-D prefix sums over that grid, so the work
-  is bounded by the number of distinct values, never by pairs of rows.  When
-  the grid would be too large an exact pairwise join over distinct cells is
-  used instead.
+* Spearman: average ranks of the distinct values of a group, numbered by a
+  range-partitioned prefix sum, then the correlation over distinct cells.  One path
+  whatever the number of distinct values; no task holds all values of a group.
+* Kendall tau-b is defined on half-even rounded ranks: counts on the (label,
+  prediction) grid; concordant and discordant pair counts come from 2-D prefix
+  sums over that grid, so the work is bounded by the rank scale, never by rows.
 """
 
 from __future__ import annotations
@@ -22,111 +21,87 @@ from pyspark.sql import functions as F
 
 from rankline.functions.columns import half_even_int
 from rankline.schema import ACCURACY_KS
-
-MAX_HIST = 100_000        # distinct values per group for the histogram path
-MAX_GRID = 4_000_000      # grid cells for the prefix-sum Kendall path
+from rankline.session import cut_lineage
 
 
 def error_metrics(pairs: DataFrame, by: list[str], y: str = "y", p: str = "p",
                   round_for_accuracy: bool = True) -> DataFrame:
-    yy, pp = F.col(y).cast("double"), F.col(p).cast("double")
+    whole = F.col(y).isNotNull() & F.col(p).isNotNull()
+    yy, pp = F.when(whole, F.col(y).cast("double")), F.when(whole, F.col(p).cast("double"))
     err = pp - yy
     pa = half_even_int(p).cast("double") if round_for_accuracy else pp
-    aerr = F.abs(pa - yy)
+    aerr = F.when(whole, F.abs(pa - yy))
     agg = pairs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(err).alias("n"),
+        F.count_if(~whole).alias("n_incomplete"),
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.sum(err * err).alias("_sse"),
         F.var_pop(yy).alias("_var"),
-        *[F.avg(F.when(aerr <= k, 1.0).otherwise(0.0)).alias(f"accuracy_{k}") for k in ACCURACY_KS],
+        *[F.avg(F.when(aerr <= k, 1.0).when(aerr > k, 0.0)).alias(f"accuracy_{k}") for k in ACCURACY_KS],
     )
     r2 = F.when(F.col("_var") > 0, 1 - F.col("_sse") / (F.col("_var") * F.col("n")))
     return agg.withColumn("r2", r2).drop("_sse", "_var")
 
 
-MAX_CELLS = 5_000_000     # distinct (y, p) cells for the cell-based rank statistics
+def complete_pairs(pairs: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
+    return pairs.select(*by, y, p).where(F.col(y).isNotNull() & F.col(p).isNotNull())
 
 
 def _cells(pairs: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
-    """(by, y, p, n): the pairs collapsed to distinct cells (partial aggregation).
+    """(by, y, p, n): the complete pairs collapsed to distinct cells (partial aggregation).
 
     The cells are written to the shared checkpoint folder: every rank statistic
-    reads this small table instead of recomputing the upstream pipeline.
+    reads this table instead of recomputing the upstream pipeline.
     """
-    from rankline.session import cut_lineage
-    cells = pairs.groupBy(*by, y, p).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return cut_lineage(cells)
+    return cut_lineage(complete_pairs(pairs, by, y, p).groupBy(*by, y, p).agg(F.count(F.lit(1)).cast("double").alias("n")))
 
 
 def _avg_ranks(cells: DataFrame, by: list[str], c: str) -> DataFrame:
-    """(by, value) -> average 1-based rank of the value within its group (ties averaged)."""
-    hist = cells.groupBy(*by, c).agg(F.sum("n").alias("_k"))
-    w = W.partitionBy(*by).orderBy(c) if by else W.orderBy(c)
-    before = F.coalesce(F.sum("_k").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return hist.select(*by, c, (before + (F.col("_k") + 1) / 2.0).alias(f"_r_{c}"))
-
+    """(by, value) -> average 1-based rank of the value within its group (ties averaged).
 
-def _max_distinct(cells: DataFrame, by: list[str], c: str) -> int:
-    g = cells.groupBy(*by).agg(F.count_distinct(c).alias("_d")) if by else cells.agg(F.count_distinct(c).alias("_d"))
-    return int(g.agg(F.max("_d")).first()[0] or 0)
+    Distinct values are range-partitioned in order and written with their partition number;
+    the rank of a value is the rows of its group in earlier partitions (one row per partition
+    and group) plus a running sum inside its partition.
+    """
+    hist = cells.groupBy(*by, c).agg(F.sum("n").alias("_k")).repartitionByRange(*by, c)
+    hist = cut_lineage(hist.withColumn("_part", F.spark_partition_id()))
+    parts = hist.groupBy(*by, "_part").agg(F.sum("_k").alias("_s"))
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(*by, "_part", F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_before"))
+    inside = W.partitionBy(*by, "_part").orderBy(c).rowsBetween(W.unboundedPreceding, -1)
+    x = hist.withColumn("_in", F.coalesce(F.sum("_k").over(inside), F.lit(0.0))).join(parts, [*by, "_part"])
+    return x.select(*by, c, (F.col("_before") + F.col("_in") + (F.col("_k") + 1) / 2.0).alias(f"_r_{c}"))
 
 
 def spearman(pairs: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """Spearman = Pearson correlation of average ranks, weighted over distinct cells."""
-    cells = _cells(pairs, by, y, p)
-    n_cells = cells.count()
-    if n_cells > MAX_CELLS or max(_max_distinct(cells, by, y), _max_distinct(cells, by, p)) > MAX_HIST:
-        return _spearman_mllib(pairs, by, y, p)
-    ry, rp = _avg_ranks(cells, by, y), _avg_ranks(cells, by, p)
-    # rank tables hold at most MAX_HIST rows per group (checked above)
-    x = cells.join(F.broadcast(ry), [*by, y]).join(F.broadcast(rp), [*by, p])
-    a, b, n = F.col(f"_r_{y}"), F.col(f"_r_{p}"), F.col("n")
-    m = x.groupBy(*by).agg(F.sum(n).alias("_n"), F.sum(n * a).alias("_sa"), F.sum(n * b).alias("_sb"),
-                           F.sum(n * a * a).alias("_saa"), F.sum(n * b * b).alias("_sbb"),
-                           F.sum(n * a * b).alias("_sab"),
-                           F.count_distinct(y).alias("_dy"), F.count_distinct(p).alias("_dp"))
-    cov = F.col("_sab") / F.col("_n") - F.col("_sa") * F.col("_sb") / (F.col("_n") * F.col("_n"))
-    va = F.col("_saa") / F.col("_n") - F.pow(F.col("_sa") / F.col("_n"), 2)
-    vb = F.col("_sbb") / F.col("_n") - F.pow(F.col("_sb") / F.col("_n"), 2)
-    # a constant side has one distinct value: correlation undefined (NULL)
-    rho = F.when((F.col("_dy") > 1) & (F.col("_dp") > 1), cov / F.sqrt(va * vb))
+    return _spearman(_cells(pairs, by, y, p), by, y, p)
+
+
+def _spearman(cells: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
+    x = cells.join(_avg_ranks(cells, by, y), [*by, y]).join(_avg_ranks(cells, by, p), [*by, p])
+    # ranks are centred by the mean rank (N + 1) / 2 before they are multiplied
+    size = cells.groupBy(*by).agg(F.sum("n").alias("_n"))
+    x = x.join(size, by) if by else x.crossJoin(F.broadcast(size))
+    a, b, n = F.col(f"_r_{y}") - (F.col("_n") + 1) / 2, F.col(f"_r_{p}") - (F.col("_n") + 1) / 2, F.col("n")
+    m = x.groupBy(*by).agg(F.sum(n * a * a).alias("_saa"), F.sum(n * b * b).alias("_sbb"), F.sum(n * a * b).alias("_sab"))
+    # a constant side has no rank variance: correlation undefined (NULL)
+    rho = F.when((F.col("_saa") > 0) & (F.col("_sbb") > 0), F.col("_sab") / F.sqrt(F.col("_saa") * F.col("_sbb")))
     return m.select(*by, rho.alias("spearman"))
 
 
-def safe_corr(a: str, b: str):
-    """Pearson correlation; NULL (not an error) when either side is constant."""
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+def kendall_tau_b(pairs: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    """Kendall tau-b per group over half-even rounded ranks (exact)."""
+    return _kendall(_cells(_rounded(pairs, y, p), by, y, p), by, y, p)
 
 
-def _spearman_mllib(pairs: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    spark = pairs.sparkSession
-    groups = pairs.select(*by).distinct().collect() if by else [None]
-    rows = []
-    for g in groups:
-        part = pairs
-        if g is not None:
-            for k in by:
-                part = part.where(F.col(k).eqNullSafe(F.lit(g[k])))
-        vec = VectorAssembler(inputCols=[y, p], outputCol="_v").transform(
-            part.select(F.col(y).cast("double").alias(y), F.col(p).cast("double").alias(p)))
-        m = Correlation.corr(vec, "_v", "spearman").head()[0]
-        v = float(m[0, 1])
-        rows.append((*(g or ()), None if v != v else v))
-    schema = ", ".join([f"{k} {dict(pairs.dtypes)[k]}" for k in by] + ["spearman double"])
-    return spark.createDataFrame(rows, schema)
+def _rounded(pairs: DataFrame, y: str, p: str) -> DataFrame:
+    return pairs.withColumns({y: half_even_int(y), p: half_even_int(p)})
 
 
-def kendall_tau_b(pairs: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Kendall tau-b per group (exact)."""
-    cells = _cells(pairs, by, y, p)
-    dy, dp = _max_distinct(cells, by, y), _max_distinct(cells, by, p)
-    if dy * dp <= MAX_GRID:
-        cd = _kendall_grid(cells, by, y, p)
-    else:
-        cd = _kendall_pairs(cells, by, y, p)
+def _kendall(cells: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
+    cd = _kendall_grid(cells, by, y, p)
     ties = _kendall_ties(cells, by, y, p)
     x = cd.join(ties, by) if by else cd.crossJoin(ties)
     denom = F.sqrt((F.col("_n0") - F.col("_n1")) * (F.col("_n0") - F.col("_n2")))
@@ -153,7 +128,8 @@ def _kendall_grid(cells: DataFrame, by, y, p) -> DataFrame:
     """
     ys = cells.select(*by, y).distinct()
     ps = cells.select(*by, p).distinct()
-    grid = (ys.join(ps, by) if by else ys.crossJoin(ps))  # bounded: checked dy * dp per group
+    # every label rank with every predicted rank of the group: bounded by the rank scale
+    grid = ys.join(ps, by) if by else ys.crossJoin(ps)
     grid = grid.join(cells, [*by, y, p], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
     wy = W.partitionBy(*by, y).orderBy(p)          # along p inside one y
     wp = W.partitionBy(*by, p).orderBy(y)          # along y inside one p
@@ -172,24 +148,14 @@ def _kendall_grid(cells: DataFrame, by, y, p) -> DataFrame:
         F.sum(F.col("n") * (F.col("_below_y") - below_y_le)).alias("_nd"))
 
 
-def _kendall_pairs(cells: DataFrame, by, y, p) -> DataFrame:
-    """Exact fallback: join distinct cells with a.y < b.y (cells, not rows)."""
-    a = cells.select(*by, F.col(y).alias("_ya"), F.col(p).alias("_pa"), F.col("n").alias("_na"))
-    b = cells.select(*by, F.col(y).alias("_yb"), F.col(p).alias("_pb"), F.col("n").alias("_nb"))
-    cond = F.col("_ya") < F.col("_yb")
-    j = a.join(b, by).where(cond) if by else a.join(b, cond)
-    w = F.col("_na") * F.col("_nb")
-    return j.groupBy(*by).agg(F.sum(F.when(F.col("_pa") < F.col("_pb"), w).otherwise(0.0)).alias("_nc"),
-                              F.sum(F.when(F.col("_pa") > F.col("_pb"), w).otherwise(0.0)).alias("_nd"))
+def all_metrics(pairs: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    """Leaderboard metrics per group: n, mae, rmse, r2, spearman, kendall, accuracy_k.
 
-
-def all_metrics(pairs: DataFrame, by: list[str], y: str = "y", p: str = "p",
-                round_for_rank_metrics: bool = True) -> DataFrame:
-    """Leaderboard metrics per group: n, mae, rmse, r2, spearman, kendall, accuracy_k."""
+    The pairs are scored once: they are written to the shared folder and every metric reads them.
+    """
+    pairs = cut_lineage(pairs.select(*by, y, p))
     base = error_metrics(pairs, by, y, p)
-    pr = pairs.withColumn(p, half_even_int(p)) if round_for_rank_metrics else pairs
-    sp = spearman(pairs, by, y, p)
-    kd = kendall_tau_b(pr, by, y, p)
+    sp, kd = spearman(pairs, by, y, p), kendall_tau_b(pairs, by, y, p)
     if by:
         return base.join(sp, by, "left").join(kd, by, "left")
     return base.crossJoin(sp).crossJoin(kd)
@@ -202,8 +168,15 @@ def flag_best(board: DataFrame, group: str = "eval_set") -> DataFrame:
 
 
 def merge_leaderboards(base: DataFrame, replacement: DataFrame, baseline: DataFrame | None = None,
-                       key: str = "model_name") -> DataFrame:
-    """Rows of ``replacement`` replace same-named rows of ``base``; others kept; baseline appended."""
+                       key: str = "model_name", rename: dict[str, str] | None = None) -> DataFrame:
+    """Rows of ``replacement`` replace same-named rows of ``base``; others kept; baseline appended.
+
+    ``rename`` maps names of ``replacement`` to those of the merged board first (a retrained model
+    takes the place of its older variant).
+    """
+    if rename:
+        pairs = [F.lit(x) for item in rename.items() for x in item]
+        replacement = replacement.withColumn(key, F.coalesce(F.create_map(*pairs)[F.col(key)], F.col(key)))
     kept = base.join(replacement.select(key), key, "left_anti")
     out = kept.unionByName(replacement, allowMissingColumns=True)
     if baseline is not None:
@@ -246,10 +219,10 @@ def time_cutoff(df: DataFrame, ts: str = "UpdateDT", num: int = 4, den: int = 5,
 
 
 def time_split(df: DataFrame, ts: str = "UpdateDT", num: int = 4, den: int = 5) -> DataFrame:
-    """Label rows 'train' (time <= cutoff) or 'test' (newest rows)."""
+    """Label rows 'train' (time <= cutoff) or 'test' (newest rows); rows without a time get NULL."""
     cut = time_cutoff(df, ts, num, den)
     v = F.unix_micros(F.col(ts).cast("timestamp"))
     return df.withColumns({
-        "split": F.when(v <= F.lit(cut), F.lit("train")).otherwise(F.lit("test")),
+        "split": F.when(v <= F.lit(cut), F.lit("train")).when(v > F.lit(cut), F.lit("test")),
         "cutoff": F.timestamp_micros(F.lit(cut)).cast("timestamp_ntz"),
     })

@@ -29,11 +29,11 @@ PAIRS_SQL = with_views("rankings") + f""", pairs AS (
   SELECT SubjectID, UpdateDT, Rank AS y, coalesce(lag(Rank) OVER ({WORD}), {FIRST_ROW_GUESS}) AS p FROM rankings)
 """
 
-ERR_SQL = """count(*) AS n, round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse,
-       round(1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)), 6) AS r2,
-       round(avg(CASE WHEN abs(round_even(p, 0) - y) <= 5 THEN 1.0 ELSE 0.0 END), 6) AS accuracy_5,
-       round(avg(CASE WHEN abs(round_even(p, 0) - y) <= 10 THEN 1.0 ELSE 0.0 END), 6) AS accuracy_10,
-       round(avg(CASE WHEN abs(round_even(p, 0) - y) <= 20 THEN 1.0 ELSE 0.0 END), 6) AS accuracy_20"""
+ERR_SQL = """count(*) FILTER (y IS NOT NULL AND p IS NOT NULL) AS n, count(*) FILTER (y IS NULL OR p IS NULL) AS n_incomplete, round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse,
+       round(1 - sum((p - y) * (p - y)) / (var_pop(CASE WHEN p IS NOT NULL THEN y END) * count(p - y)), 6) AS r2,
+       round(avg(CASE WHEN abs(round_even(p, 0) - y) <= 5 THEN 1.0 WHEN p - y IS NOT NULL THEN 0.0 END), 6) AS accuracy_5,
+       round(avg(CASE WHEN abs(round_even(p, 0) - y) <= 10 THEN 1.0 WHEN p - y IS NOT NULL THEN 0.0 END), 6) AS accuracy_10,
+       round(avg(CASE WHEN abs(round_even(p, 0) - y) <= 20 THEN 1.0 WHEN p - y IS NOT NULL THEN 0.0 END), 6) AS accuracy_20"""
 
 
 def _spearman_sql(src: str, by: str = "") -> str:
@@ -72,6 +72,31 @@ def spearman(spark, sf):
     return rounded(M.spearman(lag_pairs(spark, sf), []))
 
 
+# Every 7th label and every 11th prediction missing; predictions spread to near-continuous doubles.
+HOLES_SQL = """, holes AS (SELECT CASE WHEN (epoch_us(UpdateDT) // 1000000) % 7 <> 0 THEN y END AS y,
+                  CASE WHEN (epoch_us(UpdateDT) // 1000000) % 11 <> 0 THEN p + (epoch_us(UpdateDT) // 1000000 % 1000) / 1000.0::DOUBLE END AS p
+                  FROM pairs)
+"""
+
+
+def hole_pairs(spark, sf):
+    s = F.unix_seconds(F.col("UpdateDT").cast("timestamp"))
+    return lag_pairs(spark, sf).select(F.when(s % 7 != 0, F.col("y")).alias("y"),
+                                       F.when(s % 11 != 0, F.col("p") + (s % 1000) / F.lit(1000.0)).alias("p"))
+
+
+@register("eval_metrics_with_nulls", PAIRS_SQL + HOLES_SQL + f"SELECT {ERR_SQL} FROM holes")
+def eval_metrics_with_nulls(spark, sf):
+    return rounded(M.error_metrics(hole_pairs(spark, sf), []))
+
+
+@register("spearman_continuous", PAIRS_SQL + HOLES_SQL + f"""
+, whole AS (SELECT * FROM holes WHERE y IS NOT NULL AND p IS NOT NULL)
+SELECT round(spearman, 6) AS spearman FROM {_spearman_sql('whole')}""")
+def spearman_continuous(spark, sf):
+    return rounded(M.spearman(hole_pairs(spark, sf), []))
+
+
 @register("kendall", PAIRS_SQL + f"SELECT round(kendall, 6) AS kendall FROM {_kendall_sql('pairs')}")
 def kendall(spark, sf):
     return rounded(M.kendall_tau_b(lag_pairs(spark, sf), []))
@@ -140,7 +165,7 @@ SELECT e.*, round(s.spearman, 6) AS spearman, round(k.kendall, 6) AS kendall,
 FROM e JOIN s USING (model_name) JOIN k USING (model_name)""")
 def leaderboard(spark, sf):
     board = M.all_metrics(model_pairs(spark, sf), ["eval_set", "model_name"])
-    return M.flag_best(rounded(board))
+    return rounded(M.flag_best(board))
 
 
 @register("predictions_with_error", MODEL_PAIRS_SQL + f"""

@@ -67,7 +67,7 @@ def history_for_model(spark, sf):
 # ---- D1 / E8 / L1 / L3 ---------------------------------------------------------------------
 
 @register("subject_summary", with_views("rankings") + """
-SELECT SubjectID, arg_max(Rank, UpdateDT) AS previous_rank, max(UpdateDT) AS last_update,
+SELECT SubjectID, last(Rank ORDER BY UpdateDT NULLS FIRST, Model NULLS FIRST, Rank NULLS FIRST) AS previous_rank, max(UpdateDT) AS last_update,
        strftime(max(UpdateDT), '%Y-%m-%d') AS last_update_date,
        count(*) AS num_records, round(avg(Rank), 6) AS avg_rank, min(Rank) AS min_rank, max(Rank) AS max_rank
 FROM rankings GROUP BY SubjectID""")
@@ -78,7 +78,7 @@ def subject_summary(spark, sf):
 @register("latest_per_subject", with_views("rankings") + f"""
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY SubjectID ORDER BY UpdateDT DESC NULLS LAST,
-                                Model ASC NULLS FIRST, Rank ASC NULLS FIRST) AS rn FROM rankings)
+                                Model DESC NULLS LAST, Rank DESC NULLS LAST) AS rn FROM rankings)
 WHERE rn = 1""")
 def latest_per_subject(spark, sf):
     return H.latest_per_subject(rankings(spark, sf))
@@ -180,29 +180,62 @@ def asof_prev_rank(spark, sf):
     return H.asof_prev_rank(rankings(spark, sf), new)
 
 
-_SERVE_SQL = with_views("rankings", "inputs") + f"""
+SERVE_ORDER = ("PARTITION BY SubjectID ORDER BY UpdateDT ASC NULLS FIRST, side, Model ASC NULLS FIRST, "
+               "Rank ASC NULLS FIRST")
+
+
+def serve_sql(history: str = "Model IS NULL", inputs: str = "inputs", keep: str = "") -> str:
+    """Serving features of ``inputs`` against the rows of ``rankings`` that ``history`` selects."""
+    prior = f"({SERVE_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    blank = ", ".join(f"nullif({d}, '') AS {d}" for d in DRIVERS)
+    return f"""
+, hist AS (SELECT * FROM rankings WHERE {history})
 , u AS (
-  SELECT SubjectID, Rank, {", ".join(DRIVERS)}, UpdateDT, Model, CAST(NULL AS BIGINT) AS event_id FROM rankings
+  SELECT SubjectID, Rank, {", ".join(DRIVERS)}, UpdateDT, Model, 0 AS side, CAST(NULL AS BIGINT) AS event_id FROM hist
   UNION ALL
-  SELECT TRY_CAST(SubjectID AS BIGINT), CAST(NULL AS INTEGER),
-         {", ".join(f"nullif({d}, '')" for d in DRIVERS)}, UpdateDT, CAST(NULL AS VARCHAR), event_id FROM inputs)
-, h AS (SELECT *, last(Rank IGNORE NULLS) OVER {PRIOR} AS PrevRank, lag(UpdateDT) OVER ({WORD}) AS PrevT,
-               avg(Rank) OVER {PRIOR} AS apr FROM u)
+  SELECT TRY_CAST(SubjectID AS BIGINT), CAST(NULL AS INTEGER), {blank}, UpdateDT, CAST(NULL AS VARCHAR), 1, event_id FROM {inputs})
+, h AS (SELECT *, last(Rank IGNORE NULLS) OVER {prior} AS PrevRank,
+               last(CASE WHEN Rank IS NOT NULL THEN UpdateDT END IGNORE NULLS) OVER {prior} AS PrevT,
+               avg(Rank) OVER {prior} AS apr FROM u WHERE SubjectID IS NOT NULL)
 , h2 AS (SELECT *, Rank - PrevRank AS RankChange FROM h)
-, h3 AS (SELECT *, avg(RankChange) OVER {PRIOR} AS aprc FROM h2)
-, t0 AS (SELECT min(UpdateDT) AS t_first FROM rankings)
-SELECT event_id, SubjectID, UpdateDT,
+, h3 AS (SELECT *, avg(RankChange) OVER {prior} AS aprc FROM h2)
+, h4 AS (SELECT * FROM h3 WHERE side = 1
+         UNION ALL BY NAME SELECT * FROM u WHERE SubjectID IS NULL AND side = 1)
+, t0 AS (SELECT min(UpdateDT) AS t_first FROM hist)
+, served AS (
+SELECT event_id, SubjectID, UpdateDT, {keep}
        CAST(coalesce(datesub('day', t_first, UpdateDT), 0) AS BIGINT) AS DaysSinceFirst,
        CAST(coalesce(datesub('day', PrevT, UpdateDT), 0) AS BIGINT) AS DaysSincePrev,
        CAST(coalesce(PrevRank, 0) AS INTEGER) AS PrevRank,
-       round(coalesce(apr, 0), 6) AS AvgPreviousRanks,
-       round(coalesce(aprc, 0), 6) AS AvgPreviousRankChanges,
+       coalesce(apr, 0) AS AvgPreviousRanks, coalesce(aprc, 0) AS AvgPreviousRankChanges,
        {positions_sql(FIXTURE_VOCAB)}
-FROM h3 CROSS JOIN t0 WHERE event_id IS NOT NULL"""
+FROM h4 CROSS JOIN t0)"""
+
+
+_SERVED = """
+SELECT * REPLACE (round(AvgPreviousRanks, 6) AS AvgPreviousRanks,
+                  round(AvgPreviousRankChanges, 6) AS AvgPreviousRankChanges) FROM served"""
 
 
-@register("serving_features", _SERVE_SQL)
+def input_rows(spark, sf):
+    return view(spark, sf, "inputs").withColumn("SubjectID", F.expr("try_cast(SubjectID AS BIGINT)"))
+
+
+@register("serving_features", with_views("rankings", "inputs") + serve_sql() + _SERVED)
 def serving_features(spark, sf):
-    hist = rankings(spark, sf)
-    new = view(spark, sf, "inputs").withColumn("SubjectID", F.expr("try_cast(SubjectID AS BIGINT)"))
-    return rounded(FE.serving_features(hist, new, FIXTURE_VOCAB))
+    """Observed rows are the only history."""
+    return rounded(FE.serving_features(rankings(spark, sf), input_rows(spark, sf), FIXTURE_VOCAB))
+
+
+@register("serving_features_for_model", with_views("rankings", "inputs")
+          + serve_sql("Model IS NULL OR Model = 'Random Forest'") + _SERVED)
+def serving_features_for_model(spark, sf):
+    """Observed rows and one model's stored predictions are the history."""
+    return rounded(FE.serving_features(rankings(spark, sf), input_rows(spark, sf), FIXTURE_VOCAB,
+                                       history_model="Random Forest"))
+
+
+@register("training_rows", _features_sql("apr").replace("FROM events)", "FROM events WHERE event_type NOT IN ('purchase', 'error'))", 1))
+def training_rows(spark, sf):
+    """Features and labels that learners get: observed rows, with observed rows as their history."""
+    return rounded(FE.rank_features(FE.training_rows(rankings(spark, sf)), FIXTURE_VOCAB))

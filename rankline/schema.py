@@ -26,9 +26,6 @@ RAW_TS_FORMAT = "M/d/yyyy H:mm"
 STORED_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # PrevRank used when no reference ranks exist.
 DEFAULT_PREV_RANK = 50.0
-# Columns that are never model inputs in the enhanced feature set.
-NON_FEATURES = ["SubjectID", "Rank", "UpdateDT", "RankChange", "Year", "Month", "DayOfMonth",
-                "DayOfWeek", "OriginalDataFlag", "Model"]
 # Accuracy is reported as the share of predictions within these many ranks.
 ACCURACY_KS = (5, 10, 20)
 # Model names offered for scoring.

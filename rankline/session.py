@@ -3,7 +3,8 @@
 The library never hard-codes cluster settings; it only fills in defaults that
 matter for correctness (UTC session time zone) and for local tests.  The
 checkpoint directory is read from ``spark.checkpoint.dir``; a private scratch
-folder is created only when the setting is missing (local tests).
+folder is created only when the setting is missing and the master is local
+(``local[n]``: one machine); on a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a scratch one only if unset."""
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="rankline-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -41,7 +41,7 @@ from rankline.session import cut_lineage
 
 ORDER = 3
 ALPHA = 0.4
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 7 << 20
 BUCKET_BYTES = 16 << 20
 SUFFIX = 6  # bytes of a hash kept inside its bucket
 
@@ -58,7 +58,8 @@ def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         def pack():
             body = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "text"])
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, body.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            strong = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))  # written and shuffled
+            with pa.ipc.new_stream(sink, body.schema, options=strong) as out:
                 out.write_batch(body)
             words = sum(len(t.encode().split()) for t in texts)
             return pa.record_batch([pa.array([task << 32 | number]), pa.array([words]),
@@ -188,24 +189,30 @@ def _score_chunks(packed: DataFrame, totals: DataFrame, order: int, bits: int, a
         import pyarrow as pa
         ids, sizes, grams, at = _hashes(docs.column("docs")[0].as_buffer(), order, bits)
         nd, n = len(sizes), int(sizes.sum())
-        of = np.repeat(np.arange(nd), sizes)
+        of = np.repeat(np.arange(nd, dtype=np.int32), sizes)
         if n:
             answers = answers.sort_by("bucket")
             total = np.concatenate([_unpack(a.as_buffer(), 6) for a in answers.column("totals")]).astype(np.int64)
-            flat, doc = np.concatenate(grams), np.concatenate([of[a] for a in at])
+            flat = np.concatenate(grams)
+            del answers, grams
             # a stable sort keeps documents in order among equal n-grams
             by = np.argsort(flat, kind="stable")
-            f, d = flat[by], doc[by]
-            new = np.concatenate([[True], f[1:] != f[:-1]])
-            new_doc = new | np.concatenate([[True], d[1:] != d[:-1]])
-            starts = np.flatnonzero(new_doc)
-            own = np.diff(np.append(starts, len(f)))
-            others = np.empty(len(f), np.int64)
-            others[by] = total[np.cumsum(new) - 1] - own[np.cumsum(new_doc) - 1]
+            flat = flat[by]
+            new = np.concatenate([[True], flat[1:] != flat[:-1]])
+            del flat
+            doc = np.concatenate([of[a] for a in at])[by]
+            new_doc = new | np.concatenate([[True], doc[1:] != doc[:-1]])
+            del doc
+            own = np.diff(np.append(np.flatnonzero(new_doc), len(by)))
+            counts = total[np.cumsum(new) - 1]
+            counts -= own[np.cumsum(new_doc) - 1]
+            others = np.empty(len(by), np.int64)
+            others[by] = counts
+            del by, new, new_doc, own, counts, total
         words = np.maximum(1, corpus - sizes)
         log = np.zeros(n)
-        level = np.zeros(n, np.int64)  # order that scored the word, 0: unseen
-        have = np.zeros(n, np.int64)   # longest order that fits into the document
+        level = np.zeros(n, np.int8)  # order that scored the word, 0: unseen
+        have = np.zeros(n, np.int8)   # longest order that fits into the document
         before = words[of].astype(float)
         start = 0
         for k, ends in enumerate(at):

@@ -31,15 +31,17 @@ def feature_columns(vocab: list[str]) -> list[str]:
 
 
 def regressor(name: str, **params):
-    """Named presets.  XGBoost / LightGBM entries use Spark's GBT under the same
-    interface (the external libraries are optional and not required)."""
+    """Named presets of Spark ML.  The other names of ``MODEL_NAMES`` are models of external
+    libraries: asking for one is an error, not another model under its name."""
     common = dict(featuresCol="features", labelCol=LABEL, seed=SEED)
-    if name not in MODEL_NAMES:
-        raise ValueError(f"unknown model {name}")
     if name == "Random Forest":
-        est = RandomForestRegressor(numTrees=40, maxDepth=8, subsamplingRate=0.8, **common)
-    else:
+        est = RandomForestRegressor(numTrees=40, maxDepth=8, subsamplingRate=1.0, **common)
+    elif name == "Gradient Boosting":
         est = GBTRegressor(maxIter=20, maxDepth=5, stepSize=0.1, checkpointInterval=10, **common)
+    elif name in MODEL_NAMES:
+        raise ValueError(f"{name} needs its own Spark library, which is not installed")
+    else:
+        raise ValueError(f"unknown model {name}")
     return est.setParams(**params) if params else est
 
 
@@ -69,6 +71,17 @@ def score(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
     return out.select(*keep, F.col("prediction"), half_even_int("prediction").alias("predicted_rank"))
 
 
+class LinearScorer:
+    """A linear model with given coefficients, scored as a column expression (no learner)."""
+
+    def __init__(self, coefficients: dict[str, float], intercept: float = 0.0):
+        self.coefficients, self.intercept = coefficients, intercept
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        terms = [F.col(c).cast("double") * F.lit(float(w)) for c, w in self.coefficients.items()]
+        return df.withColumn("prediction", sum(terms, F.lit(float(self.intercept))))
+
+
 def evaluate(pred: DataFrame, model_name: str, eval_set: str) -> DataFrame:
     pairs = pred.select(F.col(LABEL).alias("y"), F.col("prediction").alias("p")) \
                 .withColumns({"model_name": F.lit(model_name), "eval_set": F.lit(eval_set)})
@@ -98,24 +111,32 @@ def write_feature_sets(sets: dict[str, DataFrame], base_dir: str, split_col: str
         w.parquet(os.path.join(base_dir, f"feature_set={name}"))
 
 
-def feature_importance(model: PipelineModel, top_n: int | None = None, factors_only: bool = False) -> DataFrame:
+def feature_importance(model, top_n: int | None = None, factors_only: bool = False,
+                       chosen: list[str] | None = None) -> DataFrame:
     """(Feature, Importance) sorted descending; names from the assembler, so lengths agree.
 
     Tree models give ``featureImportances``; linear models the absolute
-    coefficients (mean over classes for a matrix).
+    coefficients (mean over classes for a matrix).  A model that exposes neither gives
+    importance 1 to each factor of ``chosen`` (the factors of the row being explained).
     """
     spark = SparkSession.getActiveSession()
-    names = model.stages[0].getInputCols()
-    last = model.stages[-1]
-    if hasattr(last, "featureImportances"):
+    if isinstance(model, LinearScorer):
+        names, last = list(model.coefficients), None
+    else:
+        names, last = model.stages[0].getInputCols(), model.stages[-1]
+    if last is None:
+        imp = [abs(v) for v in model.coefficients.values()]
+    elif hasattr(last, "featureImportances"):
         imp = last.featureImportances.toArray().tolist()
     elif hasattr(last, "coefficientMatrix"):
         import numpy as np
         imp = np.abs(last.coefficientMatrix.toArray()).mean(axis=0).tolist()
     elif hasattr(last, "coefficients"):
         imp = [abs(v) for v in last.coefficients.toArray().tolist()]
+    elif chosen is not None:
+        names, imp = list(chosen), [1.0] * len(chosen)
     else:
-        raise ValueError("model exposes no importances")
+        raise ValueError("model exposes no importances and no chosen factors are given")
     n = min(len(names), len(imp))
     df = spark.createDataFrame(list(zip(names[:n], [float(v) for v in imp[:n]])), "Feature string, Importance double")
     if factors_only:
@@ -136,13 +157,16 @@ def ordinal_fit(train: DataFrame, cols: list[str], n_ranks: int, reg: float = 0.
     stronger variant; K-1 rows per input row, hence the binning).  Features are
     the shared inputs plus a one-hot of k; a no-intercept logistic regression
     then holds w (shared) and theta_k.  Prediction: 1 + #{k : theta_k + w.x > 0}.
+    Ranks outside 1 .. ``n_ranks`` count as the nearest of these two.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import OneHotEncoder
 
     n_classes = -(-n_ranks // bin_width)
     x = train.where(F.col(LABEL).isNotNull())
-    x = x.withColumn("_y", F.ceil(F.col(LABEL) / F.lit(bin_width)).cast("int"))
+    bounded = F.least(F.greatest(F.col(LABEL), F.lit(1)), F.lit(n_ranks))
+    x = x.withColumn("_y", F.ceil(bounded / F.lit(bin_width)).cast("int"))
+    rows = x
     if thresholds == "immediate":
         ks = F.array(F.col("_y") - 1, F.col("_y"))
     elif thresholds == "all":
@@ -159,7 +183,8 @@ def ordinal_fit(train: DataFrame, cols: list[str], n_ranks: int, reg: float = 0.
     full = VectorAssembler(inputCols=["_sharedz", "_kvec"], outputCol="features")
     lr = LogisticRegression(featuresCol="features", labelCol="_label", fitIntercept=False,
                             regParam=reg, maxIter=max_iter, standardization=False)
-    prep = Pipeline(stages=[assembler, scaler]).fit(x)
+    # scaled by the training rows, not by their threshold copies (edge ranks have fewer)
+    prep = Pipeline(stages=[assembler, scaler]).fit(rows)
     # the threshold one-hot has a fixed size (K - 1), known from the rank scale
     enc_model = enc.fit(x.sparkSession.range(n_classes - 1).select(F.col("id").cast("double").alias("_kidx")))
     model = Pipeline(stages=[full, lr]).fit(enc_model.transform(prep.transform(x)))
@@ -171,11 +196,15 @@ def ordinal_fit(train: DataFrame, cols: list[str], n_ranks: int, reg: float = 0.
 
 def ordinal_predict(fitted: dict, df: DataFrame) -> DataFrame:
     """class = 1 + count(theta_k + w.x > 0) (theta has K-1 entries, bounded by the rank
-    scale); with binning the prediction is the class's middle rank."""
+    scale); with binning the prediction is the class's middle rank.  Without ``prep`` (given
+    weights) the columns are taken as they are."""
     from pyspark.ml.functions import vector_to_array
-    x = fitted["prep"].transform(df)
-    z = vector_to_array("_sharedz")
     w = fitted["w"]
+    if fitted.get("prep") is None:
+        x, z = df, [F.col(c).cast("double") for c in fitted["cols"]]
+    else:
+        x = fitted["prep"].transform(df)
+        z = vector_to_array("_sharedz")
     margin = sum((z[i] * F.lit(float(w[i])) for i in range(len(w))), F.lit(0.0))
     thetas = F.array(*[F.lit(float(t)) for t in fitted["theta"]])
     cls = F.lit(1) + F.size(F.filter(thetas, lambda t: t + F.col("_margin") > 0))

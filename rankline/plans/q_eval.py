@@ -129,15 +129,19 @@ def median_baseline(spark, sf):
     return rounded(m.crossJoin(F.broadcast(train.select(F.col("p").alias("median_rank")))))
 
 
+def compared(multi):
+    """Narrow (subject, time, y, one column per model) table, written once to the shared folder."""
+    return cut_lineage(multi.groupBy("SubjectID", "UpdateDT").agg(
+        F.max(F.when(F.col("Model").isNull(), F.col("Rank"))).alias("y"),
+        *[F.max(F.when(F.col("Model") == m, F.col("Rank"))).alias(m) for m in MODELS]))
+
+
 def model_pairs(spark, sf):
     """Per model: observed rank vs that model's rank at the same (subject, time), newest 20% only."""
-    multi = view(spark, sf, "rankings_multi")
-    cmp = multi.groupBy("SubjectID", "UpdateDT").agg(
-        F.max(F.when(F.col("Model").isNull(), F.col("Rank"))).alias("y"),
-        *[F.max(F.when(F.col("Model") == m, F.col("Rank"))).alias(m) for m in MODELS])
-    # narrow (subject, time, y, one column per model) table: written once to the
-    # shared checkpoint folder, then read by the cutoff passes and every metric
-    cmp = M.time_split(cut_lineage(cmp)).where(F.col("split") == "test")
+    return melted(M.time_split(compared(view(spark, sf, "rankings_multi"))).where(F.col("split") == "test"))
+
+
+def melted(cmp):
     cols = [f"`{m}`" for m in MODELS]
     pairs = cmp.select("SubjectID", "UpdateDT", "y", F.expr(
         f"stack({len(MODELS)}, {', '.join(f'{chr(39)}{m}{chr(39)}, {c}' for m, c in zip(MODELS, cols))}) AS (model_name, p)"))
@@ -186,3 +190,32 @@ def predictions_with_error(spark, sf):
     x = preds.join(F.broadcast(info), preds["Model"] == info["model_name"], "left")
     return x.select("SubjectID", "UpdateDT", "Model", F.col("Rank").alias("predicted_rank"), "expected_error",
                     "within_10_pct", C.count_chosen(C.driver_array()).alias("factors_used"))
+
+
+@register("leaderboard_merge", MODEL_PAIRS_SQL + f"""
+, whole AS (SELECT 'newest_20pct' AS eval_set, 'Random Forest' AS model_name, y, rf AS p FROM cmp
+            UNION ALL SELECT 'newest_20pct', 'XGBoost', y, xgb FROM cmp)
+, base AS (SELECT eval_set, model_name, {ERR_SQL} FROM whole GROUP BY eval_set, model_name)
+, fresh AS (SELECT eval_set, model_name, {ERR_SQL} FROM mp WHERE model_name = 'Random Forest' GROUP BY eval_set, model_name)
+, med AS (SELECT median(y) AS p FROM cmp CROSS JOIN cut WHERE epoch_us(UpdateDT) <= cut_us)
+, mid AS (SELECT eval_set, 'Median' AS model_name, y, med.p FROM mp CROSS JOIN med WHERE model_name = 'Random Forest')
+SELECT * FROM base WHERE model_name <> 'Random Forest'
+UNION ALL BY NAME SELECT * FROM fresh
+UNION ALL BY NAME SELECT eval_set, model_name, {ERR_SQL} FROM mid GROUP BY eval_set, model_name""")
+def leaderboard_merge(spark, sf):
+    """A retrained model's row, under its long name, takes the place of the older one; a baseline is appended."""
+    by = ["eval_set", "model_name"]
+    multi = view(spark, sf, "rankings_multi")
+    every = compared(multi)
+    test = model_pairs(spark, sf)
+    base = M.error_metrics(melted(every), by)
+    fresh = (test.where(F.col("model_name") == "Random Forest")
+             .withColumn("model_name", F.lit("Random Forest (retrained)")))
+    cut = M.time_cutoff(every)
+    older = F.unix_micros(F.col("UpdateDT").cast("timestamp")) <= F.lit(cut)
+    med = every.where(older).agg(F.median("y").alias("p"))
+    mid = (test.where(F.col("model_name") == "Random Forest").select("eval_set", "y").crossJoin(F.broadcast(med))
+           .withColumn("model_name", F.lit("Median")))
+    board = M.merge_leaderboards(base, M.error_metrics(fresh, by), M.error_metrics(mid, by),
+                                 rename={"Random Forest (retrained)": "Random Forest"})
+    return rounded(board)

@@ -1,30 +1,49 @@
 """Registered queries: model training, evaluation, scoring, importances, tuning.
 
-Rows-only checks (no SQL twin): the values depend on Spark ML's learners.
+What a learner fits is checked by rows only (no SQL twin).  Scoring, ordinal prediction and
+importances are also registered with given weights, which SQL can repeat exactly.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+from functools import reduce
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankline.operators import features as FE
+from rankline.operators import history as H
 from rankline.operators import metrics as M
+from rankline.operators.factors import resolve_vocabulary
 from rankline.plans import models as ML
 from rankline.plans.catalog import register, rounded
-from rankline.plans.q_history import FIXTURE_VOCAB, rankings
-from rankline.schema import RANK_MAX
-from rankline.session import cut_lineage
+from rankline.plans.q_history import FIXTURE_VOCAB, input_rows, rankings, serve_sql
+from rankline.plans.sql_twins import with_views
+from rankline.schema import DRIVERS, RANK_MAX
+from rankline.session import cut_lineage, ensure_checkpoint_dir
 from rankline.sources.fixtures import view
-
-PCA_K = 5
+from rankline.streaming.jobs import score_rows
+
+PCA_K = 10
+# A given linear model and given ordinal weights (binary fractions, so sums are exact).
+LINEAR = {"PrevRank": 0.5, "AvgPreviousRanks": 0.25, "DaysSincePrev": -0.125, "Factor1": 1.5, "Factor2": -0.75}
+INTERCEPT = 20.0
+LINEAR_SQL = " + ".join([f"{INTERCEPT}::DOUBLE", *(f'"{c}" * ({w}::DOUBLE)' for c, w in LINEAR.items())])
+THETA = [80.0 - 0.5 * k for k in range(RANK_MAX - 1)]
+KEEP_SQL = ", ".join(DRIVERS) + ","
+CHOSEN_SQL = "len(list_filter([" + ", ".join(DRIVERS) + "], lambda x: x IS NOT NULL AND x <> ''))"
 TUNE_GRID = [{"maxDepth": 3, "maxIter": 10}, {"maxDepth": 5, "maxIter": 10},
              {"maxDepth": 3, "maxIter": 20}, {"maxDepth": 5, "maxIter": 20}]
 
 
 def split_features(spark, sf):
-    """Enhanced features of the whole table, split by time (newest 20 % = test)."""
-    r = rankings(spark, sf)
+    """Enhanced features of the observed rows, split by time (newest 20 % = test)."""
+    r = FE.training_rows(rankings(spark, sf))
     # reused by the cutoff passes, every learner and the evaluation: written once
     # as a table in the shared checkpoint folder (no cache held, no recompute)
     feats = cut_lineage(FE.rank_features(r, FIXTURE_VOCAB))
@@ -72,13 +91,58 @@ def pca_features(spark, sf):
 
 @register("score_batch")
 def score_batch(spark, sf):
-    """Fit on the stored history, then score every new input row against that history."""
+    """Fit on the observed rows, save the model under its name, load it and score the new rows."""
     hist = rankings(spark, sf)
-    train = FE.rank_features(hist, FIXTURE_VOCAB)
-    model = ML.fit(train, ML.feature_columns(FIXTURE_VOCAB), "Gradient Boosting")
-    new = view(spark, sf, "inputs").withColumn("SubjectID", F.expr("try_cast(SubjectID AS BIGINT)"))
-    serve = FE.serving_features(hist, new, FIXTURE_VOCAB)
-    return ML.score(model, serve, ["event_id", "SubjectID", "UpdateDT"])
+    train = FE.training_rows(hist)
+    name = "Gradient Boosting"
+    _, first = H.profile(train)
+    cols = ML.feature_columns(FIXTURE_VOCAB)
+    path = os.path.join(ensure_checkpoint_dir(spark), f"rankline-models-{uuid.uuid4().hex}", name)
+    ML.save_model(ML.fit(FE.rank_features(train, FIXTURE_VOCAB), cols, name), path, FIXTURE_VOCAB, cols, first)
+    model, meta = ML.load_model(spark, path)
+    t0 = spark.range(1).select(F.lit(meta["first_time"]).cast("timestamp_ntz").alias("_t_first"))
+    out = score_rows(hist, view(spark, sf, "inputs"), model, meta["vocabulary"], name, first_time=t0)
+    return out.select("event_id", "SubjectID", "UpdateDT", "prediction", F.col("Rank").alias("predicted_rank"))
+
+
+@register("score_linear", with_views("rankings", "inputs") + serve_sql(keep=KEEP_SQL) + f"""
+, l AS (SELECT *, {LINEAR_SQL} AS prediction FROM served)
+SELECT event_id, SubjectID, UpdateDT, round(prediction, 6) AS prediction,
+       CAST(round_even(prediction, 0) AS INTEGER) AS predicted_rank FROM l WHERE {CHOSEN_SQL} > 0""")
+def score_linear(spark, sf):
+    out = score_rows(rankings(spark, sf), view(spark, sf, "inputs"), ML.LinearScorer(LINEAR, INTERCEPT), FIXTURE_VOCAB, "Linear")
+    return rounded(out.select("event_id", "SubjectID", "UpdateDT", "prediction", F.col("Rank").alias("predicted_rank")))
+
+
+@register("ordinal_predict_fixed", with_views("rankings", "inputs") + serve_sql() + f"""
+, l AS (SELECT event_id, {" + ".join(f'"{c}" * ({w}::DOUBLE)' for c, w in LINEAR.items())} AS margin FROM served)
+SELECT event_id, CAST(1 + len(list_filter([{", ".join(map(str, THETA))}]::DOUBLE[], lambda t: t - margin < 0)) AS DOUBLE) AS prediction
+FROM l""")
+def ordinal_predict_fixed(spark, sf):
+    """Ordinal prediction with given weights: one class more per threshold that the margin passes."""
+    fitted = {"prep": None, "cols": list(LINEAR), "w": list(LINEAR.values()), "theta": [-t for t in THETA], "n_ranks": RANK_MAX}
+    feats = FE.serving_features(rankings(spark, sf), input_rows(spark, sf), FIXTURE_VOCAB)
+    return ML.ordinal_predict(fitted, feats).select("event_id", "prediction")
+
+
+@register("importance_coefficients", f"""
+SELECT * FROM (VALUES {", ".join(f"('{c}', CAST({abs(w)} AS DOUBLE))" for c, w in LINEAR.items())}) t(Feature, Importance)
+WHERE Feature LIKE '%Factor%' AND (SELECT count(*) FROM events) > 0""")
+def importance_coefficients(spark, sf):
+    """Coefficients of a linear model that scores the table: absolute values of the factor features."""
+    if rankings(spark, sf).isEmpty():
+        return ML.feature_importance(ML.LinearScorer({}))
+    return ML.feature_importance(ML.LinearScorer(LINEAR, INTERCEPT), top_n=10, factors_only=True)
+
+
+@register("importance_fallback", with_views("rankings") + f"""
+SELECT DISTINCT f AS Feature, CAST(1 AS DOUBLE) AS Importance
+FROM (SELECT unnest([{", ".join(DRIVERS)}]) AS f FROM rankings) WHERE f IS NOT NULL AND f <> ''""")
+def importance_fallback(spark, sf):
+    """A model without importances: every chosen factor counts 1."""
+    chosen = resolve_vocabulary(rankings(spark, sf))
+    bare = PipelineModel([VectorAssembler(inputCols=["PrevRank"], outputCol="features")])
+    return ML.feature_importance(bare, chosen=chosen)
 
 
 @register("feature_importance")
@@ -118,3 +182,36 @@ def model_leaderboard(spark, sf):
         pairs = pairs.unionByName(p)
     pairs = pairs.withColumn("eval_set", F.lit("newest_20pct"))
     return rounded(M.flag_best(M.all_metrics(pairs, ["eval_set", "model_name"])))
+
+
+FEATURE_SETS = ("base positional", "base one-hot", "base PCA", "enhanced positional")
+
+
+def feature_set_frames(spark, sf):
+    """name -> (train, test, feature columns, number of principal components or None), one time split."""
+    obs = FE.training_rows(rankings(spark, sf))
+    cut = M.time_cutoff(obs)
+    older = F.unix_micros(F.col("UpdateDT").cast("timestamp")) <= F.lit(cut)
+    positional, onehot = FE.base_features(obs, obs.where(older), FIXTURE_VOCAB)
+    enhanced = FE.rank_features(obs, FIXTURE_VOCAB)
+    labels = ["SubjectID", "UpdateDT", "Model", "Rank"]
+    out = {}
+    for name, df, k in zip(FEATURE_SETS, (positional, onehot, onehot, enhanced), (None, None, PCA_K, None)):
+        df = cut_lineage(df)
+        out[name] = (df.where(older), df.where(~older), [c for c in df.columns if c not in labels], k)
+    return out
+
+
+@register("feature_set_leaderboard")
+def feature_set_leaderboard(spark, sf):
+    """A random forest on every feature set, judged on the same newest rows; median baseline appended."""
+    parts = []
+    for name, (train, test, cols, k) in feature_set_frames(spark, sf).items():
+        pred = ML.fit(train, cols, "Random Forest", pca_k=k).transform(test)
+        parts.append(pred.select(F.col("Rank").alias("y"), F.col("prediction").alias("p"),
+                                 F.lit("Random Forest").alias("model_name"), F.lit(name).alias("feature_set")))
+    med = train.agg(F.median("Rank").alias("p"))
+    parts.append(test.select(F.col("Rank").alias("y")).crossJoin(F.broadcast(med))
+                 .withColumns({"model_name": F.lit("Median"), "feature_set": F.lit("none")}))
+    pairs = reduce(DataFrame.unionByName, parts).withColumn("eval_set", F.lit("newest_20pct"))
+    return rounded(M.flag_best(M.all_metrics(pairs, ["eval_set", "feature_set", "model_name"])))

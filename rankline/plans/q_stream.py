@@ -12,12 +12,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from rankline.operators.features import rank_features
+from rankline.operators.features import rank_features, training_rows
 from rankline.plans import models as ML
 from rankline.plans.catalog import register
-from rankline.plans.q_history import FIXTURE_VOCAB, rankings
+from rankline.plans.q_history import FIXTURE_VOCAB, rankings, serve_sql
 from rankline.plans.q_ingest import _insert_sql
-from rankline.schema import RANKINGS
+from rankline.plans.q_models import CHOSEN_SQL, INTERCEPT, KEEP_SQL, LINEAR, LINEAR_SQL
+from rankline.plans.sql_twins import with_views
+from rankline.schema import DRIVERS, RANKINGS
 from rankline.session import ensure_checkpoint_dir
 from rankline.sources.fixtures import view
 from rankline.streaming.jobs import stream_insert as _stream_insert, stream_score as _stream_score
@@ -48,12 +50,28 @@ def stream_insert(spark, sf):
 def stream_score(spark, sf):
     """Train on stored history, then score arriving input rows in micro-batches and store them."""
     base = _scratch(spark)
-    table, src, ckpt = f"{base}/table", f"{base}/source", f"{base}/ckpt"
     hist = rankings(spark, sf)
-    hist.write.parquet(table)
-    model = ML.fit(rank_features(hist, FIXTURE_VOCAB), ML.feature_columns(FIXTURE_VOCAB), SCORE_MODEL)
+    hist.write.parquet(f"{base}/table")
+    model = ML.fit(rank_features(training_rows(hist), FIXTURE_VOCAB), ML.feature_columns(FIXTURE_VOCAB), SCORE_MODEL)
+    return _replay(spark, sf, base, model, SCORE_MODEL)
+
+
+def _replay(spark, sf, base, model, name):
+    """The inputs as a stream of files into the table under ``base``; the stored predictions."""
     inputs = view(spark, sf, "inputs")
-    inputs.repartition(SOURCE_FILES).write.parquet(src)
-    q = _stream_score(spark, src, inputs.schema, table, ckpt, model, FIXTURE_VOCAB, SCORE_MODEL, files_per_batch=2)
+    inputs.repartition(SOURCE_FILES).write.parquet(f"{base}/source")
+    q = _stream_score(spark, f"{base}/source", inputs.schema, f"{base}/table", f"{base}/ckpt", model, FIXTURE_VOCAB, name,
+                      files_per_batch=2, unkeyed_path=f"{base}/unkeyed")
     q.awaitTermination()
-    return spark.read.schema(RANKINGS).parquet(table).where(F.col("Model") == SCORE_MODEL)
+    return spark.read.schema(RANKINGS).parquet(f"{base}/table").where(F.col("Model") == name)
+
+
+@register("stream_score_linear", with_views("rankings", "inputs") + serve_sql(keep=KEEP_SQL) + f"""
+, l AS (SELECT *, {LINEAR_SQL} AS prediction FROM served)
+SELECT SubjectID, CAST(round_even(prediction, 0) AS INTEGER) AS Rank, {", ".join(DRIVERS)}, UpdateDT,
+       false AS OriginalDataFlag, 'Linear' AS Model FROM l WHERE SubjectID IS NOT NULL AND {CHOSEN_SQL} > 0""")
+def stream_score_linear(spark, sf):
+    """A given linear model scores the stream, so the stored table is known exactly."""
+    base = _scratch(spark)
+    rankings(spark, sf).write.parquet(f"{base}/table")
+    return _replay(spark, sf, base, ML.LinearScorer(LINEAR, INTERCEPT), "Linear")

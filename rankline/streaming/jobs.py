@@ -9,7 +9,6 @@ recomputed from the stored table, never from stream state.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rankline.functions.columns import count_chosen, driver_array, half_even_int
 from rankline.operators.features import serving_features
 from rankline.schema import DRIVERS, RANKINGS
+from rankline.session import cut_lineage
 from rankline.sources.ingest import create_if_absent, insert_if_absent
 
 
@@ -55,28 +55,33 @@ def stream_insert(spark: SparkSession, source_dir: str, table_path: str, checkpo
     return _start(stream, batch, checkpoint, available_now)
 
 
-def score_rows(history: DataFrame, new: DataFrame, model: PipelineModel, vocab: list[str],
-               model_name: str, id_col: str = "event_id") -> DataFrame:
-    """Score new rows against stored history; returns table-shaped prediction rows.
+def score_rows(history: DataFrame, new: DataFrame, model, vocab: list[str], model_name: str,
+               id_col: str = "event_id", first_time: DataFrame | None = None) -> DataFrame:
+    """Score new rows against the observed rows of ``history``: id, table columns and prediction.
 
-    Rows without any chosen factor are not scored; rows without a subject id
-    are scored by ``serving_features`` but cannot be stored (the key needs one).
+    Used by batch and stream.  Rows without any chosen factor are not scored.  Rows without a
+    subject id are scored as new subjects; their SubjectID is NULL, so they cannot be stored.
+    ``first_time``: the first time the model was trained with.
     """
     chosen = count_chosen(driver_array())
-    new = new.where(chosen > 0).withColumn("SubjectID", F.expr("try_cast(nullif(SubjectID, '') AS BIGINT)"))
-    feats = serving_features(history, new, vocab, id_col=id_col)
-    pred = model.transform(feats).select(id_col, half_even_int("prediction").alias("Rank"))
-    drivers = new.select(id_col, "SubjectID", "UpdateDT",
-                         *[F.nullif(F.col(d), F.lit("")).alias(d) for d in DRIVERS])
-    out = drivers.join(pred, id_col).where(F.col("SubjectID").isNotNull())
-    return out.select("SubjectID", "Rank", *DRIVERS, "UpdateDT", F.lit(False).alias("OriginalDataFlag"),
-                      F.lit(model_name).alias("Model"))
+    # the batch is written once: it is read for its subjects, its features and its output
+    new = cut_lineage(new.where(chosen > 0).withColumn("SubjectID", F.expr("try_cast(nullif(SubjectID, '') AS BIGINT)")))
+    feats = serving_features(history, new, vocab, id_col=id_col, first_time=first_time, keep=DRIVERS)
+    return model.transform(feats).select(
+        id_col, "SubjectID", half_even_int("prediction").alias("Rank"), *DRIVERS, "UpdateDT",
+        F.lit(False).alias("OriginalDataFlag"), F.lit(model_name).alias("Model"), "prediction")
 
 
 def stream_score(spark: SparkSession, source_dir: str, input_schema, table_path: str, checkpoint: str,
-                 model: PipelineModel, vocab: list[str], model_name: str,
-                 files_per_batch: int | None = None, available_now: bool = True) -> StreamingQuery:
-    """New input rows arriving as files -> features vs stored history -> model -> insert-if-absent."""
+                 model, vocab: list[str], model_name: str,
+                 files_per_batch: int | None = None, available_now: bool = True,
+                 first_time: DataFrame | None = None, unkeyed_path: str | None = None) -> StreamingQuery:
+    """New input rows arriving as files -> features vs observed history -> model -> insert-if-absent.
+
+    History is the observed rows of the table, so predictions that earlier batches stored change
+    nothing and the order of the files does not matter.  Predictions for rows without a subject id
+    are written to ``unkeyed_path`` (one folder per batch, rewritten if the batch is replayed).
+    """
     create_if_absent(spark, table_path)
     reader = spark.readStream.schema(input_schema)
     if files_per_batch:
@@ -86,7 +91,9 @@ def stream_score(spark: SparkSession, source_dir: str, input_schema, table_path:
     def batch(df: DataFrame, epoch_id: int) -> None:
         s = df.sparkSession
         history = s.read.schema(RANKINGS).parquet(table_path)
-        rows = score_rows(history, df, model, vocab, model_name)
-        insert_if_absent(s, table_path, rows)
+        rows = cut_lineage(score_rows(history, df, model, vocab, model_name, first_time=first_time))
+        insert_if_absent(s, table_path, rows.where(F.col("SubjectID").isNotNull()).select(*RANKINGS.fieldNames()))
+        if unkeyed_path:
+            rows.where(F.col("SubjectID").isNull()).write.mode("overwrite").parquet(f"{unkeyed_path}/batch={epoch_id}")
 
     return _start(stream, batch, checkpoint, available_now)

@@ -1,17 +1,20 @@
 """Data-quality checks on the rankings table; each check yields report rows.
 
-Row-level checks (nulls, timestamp format, flags) share one aggregation pass;
-the duplicate-key count is one more aggregation; examples are ordered top-5
-(distributed TakeOrdered), never a collected group.
+The report reads each input once: the table is pre-aggregated to one row per key and the
+source to its distinct rows, both written to the shared folder, and every check reads
+these.  Examples are ordered top-5 (distributed TakeOrdered), never a collected group.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankline.functions.columns import has_repeat, driver_array, parse_stored_ts
 from rankline.schema import CONTRACT_TYPES, KEY, REQUIRED, SPARK_TO_CONTRACT
+from rankline.session import cut_lineage
 
 REPORT_SCHEMA = "check string, status string, passed boolean, count bigint, examples string"
 N_EXAMPLES = 5
@@ -94,15 +97,42 @@ def unique_factors(df: DataFrame) -> Column:
     return ~has_repeat(driver_array())
 
 
+def key_profile(table: DataFrame) -> DataFrame:
+    """One row per key with the counts that every check needs (the table's only scan)."""
+    flag, model = F.coalesce(F.col("OriginalDataFlag"), F.lit(False)), F.col("Model")
+    return cut_lineage(table.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("Rank").isNull()).alias("rank_nulls"),
+        F.count_if(~unique_factors(table)).alias("repeats"),
+        F.bool_and(flag).alias("flags"),
+        F.bool_and(flag == model.isNull()).alias("live"),
+    ))
+
+
 def report(spark: SparkSession, table: DataFrame | None, source: DataFrame | None = None) -> DataFrame:
     """All checks as rows (check, status, passed, count, examples) plus 'overall'."""
     if table is None:  # missing table: one failed row, nothing else can run
         return spark.createDataFrame([("table_exists", "FAILED", False, 0, "")], REPORT_SCHEMA)
     sc = schema_check(table)
-    rows = [spark.createDataFrame([(sc["check"], sc["status"], sc["passed"], sc["count"], sc["examples"])],
-                                  REPORT_SCHEMA)]
-    rc = row_checks(table).crossJoin(duplicate_keys(table).select("duplicates")) \
-                          .crossJoin(examples(table.where(_bad_ts("UpdateDT", table)), "UpdateDT"))
+    parts = [spark.createDataFrame([(sc["check"], sc["status"], sc["passed"], sc["count"], sc["examples"])],
+                                   REPORT_SCHEMA)]
+    keys = key_profile(table)
+    bad = _bad_ts("UpdateDT", keys)
+
+    def total(of: Column) -> Column:
+        return F.coalesce(F.sum(of), F.lit(0))
+
+    counts = keys.agg(
+        total(F.col("n")).alias("n_rows"), total(F.col("n") - 1).alias("duplicates"),
+        total(F.when(F.col("SubjectID").isNull(), F.col("n")).otherwise(0)).alias("SubjectID_nulls"),
+        total(F.col("rank_nulls")).alias("Rank_nulls"),
+        total(F.when(F.col("UpdateDT").isNull(), F.col("n")).otherwise(0)).alias("UpdateDT_nulls"),
+        total(F.when(bad, F.col("n")).otherwise(0)).alias("bad_timestamps"), total(F.col("repeats")).alias("repeats"),
+        F.coalesce(F.bool_and("flags"), F.lit(True)).alias("flags_all_true"),
+        F.coalesce(F.bool_and(F.col("Model").isNull()), F.lit(True)).alias("models_all_null"),
+        F.coalesce(F.bool_and("live"), F.lit(True)).alias("live_consistent"),
+    )
+    rc = counts.crossJoin(examples(keys.where(bad), "UpdateDT"))  # one row each
 
     def row(check: str, ok: Column, count: Column, ex: Column = F.lit(""), warn: Column | None = None):
         status = F.when(~ok, F.lit("FAILED"))
@@ -120,48 +150,44 @@ def report(spark: SparkSession, table: DataFrame | None, source: DataFrame | Non
         row("seed_flags_true", F.col("flags_all_true"), F.col("n_rows")),
         row("seed_models_null", F.col("models_all_null"), F.col("n_rows")),
         row("live_flag_matches_model", F.col("live_consistent"), F.col("n_rows")),
+        row("unique_factors", F.col("repeats") == 0, F.col("repeats")),
     ]
-    rows.append(rc.select(F.explode(F.array(*checks)).alias("r")).select("r.*"))
     if source is not None:
-        rec = reconcile(source, table)
-        rows.append(rec.select(F.lit("source_reconcile").alias("check"),
-                               F.when(F.col("status") == "error", "FAILED")
-                                .when(F.col("status") == "warning", "WARNING").otherwise("PASSED").alias("status"),
-                               (F.col("status") != "error").alias("passed"),
-                               (F.col("table_rows") - F.col("source_unique")).alias("count"),
-                               F.lit("").alias("examples")))
-        ms = missing_subjects(source, table)
-        rows.append(ms.select(F.lit("source_subjects").alias("check"),
-                              F.when(F.col("n_missing") == 0, "PASSED").otherwise("FAILED").alias("status"),
-                              (F.col("n_missing") == 0).alias("passed"), F.col("n_missing").alias("count"),
-                              "examples"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    # the report has one row per check (bounded), so it is finished on the driver
-    # instead of evaluating every check a second time for the overall row
-    got = [tuple(r) for r in out.collect()]
-    ok = all(r[2] for r in got)
-    got.append(("overall", "PASSED" if ok else "FAILED", ok, sum(1 for r in got if not r[2]), ""))
-    return spark.createDataFrame(got, REPORT_SCHEMA)
+        rows = cut_lineage(source.groupBy(*source.columns).agg(F.count(F.lit(1)).alias("n")))
+        ms = missing_subjects(rows, keys)
+        rc = rc.crossJoin(rows.agg(F.count(F.lit(1)).alias("source_unique"))).crossJoin(
+            ms.select("n_missing", F.col("examples").alias("missing_examples")))
+        less, more = F.col("n_rows") < F.col("source_unique"), F.col("n_rows") > F.col("source_unique")
+        checks += [row("source_reconcile", ~less, F.col("n_rows") - F.col("source_unique"), warn=more),
+                   row("source_subjects", F.col("n_missing") == 0, F.col("n_missing"), F.col("missing_examples"))]
+    parts.append(rc.select(F.explode(F.array(*checks)).alias("r")).select("r.*"))
+    return with_overall(reduce(DataFrame.unionByName, parts))
+
+
+def with_overall(rows: DataFrame) -> DataFrame:
+    """The report rows and a row that sums them up (one row per check: a window over a dozen rows)."""
+    rows = cut_lineage(rows)
+    ok = F.bool_and("passed")
+    overall = rows.agg(F.lit("overall").alias("check"), F.when(ok, "PASSED").otherwise("FAILED").alias("status"),
+                       ok.alias("passed"), F.count_if(~F.col("passed")).alias("count"), F.lit("").alias("examples"))
+    return rows.unionByName(overall)
 
 
 def validate(spark: SparkSession, table_path: str, csv_path: str | None = None) -> DataFrame:
     """Validation report for a stored table and, optionally, its source CSV.
 
-    A missing table is one failed row.  A named CSV that does not exist adds a
-    passing WARNING row ("source_exists") and skips the source checks.
+    A missing table is one failed row, beside the number of source rows if there is a source.
+    A named CSV that does not exist adds a passing WARNING row ("source_exists") and skips the
+    source checks.
     """
-    from rankline.sources.ingest import read_raw_csv, read_table_or_none
+    from rankline.sources.ingest import none_if_missing, read_raw_csv, read_table_or_none
     table = read_table_or_none(spark, table_path)
-    source, missing_source = None, False
-    if csv_path is not None:
-        try:
-            source = read_raw_csv(spark, csv_path)
-        except Exception:  # a missing file is reported, not raised
-            missing_source = True
+    source = none_if_missing(lambda: read_raw_csv(spark, csv_path)) if csv_path is not None else None
     rep = report(spark, table, source)
-    if missing_source:
-        extra = spark.createDataFrame([("source_exists", "WARNING", True, 0, csv_path)], REPORT_SCHEMA)
-        rep = extra.unionByName(rep)
+    if csv_path is not None and source is None:
+        rep = spark.createDataFrame([("source_exists", "WARNING", True, 0, csv_path)], REPORT_SCHEMA).unionByName(rep)
+    elif table is None and source is not None:  # what waits to be loaded
+        waits = source.agg(F.lit("source_exists").alias("check"), F.lit("PASSED").alias("status"), F.lit(True).alias("passed"),
+                           F.count(F.lit(1)).alias("count"), F.lit("").alias("examples"))
+        rep = waits.unionByName(rep)
     return rep

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankline.functions import columns as C
 from rankline.operators import history as H
 from rankline.operators import metrics as M
+from rankline.operators import reports as R
 from rankline.plans.catalog import register, rounded
 from rankline.plans.q_history import WORD, rankings
 from rankline.plans.sql_twins import with_views
@@ -219,3 +220,16 @@ def leaderboard_merge(spark, sf):
     board = M.merge_leaderboards(base, M.error_metrics(fresh, by), M.error_metrics(mid, by),
                                  rename={"Random Forest (retrained)": "Random Forest"})
     return rounded(board)
+
+
+@register("model_card", MODEL_PAIRS_SQL + f"""
+, e AS (SELECT model_name, {ERR_SQL} FROM mp GROUP BY model_name)
+, n AS (SELECT unnest(['XGBoost', 'No such model']) AS model_name)
+SELECT model_name, mae, rmse, r2, round(accuracy_5 * 100, 1) AS within_5_pct, round(accuracy_10 * 100, 1) AS within_10_pct,
+       round(accuracy_20 * 100, 1) AS within_20_pct
+FROM n LEFT JOIN e USING (model_name)""")
+def model_card(spark, sf):
+    """Cards of a model of the leaderboard and of one that is not on it (NULLs)."""
+    board = M.all_metrics(model_pairs(spark, sf), ["model_name"])
+    cards = R.model_card(board, "XGBoost").unionByName(R.model_card(board, "No such model"))
+    return rounded(cards.drop("spearman", "kendall", "expected_accuracy"))

@@ -15,8 +15,9 @@ from rankline.sources.fixtures import view
 
 DLIST = ", ".join(DRIVERS)
 CHOSEN_SQL = f"list_filter([{DLIST}], lambda x: x IS NOT NULL AND x <> '')"
-# Saved feature columns used by the alignment query (one is not produced).
-SAVED_COLUMNS = ["Driver1_Factor1", "Driver1_Factor3", "Driver2_Factor2", "Custom_Feature"]
+# Feature columns of a saved one-hot model: every second factor of three drivers, and one that no
+# feature set makes any more.
+SAVED_COLUMNS = [*(f"Driver{d}_Factor{f}" for d in (3, 9, 17) for f in range(2, 18, 2)), "RetiredFeature"]
 SCENARIO_SEED = "rankline"
 N_SCENARIOS = 3
 

@@ -75,6 +75,19 @@ def subject_summary(spark, sf):
     return rounded(R.subject_card(rankings(spark, sf)))
 
 
+@register("subject_lookup", with_views("rankings") + """
+, ids AS (SELECT DISTINCT SubjectID + k * 1000000 AS SubjectID FROM rankings CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) t)
+SELECT ids.SubjectID, last(Rank ORDER BY UpdateDT NULLS FIRST, Model NULLS FIRST, Rank NULLS FIRST) AS previous_rank,
+       max(UpdateDT) AS last_update, count(r.UpdateDT) AS num_records, round(avg(Rank), 6) AS avg_rank,
+       min(Rank) AS min_rank, max(Rank) AS max_rank
+FROM ids LEFT JOIN rankings r ON ids.SubjectID = r.SubjectID GROUP BY ids.SubjectID""")
+def subject_lookup(spark, sf):
+    """Summaries of asked ids, half of which no row has: NULLs and a count of 0."""
+    r = rankings(spark, sf)
+    ids = r.select(F.explode(F.array("SubjectID", F.col("SubjectID") + 1000000)).alias("SubjectID")).distinct()
+    return rounded(R.subject_lookup(r, ids))
+
+
 @register("latest_per_subject", with_views("rankings") + f"""
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY SubjectID ORDER BY UpdateDT DESC NULLS LAST,

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from rankline.plans.catalog import register
 from rankline.plans.q_history import rankings
 from rankline.plans.sql_twins import with_views
 from rankline.schema import DRIVERS
+from rankline.session import ensure_checkpoint_dir
 from rankline.sources import ingest as I
 from rankline.sources.fixtures import view
 
@@ -15,15 +19,48 @@ DL = ", ".join(DRIVERS)
 PARSE = "try_strptime(UpdateDT, '%m/%d/%Y %H:%M')"
 
 
+def csv_of(spark, sf, name):
+    """The view written as a header CSV into the shared folder and read back as text."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"rankline-csv-{uuid.uuid4().hex}")
+    view(spark, sf, name).write.option("header", True).csv(path)
+    return I.read_raw_csv(spark, path)
+
+
 @register("ingest_rankings", with_views("rankings_raw") + f"""
 SELECT DISTINCT TRY_CAST(SubjectID AS BIGINT) AS SubjectID, TRY_CAST(Rank AS INTEGER) AS Rank, {DL},
        {PARSE} AS UpdateDT, true AS OriginalDataFlag, CAST(NULL AS VARCHAR) AS Model
 FROM rankings_raw WHERE {PARSE} IS NOT NULL""")
 def ingest_rankings(spark, sf):
-    rows, _rejects = I.ingest(I.align_raw(view(spark, sf, "rankings_raw")))
+    rows, _rejects = I.ingest(csv_of(spark, sf, "rankings_raw"))
     return rows
 
 
+_TYPED_SQL = with_views("rankings_bad") + f"""
+, t AS (SELECT * REPLACE (nullif(Rank, 'N/A') AS Rank), {PARSE} AS ts FROM rankings_bad)
+, u AS (SELECT *, TRY_CAST(SubjectID AS BIGINT) AS sid, coalesce(TRY_CAST(Rank AS INTEGER), CASE WHEN Rank = '12.0' THEN 12 END) AS rk FROM t)
+, v AS (SELECT *, CASE WHEN ts IS NULL THEN 'bad UpdateDT' WHEN SubjectID IS NOT NULL AND sid IS NULL THEN 'bad SubjectID'
+                       WHEN Rank IS NOT NULL AND rk IS NULL THEN 'bad Rank' END AS reason FROM u)
+"""
+
+
+@register("ingest_rejects", _TYPED_SQL + """
+SELECT reason, count(*) AS n_rows, count(DISTINCT Rank) AS n_rank_texts, min(SubjectID) AS first_subject
+FROM v WHERE reason IS NOT NULL GROUP BY reason""")
+def ingest_rejects(spark, sf):
+    """Rows of a CSV that cannot be typed (numbers out of range included), by reason."""
+    _, rejects = I.ingest(csv_of(spark, sf, "rankings_bad"))
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("Rank").alias("n_rank_texts"),
+                                         F.min("SubjectID").alias("first_subject"))
+
+
+@register("ingest_accepted", _TYPED_SQL + f"""
+SELECT DISTINCT sid AS SubjectID, CAST(rk AS INTEGER) AS Rank, {DL}, ts AS UpdateDT, true AS OriginalDataFlag,
+       CAST(NULL AS VARCHAR) AS Model FROM v WHERE reason IS NULL""")
+def ingest_accepted(spark, sf):
+    """The other rows of the same CSV: a missing-value token is NULL, '12.0' is 12."""
+    return I.ingest(csv_of(spark, sf, "rankings_bad"))[0]
+
+
 def _insert_sql(null_safe: bool) -> str:
     eq = "IS NOT DISTINCT FROM" if null_safe else "="
     return with_views("rankings", "rankings_multi") + f"""

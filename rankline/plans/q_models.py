@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from rankline.operators import features as FE
 from rankline.operators import history as H
 from rankline.operators import metrics as M
-from rankline.operators.factors import resolve_vocabulary
+from rankline.operators.factors import position_columns, resolve_vocabulary
 from rankline.plans import models as ML
 from rankline.plans.catalog import register, rounded
-from rankline.plans.q_history import FIXTURE_VOCAB, input_rows, rankings, serve_sql
+from rankline.plans.q_history import FIXTURE_VOCAB, input_rows, positions_sql, rankings, serve_sql
 from rankline.plans.sql_twins import with_views
 from rankline.schema import DRIVERS, RANK_MAX
 from rankline.session import cut_lineage, ensure_checkpoint_dir
@@ -125,14 +125,20 @@ def ordinal_predict_fixed(spark, sf):
     return ML.ordinal_predict(fitted, feats).select("event_id", "prediction")
 
 
-@register("importance_coefficients", f"""
-SELECT * FROM (VALUES {", ".join(f"('{c}', CAST({abs(w)} AS DOUBLE))" for c, w in LINEAR.items())}) t(Feature, Importance)
-WHERE Feature LIKE '%Factor%' AND (SELECT count(*) FROM events) > 0""")
+_SLOPES_SQL = " UNION ALL ".join(f"SELECT '{f}' AS Feature, abs(regr_slope(Rank, \"{f}\")) AS Importance FROM pos" for f in FIXTURE_VOCAB)
+
+
+@register("importance_coefficients", with_views("rankings") + f"""
+, pos AS (SELECT Rank, {positions_sql(FIXTURE_VOCAB)} FROM rankings WHERE Model IS NULL)
+, imp AS ({_SLOPES_SQL})
+SELECT Feature, round(Importance, 6) AS Importance FROM imp ORDER BY Importance DESC, Feature LIMIT 10""")
 def importance_coefficients(spark, sf):
-    """Coefficients of a linear model that scores the table: absolute values of the factor features."""
-    if rankings(spark, sf).isEmpty():
-        return ML.feature_importance(ML.LinearScorer({}))
-    return ML.feature_importance(ML.LinearScorer(LINEAR, INTERCEPT), top_n=10, factors_only=True)
+    """Top-10 absolute coefficients of a linear model: the slope of the rank over each factor's position."""
+    obs = FE.training_rows(rankings(spark, sf))
+    pos = obs.select("Rank", *position_columns(FIXTURE_VOCAB))
+    slopes = pos.agg(*[F.regr_slope(F.col("Rank").cast("double"), F.col(f).cast("double")).alias(f) for f in FIXTURE_VOCAB]).first()
+    model = ML.LinearScorer({f: slopes[f] or 0.0 for f in FIXTURE_VOCAB})
+    return rounded(ML.feature_importance(model, top_n=10, factors_only=True))
 
 
 @register("importance_fallback", with_views("rankings") + f"""

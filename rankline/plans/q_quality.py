@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
 from rankline.operators import quality as Q
 from rankline.plans.catalog import register
 from rankline.plans.q_history import rankings
 from rankline.plans.sql_twins import with_views
+from rankline.schema import DRIVERS
+from rankline.session import ensure_checkpoint_dir
 from rankline.sources.fixtures import view
 
 STRICT = "try_strptime(UpdateDT, '%Y-%m-%d %H:%M:%S')"
@@ -71,10 +78,13 @@ def missing_subjects(spark, sf):
     return Q.missing_subjects(view(spark, sf, "inputs"), rankings(spark, sf))
 
 
+_DRIVERS = ", ".join(DRIVERS)
 _REPORT_SQL = with_views("rankings_dirty", "rankings_raw") + f"""
 , c AS (SELECT count(*) AS n_rows, count(*) FILTER (WHERE SubjectID IS NULL) AS sn,
                count(*) FILTER (WHERE Rank IS NULL) AS rn, count(*) FILTER (WHERE UpdateDT IS NULL) AS un,
                count(*) FILTER (WHERE {_BAD}) AS bad,
+               count(*) FILTER (WHERE len(list_distinct(list_filter([{_DRIVERS}], lambda x: x <> '')))
+                                      < len(list_filter([{_DRIVERS}], lambda x: x <> ''))) AS rep,
                bool_and(coalesce(OriginalDataFlag, false)) AS fa, bool_and(Model IS NULL) AS mn,
                bool_and(coalesce(OriginalDataFlag, false) = (Model IS NULL)) AS lc
         FROM rankings_dirty)
@@ -97,6 +107,7 @@ _REPORT_SQL = with_views("rankings_dirty", "rankings_raw") + f"""
   UNION ALL SELECT 'seed_flags_true', CASE WHEN fa THEN 'PASSED' ELSE 'FAILED' END, fa, n_rows, '' FROM c
   UNION ALL SELECT 'seed_models_null', CASE WHEN mn THEN 'PASSED' ELSE 'FAILED' END, mn, n_rows, '' FROM c
   UNION ALL SELECT 'live_flag_matches_model', CASE WHEN lc THEN 'PASSED' ELSE 'FAILED' END, lc, n_rows, '' FROM c
+  UNION ALL SELECT 'unique_factors', CASE WHEN rep = 0 THEN 'PASSED' ELSE 'FAILED' END, rep = 0, rep, '' FROM c
   UNION ALL SELECT 'source_reconcile', CASE WHEN n_rows < s THEN 'FAILED' WHEN n_rows > s THEN 'WARNING' ELSE 'PASSED' END,
          n_rows >= s, n_rows - s, '' FROM c, su
   UNION ALL SELECT 'source_subjects', CASE WHEN n = 0 THEN 'PASSED' ELSE 'FAILED' END, n = 0, n, e FROM mse)
@@ -108,3 +119,25 @@ UNION ALL SELECT 'overall', CASE WHEN bool_and(passed) THEN 'PASSED' ELSE 'FAILE
 @register("dq_report", _REPORT_SQL)
 def dq_report(spark, sf):
     return Q.report(spark, dirty(spark, sf), view(spark, sf, "rankings_raw"))
+
+
+@register("dq_report_missing_table", with_views("rankings_raw") + """
+SELECT 'source_exists' AS "check", 'PASSED' AS status, true AS passed, count(*) AS count, '' AS examples FROM rankings_raw
+UNION ALL SELECT 'table_exists', 'FAILED', false, CAST(0 AS BIGINT), ''""")
+def dq_report_missing_table(spark, sf):
+    """Report on a source whose table has not been made."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"rankline-csv-{uuid.uuid4().hex}")
+    view(spark, sf, "rankings_raw").write.option("header", True).csv(path)
+    return Q.validate(spark, f"{path}-no-table", path)
+
+
+@register("dq_report_missing_source", _REPORT_SQL.replace("SELECT * FROM r\n", "SELECT * FROM r WHERE \"check\" NOT LIKE 'source%'\n")
+          .replace("'' FROM r", "'' FROM r WHERE \"check\" NOT LIKE 'source%'")
+          + """
+UNION ALL SELECT 'source_exists', 'WARNING', true, CAST(0 AS BIGINT), 'no-such-source.csv'""")
+def dq_report_missing_source(spark, sf):
+    """Report on a stored table whose source CSV is not there."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"rankline-dirty-{uuid.uuid4().hex}")
+    dirty(spark, sf).write.parquet(path)
+    gone = os.path.join(path, "no-such-source.csv")
+    return Q.validate(spark, path, gone).withColumn("examples", F.regexp_replace("examples", "^.*/(no-such-source)", "$1"))

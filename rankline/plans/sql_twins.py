@@ -40,6 +40,14 @@ RANKINGS_RAW = f"""rankings_raw AS (
          strftime(ts, '%-m/%-d/%Y %-H:%M') AS UpdateDT
   {_RAW_FROM})"""
 
+RANKINGS_BAD = f"""rankings_bad AS (
+  SELECT CASE WHEN event_id%79=0 THEN 'abc' WHEN event_id%61=0 THEN '99999999999999999999'
+              ELSE CAST(user_id AS VARCHAR) END AS SubjectID,
+         CASE WHEN event_id%89=0 THEN '3000000000' WHEN event_id%83=0 THEN 'x' WHEN event_id%71=0 THEN 'N/A'
+              WHEN event_id%67=0 THEN '12.0' ELSE CAST({BASE_RANK} AS VARCHAR) END AS Rank, {DRIVERS_SQL},
+         CASE WHEN event_id%73=0 THEN '13/45/2025 10:00' ELSE strftime(ts, '%-m/%-d/%Y %-H:%M') END AS UpdateDT
+  {_RAW_FROM})"""
+
 RANKINGS_DIRTY = f"""rankings_dirty AS (
   SELECT CASE WHEN event_id%211=0 THEN NULL ELSE user_id END AS SubjectID,
          CASE WHEN event_id%101=0 THEN NULL ELSE {BASE_RANK} END AS Rank, {DRIVERS_SQL},
@@ -67,7 +75,7 @@ INPUTS = f"""inputs AS (
   FROM events)"""
 
 CTES = {"rankings": RANKINGS, "rankings_multi": RANKINGS_MULTI, "rankings_raw": RANKINGS_RAW,
-        "rankings_dirty": RANKINGS_DIRTY, "inputs": INPUTS}
+        "rankings_bad": RANKINGS_BAD, "rankings_dirty": RANKINGS_DIRTY, "inputs": INPUTS}
 
 
 def with_views(*names: str, extra: list[str] | None = None) -> str:

@@ -84,6 +84,19 @@ def rankings_raw(ev: DataFrame) -> DataFrame:
     )
 
 
+def rankings_bad(ev: DataFrame) -> DataFrame:
+    """Raw rows of which some cannot be typed, and some hold missing-value tokens."""
+    eid = F.col("event_id")
+    return _raw_rows(ev).select(
+        F.when(eid % 79 == 0, F.lit("abc")).when(eid % 61 == 0, F.lit("99999999999999999999"))
+         .otherwise(F.col("user_id").cast("string")).alias("SubjectID"),
+        F.when(eid % 89 == 0, F.lit("3000000000")).when(eid % 83 == 0, F.lit("x")).when(eid % 71 == 0, F.lit("N/A"))
+         .when(eid % 67 == 0, F.lit("12.0")).otherwise(_base_rank().cast("string")).alias("Rank"),
+        *_drivers(),
+        F.when(eid % 73 == 0, F.lit("13/45/2025 10:00")).otherwise(F.date_format("ts", RAW_TS_TEXT)).alias("UpdateDT"),
+    )
+
+
 def rankings_dirty(ev: DataFrame) -> DataFrame:
     x = _raw_rows(ev)
     eid = F.col("event_id")
@@ -123,6 +136,7 @@ VIEWS = {
     "rankings": rankings,
     "rankings_multi": rankings_multi,
     "rankings_raw": rankings_raw,
+    "rankings_bad": rankings_bad,
     "rankings_dirty": rankings_dirty,
     "inputs": inputs,
 }

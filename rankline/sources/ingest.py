@@ -40,7 +40,8 @@ def _text_to_int(name: str, typ: str) -> Column:
     # SQLite integer affinity: '12' and '12.0' are integers, 'x' is not
     whole = F.expr(f"try_cast(trim({name}) AS {typ})")
     dbl = F.expr(f"try_cast(trim({name}) AS DOUBLE)")
-    return F.coalesce(whole, F.when(dbl == F.floor(dbl), dbl.cast(typ)))
+    # out of range is no integer either: the row goes to the rejects
+    return F.coalesce(whole, F.when(dbl == F.floor(dbl), F.expr(f"try_cast(try_cast(trim({name}) AS DOUBLE) AS {typ})")))
 
 
 def ingest(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,10 +76,17 @@ def read_leaderboard(spark: SparkSession, path: str) -> DataFrame:
 
 def read_table_or_none(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
     """The table at ``path`` or None when it does not exist (existence check, no data read)."""
+    return none_if_missing(lambda: spark.read.format(fmt).load(path))
+
+
+def none_if_missing(read):
+    """What ``read`` returns, or None if its path does not exist; any other error is raised."""
     from pyspark.errors import AnalysisException
     try:
-        return spark.read.format(fmt).load(path)
-    except AnalysisException:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

@@ -9,21 +9,22 @@ from rankline.sources import ingest as I
 
 
 def test_raw_date_format(spark):
-    raw = spark.createDataFrame([("1", "5", "DriverX", "3/8/2025 14:30")], "SubjectID string, Rank string, "
+    raw = spark.createDataFrame([("41", "207", "Noise", "11/2/2021 9:05")], "SubjectID string, Rank string, "
                                 "Driver1 string, UpdateDT string")
     rows, rejects = I.ingest(I.align_raw(raw))
     r = rows.first()
-    assert r.UpdateDT == dt.datetime(2025, 3, 8, 14, 30) and r.SubjectID == 1 and r.Rank == 5
+    assert r.UpdateDT == dt.datetime(2021, 11, 2, 9, 5) and r.SubjectID == 41 and r.Rank == 207
     assert r.Driver2 is None and r.OriginalDataFlag is True and r.Model is None
     assert rejects.count() == 0
 
 
 def test_rejects_and_null_tokens(spark):
-    raw = spark.createDataFrame([("x", "5", "NA", "3/8/2025 14:30"), ("2", "5", "F1", "13/8/2025 14:30"),
-                                 ("3", "NULL", "F1", "3/8/2025 14:30"), ("3", "NULL", "F1", "3/8/2025 14:30")],
+    raw = spark.createDataFrame([("x", "88", "NA", "7/30/2022 6:00"), ("12", "88", "Heat", "31/7/2022 6:00"),
+                                 ("13", "3000000000", "Heat", "7/30/2022 6:00"), ("13", "2.5", "Heat", "7/30/2022 6:00"),
+                                 ("14", "NULL", "Heat", "7/30/2022 6:00"), ("14", "NULL", "Heat", "7/30/2022 6:00")],
                                 "SubjectID string, Rank string, Driver1 string, UpdateDT string")
     rows, rejects = I.ingest(I.align_raw(raw))
-    assert sorted(r.reason for r in rejects.collect()) == ["bad SubjectID", "bad UpdateDT"]
+    assert sorted(r.reason for r in rejects.collect()) == ["bad Rank", "bad Rank", "bad SubjectID", "bad UpdateDT"]
     got = rows.collect()
     assert len(got) == 1 and got[0].Rank is None  # 'NULL' is missing, exact duplicate dropped
 
@@ -32,24 +33,24 @@ def test_narrow_csv(spark):
     d = tempfile.mkdtemp()
     p = os.path.join(d, "rank.csv")
     with open(p, "w") as f:
-        f.write("SubjectID,Rank,Driver1,UpdateDT\n1,5,DriverX,3/8/2025 14:30\n")
+        f.write("SubjectID,Rank,Driver1,UpdateDT\n77,131,Dust,12/24/2021 23:59\n")
     rows, _ = I.ingest(I.read_raw_csv(spark, p))
     r = rows.collect()
-    assert len(r) == 1 and r[0].Driver1 == "DriverX" and r[0].Driver17 is None
+    assert len(r) == 1 and r[0].Driver1 == "Dust" and r[0].Driver17 is None
 
 
 def test_single_insert_padded_and_idempotent(spark):
     path = os.path.join(tempfile.mkdtemp(), "table")
-    new = I.rows_from_lists(spark, [(1, 10, ["DriverA", "DriverB"], "2025-03-08 14:30:00", True, None)])
+    new = I.rows_from_lists(spark, [(77, 131, ["Dust", "Glare"], "2021-12-24 23:59:00", True, None)])
     assert I.insert_if_absent(spark, path, new) == 1
     assert I.insert_if_absent(spark, path, new) == 0          # replay: nothing appended
     t = spark.read.schema(RANKINGS).parquet(path).collect()
-    assert len(t) == 1 and t[0].Driver2 == "DriverB" and t[0].Driver3 is None
+    assert len(t) == 1 and t[0].Driver2 == "Glare" and t[0].Driver3 is None
 
 
 def test_sqlite_key_semantics(spark):
-    existing = I.rows_from_lists(spark, [(1, 10, ["A"], "2025-03-08 14:30:00", True, None)])
-    new = I.rows_from_lists(spark, [(1, 11, ["B"], "2025-03-08 14:30:00", True, None)])
+    existing = I.rows_from_lists(spark, [(1, 10, ["A"], "2022-02-17 05:45:00", True, None)])
+    new = I.rows_from_lists(spark, [(1, 11, ["B"], "2022-02-17 05:45:00", True, None)])
     assert I.rows_to_insert(existing, new, null_safe=True).count() == 0
     assert I.rows_to_insert(existing, new, null_safe=False).count() == 1
     # large-batch path (no broadcast) agrees
@@ -57,8 +58,8 @@ def test_sqlite_key_semantics(spark):
 
 
 def test_batch_dedup_deterministic(spark):
-    new = I.rows_from_lists(spark, [(1, 12, ["B"], "2025-03-08 14:30:00", True, "m"),
-                                    (1, 11, ["C"], "2025-03-08 14:30:00", True, "m")])
+    new = I.rows_from_lists(spark, [(1, 12, ["B"], "2022-02-17 05:45:00", True, "m"),
+                                    (1, 11, ["C"], "2022-02-17 05:45:00", True, "m")])
     existing = spark.createDataFrame([], RANKINGS)
     got = I.rows_to_insert(existing, new).collect()
     assert len(got) == 1 and got[0].Rank == 11

@@ -26,33 +26,29 @@ def _kendall_brute(y, p):
     return (nc - nd) / math.sqrt((n0 - n1) * (n0 - n2))
 
 
-def test_kendall_grid_and_pairs_match_brute_force(spark):
+def test_kendall_matches_brute_force(spark):
     df, pdf = _pairs(spark)
-    grid = {r.g: r.kendall for r in M.kendall_tau_b(df, ["g"]).collect()}
-    old = M.MAX_GRID
-    M.MAX_GRID = 0
-    try:
-        pairs = {r.g: r.kendall for r in M.kendall_tau_b(df, ["g"]).collect()}
-    finally:
-        M.MAX_GRID = old
+    got = {r.g: r.kendall for r in M.kendall_tau_b(df, ["g"]).collect()}
     for g, sub in pdf.groupby("g"):
-        want = _kendall_brute(sub.y.tolist(), sub.p.tolist())
-        assert abs(grid[g] - want) < 1e-9 and abs(pairs[g] - want) < 1e-9
+        assert abs(got[g] - _kendall_brute(sub.y.tolist(), sub.p.tolist())) < 1e-9
 
 
 def test_spearman_matches_pandas(spark):
     df, pdf = _pairs(spark)
     got = {r.g: r.spearman for r in M.spearman(df, ["g"]).collect()}
     for g, sub in pdf.groupby("g"):
-        want = sub.y.rank().corr(sub.p.rank())
-        assert abs(got[g] - want) < 1e-9
-    old = M.MAX_HIST
-    M.MAX_HIST = 1
-    try:
-        ml = {r.g: r.spearman for r in M.spearman(df, ["g"]).collect()}
-    finally:
-        M.MAX_HIST = old
-    assert all(abs(ml[g] - got[g]) < 1e-9 for g in got)
+        assert abs(got[g] - sub.y.rank().corr(sub.p.rank())) < 1e-9
+    rnd = random.Random(1)
+    rows = [(rnd.randint(1, 265), rnd.gauss(0, 1)) for _ in range(3000)]
+    want = pd.DataFrame(rows).rank().corr().iloc[0, 1]
+    assert abs(M.spearman(spark.createDataFrame(rows, "y int, p double"), []).first().spearman - want) < 1e-9
+
+
+def test_incomplete_pairs_are_left_out(spark):
+    rows = [(1, 2.0), (2, 1.0), (3, 3.0), (4, 4.0), (None, 9.0), (50, None), (None, None)]
+    r = M.all_metrics(spark.createDataFrame(rows, "y int, p double"), []).first()
+    assert (r.n, r.n_incomplete, r.accuracy_5) == (4, 3, 1.0)
+    assert abs(r.r2 - 0.6) < 1e-12 and abs(r.spearman - 0.8) < 1e-12 and abs(r.kendall - 2 / 3) < 1e-12
 
 
 def test_error_metrics(spark):

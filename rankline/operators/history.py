@@ -307,6 +307,7 @@ def latest_per_subject(df: DataFrame) -> DataFrame:
 
 def subject_summary(df: DataFrame) -> DataFrame:
     """previous (latest) rank, last update, count, mean / min / max rank per subject."""
+    df, _ = _ensure_model(df)
     # the last row in the order of the history windows, as in latest_per_subject
     latest = F.max(F.struct(F.col(TIME), F.col("Model"), F.col("Rank")))
     return df.groupBy(SUBJECT).agg(

@@ -222,18 +222,21 @@ SCALED = ["Year", "Month", "DayOfMonth", "DayOfWeek", "DaysSinceFirst", "DaysSin
 
 def _scaled_sql() -> str:
     base = f"SELECT {_BASE_COMMON}, {_pos_last_sql()} FROM inputs i CROSS JOIN s"
+    fitted = f"SELECT {_BASE_COMMON[_BASE_COMMON.index('CAST(year'):]} FROM rankings i CROSS JOIN s"
     stats = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in SCALED)
     scaled = ", ".join(f"round(CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE CAST({c} AS DOUBLE) END, 6) AS {c}"
                        for c in SCALED)
     pos = ", ".join(f'"{f}_Position"' for f in FIXTURE_VOCAB)
-    return with_views("rankings", "inputs", extra=[_REF[2:], f"b AS ({base})", f"st AS (SELECT {stats} FROM b)"]) + f"""
+    return with_views("rankings", "inputs", extra=[_REF[2:], f"b AS ({base})", f"rb AS ({fitted})", f"st AS (SELECT {stats} FROM rb)"]) + f"""
 SELECT event_id, SubjectID, Rank, UpdateDT, {scaled}, {pos} FROM b CROSS JOIN st"""
 
 
 @register("scaled_features", _scaled_sql())
 def scaled_features(spark, sf):
-    pos = _base(spark, sf)[0]
-    return rounded(FE.scale_columns(pos, SCALED))
+    """Inputs scaled by the reference rows, so a row scales alike in every batch."""
+    reference = rankings(spark, sf)
+    fitted = FE.base_features(reference, reference, FIXTURE_VOCAB)[0]
+    return rounded(FE.scale_columns(_base(spark, sf)[0], SCALED, fit_on=fitted))
 
 
 @register("reference_stats", with_views("rankings") + """

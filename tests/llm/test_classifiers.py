@@ -67,7 +67,7 @@ def test_noisy_or_of_sentences():
     z = [-2.0, 1.0, -0.5, -0.5]
     assert p == pytest.approx(1 - math.prod(1 - 1 / (1 + math.exp(-x)) for x in z))
     assert [s[:2] for s in spans] == [(9, 20)]
-    p, spans = scorer("awful. awful. awful.")
+    p, spans = scorer("awful one. awful two. awful three.")
     assert p >= 0.5 and len(spans) == 1  # only together do they reach 0.5: the highest is named
 
 

@@ -32,8 +32,8 @@ from rankline.llm.common import table
 from rankline.llm.registry import register
 
 # Entries a worker keeps of each memo (a bound on memory only).
-PIECE_MEMO = 300_000
-PAIR_MEMO = 300_000
+PIECE_MEMO = 240_000
+PAIR_MEMO = 150_000
 # Longer pieces are encoded each time: long runs hardly repeat and would fill the memo.
 MEMO_CHARS = 48
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from rankline.llm.common import fresh, held_out, table, training_sample
 from rankline.llm.registry import register
 
-PER_CLASS = 2400
+PER_CLASS = 2000
 MAX_CHARS = 20_000
 BITS = 18
 STEPS = 120
@@ -58,20 +59,23 @@ def fit(sample: list[tuple[str, int]], numbers: dict[int, int]):
     y = np.array([k for _, k in sample], float)
     if not y.any() or y.all():
         return None
-    feature, sentence, document = [], [], []
+    feature, sentence, document = array("i"), array("i"), array("i")
+    in_documents = np.zeros(1 << BITS, np.int32)
     for d, (text, _) in enumerate(sample):
+        met: set[int] = set()
         for a, b in sentences(text):
             for word in set(text[a:b].split()):
                 got = features(word)
-                feature += got
-                sentence += [len(document)] * len(got)
+                met.update(got)
+                feature.extend(got)
+                sentence.extend([len(document)] * len(got))
             document.append(d)
-    feature, sentence = np.array(feature, np.int32), np.array(sentence, np.int32)
-    document = np.array(document, np.int32)
+        in_documents[list(met)] += 1
     # features of too few documents are noise: they keep weight 0
-    pairs = np.unique(feature.astype(np.int64) * len(y) + document[sentence])
-    common = np.bincount(pairs // len(y), minlength=1 << BITS) >= max(2, min(8, len(y) // 200))
-    feature, sentence = feature[common[feature]], sentence[common[feature]]
+    common = in_documents >= max(2, min(8, len(y) // 200))
+    feature, sentence, document = (np.frombuffer(x, np.int32) for x in (feature, sentence, document))
+    kept = common[feature]
+    feature, sentence = feature[kept], sentence[kept]
     nd, ns, total = len(y), len(document), sum(numbers.values())
     # weights that restore the share of each label among all labelled rows
     share = np.where(y == 1, numbers[1] / total / y.mean(), numbers[0] / total / (1 - y.mean()))
@@ -79,7 +83,7 @@ def fit(sample: list[tuple[str, int]], numbers: dict[int, int]):
     w, m, v = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias, mb, vb = -6.0, 0.0, 0.0
     for step in range(1, STEPS + 1):
-        kept = rng.random(len(feature)) < 0.5
+        kept = rng.integers(0, 2, len(feature), np.uint8).astype(bool)
         f, s = feature[kept], sentence[kept]
         z = bias + np.bincount(s, w[f], ns)
         none = np.exp(-(np.bincount(document, np.logaddexp(0, z), nd) + 1e-9))  # probability of no toxic sentence

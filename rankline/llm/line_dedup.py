@@ -4,7 +4,8 @@ Every line with a word becomes a line id (a 96-bit hash of the trimmed line); a
 a sequence of line ids, and all documents together are one text whose suffixes are ranked.
 
 1. *Pruning.*  A line that occurs once ends every repeated run, so only lines that occur again
-   are kept; a gap in the positions ends a suffix.
+   are kept; a gap in the positions ends a suffix.  With ``across_blank`` the positions number
+   the lines with a word only, so blank lines between paragraphs are no gaps.
 2. *Prefix doubling.*  Rank 0 orders suffixes by their first line.  Round ``k`` takes the pair
    (rank at p, rank at p + 2^k), 0 beyond a gap, and ranks the pairs: a suffix's new rank is its
    old one plus the number of suffixes of its old group with a smaller second rank.  After the
@@ -27,7 +28,8 @@ aggregation before ranks are numbered, and a group's running sum is taken over b
 ``BLOCK`` ranks first, so a line that a third of all rows share is never one task's work.
 Joins on line ids and intervals have one row per key on one side, so AQE can split hot keys.
 
-Defined results: blank lines are no lines here and are never deleted; NULL and empty texts pass
+Defined results: blank lines are no lines here and are never deleted; with ``across_blank``, as
+the query and the pipeline run it, a run goes on behind them, without it a blank line ends a run; NULL and empty texts pass
 through; NULL ids come last; rows that repeat both doc_id and text are the same document and
 get the same result; rows that share a doc_id but not the text are documents of their own.
 Extra columns pass through.  An empty table gives an empty result.
@@ -51,11 +53,15 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(d, t, pos, a, b, n): document key, line position, line id in two parts, words of the line."""
+def lines(docs: DataFrame, across_blank: bool = False) -> DataFrame:
+    """(d, t, pos, a, b, n): document key, line position, line id in two parts, words of the line.
+
+    ``pos`` counts the lines with a word if ``across_blank``, else all lines."""
+    trimmed = F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)))
+    if across_blank:
+        trimmed = F.filter(trimmed, lambda x: x != "")
     cut = docs.select(F.col("doc_id").alias("d"), _text_key(F.col("text")).alias("t"),
-                      F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    cut = cut.select("d", "t", "pos", F.btrim("line", F.lit(SPACE)).alias("line")).where(F.col("line") != "")
+                      F.posexplode(trimmed).alias("pos", "line")).where(F.col("line") != "")
     return cut.select("d", "t", "pos", F.xxhash64("line").alias("a"), F.hash("line").alias("b"),
                       F.regexp_count("line", F.lit(WORD)).alias("n"))
 
@@ -142,9 +148,9 @@ def _runs(kept: DataFrame, k: int, min_words: int) -> DataFrame:
     return of_doc.select("d", "t", F.explode(run("rows")).alias("run")).select("d", "t", "run.*")
 
 
-def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, across_blank: bool = False) -> DataFrame:
     """(d, t, copies): per document with deletions, the array of (start, m, from_doc) of its later copies."""
-    rows = cut_lineage(lines(docs.select("doc_id", "text")))
+    rows = cut_lineage(lines(docs.select("doc_id", "text"), across_blank))
     kept, k = ranked_suffixes(rows, min_words)
     runs = cut_lineage(_runs(kept, k, min_words))
     place = F.struct(F.col("d").isNull().alias("o"), "d", "t", "start")
@@ -156,25 +162,36 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.struct("start", "m", F.col("first.d").alias("from_doc")))).alias("copies"))
 
 
+def _join(joined: list[list[int]], a: int, b: int) -> None:
+    """Adds [a, b) to ranges that begin no later."""
+    if joined and a <= joined[-1][1]:
+        joined[-1][1] = max(b, joined[-1][1])
+    else:
+        joined.append([a, b])
+
+
 CUT = "struct<text string, removed array<array<bigint>>, n_removed bigint>"
 
 
-def _delete(texts, copies):
-    """The text without the lines of the runs, the runs joined up as [start, end), the number of lines."""
+def _delete(texts, copies, across_blank):
+    """The text without the lines of the runs, the runs joined up as [start, end), the number of lines.
+
+    The ranges count all lines of the text; blank lines inside a run stay and divide its range."""
     import pyarrow as pa
     out = []
     for t, c in zip(texts, copies):
         if not t.is_valid or not c.is_valid:
             out.append(None)
             continue
+        parts, kept, at = t.as_py().split("\n"), [], 0
         joined: list[list[int]] = []
         for run in c.as_py():
-            a, b = run["start"], run["start"] + run["m"]
-            if joined and a <= joined[-1][1]:
-                joined[-1][1] = max(b, joined[-1][1])
-            else:
-                joined.append([a, b])
-        parts, kept, at = t.as_py().split("\n"), [], 0
+            _join(joined, run["start"], run["start"] + run["m"])
+        if across_blank:
+            solid, numbered, joined = [i for i, x in enumerate(parts) if x.strip(SPACE)], joined, []
+            for a, b in numbered:
+                for i in solid[a:b]:
+                    _join(joined, i, i + 1)
         for a, b in joined:
             kept += parts[at:a]
             at = b
@@ -183,18 +200,19 @@ def _delete(texts, copies):
     return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.list_(pa.list_(pa.int64()))), ("n_removed", pa.int64())]))
 
 
-def _joined(docs: DataFrame, min_words: int) -> DataFrame:
+def _joined(docs: DataFrame, min_words: int, across_blank: bool) -> DataFrame:
     """Rows of ``docs`` as a struct _row, with their copies and the struct _cut (NULL: nothing to delete)."""
-    copies = later_copies(docs, min_words).select(F.col("d").alias("_d"), F.col("t").alias("_t"), "copies")
+    copies = later_copies(docs, min_words, across_blank).select(F.col("d").alias("_d"), F.col("t").alias("_t"), "copies")
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), _text_key(F.col("text")).alias("_key"))
     both = rows.join(copies, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left")
     # texts without deletions do not travel to Python
-    return both.withColumn("_cut", F.arrow_udf(_delete, CUT)(F.when(F.col("copies").isNotNull(), F.col("_row.text")), F.col("copies")))
+    cut = F.arrow_udf(lambda texts, copies: _delete(texts, copies, across_blank), CUT)
+    return both.withColumn("_cut", cut(F.when(F.col("copies").isNotNull(), F.col("_row.text")), F.col("copies")))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, across_blank: bool = False) -> DataFrame:
     """All rows and columns of ``docs``; ``text`` without the later copies of repeated runs."""
-    both = _joined(docs, min_words)
+    both = _joined(docs, min_words, across_blank)
     return both.select(*[F.coalesce("_cut.text", "_row.text").alias(c) if c.lower() == "text" else F.col(f"_row.`{c}`")
                          for c in docs.columns])
 
@@ -202,7 +220,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 @register("op5_line_dedup")
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, cleaned text, number of removed lines, removed line ranges, documents that hold the first copies."""
-    both = _joined(table(spark, sf_dir, "documents"), MIN_WORDS)
+    both = _joined(table(spark, sf_dir, "documents"), MIN_WORDS, across_blank=True)
     return both.select(F.col("_id").alias("doc_id"), F.coalesce("_cut.text", "_row.text").alias("text"),
                        F.coalesce("_cut.n_removed", F.lit(0)).cast("long").alias("n_removed"),
                        F.col("_cut.removed").alias("removed"),

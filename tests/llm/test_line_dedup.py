@@ -83,3 +83,45 @@ def test_whole_table(spark, make_docs):
     check(spark, make_docs, short, 5)
     got = line_dedup.op5_line_dedup(spark, SF)
     assert got.count() == len(docs) and got.where("n_removed > 0").count() > 0
+
+
+def squeezed(docs):
+    """The texts without their blank lines."""
+    return [(d, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(SPACE))) for d, t in docs]
+
+
+def check_across(spark, make_docs, docs, min_words):
+    """The lines with a word that stay are those of the brute force on texts without blank lines; all blank lines stay."""
+    from pyspark.sql import functions as F
+    for r in make_docs(docs).select("text", line_dedup._text_key(F.col("text")).alias("t")).collect():
+        SIGN[r.text or ""] = r.t
+    short = squeezed(docs)
+    SIGN.update({s[1] or "": SIGN[d[1] or ""] for d, s in zip(docs, short)})  # the order is that of the whole texts
+    got = [(r.doc_id, r.text) for r in line_dedup.dedup_lines(make_docs(docs), min_words, across_blank=True).collect()]
+    assert sorted(squeezed(got), key=str) == sorted(squeezed(brute(short, min_words)), key=str)
+
+    def blank(rows):
+        return sorted(((d, sum(not x.strip(SPACE) for x in (t or "").split("\n"))) for d, t in rows if t and t.strip(SPACE)), key=str)
+
+    texts = dict(docs)
+    assert blank(got) == blank([(d, texts[d]) for d, t in got if t and t.strip(SPACE)])
+
+
+@pytest.mark.parametrize("min_words", [3, 9])
+def test_random_documents_across_blank_lines(spark, make_docs, min_words):
+    rnd = random.Random(min_words)
+    pool = ["a", "b b", "c c c", "d", " e e ", "", "", " \t", "f f f f"]
+    docs = [(i, f"doc{i} head\n" + "\n".join(rnd.choice(pool) + (f" {rnd.randint(0, 9)}" if rnd.random() < .2 else "")
+                                              for _ in range(rnd.randint(0, 14)))) for i in range(25)]
+    check_across(spark, make_docs, docs, min_words)
+
+
+def test_passage_of_short_paragraphs(spark, make_docs, tmp_path):
+    paragraphs = [" ".join(f"w{p}x{i}" for i in range(30)) for p in range(2)]
+    passage = "\n\n".join(paragraphs)
+    docs = [(1, passage), (2, "head\n" + passage + "\ntail"), (3, paragraphs[0] + "\n\nother"), (4, passage.replace("\n\n", "\n \n\n"))]
+    check_across(spark, make_docs, docs, 50)
+    make_docs(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_removed, r.removed, r.first_copies) for r in line_dedup.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (passage, 0, None, None), 2: ("head\n\ntail", 2, [[1, 2], [3, 4]], [1]),
+                   3: (docs[2][1], 0, None, None), 4: (" \n", 2, [[0, 1], [3, 4]], [1])}

@@ -119,35 +119,82 @@ def format_turns(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     return t.select("conv_id", "role", "escaped", "name").mapInArrow(run, SEGMENTS)
 
 
+class Reader:
+    """Turns of one conversation, read from its joined output, which comes piece by piece.
+
+    The output is cut at every control string of the template.  An opening begins a turn, and ends
+    one that is still open; a closing ends a turn.  Text or a control string where the template has
+    none is a turn without a role, so output that is not well formed reads back as other turns.
+    Keeps the current turn and as many characters as a control string has.
+    """
+
+    def __init__(self, template: Template = INSTRUCT):
+        import re
+        self.template = template
+        self.head, self.tail = template.other.opening.split("{role}")
+        self.opens = {m.opening: role for role, m in template.roles.items()}
+        self.closes = {m.closing for m in template.roles.values()} | {template.other.closing}
+        marks = sorted({*self.opens, *self.closes, self.head, self.tail}, key=lambda x: (-len(x), x))
+        self.mark, self.longest = re.compile("|".join(map(re.escape, marks))), len(marks[0])
+        self.rest, self.text = "", []
+        self.role, self.open, self.named = "", False, True  # named: false inside the opening of an unknown role
+
+    def _end(self, always: bool) -> Iterator[tuple[str, str]]:
+        text, self.text = unescape("".join(self.text), self.template), []
+        if always or text:
+            yield self.role, text
+        self.role, self.open, self.named = "", False, True
+
+    def read(self, piece: str, last: bool = False) -> Iterator[tuple[str, str]]:
+        """(role, text) of the turns that end in ``piece``; ``last``: the output ends here."""
+        rest, at = self.rest + piece, 0
+        # a control string that begins here or later may go on in the next piece
+        sure = len(rest) if last else max(0, len(rest) - self.longest + 1)
+        for m in self.mark.finditer(rest):
+            if m.start() >= sure:
+                break
+            self.text.append(rest[at:m.start()])
+            at, mark = m.end(), m.group()
+            if mark in self.opens or mark == self.head:
+                yield from self._end(self.open)
+                self.role, self.open, self.named = self.opens.get(mark, ""), True, mark in self.opens
+            elif mark == self.tail and not self.named:
+                self.role, self.text, self.named = unescape("".join(self.text), self.template), [], True
+            else:
+                yield from self._end(True)
+        sure = max(at, sure)
+        self.text.append(rest[at:sure])
+        self.rest = rest[sure:]
+        if last:
+            yield from self._end(self.open)
+
+
 def read_back(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """One row per conversation, read from the formatted strings and the loss mask alone.
 
-    Roles and texts are parsed out of each turn's formatted string by the template's markers;
-    the columns role and in_order of the segments are used for the order report only.
+    Roles and texts are parsed out of each conversation's joined output by the template's control
+    strings; the columns part and in_order of the segments are used for the order report only.
     Expects the partitioning and order of ``format_turns``.
     """
     schema = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
               "formatted_chars long, n_out_of_order long, complete boolean")
 
-    def parse(formatted: str) -> tuple[str, str]:
-        for role, mark in template.roles.items():
-            if formatted.startswith(mark.opening):
-                return role, unescape(formatted[len(mark.opening):len(formatted) - len(mark.closing)], template)
-        head, tail = template.other.opening.split("{role}")
-        # the tail begins with a special character, so the escaped name cannot contain it
-        end = formatted.index(tail, len(head))
-        text = formatted[end + len(tail):len(formatted) - len(template.other.closing)]
-        return unescape(formatted[len(head):end], template), unescape(text, template)
-
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         names = [c.split()[0] for c in schema.split(", ")]
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-        conv, open_, n, turns, loss = None, False, 0, sha256(), sha256()
+        conv, open_, n, turns, loss, reader = None, False, 0, sha256(), sha256(), Reader(template)
         loss_chars = chars = bad = 0
-        role, turn = "", []
+        role = ""
+
+        def read(piece: str, last: bool = False) -> None:
+            nonlocal n, role
+            for role, text in reader.read(piece, last):
+                turns.update(f"{role}\n{text}\n".encode())
+                n += 1
 
         def done() -> tuple:
+            read("", True)
             return (conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, bad, role in template.accept)
 
         for batch in batches:
@@ -156,18 +203,16 @@ def read_back(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
                 if not open_ or s["conv_id"] != conv:
                     if open_:
                         rows.append(done())
-                    conv, open_, n, turns, loss = s["conv_id"], True, 0, sha256(), sha256()
+                    conv, open_, n, turns, loss, reader = s["conv_id"], True, 0, sha256(), sha256(), Reader(template)
                     loss_chars = chars = bad = 0
-                turn.append(s["segment"])
+                    role = ""
+                read(s["segment"])
                 chars += len(s["segment"])
                 if s["loss"]:
                     text = unescape(s["segment"], template)
                     loss.update(text.encode())
                     loss_chars += len(text)
-                if s["part"] == 2:
-                    role, text = parse("".join(turn))
-                    turns.update(f"{role}\n{text}\n".encode())
-                    turn, n, bad = [], n + 1, bad + (not s["in_order"])
+                bad += s["part"] == 2 and not s["in_order"]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
         if open_:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from rankline.llm.common import fresh, held_out, table, training_sample
 from rankline.llm.registry import register
 
-PER_CLASS = 2000
+PER_CLASS = 2400
 MAX_CHARS = 20_000
 BITS = 18
 STEPS = 120

@@ -79,3 +79,11 @@ def test_training_finds_the_words_that_matter():
     assert scorer("nothing here. you scumbagging one.")[0] > 0.5 > scorer("word3 is fine. and so is thing2.")[0]
     assert scorer("fine. you scumbag1 indeed.")[1][0][0] == 5
     assert tx.fit([], {}) is None and tx.fit(clean, {0: 200}) is None
+
+
+def test_training_draws_2400_of_each_label(spark, monkeypatch):
+    docs = spark.range(7000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    monkeypatch.setattr(tx, "fit", lambda sample, numbers: (sample, numbers))
+    sample, numbers = tx.train(docs, labels)
+    assert min(numbers.values()) > 2400 and [sum(y == k for _, y in sample) for k in (0, 1)] == [2400, 2400]

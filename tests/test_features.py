@@ -7,7 +7,7 @@ from rankline.operators import factors as FA
 from rankline.operators import features as FE
 from rankline.schema import DRIVERS
 from rankline.sources.fixtures import view
-from conftest import SF_SMALL
+from testdata import SF_SMALL
 
 
 def _input(spark, sid="test1"):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rankline.operators import history as H
 from rankline.operators.reports import subject_lookup
 from rankline.sources.fixtures import view
-from conftest import SF_MID, SF_SMALL
+from testdata import SF_MID, SF_SMALL
 
 
 def _hist(spark):

@@ -7,7 +7,7 @@ from rankline.operators import features as FE
 from rankline.plans import models as ML
 from rankline.plans.q_history import FIXTURE_VOCAB
 from rankline.sources.fixtures import view
-from conftest import SF_SMALL
+from testdata import SF_SMALL
 
 
 def _train(spark):

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from parity import compare, duck
-from conftest import SF_SMALL
+from testdata import SF_SMALL
 
 ORACLE = E.oracle_sql()
 SLOW = {"stream_insert"}

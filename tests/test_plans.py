@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rankline.operators import features as FE
 from rankline.plans.q_history import FIXTURE_VOCAB
 from rankline.sources.fixtures import view
-from conftest import SF_MID
+from testdata import SF_MID
 
 
 def _plan(df):

@@ -1,6 +1,6 @@
 from rankline.operators import quality as Q
 from rankline.sources.fixtures import view
-from conftest import SF_SMALL
+from testdata import SF_SMALL
 
 
 def test_report_on_dirty_table(spark):

@@ -11,7 +11,7 @@ from rankline.schema import DRIVERS, RANKINGS
 from rankline.streaming.jobs import score_rows, stream_score
 from rankline.plans.q_history import FIXTURE_VOCAB
 from rankline.sources.fixtures import view
-from conftest import SF_SMALL
+from testdata import SF_SMALL
 
 DAY = dt.datetime(2022, 5, 1)
 

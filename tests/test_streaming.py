@@ -5,7 +5,7 @@ from rankline.schema import RANKINGS
 from rankline.sources.fixtures import view
 from rankline.sources.ingest import rows_to_insert
 from rankline.streaming.jobs import stream_insert
-from conftest import SF_SMALL
+from testdata import SF_SMALL
 
 
 def test_stream_insert_equals_batch_and_is_idempotent(spark):

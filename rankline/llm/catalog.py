@@ -7,7 +7,7 @@ from rankline.llm.registry import ORACLE, QUERIES  # noqa: F401
 
 def load_all() -> None:
     # importing the modules registers their queries
-    from rankline.llm import (bpe, chat, compress_quality, hamming_search, line_dedup, lm_score, mixing,
+    from rankline.llm import (bpe, chat, compress_quality, fill_middle, hamming_search, line_dedup, lm_score, mixing,
                               quality_rules, simhash, toxicity)  # noqa: F401
     import corpus_pipeline
     QUERIES["pipeline"] = corpus_pipeline.run

@@ -33,4 +33,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def load_all() -> None:
     # importing the modules registers their queries
-    from rankline.plans import q_history, q_factors, q_quality, q_ingest, q_eval, q_models, q_stream  # noqa: F401
+    from rankline.plans import q_history, q_factors, q_quality, q_ingest, q_eval, q_models, q_store, q_stream  # noqa: F401

@@ -133,7 +133,12 @@ def dedup_batch(new: DataFrame, null_safe: bool = True) -> DataFrame:
 def rows_to_insert(existing: DataFrame, new: DataFrame, null_safe: bool = True,
                    broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Rows of ``new`` whose key is absent from ``existing`` (duplicates skipped, not errors)."""
-    batch = dedup_batch(new.select(*existing.columns), null_safe)
+    return absent_rows(existing, dedup_batch(new.select(*existing.columns), null_safe), null_safe, broadcast_keys)
+
+
+def absent_rows(existing: DataFrame, batch: DataFrame, null_safe: bool = True,
+                broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows of ``batch`` (one per key) whose key ``existing`` lacks."""
     ex_keys = existing.select(*KEY)
     n_batch = batch.count() if broadcast_keys else None
     if n_batch is not None and n_batch <= broadcast_keys:

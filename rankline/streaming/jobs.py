@@ -1,23 +1,25 @@
 """Structured Streaming jobs: idempotent insert and micro-batch scoring.
 
-Both use ``foreachBatch`` with a checkpoint location, so a restarted query
-resumes from the last committed batch; the insert is an anti-join against the
-stored table, so a batch that is replayed after a failure appends nothing
-twice.  Late or out-of-order rows need no state store: features are always
-recomputed from the stored table, never from stream state.
+Both use ``foreachBatch`` with a checkpoint location and a table with a commit log
+(``sources.store``).  A batch is committed under the query's id and the batch's
+number, so a batch that is replayed after a failure appends nothing twice, and
+the insert reads only the files that the batch's keys can be in.  Late or
+out-of-order rows need no state store: features come from the stored table
+(summaries per subject and slice, ``operators.summaries``), never from stream state.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rankline.functions.columns import count_chosen, driver_array, half_even_int
+from rankline.operators import summaries
 from rankline.operators.features import serving_features
 from rankline.schema import DRIVERS, RANKINGS
 from rankline.session import cut_lineage
-from rankline.sources.ingest import create_if_absent, insert_if_absent
+from rankline.sources import store
 
 
 def _start(stream: DataFrame, fn, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -26,6 +28,14 @@ def _start(stream: DataFrame, fn, checkpoint: str, available_now: bool) -> Strea
     return w.start()
 
 
+def batch_name(spark: SparkSession, epoch_id: int) -> str:
+    """Name of a micro-batch: the query's id is kept in its checkpoint, so a replay has the same name."""
+    query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not query:
+        raise RuntimeError("a micro-batch without a query id cannot be told from others")
+    return f"{query}/{epoch_id}"
+
+
 def stream_insert(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str,
                   files_per_batch: int | None = None, available_now: bool = True,
                   null_safe: bool = True, dedup_delay: str | None = None) -> StreamingQuery:
@@ -37,7 +47,7 @@ def stream_insert(spark: SparkSession, source_dir: str, table_path: str, checkpo
     for the watermark (which rejects timestamp_ntz).  Correctness does not
     depend on it: the anti-join against the table still catches late repeats.
     """
-    create_if_absent(spark, table_path)
+    store.create_if_absent(spark, table_path)
     reader = spark.readStream.schema(RANKINGS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -50,39 +60,55 @@ def stream_insert(spark: SparkSession, source_dir: str, table_path: str, checkpo
     def batch(df: DataFrame, epoch_id: int) -> None:
         if "_event_time" in df.columns:
             df = df.drop("_event_time")
-        insert_if_absent(df.sparkSession, table_path, df, null_safe=null_safe)
+        store.insert(df.sparkSession, table_path, df, null_safe=null_safe, batch_id=batch_name(df.sparkSession, epoch_id))
 
     return _start(stream, batch, checkpoint, available_now)
 
 
+def scorable(new: DataFrame) -> DataFrame:
+    """Rows with a chosen factor, their subject id as a number; written once, as they are read several times."""
+    chosen = count_chosen(driver_array())
+    return cut_lineage(new.where(chosen > 0).withColumn("SubjectID", F.expr("try_cast(nullif(SubjectID, '') AS BIGINT)")))
+
+
+def predictions(feats: DataFrame, model, model_name: str, id_col: str = "event_id") -> DataFrame:
+    """id, table columns and prediction."""
+    return model.transform(feats).select(
+        id_col, "SubjectID", half_even_int("prediction").alias("Rank"), *DRIVERS, "UpdateDT",
+        F.lit(False).alias("OriginalDataFlag"), F.lit(model_name).alias("Model"), "prediction")
+
+
 def score_rows(history: DataFrame, new: DataFrame, model, vocab: list[str], model_name: str,
                id_col: str = "event_id", first_time: DataFrame | None = None) -> DataFrame:
     """Score new rows against the observed rows of ``history``: id, table columns and prediction.
 
-    Used by batch and stream.  Rows without any chosen factor are not scored.  Rows without a
-    subject id are scored as new subjects; their SubjectID is NULL, so they cannot be stored.
+    Rows without any chosen factor are not scored.  Rows without a subject id are scored as new
+    subjects; their SubjectID is NULL, so they cannot be stored.
     ``first_time``: the first time the model was trained with.
     """
-    chosen = count_chosen(driver_array())
-    # the batch is written once: it is read for its subjects, its features and its output
-    new = cut_lineage(new.where(chosen > 0).withColumn("SubjectID", F.expr("try_cast(nullif(SubjectID, '') AS BIGINT)")))
-    feats = serving_features(history, new, vocab, id_col=id_col, first_time=first_time, keep=DRIVERS)
-    return model.transform(feats).select(
-        id_col, "SubjectID", half_even_int("prediction").alias("Rank"), *DRIVERS, "UpdateDT",
-        F.lit(False).alias("OriginalDataFlag"), F.lit(model_name).alias("Model"), "prediction")
+    feats = serving_features(history, scorable(new), vocab, id_col=id_col, first_time=first_time, keep=DRIVERS)
+    return predictions(feats, model, model_name, id_col)
+
+
+def score_against_table(spark: SparkSession, table_path: str, new: DataFrame, model, vocab: list[str], model_name: str,
+                        id_col: str = "event_id", first_time: DataFrame | None = None) -> DataFrame:
+    """``score_rows`` with the stored table's observed rows as history, read through its summaries."""
+    feats = summaries.serving_features(spark, table_path, scorable(new), vocab, id_col=id_col, first=first_time, keep=DRIVERS)
+    return predictions(feats, model, model_name, id_col)
 
 
 def stream_score(spark: SparkSession, source_dir: str, input_schema, table_path: str, checkpoint: str,
-                 model, vocab: list[str], model_name: str,
+                 model, vocab: list[str], model_name: str, unkeyed_path: str,
                  files_per_batch: int | None = None, available_now: bool = True,
-                 first_time: DataFrame | None = None, unkeyed_path: str | None = None) -> StreamingQuery:
+                 first_time: DataFrame | None = None) -> StreamingQuery:
     """New input rows arriving as files -> features vs observed history -> model -> insert-if-absent.
 
     History is the observed rows of the table, so predictions that earlier batches stored change
     nothing and the order of the files does not matter.  Predictions for rows without a subject id
-    are written to ``unkeyed_path`` (one folder per batch, rewritten if the batch is replayed).
+    have no key to be stored under: they go, with their input's id, to ``unkeyed_path`` (one folder per
+    batch, rewritten if the batch is replayed; ``unkeyed_predictions`` reads them).
     """
-    create_if_absent(spark, table_path)
+    store.create_if_absent(spark, table_path)
     reader = spark.readStream.schema(input_schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -90,10 +116,15 @@ def stream_score(spark: SparkSession, source_dir: str, input_schema, table_path:
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         s = df.sparkSession
-        history = s.read.schema(RANKINGS).parquet(table_path)
-        rows = cut_lineage(score_rows(history, df, model, vocab, model_name, first_time=first_time))
-        insert_if_absent(s, table_path, rows.where(F.col("SubjectID").isNotNull()).select(*RANKINGS.fieldNames()))
-        if unkeyed_path:
-            rows.where(F.col("SubjectID").isNull()).write.mode("overwrite").parquet(f"{unkeyed_path}/batch={epoch_id}")
+        rows = cut_lineage(score_against_table(s, table_path, df, model, vocab, model_name, first_time=first_time))
+        rows.where(F.col("SubjectID").isNull()).write.mode("overwrite").parquet(f"{unkeyed_path}/batch={epoch_id}")
+        store.insert(s, table_path, rows.where(F.col("SubjectID").isNotNull()).select(*RANKINGS.fieldNames()),
+                     batch_id=batch_name(s, epoch_id))
 
     return _start(stream, batch, checkpoint, available_now)
+
+
+def unkeyed_predictions(spark: SparkSession, unkeyed_path: str) -> DataFrame:
+    """The predictions that a scoring stream could not store for want of a subject id."""
+    full = T.StructType([T.StructField("event_id", T.LongType()), *RANKINGS.fields, T.StructField("prediction", T.DoubleType())])
+    return spark.read.schema(full).parquet(unkeyed_path)

@@ -8,7 +8,8 @@ from rankline.operators import features as FE
 from rankline.operators import history as H
 from rankline.plans import models as ML
 from rankline.schema import DRIVERS, RANKINGS
-from rankline.streaming.jobs import score_rows, stream_score
+from rankline.sources import store
+from rankline.streaming.jobs import score_rows, stream_score, unkeyed_predictions
 from rankline.plans.q_history import FIXTURE_VOCAB
 from rankline.sources.fixtures import view
 from testdata import SF_SMALL
@@ -81,16 +82,17 @@ def test_order_of_stream_files_does_not_matter(spark, tmp_path):
     out = []
     for k, parts in enumerate((["event_id % 2 = 0", "event_id % 2 = 1"], ["event_id % 2 = 1", "event_id % 2 = 0"])):
         base = f"{tmp_path}/{k}"
-        hist.write.parquet(f"{base}/table")
+        store.create_if_absent(spark, f"{base}/table", buckets=2)
+        store.insert(spark, f"{base}/table", hist)
         for i, p in enumerate(parts):
             new.where(p).coalesce(1).write.mode("append").parquet(f"{base}/source")
             q = stream_score(spark, f"{base}/source", new.schema, f"{base}/table", f"{base}/ckpt",
                              ML.LinearScorer({"PrevRank": 0.5, "AvgPreviousRanks": 0.25}), FIXTURE_VOCAB, "Linear",
                              unkeyed_path=f"{base}/unkeyed")
             q.awaitTermination()
-        out.append(spark.read.schema(RANKINGS).parquet(f"{base}/table").where("Model = 'Linear'"))
+        out.append(store.read(spark, f"{base}/table").where("Model = 'Linear'"))
         blank = new.where("nullif(SubjectID, '') IS NULL AND nullif(Driver1, '') IS NOT NULL").count()
-        assert spark.read.parquet(f"{base}/unkeyed").count() == blank
+        assert unkeyed_predictions(spark, f"{base}/unkeyed").count() == blank
     assert out[0].count() > 0 and out[0].exceptAll(out[1]).count() == 0 and out[1].exceptAll(out[0]).count() == 0
 
 

@@ -2,6 +2,7 @@ import os
 import tempfile
 
 from rankline.schema import RANKINGS
+from rankline.sources import store
 from rankline.sources.fixtures import view
 from rankline.sources.ingest import rows_to_insert
 from rankline.streaming.jobs import stream_insert
@@ -12,28 +13,54 @@ def test_stream_insert_equals_batch_and_is_idempotent(spark):
     base = tempfile.mkdtemp()
     table, src, ckpt = (os.path.join(base, x) for x in ("t", "s", "c"))
     existing = view(spark, SF_SMALL, "rankings")
-    existing.write.parquet(table)
+    store.create_if_absent(spark, table, buckets=2)
+    store.insert(spark, table, existing)
     multi = view(spark, SF_SMALL, "rankings_multi").select(*RANKINGS.fieldNames())
     multi.repartition(3).write.parquet(src)
     multi.repartition(3).write.mode("append").parquet(src)
     stream_insert(spark, src, table, ckpt, files_per_batch=2).awaitTermination()
-    got = spark.read.schema(RANKINGS).parquet(table)
+    got = store.read(spark, table)
     want = existing.unionByName(rows_to_insert(existing, multi))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     # restarting with the same checkpoint processes nothing new
     stream_insert(spark, src, table, ckpt, files_per_batch=2).awaitTermination()
-    assert spark.read.schema(RANKINGS).parquet(table).count() == want.count()
+    assert store.read(spark, table).count() == want.count()
 
 
 def test_stream_insert_with_watermark_dedup(spark):
     base = tempfile.mkdtemp()
     table, src, ckpt = (os.path.join(base, x) for x in ("t", "s", "c"))
     existing = view(spark, SF_SMALL, "rankings")
-    existing.write.parquet(table)
+    store.create_if_absent(spark, table, buckets=2)
+    store.insert(spark, table, existing)
     multi = view(spark, SF_SMALL, "rankings_multi").select(*RANKINGS.fieldNames())
     multi.repartition(2).write.parquet(src)
     multi.repartition(2).write.mode("append").parquet(src)
     stream_insert(spark, src, table, ckpt, files_per_batch=2, dedup_delay="1 hour").awaitTermination()
-    got = spark.read.schema(RANKINGS).parquet(table)
+    got = store.read(spark, table)
     want = existing.unionByName(rows_to_insert(existing, multi))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_a_micro_batch_replayed_after_a_failure_adds_nothing(spark, monkeypatch):
+    base = tempfile.mkdtemp()
+    table, src, ckpt = (os.path.join(base, x) for x in ("t", "s", "c"))
+    multi = view(spark, SF_SMALL, "rankings_multi").select(*RANKINGS.fieldNames())
+    multi.repartition(1).write.parquet(src)
+    real = store.insert
+
+    def dies_after_commit(*a, **k):
+        real(*a, **k)
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(store, "insert", dies_after_commit)
+    try:  # the batch is committed to the table, but not to the stream's checkpoint
+        stream_insert(spark, src, table, ckpt, null_safe=False).awaitTermination()
+        raise AssertionError("the stream should have failed")
+    except Exception as e:
+        assert "killed" in str(e)
+    monkeypatch.setattr(store, "insert", real)
+    n = store.read(spark, table).count()
+    assert n == multi.count()
+    stream_insert(spark, src, table, ckpt, null_safe=False).awaitTermination()
+    assert store.read(spark, table).count() == n  # the NULL keys of observed rows could not tell the replay

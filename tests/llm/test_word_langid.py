@@ -1,7 +1,7 @@
 import math
-import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,12 +15,16 @@ TEXTS = ["the cat", "le chat", "die Katze", "cats", "chats tapi", "größte Maß
          "ж", "the ж 漢字", "x" * 200, "le " * 5000 + "the", "dog chien"]
 
 
+def split(text):
+    return "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+
+
 def model(rows, grams=wl.GRAMS):
     """Words and n-grams with their costs, by plain counting."""
     word, gram = {}, {}
     for lang, text in rows:
         if lang is not None:
-            word.setdefault(lang, Counter()).update(re.findall(r"[^\W\d_]+", (text or "").lower()))
+            word.setdefault(lang, Counter()).update(split(text))
     for lang, c in word.items():
         for w, n in c.items():
             w = f" {w} "
@@ -35,7 +39,7 @@ def model(rows, grams=wl.GRAMS):
 
 
 def brute(text, words, pieces, languages, grams=wl.GRAMS):
-    found = re.findall(r"[^\W\d_]+", (text or "").lower())
+    found = split(text)
     if not found or not languages:
         return "und", 0.0
     total = dict.fromkeys(languages, 0.0)
@@ -61,26 +65,36 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "lang string, text string")
 
 
-def test_model_and_scores_equal_brute_force(spark):
-    languages, known, pieces = wl.train(frame(spark, TRAIN))
+def test_scores_equal_brute_force(spark, monkeypatch):
+    learnt = wl.train(frame(spark, TRAIN))
     words, grams = model(TRAIN)
-    assert languages == ["a", "b", "c"]
-    flat = {(k, languages[i]): c for k, v in known.items() for i, c in v}
-    assert flat == pytest.approx({(w, x): c for x, of in words.items() for w, c in of.items()})
-    flat = {(k, languages[i]): c for k, v in pieces.items() for i, c in v}
-    assert flat == pytest.approx({(g, x): c for (x, _), of in grams.items() for g, c in of.items()})
+    assert learnt.languages == ["a", "b", "c"]
+    assert len(learnt.words.gain) == sum(map(len, words.values()))
+    assert sum(len(e.gain) for e in learnt.grams.values()) == sum(map(len, grams.values()))
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, text string")
-    got = wl.identify(texts, (languages, known, pieces)).orderBy("i").collect()
+    got = wl.identify(texts, learnt).orderBy("i").collect()
     for r, t in zip(got, TEXTS):
-        lang, score = brute(t, words, grams, languages)
-        assert (r.lang_pred, r.score) == (lang, pytest.approx(score, abs=1e-9)), t
+        lang, score = brute(t, words, grams, learnt.languages)
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score, rel=0.02)), t
+    # texts cut into several slabs, between words only, get the same scores
+    monkeypatch.setattr(wl, "SLAB", 7)
+    assert learnt(TEXTS) == ([r.lang_pred for r in got], [r.score for r in got])
 
 
 def test_model_is_bounded_by_its_parameters(spark):
     rows = frame(spark, [("a", " ".join(f"{c}{d}" for c in "abcdefghij" for d in "klmnopqrst") + " the" * 50), ("b", "the le le")])
-    _, known, pieces = wl.train(rows, word_entries=40, gram_entries=100)
-    assert 0 < sum(map(len, known.values())) <= 40 and 0 < sum(map(len, pieces.values())) <= 100
-    assert "the" in known and "le" in known  # the most frequent stay
+    m = wl.train(rows, word_entries=40, gram_entries=100)
+    assert 0 < len(m.words.gain) <= 40 and 0 < sum(len(e.gain) for e in m.grams.values()) <= 100
+    chars = wl.Characters(" the le ")
+    assert m.words.find(chars.hashes(chars.starts, chars.ends))[0].all()  # the most frequent stay
+
+
+def test_hashes_depend_on_content_only():
+    a, b = wl.Characters(" ab cd ab "), wl.Characters(" x \U0001f600 y ab cdé ")
+    ha, hb = a.hashes(a.starts, a.ends).tolist(), b.hashes(b.starts, b.ends).tolist()
+    assert ha[0] == ha[2] == hb[2] and len({*ha, *hb}) == 5
+    place, key = a.grams(np.arange(3), 3)
+    assert place.tolist() == [0, 0, 1, 1, 2, 2] and key[0] == key[4] and key[1] == key[5] and key[0] != key[1]
 
 
 def test_ties_empty_tables_and_other_columns(spark, make_docs):

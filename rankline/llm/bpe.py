@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
 Each match of the pre-tokeniser pattern is encoded on its own.  Its UTF-8 bytes are mapped
-to Latin-1 characters so that a pyahocorasick automaton over the vocabulary can report, in
-one pass, the longest token that starts at every byte.  Encoding then walks left to right
-with the longest match; a token is accepted only if it is *compatible* with the token before
+to Latin-1 characters so that a pyahocorasick trie of the vocabulary can tell, at every byte the
+walk comes to, the longest token that starts there.  Encoding walks left to right with the
+longest match; a token is accepted only if it is *compatible* with the token before
 it, that is, if merging the two tokens' bytes by rank gives back exactly these two tokens.
 A rejected token is replaced by its next shorter prefix token, and when none is left the
 walk backtracks over the previous token and never enters that byte again.  A sequence whose
@@ -11,9 +11,10 @@ adjacent tokens are all compatible is the result of the merges, so the walk repr
 exactly; every byte is entered at most once and abandoned at most once, and compatibility is
 memoised per pair, so the work is linear in the bytes.
 
-Plan: both directions are row-local Arrow functions (no shuffle).  The rank file is read on
+Plan: both directions are row-local Arrow functions (no shuffle); ``round_trip`` is one function for
+both, so that the ids it decodes do not travel and texts are encoded once.  The rank file is read on
 the driver and broadcast (a vocabulary is of fixed size, about 1 MB); every Python worker
-builds the automaton once.
+builds the trie once.
 
 Defined results: a NULL or empty text has no ids and decodes to empty; ids that the
 vocabulary lacks, and NULL ids, decode to nothing; a column that already has the name of the
@@ -28,7 +29,7 @@ from array import array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankline.llm.common import table
+from rankline.llm.common import fresh, table
 from rankline.llm.registry import register
 
 # Entries a worker keeps of each memo (a bound on memory only).
@@ -66,7 +67,10 @@ class ByteBPE:
                     self.halves[i] = (halves[0], halves[1])
                 self.automaton.add_word(text, (len(text), i))
                 self.length[i] = len(text)
-        self.automaton.make_automaton()
+        self.trie_path = self.automaton.longest_prefix
+        self.longest_token = max(self.length.values())
+        # longest token of every path of the trie met so far (at most the trie's nodes)
+        self.at_path: dict[str, int] = {}
         self.shorter = {i: self._prefix(self.token[i].decode("latin-1")) for i in self.length}
         self.pair: dict[int, bool] = {}
         self.memo = _Memo(self.piece)
@@ -124,20 +128,29 @@ class ByteBPE:
             else:
                 limit, b = b + 1, halves[b][0]
 
+    def longest(self, text: str, pos: int) -> int:
+        """The longest token that starts at ``pos``."""
+        ahead = text[pos:pos + self.longest_token]
+        path = ahead[:self.trie_path(ahead)]
+        i = self.at_path.get(path)
+        if i is None:
+            whole = self.by_text.get(path)
+            i = whole if whole in self.length else self._prefix(path)
+            if i is None:
+                raise ValueError("the vocabulary lacks a byte of the text")
+            self.at_path[path] = i
+        return i
+
     def walk(self, text: str) -> list[int]:
         """Ids of one piece, given as Latin-1 text of its bytes."""
         n = len(text)
-        # longest[at - 1]: the longest token that starts at ``at`` (matches come by rising end)
-        longest = [0] * n
-        for end, (size, i) in self.automaton.iter(text):
-            longest[end - size] = i
-        length, shorter, known, compatible = self.length, self.shorter, self.pair.get, self.compatible
-        i = longest[-1]
+        length, shorter, known, compatible, longest = self.length, self.shorter, self.pair.get, self.compatible, self.longest
+        i = longest(text, 0)
         out = [i]
         last, pos, dead = i, length[i], None
         if pos == n:
             return out
-        i = longest[pos - 1]
+        i = longest(text, pos)
         while True:
             while i is not None:
                 end = pos + length[i]
@@ -164,14 +177,14 @@ class ByteBPE:
                         raise ValueError("the vocabulary lacks a byte of the text")
                     out.append(i)
                     last, pos = i, length[i]
-                    i = longest[pos - 1]
+                    i = longest(text, pos)
                     break
                 continue
             out.append(i)
             if end == n:
                 return out
             last, pos = i, end
-            i = longest[pos - 1]
+            i = longest(text, pos)
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece, as 32-bit integers one after another."""
@@ -218,54 +231,83 @@ def _codec(ranks, pattern: str) -> ByteBPE:
     return _BUILT[path, pattern]
 
 
+def _encoded(texts, ranks, pattern: str):
+    """Ids of an Arrow array of texts: (flat ids, ends of the rows)."""
+    import numpy as np
+    codec = _codec(ranks, pattern)
+    packed = [codec.packed(t.as_py()) for t in texts]
+    return np.frombuffer(b"".join(packed), np.int32), np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int64)
+
+
+def _decoded(flat, ends, ranks):
+    """The bytes of rows of ids; ids that the vocabulary lacks stand for nothing."""
+    import numpy as np
+    import pyarrow as pa
+    path, table_ = ranks.value
+    if path not in _TOKENS:
+        # bytes by id; the entry after the last id is empty and stands for unknown ids
+        by_id = dict(zip(table_.values(), table_))
+        _TOKENS[path] = pa.array([by_id.get(i, b"") for i in range(max(by_id) + 2)], pa.large_binary())
+    tokens = _TOKENS[path]
+    known = np.where((flat < 0) | (flat >= len(tokens)), len(tokens) - 1, flat)
+    parts = tokens.take(pa.array(known))
+    at = np.frombuffer(parts.buffers()[1], np.int64)[:len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+    data = parts.buffers()[2] if len(flat) else None
+    rows = pa.py_buffer(at[ends].tobytes())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, rows, data or pa.py_buffer(b"")]).cast(pa.binary())
+
+
+def _vocabulary(df: DataFrame, ranks_path: str):
+    return df.sparkSession.sparkContext.broadcast((ranks_path, read_ranks(ranks_path)))
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids`` (array<int>): the BPE ids of the whole ``text``, without special tokens."""
-    ranks = df.sparkSession.sparkContext.broadcast((ranks_path, read_ranks(ranks_path)))
+    ranks = _vocabulary(df, ranks_path)
 
     @F.arrow_udf("array<int>")
     def run(texts):
-        import numpy as np
         import pyarrow as pa
-        codec = _codec(ranks, pattern)
-        packed = [codec.packed(t.as_py()) for t in texts]
-        ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
-        flat = np.frombuffer(b"".join(packed), np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        flat, ends = _encoded(texts, ranks, pattern)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
     return df.withColumn(ids, run(F.col(text)))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add ``decoded`` (binary): the bytes that ``ids`` stand for."""
-    ranks = df.sparkSession.sparkContext.broadcast((ranks_path, read_ranks(ranks_path)))
+    ranks = _vocabulary(df, ranks_path)
 
     @F.arrow_udf("binary")
     def run(lists):
         import numpy as np
         import pyarrow as pa
-        path, table_ = ranks.value
-        if path not in _TOKENS:
-            # bytes by id; the entry after the last id is empty and stands for unknown ids
-            by_id = dict(zip(table_.values(), table_))
-            _TOKENS[path] = pa.array([by_id.get(i, b"") for i in range(max(by_id) + 2)], pa.large_binary())
-        tokens = _TOKENS[path]
         counts = np.array([len(x.values) if x.is_valid else 0 for x in lists], np.int64)
-        flat = lists.flatten()
-        got = flat.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-        got = np.where((got < 0) | (got >= len(tokens)), len(tokens) - 1, got)
-        parts = tokens.take(pa.array(got))
-        ends = np.frombuffer(parts.buffers()[1], np.int64)[:len(got) + 1] if len(got) else np.zeros(1, np.int64)
-        rows = ends[np.concatenate([[0], np.cumsum(counts)])]
-        data = parts.buffers()[2] if len(got) else None
-        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(rows.tobytes()), data or pa.py_buffer(b"")])
-        return whole.cast(pa.binary())
+        flat = lists.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+        return _decoded(flat, np.concatenate([[0], np.cumsum(counts)]), ranks)
 
     return df.withColumn(decoded, run(F.col(ids)))
 
 
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids",
+               decoded: str = "decoded") -> DataFrame:
+    """``decode(encode(df))`` in one function."""
+    ranks = _vocabulary(df, ranks_path)
+
+    @F.arrow_udf("struct<ids array<int>, decoded binary>")
+    def run(texts):
+        import pyarrow as pa
+        flat, ends = _encoded(texts, ranks, pattern)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        return pa.StructArray.from_arrays([lists, _decoded(flat, ends, ranks)], ["ids", "decoded"])
+
+    c = fresh(df, "_coded")
+    return df.withColumn(c, run(F.col(text))).withColumns({ids: F.col(f"{c}.ids"), decoded: F.col(f"{c}.decoded")}).drop(c)
+
+
 def digest(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the decoded bytes."""
-    both = decode(encode(df.select("doc_id", "text"), ranks_path, pattern), ranks_path)
+    both = round_trip(df.select("doc_id", "text"), ranks_path, pattern)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -16,17 +16,21 @@ a sequence of line ids, and all documents together are one text whose suffixes a
    suffix array.  It is named by the ranks of the two overlapping blocks of 2^k lines, 2^k <= m,
    that cover its first m lines.  For every position the shortest run of ``min_words`` words
    that begins there, and the one that ends there, is looked up in its interval; the copy that
-   comes first in the order of (doc_id, hash of the text, position) stays, all others are later
-   copies.  A maximal repeated run is the union of such runs: each of its lines lies in one that
+   comes first in the order of (doc_id, hash of the text, position) stays.  The others are later
+   copies, but for those that overlap it: a copy in the same document counts from the end of the one that
+   stays on.  A maximal repeated run is the union of such runs: each of its lines lies in one that
    begins at the line or, among its last words, in the one that ends where it ends, and no line
-   outside a repeated run lies in any.  So the lines of all later copies are deleted, and the
-   first copy of every line stays.
+   outside a repeated run lies in any (what holds for a run that does not overlap its first copy holds for
+   its parts).  So the lines of all later copies are deleted, and the first copy of every run stays
+   whole.  Neighbouring later copies at the same distance from their first copies are put together again:
+   these are the maximal runs that ``runs`` reports.
 
 Plan: the texts are read once to cut lines (narrow rows are written to the shared folder) and
 once to delete lines; everything between works on narrow rows.  Groups are counted by partial
 aggregation before ranks are numbered, and a group's running sum is taken over blocks of
 ``BLOCK`` ranks first, so a line that a third of all rows share is never one task's work.
-Joins on line ids and intervals have one row per key on one side, so AQE can split hot keys.
+Joins on line ids and intervals have one row per key on one side, which is written before an interval's
+join so that both sides are shuffled for it: AQE can split hot keys then.
 
 Defined results: blank lines are no lines here and are never deleted; with ``across_blank``, as
 the query and the pipeline run it, a run goes on behind them, without it a blank line ends a run; NULL and empty texts pass
@@ -149,17 +153,18 @@ def _runs(kept: DataFrame, k: int, min_words: int) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, across_blank: bool = False) -> DataFrame:
-    """(d, t, copies): per document with deletions, the array of (start, m, from_doc) of its later copies."""
+    """(d, t, copies): per document with deletions, the array of (start, m, from_doc, from_start) of its later copies."""
     rows = cut_lineage(lines(docs.select("doc_id", "text"), across_blank))
     kept, k = ranked_suffixes(rows, min_words)
     runs = cut_lineage(_runs(kept, k, min_words))
     place = F.struct(F.col("d").isNull().alias("o"), "d", "t", "start")
     interval = ["m", "level", "x", "y"]
-    first = (runs.groupBy(*interval).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
-             .where(F.col("c") > 1).drop("c"))
-    later = runs.join(first, interval).where(place != F.col("first"))
+    first = cut_lineage(runs.groupBy(*interval).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
+                        .where(F.col("c") > 1).drop("c"))
+    same_doc = F.col("d").eqNullSafe(F.col("first.d")) & (F.col("t") == F.col("first.t"))
+    later = runs.join(first, interval).where(~same_doc | (F.col("start") >= F.col("first.start") + F.col("m")))
     return later.groupBy("d", "t").agg(F.sort_array(F.collect_list(
-        F.struct("start", "m", F.col("first.d").alias("from_doc")))).alias("copies"))
+        F.struct("start", "m", F.col("first.d").alias("from_doc"), F.col("first.start").alias("from_start")))).alias("copies"))
 
 
 def _join(joined: list[list[int]], a: int, b: int) -> None:
@@ -170,7 +175,18 @@ def _join(joined: list[list[int]], a: int, b: int) -> None:
         joined.append([a, b])
 
 
-CUT = "struct<text string, removed array<array<bigint>>, n_removed bigint>"
+RUN = "struct<start:bigint,lines:bigint,from_doc:bigint,from_start:bigint>"
+CUT = f"struct<text:string,removed:array<array<bigint>>,n_removed:bigint,runs:array<{RUN}>>"
+
+
+def maximal_runs(copies: list[dict]) -> list[dict]:
+    """Copies, by rising start, put together where they touch and lie at the same distance from their first copies."""
+    open_: dict[tuple, list[list[int]]] = {}
+    for c in copies:
+        _join(open_.setdefault((c["from_doc"], c["start"] - c["from_start"]), []), c["start"], c["start"] + c["m"])
+    found = [(a, b - a, doc, a - away) for (doc, away), ranges in open_.items() for a, b in ranges]
+    found.sort(key=lambda r: (r[0], r[1], r[3], r[2] is None, r[2] or 0))
+    return [dict(zip(("start", "lines", "from_doc", "from_start"), r)) for r in found]
 
 
 def _delete(texts, copies, across_blank):
@@ -196,8 +212,11 @@ def _delete(texts, copies, across_blank):
             kept += parts[at:a]
             at = b
         kept += parts[at:]
-        out.append({"text": "\n".join(kept), "removed": joined, "n_removed": sum(b - a for a, b in joined)})
-    return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.list_(pa.list_(pa.int64()))), ("n_removed", pa.int64())]))
+        out.append({"text": "\n".join(kept), "removed": joined, "n_removed": sum(b - a for a, b in joined),
+                    "runs": maximal_runs(c.as_py())})
+    run = pa.struct([(n, pa.int64()) for n in ("start", "lines", "from_doc", "from_start")])
+    return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.list_(pa.list_(pa.int64()))), ("n_removed", pa.int64()),
+                                    ("runs", pa.list_(run))]))
 
 
 def _joined(docs: DataFrame, min_words: int, across_blank: bool) -> DataFrame:
@@ -219,9 +238,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, across_blank: bool
 
 @register("op5_line_dedup")
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, cleaned text, number of removed lines, removed line ranges, documents that hold the first copies."""
+    """doc_id, cleaned text, number of removed lines, removed line ranges, documents that hold the first copies, and
+    the maximal repeated runs with their first copies (in lines with a word)."""
     both = _joined(table(spark, sf_dir, "documents"), MIN_WORDS, across_blank=True)
     return both.select(F.col("_id").alias("doc_id"), F.coalesce("_cut.text", "_row.text").alias("text"),
                        F.coalesce("_cut.n_removed", F.lit(0)).cast("long").alias("n_removed"),
                        F.col("_cut.removed").alias("removed"),
-                       F.array_sort(F.array_distinct(F.transform("copies", lambda c: c["from_doc"]))).alias("first_copies"))
+                       F.array_sort(F.array_distinct(F.transform("copies", lambda c: c["from_doc"]))).alias("first_copies"),
+                       F.col("_cut.runs").alias("runs"))

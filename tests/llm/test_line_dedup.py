@@ -10,8 +10,7 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 def brute(docs, min_words):
-    """Longest match with an earlier position, per position; the lines of those with enough words go."""
-    from pyspark.sql import functions as F  # noqa: F401
+    """All runs of lines with enough words; the lines of those that are not the first copy and do not overlap it go."""
     seen, keys = [], {}
     for i, (doc, text) in enumerate(docs):
         keys.setdefault((doc, text), []).append(i)
@@ -24,18 +23,24 @@ def brute(docs, min_words):
     for n, (key, parts) in enumerate(seqs):
         at[n] = len(flat)
         flat += parts + [("end", n)]
-    drop = {}
+    # earliest place of every run of lines with enough words
+    runs, earliest, where = [], {}, {}
     for n, (key, parts) in enumerate(seqs):
-        gone = set()
         for i in range(len(parts)):
-            p = at[n] + i
-            for q in range(p):
-                k = 0
-                while p + k < len(flat) and flat[p + k] == flat[q + k] and isinstance(flat[p + k], str) and flat[p + k]:
-                    k += 1
-                if k and sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in flat[p:p + k]) >= min_words:
-                    gone |= set(range(i, i + k))
-        drop[key] = gone
+            where[at[n] + i] = n
+            words = 0
+            for k in range(1, len(parts) - i + 1):
+                if not parts[i + k - 1]:
+                    break
+                words += len(re.findall(r"[^\x20\x09-\x0D]+", parts[i + k - 1]))
+                if words >= min_words:
+                    run = tuple(parts[i:i + k])
+                    runs.append((key, n, i, k, earliest.setdefault(run, at[n] + i)))
+    drop = {key: set() for key, _ in seqs}
+    for key, n, i, k, first in runs:
+        # a copy in the same document is a later one from the end of the one that stays on
+        if first != at[n] + i and (where[first] != n or at[n] + i >= first + k):
+            drop[key] |= set(range(i, i + k))
     out = []
     for doc, text in docs:
         gone = drop[(doc, text)]
@@ -71,6 +76,7 @@ def test_edges(spark, make_docs):
     docs = [(3, run), (1, "x y\n" + run + "\nz"), (2, None), (4, ""), (5, run), (5, run), (6, run + "\nmore"), (None, run),
             (7, "a b c\n" * 30), (8, "\n\n \n"), (9, "head\n" + run[:200])]
     check(spark, make_docs, docs, 50)
+    check(spark, make_docs, [(8, "a b c\n" * 5)], 6)
     assert line_dedup.dedup_lines(make_docs([])).count() == 0
     clash = make_docs(docs[:2]).toDF("doc_id", "text", "copies", "_cut", "pos")
     assert line_dedup.dedup_lines(clash).columns == clash.columns
@@ -85,6 +91,22 @@ def test_whole_table(spark, make_docs):
     assert got.count() == len(docs) and got.where("n_removed > 0").count() > 0
 
 
+def test_first_copy_stays_whole_where_copies_overlap(spark, make_docs):
+    line = " ".join(f"w{i}" for i in range(25))
+    out = line_dedup.dedup_lines(make_docs([(1, "\n".join([line] * 4)), (2, "\n".join([line] * 3 + ["end"]))])).collect()
+    assert {r.doc_id: r.text for r in out} == {1: "\n".join([line] * 2), 2: "end"}
+
+
+def test_maximal_runs_and_their_first_copies(spark, make_docs, tmp_path):
+    run = [f"line {i} of a run that repeats" for i in range(30)]
+    docs = [(1, "\n".join(["a", *run])), (2, "\n".join([*run, "b", "c", *run[5:25], "d"])), (3, "\n".join(run[:12]))]
+    make_docs(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in line_dedup.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got[1].runs is None and got[1].n_removed == 0
+    assert [tuple(x) for x in got[2].runs] == [(0, 30, 1, 1), (32, 20, 1, 6)] and got[2].text == "b\nc\nd"
+    assert [tuple(x) for x in got[3].runs] == [(0, 12, 1, 1)] and got[3].text == ""
+
+
 def squeezed(docs):
     """The texts without their blank lines."""
     return [(d, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(SPACE))) for d, t in docs]

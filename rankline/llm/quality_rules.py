@@ -2,11 +2,11 @@
 
 A text is cut at newlines and every line with a word is judged on its own:
 
-* punctuation: it has a sentence mark, and fewer than 30 % of its words hold a run of two or
-  more marks or symbols;
+* punctuation: it has a mark that ends sentences in some script (Unicode's Sentence_Terminal, and
+  the ellipsis), and fewer than 30 % of its words hold a run of two or more marks or symbols;
 * navigation: it is not a row of links, that is, of three or more separators that make up at
   least a fifth of its words;
-* boilerplate: it has none of the fixed phrases.
+* boilerplate: it has none of the phrases, which are a parameter by language.
 
 Lines that fail are removed; a document that loses more than half of its word characters is
 rejected, as is one that fails the base rules on its whole text (under 50 words, or more than
@@ -16,7 +16,7 @@ Plan: one row-local Arrow function over whole texts, no shuffle, memory of one b
 
 Defined results: NULL and empty texts have zero counts, fail the base and keep no text; every
 row, repeated ones included, is judged on its own; other columns are ignored by ``judge`` and
-kept by ``clean``.
+kept by ``clean``.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,11 +31,16 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-MARKS = ".!?…"
 SEPARATORS = "|»›•"
 RUN = "[!?#*$%&|<>=~]{2,}"
-PHRASES = ("all rights reserved", "click here", "cookie policy", "copyright", "enable javascript", "licensed under",
-           "log in", "lorem ipsum", "privacy policy", "sign up", "subscribe to", "terms of use")
+# Boilerplate by language, in lower case (the rule lowers A-Z only); a line is held against all of them.
+PHRASES = {
+    "en": ("all rights reserved", "click here", "cookie policy", "copyright", "enable javascript", "licensed under",
+           "log in", "lorem ipsum", "privacy policy", "sign up", "subscribe to", "terms of use"),
+    "de": ("alle rechte vorbehalten", "allgemeine nutzungsbedingungen", "cookie-richtlinie", "hier klicken", "jetzt anmelden"),
+    "es": ("aviso legal", "haga clic", "iniciar sesión", "política de privacidad", "todos los derechos reservados"),
+    "fr": ("cliquez ici", "conditions d'utilisation", "mentions légales", "politique de confidentialité", "tous droits réservés"),
+}
 
 REPORT = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
           "n_lines bigint, n_failed_lines bigint, lost_chars bigint, cleaned string")
@@ -63,16 +68,25 @@ def repeat_words(words: list[bytes]) -> int:
     return int(inside.sum())
 
 
+def sentence_marks() -> str:
+    """The characters that end sentences, in any script."""
+    import regex
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    return "".join(regex.findall(r"\p{Sentence_Terminal}", every)) + "…"
+
+
 class _Rules:
-    def __init__(self):
+    def __init__(self, phrases: dict[str, tuple[str, ...]] = PHRASES):
         import re
         self.run = re.compile(RUN).search
+        self.mark = re.compile("[" + re.escape(sentence_marks()) + "]").search
         # matched without case, over ASCII letters only
-        self.phrase = re.compile("|".join(map(re.escape, PHRASES))).search
+        every = sorted({p for of in phrases.values() for p in of})
+        self.phrase = re.compile("|".join(map(re.escape, every)) or "(?!)").search
 
     def fails(self, line: str) -> bool:
         """Whether a line with a word breaks a rule."""
-        if not any(m in line for m in MARKS):
+        if not self.mark(line):
             return True
         separators = sum(map(line.count, SEPARATORS))
         if separators >= 3 and 5 * separators >= len(line.encode().split()):
@@ -103,14 +117,14 @@ class _Rules:
                 "\n".join(kept) if with_text else None)
 
 
-def report(text: Column, with_text: bool = False) -> Column:
+def report(text: Column, with_text: bool = False, phrases: dict[str, tuple[str, ...]] = PHRASES) -> Column:
     """Struct of the counts of a whole text, and the text without the failed lines if asked for."""
     names = [c.split()[0] for c in REPORT.split(", ")]
 
     @F.arrow_udf(f"struct<{REPORT}>")
     def run(texts):
         import pyarrow as pa
-        rules = _Rules()
+        rules = _Rules(phrases)
         rows = [rules.judge(t.as_py() or "", with_text) for t in texts]
         types = [pa.int64()] * (len(names) - 1) + [pa.string()]
         columns = list(zip(*rows)) if rows else [[]] * len(names)
@@ -126,21 +140,22 @@ def verdict(r: str) -> tuple[Column, Column]:
     return base, ~base & (100 * F.col(f"{r}.lost_chars") <= MAX_LOST_PERCENT * F.col(f"{r}.word_chars"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, phrases: dict[str, tuple[str, ...]] = PHRASES) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row."""
-    rows = docs.select("doc_id", report(F.col("text")).alias("r"))
+    rows = docs.select("doc_id", report(F.col("text"), phrases=phrases).alias("r"))
     base, kept = verdict("r")
     return rows.select("doc_id", "r.*", base.alias("base_failed"), kept.alias("kept")).drop("cleaned")
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, phrases: dict[str, tuple[str, ...]] = PHRASES) -> DataFrame:
     """The kept rows of ``docs`` with all their columns, ``text`` without the failed lines."""
     r = fresh(docs, "_report")
-    rows = docs.withColumn(r, report(F.col("text"), True))
+    rows = docs.withColumn(r, report(F.col("text"), True, phrases))
     return rows.where(verdict(r)[1]).withColumn("text", F.col(f"{r}.cleaned")).drop(r)
 
 
-_PHRASE = "|".join(PHRASES)
+_PHRASE = "|".join(sorted({p.replace("'", "''") for of in PHRASES.values() for p in of}))
+_MARKS = sentence_marks().replace(".", "").replace("?", "")  # both stand for themselves in the class
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL = rf"""
 WITH d AS (
@@ -157,7 +172,7 @@ m AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w,
              length(line) - length(regexp_replace(line, '[|»›•]', '', 'g')) AS sep FROM l
       WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 n AS (SELECT r, line, length(array_to_string(w, '')) AS chars,
-             NOT regexp_matches(line, '[.!?…]') OR (sep >= 3 AND 5 * sep >= len(w))
+             NOT regexp_matches(line, '[.?{_MARKS}]') OR (sep >= 3 AND 5 * sep >= len(w))
              OR (regexp_matches(line, '{RUN}') AND 100 * len(list_filter(w, lambda x: regexp_matches(x, '{RUN}'))) >= 30 * len(w))
              OR regexp_matches({_LOWER.format('line')}, '{_PHRASE}') AS failed FROM m),
 x AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,

@@ -33,8 +33,8 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     """(texts with labels, number of labelled documents by label) to learn from.
 
     Held-out ids, NULL ids and labels other than 0 and 1 are left out; a document with
-    repeated label rows has the largest one, a NULL text counts as empty.  The numbers
-    cover all labels; of each label, at most ``per_class`` ids are drawn by a hash of the id,
+    repeated label rows has the largest one, a NULL text counts as empty, and of several texts
+    under one id the one with the smallest hash is taken.  The numbers cover all labels; of each label, at most ``per_class`` ids are drawn by a hash of the id,
     and of their texts those up to ``max_chars``.  So at most 2 * per_class * max_chars
     characters reach the driver, whatever the size of the corpus.
     """
@@ -48,5 +48,6 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
         return [], numbers
     ids = documents.sparkSession.createDataFrame([(i,) for i in of], "doc_id long")
     d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_chars)
-    got = d.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect()
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    got = d.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(one.alias("text")).collect()
     return [(r.text, of[r.doc_id]) for r in sorted(got, key=lambda r: r.doc_id)], numbers

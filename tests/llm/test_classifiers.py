@@ -47,6 +47,59 @@ def test_held_out_ids_teach_nothing(spark, make_docs):
     assert {i for i, h in got.items() if not h} == set(kept)
 
 
+def test_the_sample_does_not_depend_on_the_order_of_texts_under_one_id(spark, make_docs):
+    rows = [(i, f"text {i} {k}") for i in range(30) for k in range(4)] + [(6, None)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)], LABELS)
+    samples = [tx.training_sample(make_docs(r).repartition(n), labels, "toxic", 100, 1000) for r, n in ((rows, 1), (rows[::-1], 7))]
+    assert samples[0] == samples[1] and len(samples[0][0]) == len({t.split()[1] if t else 6 for t, _ in samples[0][0]})
+
+
+def test_quality_difference_equals_plain_compression():
+    import zstandard
+    good = [f"The plain sentence number {i} reads well, and it ends." for i in range(300)]
+    bad = [f"$$$ buy %% now {i} ### click |||" for i in range(300)]
+    dicts = [cq.build_dictionary(x) for x in (good, bad)]
+    differ = cq.Differ(*dicts)
+    for text in (None, "", "é", good[0] * 90, bad[0] * 200, "x" * 5000):
+        raw = (text or "").encode()
+        size = [sum(len(zstandard.ZstdCompressor(level=cq.LEVEL, dict_data=zstandard.ZstdCompressionDict(d)).compress(raw[i:i + cq.PIECE]))
+                    for i in range(0, len(raw), cq.PIECE)) for d in dicts]
+        by_length, by_sum, _ = differ(text)
+        assert by_length == (size[1] - size[0]) / max(1, len(raw)) and by_sum == (size[1] - size[0]) / max(1, sum(size))
+    assert differ(good[7])[0] > 0 > differ(bad[7])[0]
+
+
+def test_quality_calibration_is_the_weighted_optimum():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 200)
+    x = rng.normal(size=(200, 3)) + y[:, None] * [1.0, 0.5, 0.0]
+    weight = {0: 2.0, 1: 0.5}
+    mean, scale, w = cq.calibrate([tuple(r) for r in x], y.tolist(), weight)
+    a = np.hstack([np.ones((200, 1)), (x - mean) / scale])
+    v = np.array([weight[k] for k in y])
+
+    def loss(w):
+        z = a @ w
+        return (v * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (1e-3 * w[0] ** 2 + 0.1 * (w[1:] ** 2).sum())
+
+    here = loss(np.array(w))
+    for i in range(4):
+        for e in (-1e-3, 1e-3):
+            moved = np.array(w)
+            moved[i] += e
+            assert loss(moved) >= here
+
+
+def test_very_long_texts(spark, make_docs):
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], LABELS)
+    docs = make_docs([(i, f"good text {i}. " if i % 2 else f"b@d t*xt {i}! ") for i in range(40)]
+                     + [(100, "word " * 200_000), (101, "x" * 1_000_000)])
+    for out in (cq.score_documents(docs, labels), tx.score_documents(docs, labels)):
+        got = {r.doc_id: r.score for r in out.collect()}
+        assert len(got) == 42 and all(0 <= s <= 1 for s in got.values())
+
+
 def test_no_labels_and_one_label(spark, make_docs):
     docs = make_docs([(1, None), (2, ""), (None, "x y"), (3, "x y"), (3, "x y")])
     none = spark.createDataFrame([], LABELS)

@@ -9,7 +9,7 @@ from rankline.schema import DRIVERS, N_DRIVERS, RAW_TS_FORMAT, STORED_TS_FORMAT
 
 __all__ = [
     "whole_days", "weekday_mon0", "half_even_int", "driver_array", "nonblank", "blank_to_null",
-    "position_first", "position_last", "parse_raw_ts", "parse_stored_ts",
+    "position_first", "position_last", "parse_raw_ts", "parse_stored_ts", "to_datetime",
     "pad_to", "compose_ts", "count_chosen", "has_repeat",
 ]
 
@@ -71,6 +71,11 @@ def parse_stored_ts(c) -> Column:
     return F.try_to_timestamp(_c(c), F.lit(STORED_TS_FORMAT)).cast("timestamp_ntz")
 
 
+def to_datetime(c) -> Column:
+    """Time text in the usual forms -> timestamp_ntz, NULL when it is none."""
+    return _c(c).try_cast("timestamp_ntz")
+
+
 def pad_to(arr: Column, n: int = N_DRIVERS) -> Column:
     """Pad with NULLs / truncate an array to exactly n elements."""
     fill = F.array_repeat(F.lit(None).cast("string"), n)

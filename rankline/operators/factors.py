@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from rankline.functions.columns import driver_array, position_first, position_last
 from rankline.schema import DEFAULT_FACTORS, DRIVERS
 
-# A factor vocabulary becomes one feature column per factor; refuse absurd sizes
-# instead of building a schema with millions of columns.
+# A factor vocabulary becomes one feature column per factor; by default, absurd sizes are
+# refused instead of building a schema with millions of columns.
 MAX_VOCABULARY = 10_000
 
 
@@ -47,12 +47,12 @@ def vocabulary_frame(*frames: DataFrame, drivers: list[str] | None = None) -> Da
     return out.distinct().orderBy("Factor")
 
 
-def resolve_vocabulary(*frames: DataFrame, drivers: list[str] | None = None) -> list[str]:
-    """Vocabulary as a driver-side list (it defines the feature schema)."""
+def resolve_vocabulary(*frames: DataFrame, drivers: list[str] | None = None, most: int = MAX_VOCABULARY) -> list[str]:
+    """Vocabulary as a driver-side list (it defines the feature schema); more than ``most`` factors are an error."""
     vf = vocabulary_frame(*frames, drivers=drivers)
-    rows = vf.limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError(f"factor vocabulary exceeds {MAX_VOCABULARY} entries; pass it explicitly")
+    rows = vf.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"factor vocabulary exceeds {most} entries; raise 'most' or pass the vocabulary")
     vocab = [r.Factor for r in rows]
     return vocab or list(DEFAULT_FACTORS)
 

@@ -68,7 +68,8 @@ def training_rows(df: DataFrame) -> DataFrame:
 def serving_features(history: DataFrame | None, new_rows: DataFrame, vocab: list[str],
                      id_col: str = "event_id", hot_rows: int | None = H.HOT_ROWS,
                      first_time: DataFrame | None = None, history_model: str | None = None,
-                     keep: list[str] | None = None, broadcast_subjects: int = SERVING_BROADCAST_SUBJECTS) -> DataFrame:
+                     keep: list[str] | None = None, broadcast_subjects: int = SERVING_BROADCAST_SUBJECTS,
+                     buckets: int | None = None) -> DataFrame:
     """Enhanced features for new rows computed against the stored history.
 
     History is the observed rows, and with ``history_model`` also that model's
@@ -84,7 +85,8 @@ def serving_features(history: DataFrame | None, new_rows: DataFrame, vocab: list
 
     Rows without a subject id have no history: their history features are 0.
     ``history=None`` treats every row so (each new row scored on its own).
-    ``keep``: further columns of the new rows to carry along.
+    ``keep``: further columns of the new rows to carry along.  ``buckets``: the history is a
+    table bucketed by SubjectID into so many buckets, and is then not shuffled.
     """
     keep = keep or []
     sid = F.col("SubjectID").cast("bigint")
@@ -110,8 +112,9 @@ def serving_features(history: DataFrame | None, new_rows: DataFrame, vocab: list
                         *[F.lit(None).cast(types[c]).alias(c) for c in [id_col, *more]])
     n = known.select("SubjectID", F.lit(None).cast("int").alias("Rank"), *DRIVERS, "UpdateDT",
                      F.lit(None).cast("string").alias("Model"), F.lit(1).alias("_side"), id_col, *more)
-    x = H.history_columns(h.unionByName(n), prev_ignore_nulls=True, hot_rows=hot_rows, order=H.asof_order())
-    x = H.with_scalar(x.where(F.col("_side") == 1), t0).select(
+    both, key = H.clustered_union(h, n, buckets) if buckets else (h.unionByName(n), H.SUBJECT)
+    x = H.history_columns(both, prev_ignore_nulls=True, hot_rows=hot_rows, order=H.asof_order(), keys=[key])
+    x = H.with_scalar(x.where(F.col("_side") == 1).withColumnRenamed(key, "SubjectID"), t0).select(
         *carried, first,
         F.coalesce(whole_days(F.col("PrevRankUpdateDT"), F.col("UpdateDT")), F.lit(0)).cast("bigint").alias("DaysSincePrev"),
         F.coalesce(F.col("PrevRank"), F.lit(0)).cast("int").alias("PrevRank"),

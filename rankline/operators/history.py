@@ -278,8 +278,7 @@ def _segmented(df: DataFrame, hot: DataFrame, ignore_nulls: bool, segment_rows:
                         F.when(later_exists, F.col("subj_fnn")["rank"].cast("double")))
     y = y.withColumn("RankChange", F.col("Rank") - F.col("PrevRank")) \
          .withColumn("AvgPreviousRanksFilled", filled)
-    helper = [c for c in y.columns if c.startswith("_") or c.startswith("c_") or c.startswith("subj_")
-              or c in ("b_chg", "b_rn")]
+    helper = [c for c in y.columns if c not in cols and (c.startswith(("_", "c_", "subj_")) or c in ("b_chg", "b_rn"))]
     return y.drop(*helper)
 
 
@@ -320,14 +319,26 @@ def subject_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def clustered_union(history: DataFrame, new_rows: DataFrame, buckets: int, key: str = SUBJECT) -> tuple[DataFrame, str]:
+    """(history and new rows as one frame, name of its key column) for a history bucketed by ``key`` into ``buckets``.
+
+    The new rows are dealt out as the buckets are, so a window by the key needs no exchange of the history.  The key has
+    another name in the result: a union keeps its sides' partitioning only by a column that both of them compute.
+    """
+    name = f"_{key}"
+    h, n = (df.select(F.col(key).alias(name), *[c for c in df.columns if c != key]) for df in (history, new_rows))
+    return h.unionByName(n.repartition(buckets, name)), name
+
+
 def asof_prev_rank(history: DataFrame, new_rows: DataFrame, id_col: str = "event_id",
-                   hot_rows: int | None = HOT_ROWS, force_split: bool = False) -> DataFrame:
+                   hot_rows: int | None = HOT_ROWS, force_split: bool = False, buckets: int | None = None) -> DataFrame:
     """For each new row, the latest history row with a known rank at or before its time (as-of join).
 
     New rows (rank unknown) are unioned with the history and ordered after
     history rows of the same time; the previous known rank is then the as-of
     match.  This reuses the history windows, including the hot-subject split,
-    so each side is shuffled once by SubjectID and no pairs are formed.
+    so each side is shuffled once by SubjectID and no pairs are formed.  A history
+    that is a table bucketed by SubjectID into ``buckets`` is not shuffled at all.
     """
     id_type = dict(new_rows.dtypes)[id_col]
     history, _ = _ensure_model(history)
@@ -337,9 +348,10 @@ def asof_prev_rank(history: DataFrame, new_rows: DataFrame, id_col: str = "event
                         F.lit(None).cast("int").alias("Rank"), F.col(id_col), F.lit(1).alias("_side"))
     # rows without a subject match nothing and stay out of the windows
     n, alone = n.where(F.col(SUBJECT).isNotNull()), n.where(F.col(SUBJECT).isNull())
-    x = history_columns(h.where(F.col(SUBJECT).isNotNull()).unionByName(n), prev_ignore_nulls=True, hot_rows=hot_rows,
-                        force_split=force_split, order=asof_order())
-    x = x.where(F.col("_side") == 1).select(id_col, SUBJECT, TIME, F.col("PrevRank").alias("prev_rank"),
+    h = h.where(F.col(SUBJECT).isNotNull())
+    both, key = clustered_union(h, n, buckets) if buckets else (h.unionByName(n), SUBJECT)
+    x = history_columns(both, prev_ignore_nulls=True, hot_rows=hot_rows, force_split=force_split, order=asof_order(), keys=[key])
+    x = x.where(F.col("_side") == 1).select(id_col, F.col(key).alias(SUBJECT), TIME, F.col("PrevRank").alias("prev_rank"),
                                             F.col("PrevRankUpdateDT").alias("prev_update"))
     none = alone.select(id_col, SUBJECT, TIME, F.lit(None).cast("int").alias("prev_rank"),
                         F.lit(None).cast(dict(x.dtypes)["prev_update"]).alias("prev_update"))

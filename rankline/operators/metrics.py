@@ -9,15 +9,18 @@ in ``n_incomplete``.
 * Spearman: average ranks of the distinct values of a group, numbered by a
   range-partitioned prefix sum, then the correlation over distinct cells.  One path
   whatever the number of distinct values; no task holds all values of a group.
-* Kendall tau-b is defined on half-even rounded ranks: counts on the (label,
-  prediction) grid; concordant and discordant pair counts come from 2-D prefix
-  sums over that grid, so the work is bounded by the rank scale, never by rows.
+* Kendall tau-b counts inversions: in the order of (label, prediction), a pair of
+  cells is discordant if and only if its predictions stand the wrong way round.  The cells
+  are cut by range into slabs.  A slab's own inversions are counted in its task, by halves;
+  those between slabs by halves too, where the halves of a level are runs of slabs and one
+  running sum in the order of predictions counts a whole level.  So the work is
+  cells times log(cells), on ranks or on unrounded predictions, and no task holds more than a slab.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from rankline.functions.columns import half_even_int
 from rankline.schema import ACCURACY_KS
@@ -91,61 +94,110 @@ def _spearman(cells: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
     return m.select(*by, rho.alias("spearman"))
 
 
-def kendall_tau_b(pairs: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Kendall tau-b per group over half-even rounded ranks (exact)."""
-    return _kendall(_cells(_rounded(pairs, y, p), by, y, p), by, y, p)
+# Distinct (label, prediction) cells that one task counts by itself.
+SLAB_CELLS = 1_000_000
+
+
+def kendall_tau_b(pairs: DataFrame, by: list[str], y: str = "y", p: str = "p", rounded: bool = True,
+                  slab_cells: int = SLAB_CELLS) -> DataFrame:
+    """Kendall tau-b per group (exact), over half-even rounded ranks unless ``rounded`` is false."""
+    return _kendall(_cells(_rounded(pairs, y, p) if rounded else pairs, by, y, p), by, y, p, slab_cells)
 
 
 def _rounded(pairs: DataFrame, y: str, p: str) -> DataFrame:
     return pairs.withColumns({y: half_even_int(y), p: half_even_int(p)})
 
 
-def _kendall(cells: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
-    cd = _kendall_grid(cells, by, y, p)
-    ties = _kendall_ties(cells, by, y, p)
-    x = cd.join(ties, by) if by else cd.crossJoin(ties)
+def _kendall(cells: DataFrame, by: list[str], y: str, p: str, slab_cells: int = SLAB_CELLS) -> DataFrame:
+    """tau-b from the pairs that tie in label, prediction or both, and the discordant ones."""
+    tied, wrong = _ties(cells, by, y, p), inversions(cells, by, y, p, slab_cells)
+    x = tied.join(wrong, by, "left") if by else tied.crossJoin(wrong)  # one row each without groups
+    balance = (F.col("_n0") - F.col("_n1") - F.col("_n2") + F.col("_n3")) - 2 * F.coalesce("_nd", F.lit(0.0))
     denom = F.sqrt((F.col("_n0") - F.col("_n1")) * (F.col("_n0") - F.col("_n2")))
-    return x.select(*by, F.when(denom > 0, (F.col("_nc") - F.col("_nd")) / denom).alias("kendall"))
+    return x.select(*by, F.when(denom > 0, balance / denom).alias("kendall"))
 
 
-def _kendall_ties(cells: DataFrame, by, y, p) -> DataFrame:
-    ny = cells.groupBy(*by, y).agg(F.sum("n").alias("_m")).groupBy(*by).agg(
-        F.sum(F.col("_m") * (F.col("_m") - 1) / 2).alias("_n1"), F.sum("_m").alias("_N"))
-    npp = cells.groupBy(*by, p).agg(F.sum("n").alias("_m")).groupBy(*by).agg(
-        F.sum(F.col("_m") * (F.col("_m") - 1) / 2).alias("_n2"))
-    t = ny.join(npp, by) if by else ny.crossJoin(npp)
+def _ties(cells: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
+    """(by, _n0, _n1, _n2, _n3): pairs at all, pairs that tie in y, in p, in both."""
+    two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    ny = cells.groupBy(*by, y).agg(F.sum("n").alias("_m")).groupBy(*by).agg(two("_m").alias("_n1"))
+    np_ = cells.groupBy(*by, p).agg(F.sum("n").alias("_m")).groupBy(*by).agg(two("_m").alias("_n2"))
+    n = cells.groupBy(*by).agg(F.sum("n").alias("_N"), two("n").alias("_n3"))
+    t = n.join(ny, by).join(np_, by) if by else n.crossJoin(ny).crossJoin(np_)  # one row each without groups
     return t.withColumn("_n0", F.col("_N") * (F.col("_N") - 1) / 2).drop("_N")
 
 
-def _kendall_grid(cells: DataFrame, by, y, p) -> DataFrame:
-    """Concordant / discordant counts from 2-D prefix sums over the (y, p) grid.
+def inversions(cells: DataFrame, by: list[str], y: str, p: str, slab_cells: int = SLAB_CELLS) -> DataFrame:
+    """(by, _nd): weighted pairs of cells (by, y, p, n) of which one has the smaller y and the greater p.
 
-    For a cell (y, p) with n rows:
-      below_both = rows with y' < y and p' < p
-      below_y    = rows with y' < y
-      below_y_le = rows with y' < y and p' <= p
-    concordant += n * below_both, discordant += n * (below_y - below_y_le).
+    ``cells`` is a written table with one row per (by, y, p).
     """
-    ys = cells.select(*by, y).distinct()
-    ps = cells.select(*by, p).distinct()
-    # every label rank with every predicted rank of the group: bounded by the rank scale
-    grid = ys.join(ps, by) if by else ys.crossJoin(ps)
-    grid = grid.join(cells, [*by, y, p], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
-    wy = W.partitionBy(*by, y).orderBy(p)          # along p inside one y
-    wp = W.partitionBy(*by, p).orderBy(y)          # along y inside one p
-    g = grid.withColumn("_row_le", F.sum("n").over(wy.rowsBetween(W.unboundedPreceding, 0)))  # y'=y, p'<=p
-    g = g.withColumn("_S", F.sum("_row_le").over(wp.rowsBetween(W.unboundedPreceding, 0)))     # y'<=y, p'<=p
-    g = g.withColumn("_col_le", F.sum("n").over(wp.rowsBetween(W.unboundedPreceding, 0)))      # y'<=y, p'=p
-    below_both = F.col("_S") - F.col("_row_le") - F.col("_col_le") + F.col("n")
-    below_y_le = F.col("_S") - F.col("_row_le")
-    ytot = grid.groupBy(*by, y).agg(F.sum("n").alias("_ny"))
-    wyt = W.partitionBy(*by).orderBy(y) if by else W.orderBy(y)
-    ytot = ytot.withColumn("_below_y", F.coalesce(F.sum("_ny").over(wyt.rowsBetween(W.unboundedPreceding, -1)),
-                                                   F.lit(0.0))).drop("_ny")
-    g = g.join(ytot, [*by, y])
-    return g.where(F.col("n") > 0).groupBy(*by).agg(
-        F.sum(F.col("n") * below_both).alias("_nc"),
-        F.sum(F.col("n") * (F.col("_below_y") - below_y_le)).alias("_nd"))
+    slabs = max(1, -(-cells.count() // slab_cells))
+    cut = cut_lineage(cells.select(*by, y, p, "n").repartitionByRange(slabs, *by, y, p)
+                      .withColumn("_slab", F.spark_partition_id()))
+    parts = [_inside(cut, by, y, p)]
+    if slabs > 1:
+        parts.append(_between(cut, by, y, p, (slabs - 1).bit_length()))
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return every.groupBy(*by).agg(F.sum("_nd").alias("_nd"))
+
+
+def weighted_inversions(v, w):
+    """For every place j of ``v``: the sum of ``w`` over the places before it with a greater value.
+
+    Places are halved again and again; on each level one running sum in falling order of ``v`` serves all
+    pairs of neighbouring halves."""
+    import numpy as np
+    n, out = len(v), np.zeros(len(v))
+    at = np.arange(n)
+    falling = np.lexsort((-at, -v))  # among equal values the later place first, so that equals do not count
+    for level in range(max(n - 1, 0).bit_length()):
+        order = falling[np.argsort(falling >> (level + 1), kind="stable")]
+        block, left = order >> (level + 1), (order >> level) & 1 == 0
+        total = np.concatenate([[0.0], np.cumsum(np.where(left, w[order], 0.0))])
+        first = np.searchsorted(block, block)
+        out[order] += np.where(left, 0.0, total[:-1] - total[first])
+    return out
+
+
+def _inside(cut: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
+    """Inversions inside the slabs, one row per slab and group."""
+    def count(table):
+        import numpy as np
+        import pyarrow as pa
+        code = lambda c: np.unique(table.column(c).to_numpy(), return_inverse=True)[1]
+        group = np.zeros(len(table), np.int64)
+        for c in by:
+            one = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            group = np.unique(np.stack([group, one]), axis=1, return_inverse=True)[1].ravel()
+        pc = code(p)
+        order = np.lexsort((pc, code(y), group))
+        # groups lie one behind another and rise, so no pair of two groups is an inversion
+        v, w = group[order] * (len(table) + 1) + pc[order], table.column("n").to_numpy()[order]
+        found = np.bincount(group[order], w * weighted_inversions(v, w))
+        row = np.unique(group, return_index=True)[1]
+        return pa.table([*(table.column(c).take(pa.array(row)) for c in by), pa.array(found)], [*by, "_nd"])
+
+    fields = [f for f in cut.schema.fields if f.name in by]
+    schema = T.StructType([*sorted(fields, key=lambda f: by.index(f.name)), T.StructField("_nd", T.DoubleType())])
+    return cut.groupBy("_slab").applyInArrow(count, schema)
+
+
+def _between(cut: DataFrame, by: list[str], y: str, p: str, levels: int) -> DataFrame:
+    """Inversions between slabs: two slabs meet at the highest bit in which their numbers differ."""
+    x = cut.select("*", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level"))
+    x = x.withColumns({"_block": F.expr("shiftright(_slab, _level + 1)"), "_right": F.expr("shiftright(_slab, _level) & 1")})
+    # greatest prediction first and right halves first among equals: what a right cell has before it is greater
+    falling = [F.col(p).desc(), F.col("_right").desc(), F.col(y)]
+    place = [*by, "_level", "_block"]
+    x = cut_lineage(x.repartitionByRange(*place, *falling).withColumn("_part", F.spark_partition_id()))
+    left = F.when(F.col("_right") == 0, F.col("n")).otherwise(0.0)
+    parts = x.groupBy(*place, "_part").agg(F.sum(left).alias("_sum"))
+    earlier = W.partitionBy(*place).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(*place, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before"))
+    here = W.partitionBy(*place, "_part").orderBy(*falling).rowsBetween(W.unboundedPreceding, -1)
+    x = x.withColumn("_in", F.coalesce(F.sum(left).over(here), F.lit(0.0))).join(parts, [*place, "_part"])
+    return x.where(F.col("_right") == 1).select(*by, (F.col("n") * (F.col("_before") + F.col("_in"))).alias("_nd"))
 
 
 def all_metrics(pairs: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:

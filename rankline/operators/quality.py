@@ -92,6 +92,66 @@ def reconcile(source_raw: DataFrame, table: DataFrame) -> DataFrame:
     return x.withColumn("status", status)
 
 
+# Buckets of the checksums that two tables are compared by.
+DIGEST_BUCKETS = 4096
+
+
+def _row_hashes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b): two 64-bit hashes of every row, NULLs and column borders told apart."""
+    # one text per row keeps the expression small wherever the optimiser repeats it
+    text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]), {"ignoreNullFields": "false"})
+    return df.select(text.alias("_text")).select(F.xxhash64("_text").alias("a"), F.xxhash64(F.lit(1), "_text").alias("b"))
+
+
+def checksums(hashes: DataFrame, buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """(bucket, n, s1 .. s4): rows of every bucket of hashes and the sums of their halves, whatever the order of rows."""
+    low, high = (lambda c: F.sum(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))), (lambda c: F.sum(F.shiftrightunsigned(c, 32)))
+    return (hashes.groupBy(F.pmod("a", F.lit(buckets)).cast("int").alias("bucket"))
+            .agg(F.count(F.lit(1)).alias("n"), low("a").alias("s1"), high("a").alias("s2"), low("b").alias("s3"), high("b").alias("s4")))
+
+
+def table_differences(left: DataFrame, right: DataFrame, columns: list[str] | None = None,
+                      buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """(a, b, n_left, n_right) of rows that two tables do not hold equally often, by their hashes.
+
+    Both tables are reduced to one checksum per bucket of row hashes, map-side, so equal tables shuffle nothing but
+    checksums; only the hashes of rows in buckets that differ are grouped and compared.
+    """
+    columns = columns or left.columns
+    hashes = [_row_hashes(df, columns) for df in (left, right)]
+    sums = ["n", "s1", "s2", "s3", "s4"]
+    l, r = (checksums(h, buckets) for h in hashes)
+    r = r.select("bucket", *[F.col(c).alias(f"_{c}") for c in sums])
+    equal = F.lit(True)
+    for c in sums:
+        equal = equal & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    # at most one row per bucket
+    unequal = [x.bucket for x in l.join(r, "bucket", "full").where(~equal).select("bucket").collect()]
+    if not unequal:
+        return hashes[0].limit(0).select("a", "b", F.lit(0).cast("bigint").alias("n_left"), F.lit(0).cast("bigint").alias("n_right"))
+    spark = left.sparkSession
+    some = F.broadcast(spark.createDataFrame([(b,) for b in unequal], "bucket int"))
+    sides = []
+    for k, h in enumerate(hashes):
+        rows = h.withColumn("bucket", F.pmod("a", F.lit(buckets)).cast("int")).join(some, "bucket", "left_semi")
+        sides.append(rows.select("a", "b", F.lit(1 - k).cast("bigint").alias("n_left"), F.lit(k).cast("bigint").alias("n_right")))
+    return (sides[0].unionByName(sides[1]).groupBy("a", "b").agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
+            .where(F.col("n_left") != F.col("n_right")))
+
+
+def reconcile_digest(left: DataFrame, right: DataFrame, columns: list[str] | None = None,
+                     buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """One row: rows of both tables, rows that are missing on the right and that are too many there, counted with
+    their copies, and the status (ok, error: rows are missing, warning: only too many)."""
+    diff = table_differences(left, right, columns, buckets)
+    less = F.greatest(F.col("n_left") - F.col("n_right"), F.lit(0))
+    more = F.greatest(F.col("n_right") - F.col("n_left"), F.lit(0))
+    x = diff.agg(F.coalesce(F.sum(less), F.lit(0)).alias("missing"), F.coalesce(F.sum(more), F.lit(0)).alias("extra"))
+    x = x.crossJoin(left.agg(F.count(F.lit(1)).alias("left_rows"))).crossJoin(right.agg(F.count(F.lit(1)).alias("right_rows")))
+    status = F.when(F.col("missing") > 0, "error").when(F.col("extra") > 0, "warning").otherwise("ok")
+    return x.withColumn("status", status)
+
+
 def unique_factors(df: DataFrame) -> Column:
     """True when no factor repeats in a row (blank / NULL ignored)."""
     return ~has_repeat(driver_array())

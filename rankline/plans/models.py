@@ -1,4 +1,4 @@
-"""Rank models on Spark ML: pipelines, training, ordinal regression, scoring.
+"""Rank models on Spark ML: pipelines, training, scoring, importances, tuning.
 
 Features come from ``operators.features``; train-time constants (factor
 vocabulary, feature order, global first time) are stored next to the fitted
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from rankline.functions.columns import half_even_int
 from rankline.operators import metrics as M
 from rankline.operators.features import HISTORY_FEATURES
+from rankline.plans.ordinal import ordinal_fit, ordinal_loss, ordinal_predict  # noqa: F401
 from rankline.schema import MODEL_NAMES
 from rankline.session import ensure_checkpoint_dir
 
@@ -88,6 +90,11 @@ def evaluate(pred: DataFrame, model_name: str, eval_set: str) -> DataFrame:
     return M.all_metrics(pairs, ["eval_set", "model_name"])
 
 
+def model_path(folder: str, name: str) -> str:
+    """Where a folder of models keeps the one of this name."""
+    return os.path.join(folder, re.sub(r"[^A-Za-z0-9]+", "_", name))
+
+
 def save_model(model: PipelineModel, path: str, vocab: list[str], cols: list[str], first_time) -> None:
     model.write().overwrite().save(path)
     meta = {"vocabulary": vocab, "feature_columns": cols,
@@ -145,83 +152,17 @@ def feature_importance(model, top_n: int | None = None, factors_only: bool = Fal
     return df.limit(top_n) if top_n else df
 
 
-# ---- ordinal regression (immediate-threshold logistic) --------------------------------------
-
-def ordinal_fit(train: DataFrame, cols: list[str], n_ranks: int, reg: float = 0.01, max_iter: int = 25,
-                thresholds: str = "immediate", bin_width: int = 1):
-    """Threshold ordinal logistic regression.
-
-    Ranks are optionally binned (``bin_width``) into K classes.  Each row with
-    class y yields rows for thresholds k (1 <= k < K) with label 1[y > k]:
-    k in {y-1, y} for ``thresholds="immediate"``, every k for ``"all"`` (the
-    stronger variant; K-1 rows per input row, hence the binning).  Features are
-    the shared inputs plus a one-hot of k; a no-intercept logistic regression
-    then holds w (shared) and theta_k.  Prediction: 1 + #{k : theta_k + w.x > 0}.
-    Ranks outside 1 .. ``n_ranks`` count as the nearest of these two.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import OneHotEncoder
-
-    n_classes = -(-n_ranks // bin_width)
-    x = train.where(F.col(LABEL).isNotNull())
-    bounded = F.least(F.greatest(F.col(LABEL), F.lit(1)), F.lit(n_ranks))
-    x = x.withColumn("_y", F.ceil(bounded / F.lit(bin_width)).cast("int"))
-    rows = x
-    if thresholds == "immediate":
-        ks = F.array(F.col("_y") - 1, F.col("_y"))
-    elif thresholds == "all":
-        ks = F.sequence(F.lit(1), F.lit(n_classes - 1))
-    else:
-        raise ValueError("thresholds must be 'immediate' or 'all'")
-    x = x.select("*", F.explode(ks).alias("_k"))
-    x = x.where((F.col("_k") >= 1) & (F.col("_k") < n_classes))
-    x = x.withColumns({"_label": (F.col("_y") > F.col("_k")).cast("double"),
-                       "_kidx": (F.col("_k") - 1).cast("double")})
-    assembler = VectorAssembler(inputCols=cols, outputCol="_shared", handleInvalid="keep")
-    scaler = StandardScaler(inputCol="_shared", outputCol="_sharedz", withMean=False, withStd=True)
-    enc = OneHotEncoder(inputCols=["_kidx"], outputCols=["_kvec"], dropLast=False, handleInvalid="keep")
-    full = VectorAssembler(inputCols=["_sharedz", "_kvec"], outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol="_label", fitIntercept=False,
-                            regParam=reg, maxIter=max_iter, standardization=False)
-    # scaled by the training rows, not by their threshold copies (edge ranks have fewer)
-    prep = Pipeline(stages=[assembler, scaler]).fit(rows)
-    # the threshold one-hot has a fixed size (K - 1), known from the rank scale
-    enc_model = enc.fit(x.sparkSession.range(n_classes - 1).select(F.col("id").cast("double").alias("_kidx")))
-    model = Pipeline(stages=[full, lr]).fit(enc_model.transform(prep.transform(x)))
-    coef = model.stages[-1].coefficients.toArray()
-    n_shared = len(cols)
-    return {"prep": prep, "w": coef[:n_shared].tolist(), "theta": coef[n_shared:n_shared + n_classes - 1].tolist(),
-            "cols": cols, "bin_width": bin_width, "n_ranks": n_ranks}
-
-
-def ordinal_predict(fitted: dict, df: DataFrame) -> DataFrame:
-    """class = 1 + count(theta_k + w.x > 0) (theta has K-1 entries, bounded by the rank
-    scale); with binning the prediction is the class's middle rank.  Without ``prep`` (given
-    weights) the columns are taken as they are."""
-    from pyspark.ml.functions import vector_to_array
-    w = fitted["w"]
-    if fitted.get("prep") is None:
-        x, z = df, [F.col(c).cast("double") for c in fitted["cols"]]
-    else:
-        x = fitted["prep"].transform(df)
-        z = vector_to_array("_sharedz")
-    margin = sum((z[i] * F.lit(float(w[i])) for i in range(len(w))), F.lit(0.0))
-    thetas = F.array(*[F.lit(float(t)) for t in fitted["theta"]])
-    cls = F.lit(1) + F.size(F.filter(thetas, lambda t: t + F.col("_margin") > 0))
-    bw = fitted.get("bin_width", 1)
-    pred = cls.cast("double") if bw == 1 else F.least(F.lit(float(fitted["n_ranks"])), (cls - 0.5) * bw)
-    return x.withColumn("_margin", margin).withColumn("prediction", pred.cast("double")) \
-            .drop("_shared", "_sharedz", "_margin")
-
-
 # ---- hyper-parameter search with a time-ordered validation fold ---------------------------
 
-def tune(train: DataFrame, cols: list[str], name: str, grid: list[dict], num: int = 4, den: int = 5) -> DataFrame:
-    """Fit every grid point on the older part of ``train``, score the newer part (MAE).
+def tune(train: DataFrame, cols: list[str], name: str, grid: list[dict], num: int = 4, den: int = 5,
+         parallelism: int = 4) -> DataFrame:
+    """Fit every grid point on the older part of ``train``, ``parallelism`` of them at a time, score the newer part (MAE).
 
     Returns one row per grid point with the validation MAE and ``chosen``.
     Random splits would leak future rows into training, hence the time cut.
     """
+    from multiprocessing.pool import ThreadPool
+
     from pyspark.ml.evaluation import RegressionEvaluator
 
     s = M.time_split(train, num=num, den=den)
@@ -233,11 +174,16 @@ def tune(train: DataFrame, cols: list[str], name: str, grid: list[dict], num: in
     ev = RegressionEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="mae")
     ensure_checkpoint_dir(train.sparkSession)
     fit_part = fit_part.where(F.col(LABEL).isNotNull()).persist()
-    rows = []
-    for i, model in pipe.fitMultiple(fit_part, maps):
-        rows.append((i, json.dumps(grid[i], sort_keys=True), float(ev.evaluate(model.transform(val_part)))))
+    fits = pipe.fitMultiple(fit_part, maps)
+
+    def one(_):
+        i, model = next(fits)
+        return i, json.dumps(grid[i], sort_keys=True), float(ev.evaluate(model.transform(val_part)))
+
+    with ThreadPool(max(1, min(parallelism, len(grid)))) as pool:
+        rows = pool.map(one, grid, 1)
     fit_part.unpersist()
-    best = min(rows, key=lambda r: r[2])[0]
+    best = min(rows, key=lambda r: (r[2], r[0]))[0]
     spark = train.sparkSession
     return spark.createDataFrame([(r[0], r[1], r[2], r[0] == best) for r in sorted(rows)],
                                  "grid_index int, params string, validation_mae double, chosen boolean")

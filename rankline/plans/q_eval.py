@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from rankline.functions import columns as C
 from rankline.operators import history as H
 from rankline.operators import metrics as M
 from rankline.operators import reports as R
-from rankline.plans.catalog import register, rounded
+from rankline.plans.catalog import ORACLE, register, rounded
 from rankline.plans.q_history import WORD, rankings
 from rankline.plans.sql_twins import with_views
-from rankline.session import cut_lineage
+from rankline.schema import LEADERBOARD
+from rankline.session import cut_lineage, ensure_checkpoint_dir
 from rankline.sources.fixtures import view
+from rankline.sources.ingest import read_leaderboard
 
 # Fallback prediction for a subject's first row in the metric fixture.
 FIRST_ROW_GUESS = 133
@@ -103,6 +108,14 @@ def kendall(spark, sf):
     return rounded(M.kendall_tau_b(lag_pairs(spark, sf), []))
 
 
+@register("kendall_continuous", PAIRS_SQL + HOLES_SQL + f"""
+, whole AS (SELECT * FROM holes WHERE y IS NOT NULL AND p IS NOT NULL)
+SELECT round(kendall, 6) AS kendall FROM {_kendall_sql('whole')}""")
+def kendall_continuous(spark, sf):
+    """Kendall on unrounded predictions, incomplete pairs left out."""
+    return rounded(M.kendall_tau_b(hole_pairs(spark, sf), [], rounded=False))
+
+
 CUT_SQL = """, tx AS (SELECT epoch_us(UpdateDT) AS t FROM {src} WHERE UpdateDT IS NOT NULL)
 , cut AS (SELECT t AS cut_us FROM (SELECT t, row_number() OVER (ORDER BY t) AS rn, count(*) OVER () AS n FROM tx)
           WHERE rn = (4 * n + 4) // 5)
@@ -233,3 +246,17 @@ def model_card(spark, sf):
     board = M.all_metrics(model_pairs(spark, sf), ["model_name"])
     cards = R.model_card(board, "XGBoost").unionByName(R.model_card(board, "No such model"))
     return rounded(cards.drop("spearman", "kendall", "expected_accuracy"))
+
+
+@register("leaderboard_csv", "SELECT model_name, model_name || '.bin' AS filename, mae, rmse, r2, spearman, kendall, accuracy_5, accuracy_10, "
+          "accuracy_20, is_best_model FROM (" + ORACLE["leaderboard"] + ")")
+def leaderboard_csv(spark, sf):
+    """The leaderboard written as a CSV with blanks behind the commas, and read by its fixed schema."""
+    board = leaderboard(spark, sf).withColumn("filename", F.concat("model_name", F.lit(".bin")))
+    names = LEADERBOARD.fieldNames()
+    path = os.path.join(ensure_checkpoint_dir(spark), f"rankline-leaderboard-{uuid.uuid4().hex}")
+    line = F.concat_ws(", ", *[F.col(c).cast("string") for c in names])
+    # one row per model
+    text = board.agg(F.concat_ws("\n", F.lit(",".join(names)), F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias("value"))
+    text.write.text(path)
+    return read_leaderboard(spark, path)

@@ -160,6 +160,35 @@ def input_defaults(spark, sf):
     return FE.input_defaults(inputs(spark, sf)).select("event_id", "SubjectID", *DRIVERS)
 
 
+@register("input_defaults_new_subject", with_views("inputs") + """
+SELECT event_id, coalesce(CASE WHEN event_id % 19 = 0 THEN 'new-' || event_id END, nullif(SubjectID, ''), 'new_input') AS SubjectID
+FROM inputs""")
+def input_defaults_new_subject(spark, sf):
+    """An id given for a new subject overrides the selected one; a blank one does not."""
+    new = F.when(F.col("event_id") % 19 == 0, F.concat(F.lit("new-"), F.col("event_id").cast("string"))).otherwise(F.lit(" "))
+    return FE.input_defaults(inputs(spark, sf).withColumn("NewSubjectID", new)).select("event_id", "SubjectID")
+
+
+@register("driver_long_discovered", with_views("rankings") + " UNION ALL ".join(
+    f"SELECT SubjectID, UpdateDT, Model, 'Driver{i}' AS Driver, Driver{i} AS Factor, true AS named FROM rankings UNION ALL "
+    f"SELECT SubjectID, UpdateDT, Model, 'c{i}', Driver{i}, false FROM rankings" for i in range(1, 18)))
+def driver_long_discovered(spark, sf):
+    """Long form over discovered driver columns: by their names, and by their places where no column has such a name."""
+    r = rankings(spark, sf)
+    bare = r.withColumnsRenamed({d: f"c{i + 1}" for i, d in enumerate(DRIVERS)})
+    ids = ["SubjectID", "UpdateDT", "Model"]
+    parts = [FA.driver_long(df, ids, FA.driver_columns(df)).drop("DriverNumber").withColumn("named", F.lit(df is r)) for df in (r, bare)]
+    return parts[0].unionByName(parts[1])
+
+
+@register("to_datetime", with_views("rankings_dirty") + """
+SELECT UpdateDT AS text, TRY_CAST(UpdateDT AS TIMESTAMP) AS parsed, count(*) AS n FROM rankings_dirty GROUP BY ALL""")
+def to_datetime(spark, sf):
+    """Generic reading of time texts: what is no time becomes NULL."""
+    x = view(spark, sf, "rankings_dirty").select(F.col("UpdateDT").alias("text"), C.to_datetime("UpdateDT").alias("parsed"))
+    return x.groupBy("text", "parsed").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("dq_unique_factors", with_views("inputs") + f"""
 SELECT event_id, SubjectID, CAST(len({CHOSEN_SQL}) AS INTEGER) AS n_chosen,
        CAST(len(list_distinct({CHOSEN_SQL})) AS INTEGER) AS n_distinct
@@ -179,7 +208,8 @@ _BASE_COMMON = """event_id, coalesce(nullif(i.SubjectID, ''), 'new_input') AS Su
        CAST(coalesce(datesub('day', s.t0, i.UpdateDT), 0) AS BIGINT) AS DaysSinceFirst,
        CAST(0 AS BIGINT) AS DaysSincePrev, round(coalesce(s.mean_rank, 50.0), 6) AS PrevRank,
        0 AS RankChange"""
-_REF = ", s AS (SELECT min(UpdateDT) AS t0, avg(Rank) AS mean_rank FROM rankings)"
+# Observed rows are the reference; stored predictions are not.
+_REF = ", s AS (SELECT min(UpdateDT) AS t0, avg(Rank) AS mean_rank FROM rankings WHERE Model IS NULL)"
 _NB = {d: f"nullif(i.{d}, '')" for d in DRIVERS}
 
 
@@ -193,7 +223,7 @@ def _onehot_sql(prefix="i.") -> str:
 
 
 def _base(spark, sf):
-    return FE.base_features(inputs(spark, sf), rankings(spark, sf), FIXTURE_VOCAB, id_cols=["event_id"])
+    return FE.base_features(inputs(spark, sf), FE.training_rows(rankings(spark, sf)), FIXTURE_VOCAB, id_cols=["event_id"])
 
 
 @register("base_features_positional", with_views("rankings", "inputs", extra=[_REF[2:]]) + f"""
@@ -222,7 +252,7 @@ SCALED = ["Year", "Month", "DayOfMonth", "DayOfWeek", "DaysSinceFirst", "DaysSin
 
 def _scaled_sql() -> str:
     base = f"SELECT {_BASE_COMMON}, {_pos_last_sql()} FROM inputs i CROSS JOIN s"
-    fitted = f"SELECT {_BASE_COMMON[_BASE_COMMON.index('CAST(year'):]} FROM rankings i CROSS JOIN s"
+    fitted = f"SELECT {_BASE_COMMON[_BASE_COMMON.index('CAST(year'):]} FROM rankings i CROSS JOIN s WHERE i.Model IS NULL"
     stats = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in SCALED)
     scaled = ", ".join(f"round(CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE CAST({c} AS DOUBLE) END, 6) AS {c}"
                        for c in SCALED)
@@ -233,8 +263,8 @@ SELECT event_id, SubjectID, Rank, UpdateDT, {scaled}, {pos} FROM b CROSS JOIN st
 
 @register("scaled_features", _scaled_sql())
 def scaled_features(spark, sf):
-    """Inputs scaled by the reference rows, so a row scales alike in every batch."""
-    reference = rankings(spark, sf)
+    """Inputs scaled by the observed rows, so a row scales alike in every batch."""
+    reference = FE.training_rows(rankings(spark, sf))
     fitted = FE.base_features(reference, reference, FIXTURE_VOCAB)[0]
     return rounded(FE.scale_columns(_base(spark, sf)[0], SCALED, fit_on=fitted))
 

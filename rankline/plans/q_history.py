@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rankline.operators import features as FE
@@ -12,6 +14,7 @@ from rankline.plans.catalog import register, rounded
 from rankline.plans.sql_twins import with_views
 from rankline.schema import DRIVERS
 from rankline.sources.fixtures import view
+from rankline.sources.ingest import save_bucketed
 
 # Fixed vocabulary of the fixture views (17 factors, lexicographic order).
 FIXTURE_VOCAB = sorted(f"Factor{i}" for i in range(1, 18))
@@ -252,3 +255,31 @@ def serving_features_for_model(spark, sf):
 def training_rows(spark, sf):
     """Features and labels that learners get: observed rows, with observed rows as their history."""
     return rounded(FE.rank_features(FE.training_rows(rankings(spark, sf)), FIXTURE_VOCAB))
+
+
+BUCKETS = 8
+
+
+def bucketed_rankings(spark, sf):
+    """The rankings stored as a table bucketed by subject."""
+    name = f"rankline_bucketed_{uuid.uuid4().hex}"
+    save_bucketed(rankings(spark, sf), name, BUCKETS)
+    return spark.table(name)
+
+
+_ASOF_SQL = with_views("rankings", "inputs") + """
+, n AS (SELECT event_id, TRY_CAST(nullif(SubjectID, '') AS BIGINT) AS SubjectID, UpdateDT FROM inputs)
+SELECT n.event_id, n.SubjectID, n.UpdateDT, r.Rank AS prev_rank, r.UpdateDT AS prev_update
+FROM n ASOF LEFT JOIN rankings r ON n.SubjectID = r.SubjectID AND n.UpdateDT >= r.UpdateDT"""
+
+
+@register("asof_prev_rank_bucketed", _ASOF_SQL)
+def asof_prev_rank_bucketed(spark, sf):
+    """asof_prev_rank against a table bucketed by subject, whose rows are not shuffled."""
+    return H.asof_prev_rank(bucketed_rankings(spark, sf), input_rows(spark, sf), buckets=BUCKETS)
+
+
+@register("serving_features_bucketed", with_views("rankings", "inputs") + serve_sql() + _SERVED)
+def serving_features_bucketed(spark, sf):
+    """serving_features against a table bucketed by subject."""
+    return rounded(FE.serving_features(bucketed_rankings(spark, sf), input_rows(spark, sf), FIXTURE_VOCAB, buckets=BUCKETS))

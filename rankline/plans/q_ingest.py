@@ -61,6 +61,31 @@ def ingest_accepted(spark, sf):
     return I.ingest(csv_of(spark, sf, "rankings_bad"))[0]
 
 
+# The CSV's lines by outcome, from the definition of the view csv_lines.
+_LINES_SQL = """
+WITH k AS (SELECT *, CASE WHEN event_id % 41 = 0 THEN 'short' WHEN event_id % 43 = 0 THEN 'long' WHEN event_id % 47 = 0 THEN 'open'
+                          WHEN event_id % 53 = 0 THEN 'two' ELSE 'good' END AS kind FROM events)
+, m AS (SELECT CASE kind WHEN 'good' THEN 'accepted' WHEN 'short' THEN 'number of fields' WHEN 'long' THEN 'number of fields'
+                    ELSE 'open quote' END AS outcome, CASE kind WHEN 'two' THEN 2 ELSE 1 END AS n, user_id, event_id, kind FROM k)
+SELECT outcome, CAST(sum(n) AS BIGINT) AS n_records, CAST(sum(user_id) AS BIGINT) AS subject_sum,
+       CAST(count(*) FILTER (kind = 'good' AND event_id % 31 = 0) AS BIGINT) AS quoted_commas
+FROM m GROUP BY outcome"""
+
+
+@register("ingest_malformed", _LINES_SQL)
+def ingest_malformed(spark, sf):
+    """Records of a CSV by outcome: accepted rows, and malformed lines by reason with their text kept."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"rankline-lines-{uuid.uuid4().hex}")
+    view(spark, sf, "csv_lines").write.text(path)
+    rows, malformed = I.read_csv_lines(spark, path, I.RAW_COLUMNS)
+    good = rows.select(F.lit("accepted").alias("outcome"), F.col("SubjectID").alias("subject"), F.col("Driver17").alias("last"))
+    bad = malformed.select(F.col("reason").alias("outcome"), F.expr("try_cast(regexp_extract(raw, '^([0-9]+),', 1) AS bigint)")
+                           .cast("string").alias("subject"), F.lit(None).cast("string").alias("last"))
+    return good.unionByName(bad).groupBy("outcome").agg(
+        F.count(F.lit(1)).alias("n_records"), F.sum(F.col("subject").cast("bigint")).alias("subject_sum"),
+        F.count_if(F.col("last") == "Factor, 1").alias("quoted_commas"))
+
+
 def _insert_sql(null_safe: bool) -> str:
     eq = "IS NOT DISTINCT FROM" if null_safe else "="
     return with_views("rankings", "rankings_multi") + f"""

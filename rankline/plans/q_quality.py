@@ -68,6 +68,20 @@ def dq_reconcile(spark, sf):
     return Q.reconcile(view(spark, sf, "rankings_raw"), rankings(spark, sf))
 
 
+@register("dq_reconcile_digest", with_views("rankings_raw", "rankings_dirty") + f"""
+, l AS (SELECT CAST(SubjectID AS VARCHAR) AS s, CAST(Rank AS VARCHAR) AS r, {", ".join(DRIVERS)}, count(*) AS nl FROM rankings_raw GROUP BY ALL)
+, d AS (SELECT CAST(SubjectID AS VARCHAR) AS s, CAST(Rank AS VARCHAR) AS r, {", ".join(DRIVERS)}, count(*) AS nr FROM rankings_dirty GROUP BY ALL)
+, j AS (SELECT coalesce(nl, 0) AS nl, coalesce(nr, 0) AS nr FROM l FULL JOIN d ON
+        {" AND ".join(f"l.{c} IS NOT DISTINCT FROM d.{c}" for c in ["s", "r", *DRIVERS])})
+SELECT CAST(sum(greatest(nl - nr, 0)) AS BIGINT) AS missing, CAST(sum(greatest(nr - nl, 0)) AS BIGINT) AS extra,
+       (SELECT count(*) FROM rankings_raw) AS left_rows, (SELECT count(*) FROM rankings_dirty) AS right_rows,
+       CASE WHEN sum(greatest(nl - nr, 0)) > 0 THEN 'error' WHEN sum(greatest(nr - nl, 0)) > 0 THEN 'warning' ELSE 'ok' END AS status
+FROM j""")
+def dq_reconcile_digest(spark, sf):
+    """Rows of the raw source that the dirty table lacks or has too often, times left aside."""
+    return Q.reconcile_digest(view(spark, sf, "rankings_raw"), dirty(spark, sf), ["SubjectID", "Rank", *DRIVERS])
+
+
 @register("missing_subjects", with_views("inputs", "rankings") + """
 , s AS (SELECT DISTINCT SubjectID FROM inputs)
 , m AS (SELECT SubjectID FROM s WHERE SubjectID NOT IN (SELECT CAST(SubjectID AS VARCHAR) FROM rankings))

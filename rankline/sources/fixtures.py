@@ -97,6 +97,22 @@ def rankings_bad(ev: DataFrame) -> DataFrame:
     )
 
 
+def csv_lines(ev: DataFrame) -> DataFrame:
+    """Lines of a CSV of the raw rows, some of them malformed: a field missing or too many, a quote left open, a
+    quoted field over two lines; others hold a quoted comma or a quoted quote."""
+    eid = F.col("event_id")
+    fields = [F.col("user_id").cast("string"), _base_rank().cast("string"), *_drivers()[:-1]]
+    head, time = F.concat_ws(",", *fields), F.date_format("ts", RAW_TS_TEXT)
+    last = (F.when(eid % 31 == 0, F.lit('"Factor, 1"')).when(eid % 37 == 0, F.lit('"say \\"A\\""'))
+            .otherwise(driver_expr(N_DRIVERS)))
+    line = (F.when(eid % 41 == 0, F.concat_ws(",", head, last))
+            .when(eid % 43 == 0, F.concat_ws(",", head, last, time, F.lit("more")))
+            .when(eid % 47 == 0, F.concat_ws(",", head, last, F.concat(F.lit('"'), time)))
+            .when(eid % 53 == 0, F.concat_ws(",", head, F.lit('"two\nlines"'), time))
+            .otherwise(F.concat_ws(",", head, last, time)))
+    return ev.select(line.alias("value"))
+
+
 def rankings_dirty(ev: DataFrame) -> DataFrame:
     x = _raw_rows(ev)
     eid = F.col("event_id")
@@ -137,6 +153,7 @@ VIEWS = {
     "rankings_multi": rankings_multi,
     "rankings_raw": rankings_raw,
     "rankings_bad": rankings_bad,
+    "csv_lines": csv_lines,
     "rankings_dirty": rankings_dirty,
     "inputs": inputs,
 }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rankline.functions.columns import parse_raw_ts, pad_to
 from rankline.schema import DRIVERS, KEY, LEADERBOARD, NULL_TOKENS, RANKINGS
+from rankline.session import cut_lineage
 
 RAW_COLUMNS = ["SubjectID", "Rank", *DRIVERS, "UpdateDT"]
 # New batches up to this many keys are matched against the table by
@@ -21,9 +22,54 @@ BROADCAST_KEYS = 2_000_000
 
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV read as text; columns the file lacks become NULL."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return align_raw(raw)
+    """Header CSV read as text; columns the file lacks become NULL.  Malformed lines are left out
+    (``read_csv_lines`` has them)."""
+    return read_csv_lines(spark, path)[0]
+
+
+def read_csv_lines(spark: SparkSession, path: str, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with RAW_COLUMNS, malformed lines as raw text with a reason) of CSV files.
+
+    Every line with a character is one record, so files are split among tasks.  A line with too few or too
+    many fields, or with a quote that it does not close, is malformed: nothing of it is taken, its text is kept.  A
+    quoted field that goes over several lines is therefore malformed lines, the first and the last with an open
+    quote (``read_multiline_csv`` reads such files, one task a file).  Header lines, the first or any other, are
+    left out; ``columns`` names the fields, by default the header does.
+    """
+    columns = columns or spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return _checked(lines, columns, F.col("value"))
+
+
+_CORRUPT = "_corrupt_line"
+
+
+def _checked(lines: DataFrame, columns: list[str], text: Column) -> tuple[DataFrame, DataFrame]:
+    ddl = ", ".join(f"`{c}` string" for c in [*columns, _CORRUPT])
+    parsed = lines.select(text.alias("raw"), F.from_csv(text, ddl, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("f"))
+    header = F.lit(True)
+    for c in columns:
+        header = header & F.col(f"f.`{c}`").eqNullSafe(F.lit(c))
+    # the parser closes a quote at the end of the line by itself
+    quotes = F.length(F.regexp_replace("raw", r'\\.|[^"]', ""))
+    reason = (F.when(quotes % 2 == 1, "open quote").when(F.col(f"f.{_CORRUPT}").isNotNull(), "number of fields"))
+    parsed = parsed.where(~header).withColumn("reason", reason)
+    rows = parsed.where(F.col("reason").isNull()).select(*[F.col(f"f.`{c}`").alias(c) for c in columns])
+    return align_raw(rows), parsed.where(F.col("reason").isNotNull()).select("raw", "reason")
+
+
+def read_multiline_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with RAW_COLUMNS, malformed records as raw text with a reason) of header CSV files whose quoted
+    fields may hold line ends.  A file cannot be split, so it is one task's work; a quote that is never closed makes
+    the rest of its file one malformed record."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("columnPruning", False)
+    columns = reader.csv(path).columns
+    ddl = ", ".join(f"`{c}` string" for c in [*columns, _CORRUPT])
+    parsed = cut_lineage(reader.schema(ddl).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT).csv(path))
+    bad = parsed.where(F.col(_CORRUPT).isNotNull())
+    return (align_raw(parsed.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)),
+            bad.select(F.col(_CORRUPT).alias("raw"), F.lit("number of fields").alias("reason")))
 
 
 def align_raw(raw: DataFrame) -> DataFrame:
@@ -156,7 +202,6 @@ def insert_if_absent(spark: SparkSession, path: str, new: DataFrame, null_safe:
     written to the checkpoint folder first so the append does not read the
     directory it writes to.
     """
-    from rankline.session import cut_lineage
     create_if_absent(spark, path)
     existing = spark.read.schema(RANKINGS).parquet(path)
     add = cut_lineage(rows_to_insert(existing, new, null_safe))

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rankline.functions.columns import count_chosen, driver_array, half_even_int
 from rankline.operators import summaries
-from rankline.operators.features import serving_features
+from rankline.operators.features import align_features, serving_features
 from rankline.schema import DRIVERS, RANKINGS
 from rankline.session import cut_lineage
 from rankline.sources import store
@@ -71,23 +71,25 @@ def scorable(new: DataFrame) -> DataFrame:
     return cut_lineage(new.where(chosen > 0).withColumn("SubjectID", F.expr("try_cast(nullif(SubjectID, '') AS BIGINT)")))
 
 
-def predictions(feats: DataFrame, model, model_name: str, id_col: str = "event_id") -> DataFrame:
-    """id, table columns and prediction."""
+def predictions(feats: DataFrame, model, model_name: str, id_col: str = "event_id", columns: list[str] | None = None) -> DataFrame:
+    """id, table columns and prediction; with ``columns``, the model is given just these features, missing ones as 0."""
+    if columns is not None:
+        feats = align_features(feats, [id_col, "SubjectID", *DRIVERS, "UpdateDT", *columns])
     return model.transform(feats).select(
         id_col, "SubjectID", half_even_int("prediction").alias("Rank"), *DRIVERS, "UpdateDT",
         F.lit(False).alias("OriginalDataFlag"), F.lit(model_name).alias("Model"), "prediction")
 
 
 def score_rows(history: DataFrame, new: DataFrame, model, vocab: list[str], model_name: str,
-               id_col: str = "event_id", first_time: DataFrame | None = None) -> DataFrame:
+               id_col: str = "event_id", first_time: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
     """Score new rows against the observed rows of ``history``: id, table columns and prediction.
 
     Rows without any chosen factor are not scored.  Rows without a subject id are scored as new
     subjects; their SubjectID is NULL, so they cannot be stored.
-    ``first_time``: the first time the model was trained with.
+    ``first_time`` and ``columns``: the first time and the feature columns that the model was saved with.
     """
     feats = serving_features(history, scorable(new), vocab, id_col=id_col, first_time=first_time, keep=DRIVERS)
-    return predictions(feats, model, model_name, id_col)
+    return predictions(feats, model, model_name, id_col, columns)
 
 
 def score_against_table(spark: SparkSession, table_path: str, new: DataFrame, model, vocab: list[str], model_name: str,

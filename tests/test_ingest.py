@@ -83,3 +83,30 @@ def test_table_existence(spark):
     I.create_if_absent(spark, path)
     t = I.read_table_or_none(spark, path)
     assert t is not None and t.count() == 0 and t.columns == RANKINGS.fieldNames()
+
+
+def test_malformed_lines_are_kept_and_counted(spark):
+    d = tempfile.mkdtemp()
+    lines = ["SubjectID,Rank,Driver1,UpdateDT", "1,5,A,1/2/2022 3:04", "2,6,B", "3,7,C,1/2/2022 3:04,more", "",
+             '4,8,"D,1/2/2022 3:04', '5,9,E,"1/2/2022 3:04', '6,1,"F, G",1/2/2022 3:04', '7,2,"say \\"H\\"",1/2/2022 3:04',
+             '8,3,"over', 'two lines",1/2/2022 3:04', "SubjectID,Rank,Driver1,UpdateDT", "9,4,,1/2/2022 3:04", "   "]
+    with open(os.path.join(d, "rank.csv"), "w") as f:
+        f.write("\r\n".join(lines))
+    rows, bad = I.read_csv_lines(spark, d)
+    assert {(r.SubjectID, r.Driver1, r.UpdateDT, r.Driver2) for r in rows.collect()} == {
+        ("1", "A", "1/2/2022 3:04", None), ("6", "F, G", "1/2/2022 3:04", None), ("7", 'say "H"', "1/2/2022 3:04", None),
+        ("9", None, "1/2/2022 3:04", None)}
+    got = {r.raw: r.reason for r in bad.collect()}
+    assert got == {lines[2]: "number of fields", lines[3]: "number of fields", lines[5]: "open quote", lines[6]: "open quote",
+                   lines[9]: "open quote", lines[10]: "open quote"}
+    assert rows.count() + bad.count() == 10  # lines with a character that are no header
+    assert I.read_raw_csv(spark, d).count() == 4
+
+
+def test_quoted_line_ends(spark):
+    d = tempfile.mkdtemp()
+    with open(os.path.join(d, "rank.csv"), "w") as f:
+        f.write('SubjectID,Rank,Driver1,UpdateDT\n1,5,"over\ntwo lines",1/2/2022 3:04\n2,6,B\n3,7,C,1/2/2022 3:04\n')
+    rows, bad = I.read_multiline_csv(spark, d)
+    assert {(r.SubjectID, r.Driver1) for r in rows.collect()} == {("1", "over\ntwo lines"), ("3", "C")}
+    assert [(r.raw.strip(), r.reason) for r in bad.collect()] == [("2,6,B", "number of fields")]

@@ -33,6 +33,42 @@ def test_kendall_matches_brute_force(spark):
         assert abs(got[g] - _kendall_brute(sub.y.tolist(), sub.p.tolist())) < 1e-9
 
 
+def test_kendall_on_unrounded_predictions_over_many_slabs(spark):
+    rnd = random.Random(8)
+    rows = [(g, rnd.choice((None, *range(1, 12))), rnd.choice((None, 0.5, rnd.gauss(0, 3), rnd.gauss(0, 3))))
+            for g in ("a", "b", "c") for _ in range(250)]
+    rows += [("one", 1, 1.0), ("flat", 2, 1.0), ("flat", 3, 1.0)]
+    df = spark.createDataFrame(rows, "g string, y int, p double")
+    pdf = pd.DataFrame(rows, columns=["g", "y", "p"]).dropna()
+    want = {g: _kendall_brute(x.y.tolist(), x.p.tolist()) for g, x in pdf.groupby("g") if g in "abc"}
+    for slab_cells in (10**6, 100, 7):
+        got = {r.g: r.kendall for r in M.kendall_tau_b(df, ["g"], rounded=False, slab_cells=slab_cells).collect()}
+        assert got.pop("one") is None and got.pop("flat") is None
+        assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+    x = df.where("g = 'a'").drop("g")
+    assert abs(M.kendall_tau_b(x, [], rounded=False, slab_cells=20).first().kendall - want["a"]) < 1e-9
+    assert M.kendall_tau_b(df.limit(0), [], rounded=False).first().kendall is None
+    # two group columns, one of one value
+    two = M.kendall_tau_b(df.withColumn("k", F.lit(3)), ["k", "g"], rounded=False, slab_cells=50)
+    assert {r.g for r in two.where("kendall IS NOT NULL").collect()} == {"a", "b", "c"}
+
+
+def test_weighted_inversions():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 17, 64, 130):
+        v, w = rng.integers(0, 9, n), rng.integers(1, 5, n).astype(float)
+        want = [sum(w[i] for i in range(j) if v[i] > v[j]) for j in range(n)]
+        assert M.weighted_inversions(v, w).tolist() == want
+
+
+def test_kendall_makes_no_grid_of_values(spark):
+    df, _ = _pairs(spark)
+    cells = M._cells(df, ["g"], "y", "p")
+    plan = M.inversions(cells, ["g"], "y", "p", 100)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
 def test_spearman_matches_pandas(spark):
     df, pdf = _pairs(spark)
     got = {r.g: r.spearman for r in M.spearman(df, ["g"]).collect()}

@@ -43,3 +43,37 @@ def test_bucketed_table_needs_no_shuffle(spark):
     assert "Exchange hashpartitioning" not in p
     plain = FE.rank_features(view(spark, SF_MID, "rankings"), FIXTURE_VOCAB, hot_rows=None)
     assert df.exceptAll(plain).count() == 0 and plain.exceptAll(df).count() == 0
+
+
+def _exchanges_over_history(plan):
+    """Hash exchanges that lie above a scan of the bucketed table."""
+    lines, found = plan.splitlines(), []
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            depth = len(line) - len(line.lstrip(" :|*+-"))
+            below = []
+            for other in lines[i + 1:]:
+                if len(other) - len(other.lstrip(" :|*+-")) <= depth:
+                    break
+                below.append(other)
+            found.append(any("rankings_by_subject" in x for x in below))
+    return found
+
+
+def test_asof_and_serving_do_not_shuffle_a_bucketed_history(spark):
+    from rankline.operators import history as H
+    from rankline.sources.ingest import save_bucketed
+    hist = view(spark, SF_MID, "rankings")
+    save_bucketed(hist, "rankings_by_subject", 8)
+    t = spark.table("rankings_by_subject")
+    new = view(spark, SF_MID, "inputs").withColumn("SubjectID", F.expr("try_cast(SubjectID AS BIGINT)"))
+    for stored, plain in ((H.asof_prev_rank(t, new, hot_rows=None, buckets=8), H.asof_prev_rank(hist, new, hot_rows=None)),
+                          (FE.serving_features(t, new, FIXTURE_VOCAB, hot_rows=None, buckets=8),
+                           FE.serving_features(hist, new, FIXTURE_VOCAB, hot_rows=None))):
+        p = _plan(stored)
+        assert "Bucketed: true" in p
+        assert not any(_exchanges_over_history(p)) and _exchanges_over_history(p)
+        assert stored.exceptAll(plain).count() == 0 and plain.exceptAll(stored).count() == 0
+    # the hot-subject split gives the same values on a bucketed table
+    split, plain = H.asof_prev_rank(t, new, force_split=True, buckets=8), H.asof_prev_rank(hist, new)
+    assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0

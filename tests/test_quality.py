@@ -58,3 +58,29 @@ def test_validate_paths(spark):
     assert rep["overall"].passed and rep["source_reconcile"].status == "PASSED"
     rep2 = {r.check: r for r in Q.validate(spark, path, os.path.join(base, "missing.csv")).collect()}
     assert rep2["source_exists"].status == "WARNING" and rep2["overall"].passed
+
+
+def test_digests_find_what_differs_and_shuffle_only_checksums(spark):
+    from pyspark.sql import functions as F
+    t = view(spark, SF_SMALL, "rankings").select("SubjectID", "Rank", "Model", "UpdateDT").withColumn("i", F.monotonically_increasing_id())
+    same = Q.reconcile_digest(t, t.repartition(5)).first()
+    assert (same.missing, same.extra, same.status) == (0, 0, "ok") and same.left_rows == t.count()
+    changed = t.where("i <> 3").withColumn("Rank", F.when(F.col("i") == 5, 999).otherwise(F.col("Rank")))
+    changed = changed.withColumn("Model", F.when(F.col("i") == 7, F.lit("")).otherwise(F.col("Model")))  # '' is not NULL
+    r = Q.reconcile_digest(t, changed.unionByName(changed.where("i = 9"))).first()
+    nulls = t.where("i = 7 AND Model IS NULL").count()
+    assert (r.missing, r.extra, r.status) == (2 + nulls, 2 + nulls, "error")
+    assert Q.reconcile_digest(t, t.unionByName(t.where("i = 9"))).first().status == "warning"
+    assert Q.reconcile_digest(t.limit(0), t.limit(0)).first().status == "ok"
+    assert Q.reconcile_digest(t, t.limit(0)).first().missing == t.count()
+    # what is shuffled has a bucket and sums, no column of the table
+    plan = Q.checksums(Q._row_hashes(t, ["SubjectID", "Model"]))._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan and plan.count("Exchange") == 1
+    # few buckets find the same
+    assert Q.reconcile_digest(t, changed, buckets=3).first().missing == 2 + nulls
+
+
+def test_digests_tell_column_borders_apart(spark):
+    a = spark.createDataFrame([("ab", "c"), (None, "")], "x string, y string")
+    b = spark.createDataFrame([("a", "bc"), ("", None)], "x string, y string")
+    assert Q.reconcile_digest(a, b).first().missing == 2

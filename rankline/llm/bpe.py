@@ -18,7 +18,8 @@ builds the trie once.
 
 Defined results: a NULL or empty text has no ids and decodes to empty; ids that the
 vocabulary lacks, and NULL ids, decode to nothing; a column that already has the name of the
-output is replaced; all other columns and all rows, repeated ones included, pass through.
+output is replaced; all other columns and all rows, repeated ones included, pass through.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ one row-local Arrow function, without a shuffle.
 
 Defined results: NULL and empty texts get the score of no evidence (difference 0).  With no
 label at all every score is 0.5; with labels of one kind only, the smoothed share of label 1.
-Repeated rows are each scored; other columns are ignored by ``score_documents``.
+Repeated rows are each scored, alike; other columns, whatever their names, are ignored by
+``score_documents``.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -29,7 +29,7 @@ is DataFrame work on (fingerprint) rows.
 Defined results: NULL and empty texts and texts without a word have fingerprint zero and link
 like any other.  A component's id is the smallest doc_id in it (NULL ids do not count; NULL
 if it has no other).  Repeated rows each get their row.  Extra columns are left out by
-``components_of`` and kept by ``keep_representatives``.
+``components_of`` and kept by ``keep_representatives``.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ Plan: at most ``PER_CLASS`` texts per label of at most ``MAX_CHARS`` characters
 broadcast; all texts are scored whole by a row-local Arrow function, without a shuffle.
 
 Defined results: a NULL or empty text is one empty sentence, whose score is that of the bias.
-Without a label 1 to learn from, every score is 0.  Repeated rows are each scored.  Other
-columns are ignored by ``score_documents`` and kept by ``drop_toxic``.
+Without a label 1 to learn from, every score is 0.  Repeated rows are each scored, alike; a
+score of exactly the threshold counts as toxic.  Other columns, whatever their names, are ignored
+by ``score_documents`` and kept by ``drop_toxic``.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -5,6 +5,12 @@ documents go, later copies of repeated line runs go, one document of each near-d
 stays, sources are mixed to their target weights (documents repeat as often as they are taken),
 and texts become BPE ids.  Every stage works on all that the one before kept; ``run`` writes each
 result as Parquet to the shared checkpoint folder and reads it again.
+
+Defined results: NULL and empty texts pass as empty ones do in every stage (as documents without a
+word they are one near-duplicate group, whose one row weighs nothing in the mix); rows that repeat
+id and text are the same document to line dedup, and near-dedup keeps one of them; a label row
+without its document teaches nothing, and without any toxic label none is rejected.  Extra
+columns pass through all stages but the last.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -67,8 +67,10 @@ class Sums:
         per_row = np.bincount(row, h, len(y))
         self.gw -= np.bincount(row, g, len(y)) @ x
         self.hww += (x * per_row[:, None]).T @ x
-        for j in range(x.shape[1]):
-            self.hwt[:, j] -= np.bincount(at, h * x[row, j], k)
+        if len(at):
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.diff(at[order], prepend=-1))
+            self.hwt[at[order[first]]] -= np.add.reduceat(h[order, None] * x[row[order]], first, axis=0)
 
     def flat(self):
         import numpy as np
@@ -84,8 +86,8 @@ class Sums:
         return self
 
 
-# Rows that a task works on at a time with all thresholds (a bound on memory only).
-ROWS = 2000
+# Pairs of a row and a threshold that a task works on at a time (a bound on memory only).
+PAIRS = 16_384
 
 
 def sums(rows: DataFrame, w, t, every: bool) -> Sums:
@@ -98,16 +100,17 @@ def sums(rows: DataFrame, w, t, every: bool) -> Sums:
         for batch in batches:
             y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(y), len(w))
-            for a in range(0, len(y), ROWS):
-                got.add(y[a:a + ROWS], x[a:a + ROWS])
+            step = max(1, PAIRS // (len(t) if every else 2))
+            for a in range(0, len(y), step):
+                got.add(y[a:a + step], x[a:a + step])
         flat = got.flat()
         some = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], ["i", "s"])
 
     total = Sums(w, t, every)
     flat = np.zeros(len(total.flat()))
-    for r in rows.select("_y", "_x").mapInArrow(part, "i bigint, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():
-        flat[r.i] = r.s
+    parts = rows.select("_y", "_x").mapInArrow(part, "i bigint, s double").groupBy("i").agg(F.sum("s").alias("s")).toArrow()
+    flat[parts.column("i").to_numpy()] = parts.column("s").to_numpy()
     return total.take(flat)
 
 
@@ -194,16 +197,15 @@ def ordinal_predict(fitted: dict, df: DataFrame) -> DataFrame:
     """class = 1 + count(theta_k + w.x > 0) (theta has K-1 entries, bounded by the rank
     scale); with binning the prediction is the class's middle rank.  Without ``prep`` (given
     weights) the columns are taken as they are."""
-    w = fitted["w"]
     if fitted.get("prep") is None:
-        x, z = df, [F.col(c).cast("double") for c in fitted["cols"]]
+        x = df.withColumn("_z", F.array(*[F.col(c).cast("double") for c in fitted["cols"]]))
     else:
-        x = fitted["prep"].transform(df)
-        z = vector_to_array("_sharedz")
-    margin = sum((z[i] * F.lit(float(w[i])) for i in range(len(w))), F.lit(0.0))
+        x = fitted["prep"].transform(df).withColumn("_z", vector_to_array("_sharedz"))
+    weights = F.array(*[F.lit(float(v)) for v in fitted["w"]])
+    margin = F.aggregate(F.zip_with("_z", weights, lambda z, w: z * w), F.lit(0.0), lambda a, v: a + v)
     thetas = F.array(*[F.lit(float(t)) for t in fitted["theta"]])
     cls = F.lit(1) + F.size(F.filter(thetas, lambda t: t + F.col("_margin") > 0))
     bw = fitted.get("bin_width", 1)
     pred = cls.cast("double") if bw == 1 else F.least(F.lit(float(fitted["n_ranks"])), (cls - 0.5) * bw)
     return x.withColumn("_margin", margin).withColumn("prediction", pred.cast("double")) \
-            .drop("_shared", "_sharedz", "_margin")
+            .drop("_shared", "_sharedz", "_z", "_margin")

@@ -11,9 +11,11 @@ equal sizes.
 
 Plan: native SQL only; texts are reduced to their sizes in the scan and never shuffled.  The
 running sum over a source is a sum of three bounded ones, so a source with most of the rows is
-not one task: over the source's distinct sizes, over 256 hash buckets of one size, and over
-the documents of one bucket, the first two on pre-aggregated counts.  The one window without a
-partition ranks the sources, one row each.
+not one task: over the source's distinct sizes, over hash buckets of one size, and over
+the documents of one bucket, the first two on pre-aggregated counts.  There are 256 buckets, and
+16 times more for every 16 times that the rows outgrow 256 buckets of ``BUCKET_ROWS``, so a bucket stays
+small though all documents be of one size and source.  The one window without a partition ranks the
+sources, one row each.
 
 The offset is a hash of the seed and the source, so reruns agree.
 
@@ -33,6 +35,7 @@ from rankline.llm.registry import register
 from rankline.session import cut_lineage
 
 WEIGHTS = (3.0, 1.0, 2.0)
+BUCKET_ROWS = 100_000
 
 
 def targets(sizes: DataFrame, share: float, max_epochs: float, weights: tuple[float, ...]) -> DataFrame:
@@ -56,7 +59,15 @@ def targets(sizes: DataFrame, share: float, max_epochs: float, weights: tuple[fl
                          F.least("cap", F.coalesce(F.col("w") * F.col("final"), F.col("cap"))).alias("target"))
 
 
-def _keyed(docs: DataFrame, wide: bool = False) -> DataFrame:
+def _digits(docs: DataFrame) -> int:
+    """Hex digits of the hash that make a bucket.  Buckets are prefixes of the hash, so their number changes no result."""
+    n, digits = docs.count(), 2
+    while n > BUCKET_ROWS << 4 * digits:
+        digits += 1
+    return digits
+
+
+def _keyed(docs: DataFrame, digits: int, wide: bool = False) -> DataFrame:
     """doc_id and the sampling key: source without NULLs, size, hash of the id, its bucket.
 
     ``wide`` carries the whole row along as a struct, so its names cannot clash.
@@ -65,7 +76,7 @@ def _keyed(docs: DataFrame, wide: bool = False) -> DataFrame:
     more = [F.struct("*").alias("_row")] if wide else []
     return (docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_s"),
                         size.alias("_size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_h"), *more)
-            .withColumn("_b", F.substring("_h", 1, 2)))
+            .withColumn("_b", F.substring("_h", 1, digits)))
 
 
 def _places(rows: DataFrame, share: float, max_epochs: float, weights: tuple[float, ...], seed: int) -> DataFrame:
@@ -99,7 +110,7 @@ def _copies(rows: DataFrame, places: DataFrame) -> DataFrame:
 def plan_mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0,
              weights: tuple[float, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (words) for every row of ``docs``."""
-    rows = cut_lineage(_keyed(docs))
+    rows = cut_lineage(_keyed(docs, _digits(docs)))
     got = _copies(rows, _places(rows, share, max_epochs, weights, seed))
     source = F.when(F.col("_s") != "", F.expr("substring(_s, 2)"))
     return got.select("doc_id", source.alias("source"), F.col("_size").alias("size"), "source_size", "target",
@@ -109,8 +120,9 @@ def plan_mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0,
 def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0,
         weights: tuple[float, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
-    places = _places(_keyed(docs), share, max_epochs, weights, seed)
-    rows = _copies(_keyed(docs, wide=True), places).where(F.col("_copies") > 0)
+    digits = _digits(docs)
+    places = _places(_keyed(docs, digits), share, max_epochs, weights, seed)
+    rows = _copies(_keyed(docs, digits, wide=True), places).where(F.col("_copies") > 0)
     return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
 
 

@@ -63,3 +63,14 @@ def test_edge_tables(spark, make_docs):
     assert sum(r.taken for r in same) in (12, 13, 14, 15) and len(same) == 5
     clash = make_docs([(1, "a b", "s")]).withColumn("size", mixing.F.lit("x")).withColumn("target", mixing.F.lit(1))
     assert mixing.plan_mix(clash).first()["size"] == 2 and mixing.mix(clash).columns == clash.columns
+
+
+def test_the_number_of_buckets_changes_no_result(spark, make_docs, monkeypatch):
+    docs = make_docs([(i, "two words" if i % 3 else None, f"s{i % 2}") for i in range(300)])
+    want = sorted((r.doc_id, r.copies) for r in mixing.plan_mix(docs).collect())
+    assert mixing._digits(docs) == 2
+    monkeypatch.setattr(mixing, "_digits", lambda d: 4)
+    assert sorted((r.doc_id, r.copies) for r in mixing.plan_mix(docs).collect()) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)
+    assert mixing._digits(docs) == 3

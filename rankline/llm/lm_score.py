@@ -20,7 +20,8 @@ The relations and their joins, packed so that n-grams travel as sorted arrays:
 4. *Scores.*  The answers join their chunk, whose n-grams are hashed again, document counts are
    taken off, and the logarithms are summed per document.
 
-N-grams are told apart by 48 + log2(buckets) bits of hash.
+N-grams are told apart by 48 + log2(buckets) bits of hash: up to some 4 x 10^8 distinct n-grams with 256
+buckets no two are likely to share a hash, beyond that single counts may be too high by another's.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, case kept; NULL and empty texts have no words
 and score 0; repeated rows are documents of their own; the only document of a corpus has no

@@ -59,3 +59,49 @@ def test_ordinal_all_thresholds_binned(spark):
     assert len(fitted["theta"]) == 26
     r = ML.ordinal_predict(fitted, train).agg(F.min("prediction"), F.max("prediction")).first()
     assert 1 <= r[0] <= r[1] <= 265
+
+
+def test_scoring_takes_the_saved_columns(spark):
+    import pytest
+    from pyspark.sql import functions as F
+    from rankline.streaming.jobs import score_rows
+    train = _train(spark)
+    cols = ML.feature_columns(FIXTURE_VOCAB)
+    folder = tempfile.mkdtemp()
+    for name in ("Random Forest", "Gradient Boosting"):
+        ML.save_model(ML.fit(train, cols, name), ML.model_path(folder, name), FIXTURE_VOCAB, cols, None)
+    hist = view(spark, SF_SMALL, "rankings")
+    new = view(spark, SF_SMALL, "inputs")
+    model, meta = ML.load_model(spark, ML.model_path(folder, "Random Forest"))
+    rows = lambda c, v=FIXTURE_VOCAB: score_rows(hist, new, model, v, "m", columns=c)
+    plain = score_rows(hist, new, model, FIXTURE_VOCAB, "m")
+    same = rows(meta["feature_columns"])
+    assert same.exceptAll(plain).count() == 0 and plain.exceptAll(same).count() == 0
+    # a saved column that the features lack is 0; a renamed one leaves the model without its input
+    short = rows(meta["feature_columns"], [f for f in FIXTURE_VOCAB if f != "Factor3"])
+    zero = score_rows(hist, new.withColumns({f"Driver{i}": F.when(F.col(f"Driver{i}") != "Factor3", F.col(f"Driver{i}")).otherwise("")
+                                             for i in range(1, 18)}), model, FIXTURE_VOCAB, "m", columns=meta["feature_columns"])
+    a, b = (x.select("event_id", F.round("prediction", 9).alias("p")) for x in (short, zero))
+    common = a.join(b.select("event_id"), "event_id", "left_semi")
+    assert common.exceptAll(b).count() == 0 and b.count() > 0
+    renamed = ["Other" if c == "Factor3" else c for c in meta["feature_columns"]]
+    with pytest.raises(Exception, match="Factor3"):
+        rows(renamed).count()
+
+
+def test_vocabulary_limit_is_an_argument(spark):
+    import pytest
+    from rankline.operators.factors import resolve_vocabulary
+    r = view(spark, SF_SMALL, "rankings")
+    assert len(resolve_vocabulary(r)) == 17 and len(resolve_vocabulary(r, most=17)) == 17
+    with pytest.raises(ValueError):
+        resolve_vocabulary(r, most=16)
+
+
+def test_grid_points_are_fitted_side_by_side(spark):
+    train = _train(spark)
+    grid = [{"maxDepth": 2, "maxIter": 2}, {"maxDepth": 3, "maxIter": 2}]
+    cols = ML.feature_columns(FIXTURE_VOCAB)
+    two = ML.tune(train, cols, "Gradient Boosting", grid, parallelism=2).collect()
+    one = ML.tune(train, cols, "Gradient Boosting", grid, parallelism=1).collect()
+    assert two == one and sum(r.chosen for r in two) == 1

@@ -52,7 +52,7 @@ def _standing(spark: SparkSession, path: str) -> DataFrame:
     """(slice, bucket, data, upto, made): the last commit with observed rows; the last commit that a summary
     covers and the commit of that summary (NULL: none)."""
     entries = S.log(spark, path)
-    data = F.max(F.when((F.col("kind") == "rows") & (F.col("observed") > 0), F.col("commit")))
+    data = F.max(F.when((F.col("kind") == "rows") & (F.col("observed") > 0), S.data_commit()))
     best = F.max(F.when(F.col("kind") == "summary", F.struct("upto", "commit")))
     return (entries.where(F.col("kind").isin("rows", "summary")).groupBy("slice", "bucket")
             .agg(data.alias("data"), best.alias("best")).where(F.col("data").isNotNull())

@@ -84,6 +84,31 @@ def train_hist_boost(spark, sf):
     return rounded(M.flag_best(ML.evaluate(pred, "Histogram boosting", "newest_20pct")))
 
 
+@register("training_fit", with_views("rankings") + """
+, o AS (SELECT * FROM rankings WHERE Model IS NULL)
+, tx AS (SELECT epoch_us(UpdateDT) AS t FROM o WHERE UpdateDT IS NOT NULL)
+, cut AS (SELECT t AS cut_us FROM (SELECT t, row_number() OVER (ORDER BY t) AS rn, count(*) OVER () AS n FROM tx) WHERE rn = (4 * n + 4) // 5)
+SELECT unnest(['Random Forest', 'Gradient Boosting', 'Histogram boosting']) AS model_name,
+       (SELECT count(*) FROM o CROSS JOIN cut WHERE epoch_us(UpdateDT) <= cut_us) AS n, true AS below_variance, 1.0::DOUBLE AS importance_sum""")
+def training_fit(spark, sf):
+    """What must hold of learners on their own training rows: a mean squared error below the variance of the labels,
+    importances that add up to 1."""
+    train, _, vocab = split_features(spark, sf)
+    cols, parts = ML.feature_columns(vocab), []
+    for name in ("Random Forest", "Gradient Boosting", "Histogram boosting"):
+        if name == "Histogram boosting":
+            model = B.fit(train, cols, rounds=6, loss="squared")
+            total = sum(model.importances().values())
+        else:
+            model = ML.fit(train, cols, name)
+            total = float(sum(model.stages[-1].featureImportances.toArray()))
+        err = F.col("prediction") - F.col("Rank")
+        parts.append(model.transform(train).agg(F.lit(name).alias("model_name"), F.count(F.lit(1)).alias("n"),
+                                                (F.avg(err * err) < F.var_pop("Rank")).alias("below_variance"),
+                                                F.lit(total).alias("importance_sum")))
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
 def _gain_sql(f: str) -> str:
     return f"""
 SELECT '{f}' AS Feature, max(GL * GL / (HL + 1) + (G - GL) * (G - GL) / (H - HL + 1) - G * G / (H + 1)) / 2 AS gain FROM (

@@ -131,10 +131,21 @@ def slice_in_path() -> Column:
     return F.regexp_extract(F.input_file_name(), "/_slice=([^/]*)/", 1)
 
 
+def data_commit() -> Column:
+    """Commit that the rows of a file came with: compacted files name it, others came with their own."""
+    return F.coalesce("upto", "commit")
+
+
+def current(entries: DataFrame, kind: str = "rows") -> DataFrame:
+    """Log rows of the files of one kind, without those that ``compact`` has replaced."""
+    gone = entries.where(F.col("kind") == "gone").select("file")
+    return entries.where(F.col("kind") == kind).join(gone, "file", "left_anti")
+
+
 def files_of(spark: SparkSession, path: str, kind: str = "rows", version: int | None = None) -> DataFrame:
     """Log rows of the files of one kind, up to a commit."""
-    listed = log(spark, path).where(F.col("kind") == kind)
-    return listed if version is None else listed.where(F.col("commit") <= version)
+    entries = log(spark, path)
+    return current(entries if version is None else entries.where(F.col("commit") <= version), kind)
 
 
 def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -197,7 +208,7 @@ def insert(spark: SparkSession, path: str, new: DataFrame, null_safe: bool = Tru
         if done:
             return 0
         # files committed since the last look; the first time, all that the batch can meet
-        fresh = entries.where((F.col("commit") > seen) & (F.col("commit") <= last) & (F.col("kind") == "rows"))
+        fresh = current(entries.where(F.col("commit") <= last)).where(F.col("commit") > seen)
         met = cut_lineage(meeting(fresh, rows).select("file"))
         if not met.isEmpty():
             left = cut_lineage(absent_rows(read_files(spark, path, met), rows, null_safe))
@@ -215,6 +226,37 @@ def insert(spark: SparkSession, path: str, new: DataFrame, null_safe: bool = Tru
     raise Conflict(f"no commit after {attempts} attempts")
 
 
+def compact(spark: SparkSession, path: str, most_files: int = 8, attempts: int = 50) -> int:
+    """Write the rows of every (slice, bucket) with more than ``most_files`` files as few files again; returns the
+    number of these pairs.
+
+    The new files and the names of those they replace are one commit, so a reader sees either.  The old files stay, so
+    that the table can be read as it was.  Rows that others insert meanwhile are in files of their own and are not
+    touched; if another compaction has replaced one of the files first, this one adds nothing.
+    """
+    last = head(spark, path)
+    files = files_of(spark, path, version=last)
+    newest = F.max(F.when(F.col("observed") > 0, data_commit()))
+    pairs = files.groupBy("slice", "bucket").agg(F.count(F.lit(1)).alias("n"), F.coalesce(newest, F.lit(last)).alias("upto"))
+    pairs = cut_lineage(pairs.where(F.col("n") > most_files))
+    n = pairs.count()
+    if not n:
+        return 0
+    old = cut_lineage(files.join(pairs.select("slice", "bucket"), ["slice", "bucket"], "left_semi"))
+    found = _stage(spark, path, placed(read_files(spark, path, old), layout(spark, path)))
+    # observed rows are no newer than the files they come from, so summaries stay up to date
+    kept = logged(found.drop("upto").join(pairs.select("slice", "bucket", "upto"), ["slice", "bucket"]), "rows")
+    entries = kept.unionByName(logged(old.select("file"), "gone"))
+    for _ in range(attempts):
+        now = log(spark, path)
+        taken = now.where((F.col("kind") == "gone") & (F.col("commit") > last)).join(old, "file", "left_semi")
+        if not taken.isEmpty():
+            return 0
+        if commit(spark, path, now.agg(F.max("commit")).first()[0] + 1, entries):
+            return n
+    raise Conflict(f"no commit after {attempts} attempts")
+
+
 def unlisted(spark: SparkSession, path: str) -> DataFrame:
     """(file) of data files that no commit lists: left by writers that failed, or at work now."""
     every = none_if_missing(lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True)

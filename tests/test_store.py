@@ -130,3 +130,33 @@ def test_layout_is_fixed_at_creation_and_empty_batches(spark, table):
     assert S.insert(spark, table, empty, batch_id="x") == 0 and S.head(spark, table) == 1
     with pytest.raises(ValueError):
         S.create_if_absent(spark, table + "2", period="hour")
+
+
+def test_compaction_keeps_rows_versions_and_insert_semantics(spark, table, monkeypatch):
+    batches = [rows(spark, [(s, d, None) for s in (1, 2, 3)], rank=d + 1) for d in (0, 0, 1)]
+    later = [rows(spark, [(s, 0, f"m{k}") for s in (1, 2, 3)]) for k in range(4)]
+    for b in batches + later:
+        S.insert(spark, table, b)
+    before, version = S.read(spark, table), S.head(spark, table)
+    n_files = S.files_of(spark, table).count()
+    assert S.compact(spark, table, most_files=99) == 0
+    assert S.compact(spark, table, most_files=2) > 0
+    assert S.files_of(spark, table).count() < n_files and same(S.read(spark, table), before)
+    assert same(S.read(spark, table, version=version), before) and S.files_of(spark, table, version=version).count() == n_files
+    assert S.insert(spark, table, later[0]) == 0 and S.insert(spark, table, rows(spark, [(9, 0, None)])) == 1
+    # a compaction that comes second adds nothing, an insert in between is kept
+    for k in range(4):
+        S.insert(spark, table, rows(spark, [(s, 0, f"n{k}") for s in (1, 2, 3)]))
+    rows_before, real, done = S.read(spark, table).count(), S.commit, []
+
+    def late(*a):
+        if not done:
+            done.append(1)
+            assert S.compact(spark, table, most_files=2) > 0
+            assert S.insert(spark, table, rows(spark, [(50, 0, None)])) == 1
+        return real(*a)
+
+    monkeypatch.setattr(S, "commit", late)
+    assert S.compact(spark, table, most_files=2) == 0
+    assert S.read(spark, table).count() == rows_before + 1
+    assert S.read(spark, table).select(*KEY).distinct().count() == rows_before + 1

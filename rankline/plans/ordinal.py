@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankline.session import cut_lineage
@@ -193,6 +193,24 @@ def ordinal_loss(fitted: dict, df: DataFrame, thresholds: str = "immediate") ->
     return s.loss / rows.count()
 
 
+def thresholds_passed(margin: Column, theta: list[float]) -> Column:
+    """How many of ``theta`` give a positive sum with the margin (0 without a margin).
+
+    A sum does not fall as its threshold rises, so the falling thresholds up to a place are those passed and the
+    place is found by halves.  The margin is one element of an array, so that a row evaluates it once, whatever
+    expression it is, and not once per threshold.
+    """
+    if not theta:
+        return F.lit(0)
+    falling = F.array(*[F.lit(float(t)) for t in sorted(theta, key=lambda t: (t != t, t), reverse=True)])
+    halves = F.array(*[F.lit(1 << b) for b in reversed(range(len(theta).bit_length()))])
+
+    def search(m):
+        return F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get(falling, at + step - 1) + m > 0, at + step).otherwise(at))
+
+    return F.get(F.transform(F.array(margin), search), F.lit(0))
+
+
 def ordinal_predict(fitted: dict, df: DataFrame) -> DataFrame:
     """class = 1 + count(theta_k + w.x > 0) (theta has K-1 entries, bounded by the rank
     scale); with binning the prediction is the class's middle rank.  Without ``prep`` (given
@@ -203,8 +221,7 @@ def ordinal_predict(fitted: dict, df: DataFrame) -> DataFrame:
         x = fitted["prep"].transform(df).withColumn("_z", vector_to_array("_sharedz"))
     weights = F.array(*[F.lit(float(v)) for v in fitted["w"]])
     margin = F.aggregate(F.zip_with("_z", weights, lambda z, w: z * w), F.lit(0.0), lambda a, v: a + v)
-    thetas = F.array(*[F.lit(float(t)) for t in fitted["theta"]])
-    cls = F.lit(1) + F.size(F.filter(thetas, lambda t: t + F.col("_margin") > 0))
+    cls = F.lit(1) + thresholds_passed(F.col("_margin"), fitted["theta"])
     bw = fitted.get("bin_width", 1)
     pred = cls.cast("double") if bw == 1 else F.least(F.lit(float(fitted["n_ranks"])), (cls - 0.5) * bw)
     return x.withColumn("_margin", margin).withColumn("prediction", pred.cast("double")) \

@@ -95,3 +95,30 @@ def test_edges(spark):
         OR.ordinal_fit(df.where("Rank IS NULL"), ["a"], 4)
     with pytest.raises(ValueError):
         OR.ordinal_fit(df, ["a"], 4, thresholds="some")
+
+
+def test_thresholds_passed_equal_a_plain_count(spark):
+    from pyspark.sql import functions as F
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(m,) for m in (None, nan, inf, -inf, 0.0, -1.0, 1.5, 2.0, -2.0, 40.0)], "m double")
+    for theta in ([1.0], [-1.5, 2.0, 0.0, 2.0], [nan, 1.0, inf, -inf, -3.0], [3.0 - 0.25 * k for k in range(40)]):
+        plain = F.size(F.filter(F.array(*[F.lit(t) for t in theta]), lambda t: t + F.col("m") > 0))
+        got = df.select("m", plain.alias("want"), OR.thresholds_passed(F.col("m"), theta).alias("got"))
+        assert got.where("want <> got").collect() == []
+
+
+def test_the_margin_is_evaluated_once_a_row(spark):
+    df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    fitted = {"prep": None, "cols": ["a", "b"], "w": [1.0, -0.5], "theta": [2.0, 0.0, -2.0], "n_ranks": 4}
+    pred = OR.ordinal_predict(fitted, df)
+    assert [r.prediction for r in pred.collect()] == [2.0]
+    plan = pred._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with(" in plan
+    # no lambda of the thresholds is open where the margin's terms stand
+    opened, depth = [], 0
+    for i, c in enumerate(plan[:plan.index("zip_with(")]):
+        depth += (c == "(") - (c == ")")
+        if c == "(" and plan[:i].endswith("lambdafunction"):
+            opened.append(depth)
+        opened = [d for d in opened if d <= depth]
+    assert opened == []

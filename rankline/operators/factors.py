@@ -16,6 +16,8 @@ from rankline.schema import DEFAULT_FACTORS, DRIVERS
 # A factor vocabulary becomes one feature column per factor; by default, absurd sizes are
 # refused instead of building a schema with millions of columns.
 MAX_VOCABULARY = 10_000
+# Rows that one task of driver_factor_counts counts.
+COUNT_ROWS = 250_000
 
 
 def driver_columns(df: DataFrame) -> list[str]:
@@ -76,8 +78,15 @@ def onehot_columns(vocab: list[str], drivers: list[str] | None = None) -> list[C
 
 
 def driver_factor_counts(df: DataFrame, by: list[str]) -> DataFrame:
-    """Count of (Driver, Factor) per group, NULL factors dropped."""
-    long = driver_long(df, by)
+    """Count of (Driver, Factor) per group, NULL factors dropped.
+
+    Rows are dealt out by group while they are wide, in tasks of about ``COUNT_ROWS`` rows whatever their number, so
+    a task holds the counters of its own groups only, not those of all rows that it reads.
+    """
+    wide = df.select(*by, *DRIVERS)
+    if by:
+        wide = wide.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-wide.count() // COUNT_ROWS)), *by)
+    long = driver_long(wide, by)
     return (long.where(F.col("Factor").isNotNull())
                 .groupBy(*by, "Driver", "Factor").agg(F.count(F.lit(1)).alias("Count")))
 

@@ -116,3 +116,22 @@ def test_serving_without_history_gives_zero_history_features(spark):
     r = alone.agg(F.max("PrevRank"), F.max("AvgPreviousRanks"), F.max("DaysSinceFirst")).first()
     assert tuple(r) == (0, 0.0, 0)
     assert alone.count() == new.count()
+
+
+def test_driver_factor_counts_hold_a_bounded_number_of_rows_a_task(spark, monkeypatch):
+    from rankline.operators import factors as FA
+    from rankline.schema import DRIVERS
+    new = [(i % 7 if i % 5 else None, *[f"F{(i + j) % 3}" if (i + j) % 4 else None for j in range(17)]) for i in range(300)]
+    df = spark.createDataFrame(new, "SubjectID bigint, " + ", ".join(f"{d} string" for d in DRIVERS))
+    want = {}
+    for r in new:
+        for d, f in zip(DRIVERS, r[1:]):
+            if f is not None:
+                want[r[0], d, f] = want.get((r[0], d, f), 0) + 1
+    monkeypatch.setattr(FA, "COUNT_ROWS", 25, raising=False)
+    got = FA.driver_factor_counts(df, ["SubjectID"])
+    assert {(r.SubjectID, r.Driver, r.Factor): r.Count for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    # rows are dealt out, 25 a task, below the partial counts
+    below = plan[plan.rindex("partial_count"):]
+    assert "Exchange hashpartitioning(SubjectID" in below and ", 12)" in below.replace(", REPARTITION", ") REPARTITION")

@@ -160,6 +160,19 @@ def _key_match(left: DataFrame, right: DataFrame, null_safe: bool) -> Column:
     return cond
 
 
+def _one_per_key(rows: DataFrame, others: list[str]) -> DataFrame:
+    """KEY and ``_v``, the smallest struct of ``others`` of every key.
+
+    Rows are dealt out by key before they are sorted: the smallest struct is found in sorted rows, and tasks that
+    read the source would sort (and spill) all they read.
+    """
+    return rows.repartition(*KEY).groupBy(*KEY).agg(F.min(F.struct(*others)).alias("_v"))
+
+
+def _has_null() -> Column:
+    return F.col("SubjectID").isNull() | F.col("UpdateDT").isNull() | F.col("Model").isNull()
+
+
 def dedup_batch(new: DataFrame, null_safe: bool = True) -> DataFrame:
     """One row per key inside a batch (deterministic: smallest remaining values).
 
@@ -167,19 +180,32 @@ def dedup_batch(new: DataFrame, null_safe: bool = True) -> DataFrame:
     primary-key behaviour), so they are all kept.
     """
     others = [c for c in new.columns if c not in KEY]
-    pick = new.groupBy(*KEY).agg(F.min(F.struct(*others)).alias("_v")).select(*KEY, "_v.*")
-    if null_safe:
-        return pick.select(*new.columns)
-    has_null = F.col("SubjectID").isNull() | F.col("UpdateDT").isNull() | F.col("Model").isNull()
-    keyed = new.where(~has_null)
-    keyed = keyed.groupBy(*KEY).agg(F.min(F.struct(*others)).alias("_v")).select(*KEY, "_v.*")
-    return keyed.select(*new.columns).unionByName(new.where(has_null))
+    keyed = new if null_safe else new.where(~_has_null())
+    pick = _one_per_key(keyed, others).select(*KEY, "_v.*").select(*new.columns)
+    return pick if null_safe else pick.unionByName(new.where(_has_null()))
 
 
 def rows_to_insert(existing: DataFrame, new: DataFrame, null_safe: bool = True,
                    broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """Rows of ``new`` whose key is absent from ``existing`` (duplicates skipped, not errors)."""
-    return absent_rows(existing, dedup_batch(new.select(*existing.columns), null_safe), null_safe, broadcast_keys)
+    """Rows of ``new`` whose key is absent from ``existing`` (duplicates skipped, not errors).
+
+    One pass by key: the keys that exist are grouped with the batch, where they come first, so a batch row is
+    shuffled once for both questions.
+    """
+    new = new.select(*existing.columns)
+    others = [c for c in new.columns if c not in KEY]
+    types = dict(new.dtypes)
+    keyed, keys = new, existing.select(*KEY)
+    if not null_safe:
+        keyed, keys = new.where(~_has_null()), keys.where(~_has_null())
+    if broadcast_keys and new.count() <= broadcast_keys:
+        # stream the table past the broadcast batch keys; only hits leave the scan
+        bk = keyed.select(*KEY)
+        keys = keys.join(F.broadcast(bk), _key_match(keys, bk, null_safe), "left_semi")
+    keys = keys.select(*KEY, F.lit(0).alias("_new"), *[F.lit(None).cast(types[c]).alias(c) for c in others])
+    every = keys.unionByName(keyed.withColumn("_new", F.lit(1)))
+    pick = _one_per_key(every, ["_new", *others]).where(F.col("_v._new") == 1).select(*KEY, "_v.*").select(*new.columns)
+    return pick if null_safe else pick.unionByName(new.where(_has_null()))
 
 
 def absent_rows(existing: DataFrame, batch: DataFrame, null_safe: bool = True,

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from rankline.schema import RANKINGS
 from rankline.session import cut_lineage
-from rankline.sources.ingest import absent_rows, dedup_batch, none_if_missing
+from rankline.sources.ingest import absent_rows, dedup_batch, none_if_missing, rows_to_insert
 
 # Slice of rows without a time: sorts before all others.
 NO_TIME = "0000-00-00"
@@ -126,9 +126,9 @@ def read_files(spark: SparkSession, path: str, files: DataFrame, schema=RANKINGS
     return spark.read.schema(schema).parquet(*names) if names else spark.createDataFrame([], schema)
 
 
-def slice_in_path() -> Column:
-    """Slice of a row read from the table's files."""
-    return F.regexp_extract(F.input_file_name(), "/_slice=([^/]*)/", 1)
+def slice_in_path(name: str | None = None) -> Column:
+    """Slice of a row read from the table's files, or of a column of file names."""
+    return F.regexp_extract(F.col(name) if name else F.input_file_name(), "/_slice=([^/]*)/", 1)
 
 
 def data_commit() -> Column:
@@ -170,11 +170,13 @@ def write_files(spark: SparkSession, path: str, rows: DataFrame, **summary: Colu
     # rebalanced by slice and bucket: small pairs share a task, AQE splits a pair that a hot subject swells
     (rows.hint("rebalance", *PLACE).sortWithinPartitions(*PLACE, *order)
      .write.partitionBy(*PLACE).parquet(f"{path}/{target}"))
-    at = F.concat(F.lit(target), F.substring_index(F.input_file_name(), target, -1))
-    bucket = F.regexp_extract(F.input_file_name(), "/_bucket=([^/]*)/", 1).cast("int")
     back = spark.read.schema(rows.drop(*PLACE).schema).parquet(f"{path}/{target}")
-    return (back.groupBy(slice_in_path().alias("slice"), bucket.alias("bucket"), at.alias("file"))
-            .agg(F.count(F.lit(1)).alias("rows"), *[v.alias(k) for k, v in summary.items()]))
+    # the place is taken from a file's name once, not from that of every row
+    found = (back.groupBy(F.input_file_name().alias("_name"))
+             .agg(F.count(F.lit(1)).alias("rows"), *[v.alias(k) for k, v in summary.items()]))
+    at = F.concat(F.lit(target), F.substring_index("_name", target, -1))
+    bucket = F.regexp_extract("_name", "/_bucket=([^/]*)/", 1).cast("int")
+    return found.select(slice_in_path("_name").alias("slice"), bucket.alias("bucket"), at.alias("file"), "rows", *summary)
 
 
 def logged(found: DataFrame, kind: str, upto: int | None = None) -> DataFrame:
@@ -200,19 +202,25 @@ def insert(spark: SparkSession, path: str, new: DataFrame, null_safe: bool = Tru
     log adds nothing.
     """
     where = layout(spark, path)
-    rows = cut_lineage(placed(dedup_batch(new.select(*COLUMNS), null_safe), where))
-    seen, staged = -1, None
+    rows, seen, staged = None, -1, None
     for _ in range(attempts):
         entries = log(spark, path)
         last, done = entries.agg(F.max("commit"), F.max(F.col("batch_id") == F.lit(batch_id))).first()
-        if done:
+        if done:  # known before any row of the batch is read
             return 0
+        if rows is None:
+            rows = cut_lineage(placed(new.select(*COLUMNS), where))
         # files committed since the last look; the first time, all that the batch can meet
         fresh = current(entries.where(F.col("commit") <= last)).where(F.col("commit") > seen)
         met = cut_lineage(meeting(fresh, rows).select("file"))
-        if not met.isEmpty():
+        if staged is None:
+            batch = rows.select(*COLUMNS)
+            picked = (dedup_batch(batch, null_safe) if met.isEmpty()
+                      else rows_to_insert(read_files(spark, path, met), batch, null_safe))
+            rows = placed(picked, where)
+        elif not met.isEmpty():
             left = cut_lineage(absent_rows(read_files(spark, path, met), rows, null_safe))
-            if staged is None or left.count() < rows.count():
+            if left.count() < rows.count():
                 rows, staged = left, None
         if staged is None:
             staged = _stage(spark, path, rows)

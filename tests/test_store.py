@@ -160,3 +160,27 @@ def test_compaction_keeps_rows_versions_and_insert_semantics(spark, table, monke
     assert S.compact(spark, table, most_files=2) == 0
     assert S.read(spark, table).count() == rows_before + 1
     assert S.read(spark, table).select(*KEY).distinct().count() == rows_before + 1
+
+
+def test_a_replayed_batch_is_told_before_its_rows_are_read(spark, table):
+    new = rows(spark, [(1, 0, None), (2, 0, None)])
+    assert S.insert(spark, table, new, batch_id="b1") == 2
+    broken = new.withColumn("Rank", F.raise_error(F.lit("a row was read")).cast("int"))
+    assert S.insert(spark, table, broken, batch_id="b1") == 0
+
+
+def test_rows_to_insert_sorts_no_row_before_the_shuffle(spark):
+    old = rows(spark, [(1, 0, None), (None, None, "m"), (3, 1, "m")])
+    new = rows(spark, [(1, 0, None), (1, 0, "m"), (None, None, "m"), (4, None, None), (4, None, None), (3, 1, "m")], rank=5)
+    new = new.unionByName(rows(spark, [(1, 0, "m"), (4, None, None)], rank=2))
+    for null_safe, want in ((True, [(1, "m", 2), (4, None, 2)]),
+                            (False, [(None, "m", 5), (1, None, 5), (1, "m", 2), (4, None, 2), (4, None, 5), (4, None, 5)])):
+        for keys in (0, 100):
+            add = I.rows_to_insert(old, new, null_safe=null_safe, broadcast_keys=keys)
+            got = sorted(((r.SubjectID, r.Model, r.Rank) for r in add.collect()), key=str)
+            assert got == sorted(want, key=str)
+        lines = add._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
+        shuffles = [i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x]
+        # one shuffle by key, and below it neither a sort nor an aggregate
+        assert len(shuffles) == 1
+        assert not any("Sort" in x for x in lines[shuffles[0]:])

@@ -354,8 +354,10 @@ def feature_set_frames(spark, sf):
     enhanced = FE.rank_features(obs, FIXTURE_VOCAB)
     labels = ["SubjectID", "UpdateDT", "Model", "Rank"]
     out = {}
+    # written once each and dealt out, so that every pass of every learner uses all cores
+    dealt = lambda df: cut_lineage(df.repartition(max(2, spark.sparkContext.defaultParallelism)))
+    positional, onehot, enhanced = dealt(positional), dealt(onehot), dealt(enhanced)
     for name, df, k in zip(FEATURE_SETS, (positional, onehot, onehot, enhanced), (None, None, PCA_K, None)):
-        df = cut_lineage(df)
         out[name] = (df.where(older), df.where(~older), [c for c in df.columns if c not in labels], k)
     return out
 

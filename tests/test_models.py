@@ -105,3 +105,12 @@ def test_grid_points_are_fitted_side_by_side(spark):
     two = ML.tune(train, cols, "Gradient Boosting", grid, parallelism=2).collect()
     one = ML.tune(train, cols, "Gradient Boosting", grid, parallelism=1).collect()
     assert two == one and sum(r.chosen for r in two) == 1
+
+
+def test_feature_sets_are_dealt_out_and_written_once(spark):
+    from rankline.plans.q_models import feature_set_frames
+    from testdata import SF_SMALL
+    frames = feature_set_frames(spark, SF_SMALL)
+    files = {k: frozenset(tr.inputFiles()) for k, (tr, _, _, _) in frames.items()}
+    assert all(len(f) >= spark.sparkContext.defaultParallelism for f in files.values())
+    assert files["base one-hot"] == files["base PCA"]  # one table for both

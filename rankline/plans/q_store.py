@@ -15,7 +15,7 @@ from rankline.plans.sql_twins import with_views
 from rankline.schema import RANKINGS
 from rankline.session import ensure_checkpoint_dir
 from rankline.sources import store
-from rankline.sources.fixtures import view
+from rankline.sources.fixtures import dealt_view
 
 # Buckets of the fixture's tables, whose slices are days.
 BUCKETS = 2
@@ -27,20 +27,20 @@ def new_folder(spark) -> str:
 
 
 def stored(spark, rows, base) -> str:
-    """``rows`` as a table with a commit log under ``base``."""
+    """``rows`` (a view's) as a table with a commit log under ``base``."""
     table = f"{base}/table"
     store.create_if_absent(spark, table, buckets=BUCKETS)
-    store.insert(spark, table, rows)
+    store.insert(spark, table, rows, settled=True)
     return table
 
 
 def _insert(spark, sf, null_safe):
     """rankings stored, rankings_multi inserted; then the same batch arrives again under its name."""
-    table = stored(spark, rankings(spark, sf), new_folder(spark))
+    table = stored(spark, dealt_view(spark, sf, "rankings"), new_folder(spark))
     before = store.head(spark, table)
-    batch = view(spark, sf, "rankings_multi").select(*RANKINGS.fieldNames())
+    batch = dealt_view(spark, sf, "rankings_multi").select(*RANKINGS.fieldNames())
     for _ in range(2):
-        store.insert(spark, table, batch, null_safe=null_safe, batch_id="multi")
+        store.insert(spark, table, batch, null_safe=null_safe, batch_id="multi", settled=True)
     old, new = (store.files_of(spark, table).where(c) for c in (F.col("commit") <= before, F.col("commit") > before))
     parts = [store.read_files(spark, table, f).withColumn("inserted", F.lit(k)) for f, k in ((old, False), (new, True))]
     return parts[0].unionByName(parts[1])

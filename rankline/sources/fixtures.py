@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankline.schema import DRIVERS, N_DRIVERS
-from rankline.sources.tables import events
+from rankline.sources.tables import EVENT_COLUMNS, events
 
 # Fixed values of the fixture definitions.
 STD_TS_TEXT = "yyyy-MM-dd HH:mm:ss"
@@ -163,4 +163,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return VIEWS[name](events(spark, sf_dir))
 
 
+def dealt_view(spark: SparkSession, sf_dir: str, name: str, parts: int | None = None) -> DataFrame:
+    """``view`` of events dealt out over all cores (or ``parts`` tasks) while they are narrow: a file of few row
+    groups is few tasks, which would make all the view's columns."""
+    parts = parts or max(2, spark.sparkContext.defaultParallelism)
+    return VIEWS[name](events(spark, sf_dir).repartition(parts, *EVENT_COLUMNS))
+
+
 assert len(DRIVERS) == N_DRIVERS

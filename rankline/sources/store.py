@@ -29,12 +29,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from rankline.schema import RANKINGS
+from rankline.schema import KEY, RANKINGS
 from rankline.session import cut_lineage
-from rankline.sources.ingest import absent_rows, dedup_batch, none_if_missing, rows_to_insert
+from rankline.sources.ingest import BROADCAST_KEYS, _has_null, _key_match, absent_rows, none_if_missing
 
 # Slice of rows without a time: sorts before all others.
 NO_TIME = "0000-00-00"
@@ -45,6 +45,8 @@ ENTRY = ("kind string, slice string, bucket int, file string, rows bigint, obser
 LOG = ENTRY + ", commit bigint"
 COLUMNS = RANKINGS.fieldNames()
 PLACE = ["_slice", "_bucket"]
+# Rows of a batch in one (slice, bucket) that go to one task; a pair with more is dealt out by key.
+PIECE_ROWS = 250_000
 
 
 class Conflict(Exception):
@@ -163,13 +165,17 @@ def meeting(files: DataFrame, batch: DataFrame) -> DataFrame:
     return files.join(pairs, ["slice", "bucket"], "left_semi")
 
 
-def write_files(spark: SparkSession, path: str, rows: DataFrame, **summary: Column) -> DataFrame:
-    """Write placed rows as files of one (slice, bucket) each; their log rows, with ``summary`` aggregates."""
+def write_files(spark: SparkSession, path: str, rows: DataFrame, dealt: bool = False, **summary: Column) -> DataFrame:
+    """Write placed rows as files of one (slice, bucket) each; their log rows, with ``summary`` aggregates.
+
+    ``dealt``: the rows come by slice and bucket and sorted, as from ``picked``.
+    """
     target = f"data/{uuid.uuid4().hex}"
-    order = [c for c in ("SubjectID", "UpdateDT", "Model") if c in rows.columns]
-    # rebalanced by slice and bucket: small pairs share a task, AQE splits a pair that a hot subject swells
-    (rows.hint("rebalance", *PLACE).sortWithinPartitions(*PLACE, *order)
-     .write.partitionBy(*PLACE).parquet(f"{path}/{target}"))
+    if not dealt:
+        order = [c for c in ("SubjectID", "UpdateDT", "Model") if c in rows.columns]
+        # rebalanced by slice and bucket: small pairs share a task, AQE splits a pair that a hot subject swells
+        rows = rows.hint("rebalance", *PLACE).sortWithinPartitions(*PLACE, *order)
+    rows.write.partitionBy(*PLACE).parquet(f"{path}/{target}")
     back = spark.read.schema(rows.drop(*PLACE).schema).parquet(f"{path}/{target}")
     # the place is taken from a file's name once, not from that of every row
     found = (back.groupBy(F.input_file_name().alias("_name"))
@@ -186,44 +192,75 @@ def logged(found: DataFrame, kind: str, upto: int | None = None) -> DataFrame:
     return found.select(*[(F.col(n) if n in found.columns else given.get(n, F.lit(None))).cast(t).alias(n) for n, t in names])
 
 
-
-def _stage(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+def _stage(spark: SparkSession, path: str, rows: DataFrame, dealt: bool = False) -> DataFrame:
     observed = F.col("Model").isNull()
-    found = write_files(spark, path, rows.select(*COLUMNS, *PLACE), observed=F.count_if(observed),
+    found = write_files(spark, path, rows.select(*COLUMNS, *PLACE), dealt, observed=F.count_if(observed),
                         first_time=F.min(F.when(observed, F.col("UpdateDT"))))
     return cut_lineage(logged(found, "rows"))
 
 
+def picked(rows: DataFrame, pairs: DataFrame, old: DataFrame | None, null_safe: bool) -> DataFrame:
+    """Placed rows of a batch to insert, one per key that the placed keys ``old`` lack, as ``ingest.rows_to_insert`` picks them.
+
+    ``pairs`` counts the batch's rows by place (_n).  Rows are dealt out by place, as they are written, and in large
+    places also by key, so one shuffle and one sort tell the rows to insert and put them in the order of the files.
+    """
+    others = [c for c in COLUMNS if c not in KEY]
+    own, new = [], []
+    if not null_safe:  # a key with a NULL part never collides: each such row is a key of its own
+        own = ["_own"]
+        rows = rows.withColumn("_own", F.when(_has_null(), F.monotonically_increasing_id()))
+    if old is not None:
+        new = ["_new"]
+        keys = old if null_safe else old.where(~_has_null())
+        if (pairs.agg(F.sum("_n")).first()[0] or 0) <= BROADCAST_KEYS:
+            # stream the files past the broadcast batch keys; only hits leave the scan
+            mine = (rows if null_safe else rows.where(~_has_null())).select(*KEY)
+            keys = keys.join(F.broadcast(mine), _key_match(keys, mine, null_safe), "left_semi")
+        types = dict(rows.dtypes)
+        keys = keys.select(*PLACE, *KEY, F.lit(0).alias("_new"), *[F.lit(None).cast(types[c]).alias(c) for c in [*others, *own]])
+        rows = keys.unionByName(rows.withColumn("_new", F.lit(1)))
+    many = pairs.select(*PLACE, F.ceil(F.col("_n") / PIECE_ROWS).alias("_pieces")).where("_pieces > 1")
+    piece = F.pmod(F.xxhash64(*KEY, *own), F.coalesce("_pieces", F.lit(1)))
+    rows = rows.join(F.broadcast(many), PLACE, "left").withColumn("_piece", piece).drop("_pieces")
+    # the window is cut at the first row of a key before it holds any, however often the key comes
+    by_key = W.partitionBy(*PLACE, *KEY, *own, "_piece").orderBy(*new, *others)
+    rows = rows.repartition(*PLACE, "_piece").withColumn("_nth", F.row_number().over(by_key)).where("_nth = 1")
+    if new:
+        rows = rows.where("_new = 1")
+    return rows.sortWithinPartitions(*PLACE, *KEY).select(*COLUMNS, *PLACE)
+
+
 def insert(spark: SparkSession, path: str, new: DataFrame, null_safe: bool = True, batch_id: str | None = None,
-           attempts: int = 50) -> int:
+           attempts: int = 50, settled: bool = False) -> int:
     """Append the rows of ``new`` whose key is absent; returns how many.
 
     ``null_safe=False``: a key with a NULL part is never found (SQLite's rule).  A batch whose ``batch_id`` is in the
-    log adds nothing.
+    log adds nothing.  ``settled``: ``new`` gives the same rows cheaply whenever it is read (files, or columns made
+    row by row from them), so it is read twice instead of written first.
     """
     where = layout(spark, path)
-    rows, seen, staged = None, -1, None
+    pairs, seen, staged = None, -1, None
     for _ in range(attempts):
         entries = log(spark, path)
         last, done = entries.agg(F.max("commit"), F.max(F.col("batch_id") == F.lit(batch_id))).first()
         if done:  # known before any row of the batch is read
             return 0
-        if rows is None:
-            rows = cut_lineage(placed(new.select(*COLUMNS), where))
+        if pairs is None:
+            rows = placed(new.select(*COLUMNS), where)
+            rows = rows if settled else cut_lineage(rows)
+            pairs = cut_lineage(rows.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_n")))
         # files committed since the last look; the first time, all that the batch can meet
         fresh = current(entries.where(F.col("commit") <= last)).where(F.col("commit") > seen)
-        met = cut_lineage(meeting(fresh, rows).select("file"))
+        met = cut_lineage(meeting(fresh, pairs).select("file"))
         if staged is None:
-            batch = rows.select(*COLUMNS)
-            picked = (dedup_batch(batch, null_safe) if met.isEmpty()
-                      else rows_to_insert(read_files(spark, path, met), batch, null_safe))
-            rows = placed(picked, where)
+            old = None if met.isEmpty() else placed(read_files(spark, path, met).select(*KEY), where)
+            staged = _stage(spark, path, picked(rows, pairs, old, null_safe), True)
         elif not met.isEmpty():
-            left = cut_lineage(absent_rows(read_files(spark, path, met), rows, null_safe))
-            if left.count() < rows.count():
-                rows, staged = left, None
-        if staged is None:
-            staged = _stage(spark, path, rows)
+            mine = placed(read_files(spark, path, staged), where)
+            left = cut_lineage(absent_rows(read_files(spark, path, met), mine, null_safe))
+            if left.count() < mine.count():
+                staged = _stage(spark, path, left)
         n = staged.agg(F.sum("rows")).first()[0] or 0
         if not n and batch_id is None:
             return 0

@@ -184,3 +184,21 @@ def test_rows_to_insert_sorts_no_row_before_the_shuffle(spark):
         # one shuffle by key, and below it neither a sort nor an aggregate
         assert len(shuffles) == 1
         assert not any("Sort" in x for x in lines[shuffles[0]:])
+
+
+@pytest.mark.parametrize("null_safe", [True, False])
+def test_one_shuffle_and_one_sort_pick_and_place_the_rows(spark, monkeypatch, null_safe):
+    monkeypatch.setattr(S, "PIECE_ROWS", 3)
+    keys = [(s, d, m) for s in (None, 1, 2, 3) for d in (None, 0, 1) for m in (None, "m")]
+    old, new = rows(spark, keys[::3]), rows(spark, keys * 2, 5).unionByName(rows(spark, keys, 2))
+    batch, have = (S.placed(x, ("day", 2)) for x in (new, old))
+    pairs = batch.groupBy(*S.PLACE).agg(F.count(F.lit(1)).alias("_n"))
+    want = I.rows_to_insert(old, new, null_safe)
+    for broadcast in (0, 1000):
+        monkeypatch.setattr(S, "BROADCAST_KEYS", broadcast)
+        got = S.picked(batch, pairs, have, null_safe)
+        assert same(got.select(*S.COLUMNS), want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the rows are exchanged by place and piece only, and not again after the window
+    assert plan.count("REPARTITION_BY_COL") == 1 and "Exchange" not in plan[:plan.index("Window [")]
+    assert plan.count("Sort [") == 1

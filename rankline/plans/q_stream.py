@@ -20,23 +20,31 @@ from rankline.plans.q_store import new_folder, stored
 from rankline.plans.sql_twins import with_views
 from rankline.schema import DRIVERS, RANKINGS
 from rankline.sources import store
-from rankline.sources.fixtures import view
+from rankline.sources.fixtures import dealt_view
 from rankline.streaming.jobs import (stream_insert as _stream_insert, stream_score as _stream_score,
                                      unkeyed_predictions)
 
+# Files that a view arrives in, at least: one for every core, so that all write them.  Half of them are a batch.
 SOURCE_FILES = 4
 SCORE_MODEL = "Gradient Boosting"
 
 
+def source_files(spark) -> int:
+    """An even number of files, at least SOURCE_FILES and one for every core."""
+    n = max(SOURCE_FILES, spark.sparkContext.defaultParallelism)
+    return n + n % 2
+
+
 @register("stream_insert", "SELECT * EXCLUDE (inserted) FROM (" + _insert_sql(True) + ")")
 def stream_insert(spark, sf):
     """rankings as the table; rankings_multi arrives twice (a replay) in several files."""
     base = new_folder(spark)
-    table, src, ckpt = stored(spark, rankings(spark, sf), base), f"{base}/source", f"{base}/ckpt"
-    multi = view(spark, sf, "rankings_multi").select(*RANKINGS.fieldNames())
-    multi.repartition(SOURCE_FILES).write.parquet(src)
-    multi.repartition(SOURCE_FILES).write.mode("append").parquet(src)   # the same rows again
-    q = _stream_insert(spark, src, table, ckpt, files_per_batch=2)
+    table, src, ckpt = stored(spark, dealt_view(spark, sf, "rankings"), base), f"{base}/source", f"{base}/ckpt"
+    files = source_files(spark)
+    multi = dealt_view(spark, sf, "rankings_multi", files).select(*RANKINGS.fieldNames())
+    multi.write.parquet(src)
+    multi.write.mode("append").parquet(src)   # the same rows again
+    q = _stream_insert(spark, src, table, ckpt, files_per_batch=files // 2)
     q.awaitTermination()
     return store.read(spark, table)
 
@@ -52,12 +60,13 @@ def stream_score(spark, sf):
 
 def _replay(spark, sf, base, model, name):
     """The inputs as a stream of files into a table with summaries; (stored predictions, those without a key)."""
-    inputs = view(spark, sf, "inputs")
-    table = stored(spark, rankings(spark, sf), base)
+    files = source_files(spark)
+    inputs = dealt_view(spark, sf, "inputs", files)
+    table = stored(spark, dealt_view(spark, sf, "rankings"), base)
     summaries.refresh(spark, table)
-    inputs.repartition(SOURCE_FILES).write.parquet(f"{base}/source")
+    inputs.write.parquet(f"{base}/source")
     q = _stream_score(spark, f"{base}/source", inputs.schema, table, f"{base}/ckpt", model, FIXTURE_VOCAB, name,
-                      f"{base}/unkeyed", files_per_batch=2)
+                      f"{base}/unkeyed", files_per_batch=files // 2)
     q.awaitTermination()
     return store.read(spark, table).where(F.col("Model") == name), unkeyed_predictions(spark, f"{base}/unkeyed")
 

@@ -58,9 +58,9 @@ def stream_insert(spark: SparkSession, source_dir: str, table_path: str, checkpo
                         .dropDuplicatesWithinWatermark(["SubjectID", "UpdateDT", "Model"]))
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        if "_event_time" in df.columns:
-            df = df.drop("_event_time")
-        store.insert(df.sparkSession, table_path, df, null_safe=null_safe, batch_id=batch_name(df.sparkSession, epoch_id))
+        # a batch of files can be read twice; one with state is written before
+        store.insert(df.sparkSession, table_path, df.drop("_event_time"), null_safe=null_safe,
+                     batch_id=batch_name(df.sparkSession, epoch_id), settled=not dedup_delay)
 
     return _start(stream, batch, checkpoint, available_now)
 
@@ -121,7 +121,7 @@ def stream_score(spark: SparkSession, source_dir: str, input_schema, table_path:
         rows = cut_lineage(score_against_table(s, table_path, df, model, vocab, model_name, first_time=first_time))
         rows.where(F.col("SubjectID").isNull()).write.mode("overwrite").parquet(f"{unkeyed_path}/batch={epoch_id}")
         store.insert(s, table_path, rows.where(F.col("SubjectID").isNotNull()).select(*RANKINGS.fieldNames()),
-                     batch_id=batch_name(s, epoch_id))
+                     batch_id=batch_name(s, epoch_id), settled=True)
 
     return _start(stream, batch, checkpoint, available_now)
 

@@ -64,3 +64,14 @@ def test_a_micro_batch_replayed_after_a_failure_adds_nothing(spark, monkeypatch)
     assert n == multi.count()
     stream_insert(spark, src, table, ckpt, null_safe=False).awaitTermination()
     assert store.read(spark, table).count() == n  # the NULL keys of observed rows could not tell the replay
+
+
+def test_arriving_files_are_written_by_all_cores(spark):
+    from rankline.plans.q_stream import source_files
+    from rankline.sources.fixtures import dealt_view
+    n = source_files(spark)
+    assert n >= spark.sparkContext.defaultParallelism and n % 2 == 0
+    got = dealt_view(spark, SF_SMALL, "rankings_multi", n)
+    assert got.rdd.getNumPartitions() == n
+    want = view(spark, SF_SMALL, "rankings_multi")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

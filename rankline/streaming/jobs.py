@@ -65,10 +65,14 @@ def stream_insert(spark: SparkSession, source_dir: str, table_path: str, checkpo
     return _start(stream, batch, checkpoint, available_now)
 
 
-def scorable(new: DataFrame) -> DataFrame:
-    """Rows with a chosen factor, their subject id as a number; written once, as they are read several times."""
+def scorable(new: DataFrame, settled: bool = False) -> DataFrame:
+    """Rows with a chosen factor, their subject id as a number; written once, as they are read several times.
+
+    ``settled``: ``new`` gives the same rows cheaply whenever it is read (files), so it is read again instead.
+    """
     chosen = count_chosen(driver_array())
-    return cut_lineage(new.where(chosen > 0).withColumn("SubjectID", F.expr("try_cast(nullif(SubjectID, '') AS BIGINT)")))
+    rows = new.where(chosen > 0).withColumn("SubjectID", F.expr("try_cast(nullif(SubjectID, '') AS BIGINT)"))
+    return rows if settled else cut_lineage(rows)
 
 
 def predictions(feats: DataFrame, model, model_name: str, id_col: str = "event_id", columns: list[str] | None = None) -> DataFrame:
@@ -93,9 +97,9 @@ def score_rows(history: DataFrame, new: DataFrame, model, vocab: list[str], mode
 
 
 def score_against_table(spark: SparkSession, table_path: str, new: DataFrame, model, vocab: list[str], model_name: str,
-                        id_col: str = "event_id", first_time: DataFrame | None = None) -> DataFrame:
+                        id_col: str = "event_id", first_time: DataFrame | None = None, settled: bool = False) -> DataFrame:
     """``score_rows`` with the stored table's observed rows as history, read through its summaries."""
-    feats = summaries.serving_features(spark, table_path, scorable(new), vocab, id_col=id_col, first=first_time, keep=DRIVERS)
+    feats = summaries.serving_features(spark, table_path, scorable(new, settled), vocab, id_col=id_col, first=first_time, keep=DRIVERS)
     return predictions(feats, model, model_name, id_col)
 
 
@@ -118,7 +122,8 @@ def stream_score(spark: SparkSession, source_dir: str, input_schema, table_path:
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         s = df.sparkSession
-        rows = cut_lineage(score_against_table(s, table_path, df, model, vocab, model_name, first_time=first_time))
+        # a batch of files is read again, not written before it is scored
+        rows = cut_lineage(score_against_table(s, table_path, df, model, vocab, model_name, first_time=first_time, settled=True))
         rows.where(F.col("SubjectID").isNull()).write.mode("overwrite").parquet(f"{unkeyed_path}/batch={epoch_id}")
         store.insert(s, table_path, rows.where(F.col("SubjectID").isNotNull()).select(*RANKINGS.fieldNames()),
                      batch_id=batch_name(s, epoch_id), settled=True)

@@ -5,7 +5,7 @@ from rankline.schema import RANKINGS
 from rankline.sources import store
 from rankline.sources.fixtures import view
 from rankline.sources.ingest import rows_to_insert
-from rankline.streaming.jobs import stream_insert
+from rankline.streaming.jobs import stream_insert, stream_score
 from testdata import SF_SMALL
 
 
@@ -75,3 +75,24 @@ def test_arriving_files_are_written_by_all_cores(spark):
     assert got.rdd.getNumPartitions() == n
     want = view(spark, SF_SMALL, "rankings_multi")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_a_batch_of_files_is_not_written_before_it_is_scored(spark, monkeypatch):
+    from rankline.plans.models import LinearScorer
+    from rankline.plans.q_history import FIXTURE_VOCAB
+    from rankline.streaming import jobs
+    base = tempfile.mkdtemp()
+    view(spark, SF_SMALL, "inputs").repartition(1).write.parquet(f"{base}/source")
+    inputs = spark.read.parquet(f"{base}/source")
+    want = jobs.scorable(inputs)
+    got = jobs.scorable(inputs, settled=True)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and got.count() > 0
+    store.create_if_absent(spark, f"{base}/table", buckets=2)
+    store.insert(spark, f"{base}/table", view(spark, SF_SMALL, "rankings"))
+    written, real = [], jobs.cut_lineage
+    monkeypatch.setattr(jobs, "cut_lineage", lambda df: written.append(df.columns) or real(df))
+    stream_score(spark, f"{base}/source", inputs.schema, f"{base}/table", f"{base}/ckpt", LinearScorer({"PrevRank": 1.0}), FIXTURE_VOCAB,
+                 "Linear", f"{base}/unkeyed").awaitTermination()
+    assert len(written) == 1 and "prediction" in written[0]  # only the scored rows, once
+    stored = store.read(spark, f"{base}/table").where("Model = 'Linear'").count()
+    assert stored == want.where("SubjectID IS NOT NULL").count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankline.functions.columns import blank_to_null, weekday_mon0, whole_days
+from rankline.functions.columns import blank_to_null, driver_array, position_first, weekday_mon0, whole_days
 from rankline.operators import history as H
 from rankline.operators.factors import onehot_columns, position_columns
 from rankline.schema import DEFAULT_PREV_RANK, DRIVERS, NEW_SUBJECT
@@ -39,18 +39,20 @@ def rank_features(df: DataFrame, vocab: list[str], leak_free: bool = True, dedup
         if hot_rows is not None and most <= hot_rows:
             hot_rows = None
         first_time = df.sparkSession.range(1).select(F.lit(t0).cast("timestamp_ntz").alias("_t_first"))
-    x = H.history_columns(df, hot_rows=hot_rows, force_split=force_split, dedup=dedup, clustered=clustered,
+    # the drivers travel as one array, so that the dedup hashes and the windows copy one value and not one per driver
+    packed = df.select(*[c for c in df.columns if c not in DRIVERS], driver_array().alias("_drivers"))
+    x = H.history_columns(packed, hot_rows=hot_rows, force_split=force_split, dedup=dedup, clustered=clustered,
                           segment_rows=segment_rows)
     x = H.with_scalar(x, first_time)
     avg_prev = "AvgPreviousRanks" if leak_free else "AvgPreviousRanksFilled"
     return x.select(
-        *keep,
+        *[F.col("_drivers")[DRIVERS.index(c)].alias(c) if c in DRIVERS else c for c in keep],
         F.coalesce(whole_days(F.col("_t_first"), F.col("UpdateDT")), F.lit(0)).cast("bigint").alias("DaysSinceFirst"),
         H.days_since_prev().alias("DaysSincePrev"),
         F.coalesce(F.col("PrevRank"), F.lit(0)).cast("int").alias("PrevRank"),
         F.coalesce(F.col(avg_prev), F.lit(0.0)).alias("AvgPreviousRanks"),
         F.coalesce(F.col("AvgPreviousRankChanges"), F.lit(0.0)).alias("AvgPreviousRankChanges"),
-        *position_columns(vocab),
+        *[position_first(F.col("_drivers"), f).alias(f) for f in vocab],
     )
 
 

@@ -9,7 +9,7 @@ The order of the thresholds is kept by fitting their differences, which may not
 projected step (differences that sit at zero and would fall stay there, the others take the Newton step of
 the remaining ones, and what falls below zero is set to zero), shortened until the loss falls.
 
-Plan: the rows (class and scaled features) are written once.  A pass makes, per task, loss, gradient and
+Plan: the rows (class and features) are written once, in blocks of a few kilobytes.  A pass makes, per task, loss, gradient and
 Hessian sums: a class contributes to two thresholds only, so these are about K times the number of
 features; Spark adds them up and the driver gets one number per cell, whatever the number of rows.  A
 fit takes some ten passes.
@@ -32,9 +32,11 @@ from rankline.session import cut_lineage
 LABEL = "Rank"
 
 
-def _sigmoid(v):
+def _logistic(v):
+    """(softplus, sigmoid) of ``v``."""
     import numpy as np
-    return 1 / (1 + np.exp(-np.clip(v, -500, 500)))
+    e = np.exp(-np.abs(v))
+    return np.maximum(v, 0) + np.log1p(e), np.where(v >= 0, 1.0, e) / (1 + e)
 
 
 class Sums:
@@ -50,18 +52,42 @@ class Sums:
     def add(self, y, x) -> None:
         """Rows of classes ``y`` (1 .. K) and features ``x``."""
         import numpy as np
-        z, k = x @ self.w, len(self.t)
         if self.every:
-            at, row = np.tile(np.arange(k), len(y)), np.repeat(np.arange(len(y)), k)
-        else:  # the thresholds below and above the class, if there are any
-            at, row = np.concatenate([y - 2, y - 1]), np.tile(np.arange(len(y)), 2)
-            here = (at >= 0) & (at < k)
-            at, row = at[here], row[here]
+            self._add_every(y, x)
+            return
+        # the rows by class, so that those of a threshold lie together
+        k = len(self.t)
+        order = np.argsort(y.astype(np.int16) if k < 32_000 else y, kind="stable")  # short numbers sort faster
+        y, x = y[order].astype(np.int64), x[order]
+        z, g, h = x @ self.w, np.zeros(len(y)), np.zeros(len(y))
+        first = np.flatnonzero(np.diff(y, prepend=0))
+        low, high = np.searchsorted(y, 2), np.searchsorted(y, k, "right")
+        # the score should lie above the threshold below the class and below the one above it, if there are any
+        for rows, off, sign in ((slice(low, None), 2, 1.0), (slice(0, high), 1, -1.0)):
+            at = y[rows] - off
+            loss, p = _logistic(sign * (self.t[at] - z[rows]))
+            mine = np.zeros(len(y))
+            mine[rows] = p * (1 - p)
+            self.loss += loss.sum()
+            self.gt += sign * np.bincount(at, p, k)
+            self.htt += np.bincount(at, mine[rows], k)
+            g[rows] += sign * p
+            h += mine
+            found = y[first] - off
+            here = (found >= 0) & (found < k)
+            if here.any():
+                self.hwt[found[here]] -= np.add.reduceat(mine[:, None] * x, first, axis=0)[here]
+        self.gw -= g @ x
+        self.hww += (x * h[:, None]).T @ x
+
+    def _add_every(self, y, x) -> None:
+        import numpy as np
+        z, k = x @ self.w, len(self.t)
+        at, row = np.tile(np.arange(k), len(y)), np.repeat(np.arange(len(y)), k)
         sign = np.where(at + 1 < y[row], 1.0, -1.0)  # +1: the score should lie above the threshold
-        v = sign * (self.t[at] - z[row])
-        p = _sigmoid(v)
+        loss, p = _logistic(sign * (self.t[at] - z[row]))
         g, h = sign * p, p * (1 - p)
-        self.loss += np.logaddexp(0, v).sum()
+        self.loss += loss.sum()
         self.gt += np.bincount(at, g, k)
         self.htt += np.bincount(at, h, k)
         per_row = np.bincount(row, h, len(y))
@@ -86,35 +112,107 @@ class Sums:
         return self
 
 
-# Pairs of a row and a threshold that a task works on at a time (a bound on memory only).
+# Pairs of a row and a threshold that a task works on at a time, and bytes of features in a block (bounds on memory only).
 PAIRS = 16_384
+BLOCK_BYTES = 4_096
+
+
+def row_type(kinds: str):
+    """The numpy type of a row whose features have these types (b, h, i: whole numbers; d: doubles)."""
+    import numpy as np
+    return np.dtype([(f"f{j}", k) for j, k in enumerate(kinds)])
+
+
+def blocks(rows: DataFrame, d: int) -> DataFrame:
+    """A frame of (_y, _x) as blocks of some rows: _y the classes, _x the ``d`` features of each row, _k the types of the
+    features, each the shortest that holds them exactly.  A pass hands a block to its task as it is, not number by number."""
+    def part(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(y), d)
+            if not len(y):
+                continue
+            whole, most = (x == np.rint(x)).all(axis=0), np.abs(x).max(axis=0)
+            kinds = "".join("d" if not i or not m < 2 ** 31 else "b" if m < 2 ** 7 else "h" if m < 2 ** 15 else "i"
+                            for i, m in zip(whole, most))
+            packed = np.empty(len(y), row_type(kinds))
+            for j in range(d):
+                packed[f"f{j}"] = x[:, j]
+            size = max(1, BLOCK_BYTES // max(1, packed.itemsize))
+            cuts = range(0, len(y), size)
+            yield pa.RecordBatch.from_arrays([pa.array([kinds] * len(cuts)),
+                                              pa.array([y[a:a + size].tobytes() for a in cuts], pa.binary()),
+                                              pa.array([packed[a:a + size].tobytes() for a in cuts], pa.binary())], ["_k", "_y", "_x"])
+
+    return rows.select("_y", "_x").mapInArrow(part, "_k string, _y binary, _x binary")
+
+
+def same_kinds(batch):
+    """(types, classes, rows) of each run of blocks of the same types in an Arrow batch."""
+    import numpy as np
+    kinds, at = batch.column(0).to_pylist(), 0
+    while at < len(kinds):
+        end = at + 1
+        while end < len(kinds) and kinds[end] == kinds[at]:
+            end += 1
+        yield kinds[at], numbers(batch.column(1)[at:end], np.int32), numbers(batch.column(2)[at:end], row_type(kinds[at]))
+        at = end
+
 
+def numbers(column, kind):
+    """The numbers of all the blocks of an Arrow column, one behind another."""
+    import numpy as np
+    import pyarrow as pa
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset:]
+    if not len(column) or ends[len(column)] == ends[0]:
+        return np.zeros(0, kind)
+    return np.frombuffer(data, np.uint8)[ends[0]:ends[len(column)]].view(kind)
+
+
+def class_counts(packed: DataFrame) -> dict[int, int]:
+    """class -> rows of it, in a frame of ``blocks``."""
+    def part(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            y, n = np.unique(numbers(batch.column(0), np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(n.astype(np.int64))], ["y", "n"])
 
-def sums(rows: DataFrame, w, t, every: bool) -> Sums:
-    """The sums over a frame of (_y, _x)."""
+    found = packed.select("_y").mapInArrow(part, "y int, n bigint").groupBy("y").agg(F.sum("n").alias("n"))
+    return {r["y"]: r["n"] for r in found.collect()}  # at most one row per class
+
+
+def sums(packed: DataFrame, scale, w, t, every: bool) -> Sums:
+    """The sums over a frame of ``blocks`` whose features are multiplied by ``scale``."""
     import numpy as np
 
     def part(batches):
         import pyarrow as pa
         got = Sums(w, t, every)
+        step = max(1, PAIRS // (len(t) if every else 2))
         for batch in batches:
-            y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(y), len(w))
-            step = max(1, PAIRS // (len(t) if every else 2))
-            for a in range(0, len(y), step):
-                got.add(y[a:a + step], x[a:a + step])
+            for _, y, rows in same_kinds(batch):
+                for a in range(0, len(y), step):
+                    some = rows[a:a + step]
+                    x = np.empty((len(some), len(w)))
+                    for j in range(len(w)):
+                        np.multiply(some[f"f{j}"], scale[j], out=x[:, j])
+                    got.add(y[a:a + step], x)
         flat = got.flat()
         some = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], ["i", "s"])
 
     total = Sums(w, t, every)
     flat = np.zeros(len(total.flat()))
-    parts = rows.select("_y", "_x").mapInArrow(part, "i bigint, s double").groupBy("i").agg(F.sum("s").alias("s")).toArrow()
+    parts = packed.mapInArrow(part, "i bigint, s double").groupBy("i").agg(F.sum("s").alias("s")).toArrow()
     flat[parts.column("i").to_numpy()] = parts.column("s").to_numpy()
     return total.take(flat)
 
 
-def _newton(rows: DataFrame, n: int, start, d: int, reg: float, max_iter: int, every: bool, tol: float):
+def _newton(rows: DataFrame, scale, n: int, start, d: int, reg: float, max_iter: int, every: bool, tol: float):
     """(weights, thresholds) by projected Newton steps from the thresholds ``start``."""
     import numpy as np
     k = len(start)
@@ -123,7 +221,7 @@ def _newton(rows: DataFrame, n: int, start, d: int, reg: float, max_iter: int, e
     bounded = np.arange(d + k) > d     # the differences
 
     def at(u):
-        s = sums(rows, u[:d], spread @ u[d:], every)
+        s = sums(rows, scale, u[:d], spread @ u[d:], every)
         return s, s.loss / n + reg / 2 * float(u[:d] @ u[:d])
 
     s, loss = at(u)
@@ -160,6 +258,18 @@ def classes(df: DataFrame, n_ranks: int, bin_width: int) -> DataFrame:
     return df.where(F.col(LABEL).isNotNull()).withColumn("_y", F.ceil(bounded / F.lit(bin_width)).cast("int"))
 
 
+def _blocks_of(prep, x: DataFrame, d: int) -> DataFrame:
+    """Blocks of the classes and the features as they are, not yet scaled."""
+    return blocks(prep.stages[0].transform(x).select("_y", vector_to_array("_shared").alias("_x")), d)
+
+
+def _scale(prep):
+    """What the fitted scaler multiplies each feature by."""
+    import numpy as np
+    std = prep.stages[1].std.toArray()
+    return np.divide(1.0, std, out=np.zeros(len(std)), where=std != 0)
+
+
 def ordinal_fit(train: DataFrame, cols: list[str], n_ranks: int, reg: float = 0.01, max_iter: int = 40,
                 thresholds: str = "immediate", bin_width: int = 1, tol: float = 1e-7) -> dict:
     """Fit on the labelled rows; ranks may be binned (``bin_width``) into classes.
@@ -174,12 +284,12 @@ def ordinal_fit(train: DataFrame, cols: list[str], n_ranks: int, reg: float = 0.
         raise ValueError("no labelled row to learn from")
     prep = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_shared", handleInvalid="keep"),
                             StandardScaler(inputCol="_shared", outputCol="_sharedz", withMean=False, withStd=True)]).fit(x)
-    rows = cut_lineage(prep.transform(x).select("_y", vector_to_array("_sharedz").alias("_x")))
-    count = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}  # at most one row per class
+    rows = cut_lineage(_blocks_of(prep, x, len(cols)))
+    count = class_counts(rows)
     n, n_classes = sum(count.values()), -(-n_ranks // bin_width)
     below = np.cumsum([count.get(c, 0) for c in range(1, n_classes)])
     start = np.log((below + 0.5) / (n - below + 0.5))  # thresholds of the class shares alone
-    w, t, loss = _newton(rows, n, start, len(cols), reg, max_iter, thresholds == "all", tol)
+    w, t, loss = _newton(rows, _scale(prep), n, start, len(cols), reg, max_iter, thresholds == "all", tol)
     return {"prep": prep, "w": w.tolist(), "theta": (-t).tolist(), "cols": cols, "bin_width": bin_width,
             "n_ranks": n_ranks, "loss": loss}
 
@@ -187,10 +297,10 @@ def ordinal_fit(train: DataFrame, cols: list[str], n_ranks: int, reg: float = 0.
 def ordinal_loss(fitted: dict, df: DataFrame, thresholds: str = "immediate") -> float:
     """Mean loss of labelled rows under a fitted model, without the penalty."""
     import numpy as np
-    x = fitted["prep"].transform(classes(df, fitted["n_ranks"], fitted["bin_width"]))
-    rows = x.select("_y", vector_to_array("_sharedz").alias("_x"))
-    s = sums(rows, np.array(fitted["w"]), -np.array(fitted["theta"]), thresholds == "all")
-    return s.loss / rows.count()
+    x = classes(df, fitted["n_ranks"], fitted["bin_width"])
+    rows = _blocks_of(fitted["prep"], x, len(fitted["w"]))
+    s = sums(rows, _scale(fitted["prep"]), np.array(fitted["w"]), -np.array(fitted["theta"]), thresholds == "all")
+    return s.loss / x.count()
 
 
 def thresholds_passed(margin: Column, theta: list[float]) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rankline.functions import columns as C
 from rankline.operators import factors as FA
 from rankline.operators import features as FE
-from rankline.schema import DRIVERS
+from rankline.schema import DRIVERS, RANKINGS
 from rankline.sources.fixtures import view
 from testdata import SF_SMALL
 
@@ -135,3 +135,17 @@ def test_driver_factor_counts_hold_a_bounded_number_of_rows_a_task(spark, monkey
     # rows are dealt out, 25 a task, below the partial counts
     below = plan[plan.rindex("partial_count"):]
     assert "Exchange hashpartitioning(SubjectID" in below and ", 12)" in below.replace(", REPARTITION", ") REPARTITION")
+
+
+def test_drivers_travel_as_one_array(spark):
+    row = dict({d: None for d in DRIVERS}, SubjectID=1, Rank=5, UpdateDT=dt.datetime(2024, 1, 1), Model=None, OriginalDataFlag=True)
+    rows = [dict(row, Driver1="A", Driver2="B"), dict(row, Driver1="A", Driver2="B"), dict(row, Driver1="A"),
+            dict(row, Driver1="A", Driver2=""), dict(row, Driver2="B", Driver17="A", UpdateDT=dt.datetime(2024, 1, 3))]
+    df = spark.createDataFrame(rows, RANKINGS)
+    out = FE.rank_features(df, ["A", "B"], keep=["UpdateDT", "Driver2", "Driver17"])
+    got = sorted((r.UpdateDT.day, r.Driver2 or str(r.Driver2), r.Driver17, r.A, r.B) for r in out.collect())
+    # whole-row duplicates only: a missing driver is another row than a blank one
+    assert got == [(1, "", None, 1, 0), (1, "B", None, 1, 2), (1, "None", None, 1, 0), (3, "B", "A", 17, 2)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line for line in plan.split("\n") if "Aggregate [" in line]
+    assert keys and not any("Driver2#" in line for line in keys)

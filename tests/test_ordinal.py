@@ -122,3 +122,32 @@ def test_the_margin_is_evaluated_once_a_row(spark):
             opened.append(depth)
         opened = [d for d in opened if d <= depth]
     assert opened == []
+
+
+def test_sums_over_blocks_equal_sums_over_rows(spark):
+    rng = np.random.default_rng(7)
+    y, big = rng.integers(1, 7, 500), [0.0, 3.0, -128.0, 40_000.0, -2.0 ** 31, 2.0 ** 60]
+    x = np.column_stack([rng.integers(-5, 6, 500), rng.choice(big, 500), rng.normal(size=500), rng.integers(0, 300, 500)])
+    df = spark.createDataFrame([(int(a), [float(v) for v in b]) for a, b in zip(y, x)], "_y int, _x array<double>").repartition(3)
+    packed, scale = OR.blocks(df, 4).cache(), np.array([0.5, 1e-9, 2.0, 0.0])
+    assert packed.count() < 60 and sum(len(r._y) // 4 for r in packed.collect()) == 500
+    # each feature in the shortest type that holds it
+    assert {r._k for r in packed.collect()} == {"bddh"}
+    assert OR.class_counts(packed) == {c: int((y == c).sum()) for c in range(1, 7)}
+    w, t = rng.normal(size=4), np.sort(rng.normal(size=5))
+    for every in (False, True):
+        want, got = OR.Sums(w, t, every), OR.sums(packed, scale, w, t, every)
+        want.add(y, x * scale)
+        assert np.allclose(got.flat(), want.flat(), rtol=1e-12, atol=1e-12)
+        assert want.loss == pytest.approx(brute_loss(y, x * scale, w, t, every))
+    packed.unpersist()
+
+
+def test_blocks_of_empty_and_missing_features(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, [1.0, nan]), (2, [float("inf"), 2.0])], "_y int, _x array<double>").coalesce(1)
+    rows = OR.blocks(df, 2).collect()
+    assert [r._k for r in rows] == ["dd"]
+    got = np.frombuffer(rows[0]._x, float)
+    assert np.isnan(got[1]) and got[[0, 2, 3]].tolist() == [1.0, float("inf"), 2.0]
+    assert OR.blocks(df.limit(0), 2).count() == 0

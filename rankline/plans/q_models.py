@@ -367,24 +367,22 @@ def feature_set_frames(spark, sf):
     return out
 
 
-# Learners of the grid, with sizes that keep sixteen fits short; the ordinal model is fitted on the one-hot set.
+# Learners of the grid, each of its full size and on every set.
 GRID_LEARNERS = ("Random Forest", "Gradient Boosting", "Histogram boosting", "Ordinal LogisticIT")
-GRID_SIZE = {"Gradient Boosting": {"maxIter": 8}, "Random Forest": {"numTrees": 20}}
-GRID_ROUNDS = 6
 
 
 def _grid_predictions(name, train, test, cols, k):
     """The test rows with the predictions of one learner on one feature set."""
     if name in ("Random Forest", "Gradient Boosting"):
-        return ML.pipeline(cols, ML.regressor(name, **GRID_SIZE[name]), pca_k=k).fit(train).transform(test)
+        return ML.pipeline(cols, ML.regressor(name), pca_k=k).fit(train).transform(test)
     if k:  # the other learners take columns: the components become some
         pca = ML.pipeline(cols, None, pca_k=k).fit(train)
         cols = [f"pc{i + 1}" for i in range(k)]
         arr = vector_to_array("features")
         train, test = (cut_lineage(pca.transform(x).select("Rank", *[arr[i].alias(c) for i, c in enumerate(cols)])) for x in (train, test))
     if name == "Histogram boosting":
-        return B.fit(train, cols, rounds=GRID_ROUNDS).transform(test)
-    return ML.ordinal_predict(ML.ordinal_fit(train, cols, RANK_MAX, max_iter=10), test)
+        return B.fit(train, cols).transform(test)
+    return ML.ordinal_predict(ML.ordinal_fit(train, cols, RANK_MAX), test)
 
 
 @register("feature_set_leaderboard")
@@ -393,7 +391,7 @@ def feature_set_leaderboard(spark, sf):
     from multiprocessing.pool import ThreadPool
     ensure_checkpoint_dir(spark)
     frames = feature_set_frames(spark, sf)
-    jobs = [(m, s) for m in GRID_LEARNERS for s in frames if m != "Ordinal LogisticIT" or s == "base one-hot"]
+    jobs = [(m, s) for m in GRID_LEARNERS for s in frames]
 
     def one(job):
         name, feature_set = job

@@ -114,3 +114,39 @@ def test_feature_sets_are_dealt_out_and_written_once(spark):
     files = {k: frozenset(tr.inputFiles()) for k, (tr, _, _, _) in frames.items()}
     assert all(len(f) >= spark.sparkContext.defaultParallelism for f in files.values())
     assert files["base one-hot"] == files["base PCA"]  # one table for both
+
+
+def small_events(spark, n: int = 400) -> str:
+    """A folder with an events table of ``n`` rows of 20 users, every tenth of a model and a few without a value."""
+    folder = tempfile.mkdtemp()
+    i = F.col("id")
+    spark.range(n).select(i.alias("event_id"), F.timestamp_seconds(1_700_000_000 + i * 7919).cast("timestamp_ntz").alias("ts"),
+                          (i % 20).alias("user_id"), F.when(i % 10 == 3, "purchase").otherwise("view").alias("event_type"),
+                          F.when(i % 97 != 5, (i * 37 % 250).cast("double")).alias("value"),
+                          F.lit("{}").alias("props")).coalesce(1).write.parquet(os.path.join(folder, "events.parquet"))
+    return folder
+
+
+def test_every_learner_is_fitted_whole_on_every_feature_set(spark, monkeypatch):
+    from rankline.plans import q_models as Q
+    asked = []
+
+    def note(owner, name, call):
+        whole = getattr(owner, name)
+
+        def noted(*a, **kw):
+            asked.append((name, kw.keys() & {"numTrees", "maxIter", "maxDepth", "rounds", "bins", "leaves", "depth", "max_iter"}))
+            return call(whole, *a, **kw)
+
+        monkeypatch.setattr(owner, name, noted)
+
+    # what is asked for is noted, what is fitted is small
+    sizes = {"Random Forest": {"numTrees": 1, "maxDepth": 1}, "Gradient Boosting": {"maxIter": 1, "maxDepth": 1}}
+    note(Q.ML, "regressor", lambda whole, name, **kw: whole(name, **sizes[name]))
+    note(Q.B, "fit", lambda whole, *a, **kw: whole(*a, **{**kw, "rounds": 1}))
+    note(Q.ML, "ordinal_fit", lambda whole, *a, **kw: whole(*a, **{**kw, "max_iter": 1}))
+    rows = Q.feature_set_leaderboard(spark, small_events(spark)).collect()
+    assert {(r.model_name, r.feature_set) for r in rows} == {(m, s) for m in Q.GRID_LEARNERS for s in Q.FEATURE_SETS} | {("Median", "none")}
+    assert len({(r.n, r.n_incomplete) for r in rows}) == 1  # all judged on the same rows
+    assert sorted(a[0] for a in asked) == ["fit"] * 4 + ["ordinal_fit"] * 4 + ["regressor"] * 8
+    assert not any(size for _, size in asked)

@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankline.session import cut_lineage
+from rankline.session import cut_lineage, summed
 
 LABEL = "Rank"
 
@@ -78,7 +78,8 @@ class Sums:
             if here.any():
                 self.hwt[found[here]] -= np.add.reduceat(mine[:, None] * x, first, axis=0)[here]
         self.gw -= g @ x
-        self.hww += (x * h[:, None]).T @ x
+        root = x * np.sqrt(h)[:, None]
+        self.hww += root.T @ root  # a matrix times itself takes half the work of two
 
     def _add_every(self, y, x) -> None:
         import numpy as np
@@ -112,15 +113,26 @@ class Sums:
         return self
 
 
-# Pairs of a row and a threshold that a task works on at a time, and bytes of features in a block (bounds on memory only).
+# Pairs of a row and a threshold and features that a task works on at a time, bytes of features in a block (bounds on memory only).
 PAIRS = 16_384
+NUMBERS = 262_144
 BLOCK_BYTES = 4_096
 
 
+def runs(kinds: str) -> list[tuple[int, int, str]]:
+    """(first, end, type) of each run of neighbouring features of the same type."""
+    from itertools import groupby
+    out, at = [], 0
+    for k, same in groupby(kinds):
+        out.append((at, at + len(list(same)), k))
+        at = out[-1][1]
+    return out
+
+
 def row_type(kinds: str):
-    """The numpy type of a row whose features have these types (b, h, i: whole numbers; d: doubles)."""
+    """The numpy type of a row whose features have these types (b, h, i: whole numbers; d: doubles), a field per run."""
     import numpy as np
-    return np.dtype([(f"f{j}", k) for j, k in enumerate(kinds)])
+    return np.dtype([(f"f{a}", k, (b - a,)) for a, b, k in runs(kinds)])
 
 
 def blocks(rows: DataFrame, d: int) -> DataFrame:
@@ -138,8 +150,8 @@ def blocks(rows: DataFrame, d: int) -> DataFrame:
             kinds = "".join("d" if not i or not m < 2 ** 31 else "b" if m < 2 ** 7 else "h" if m < 2 ** 15 else "i"
                             for i, m in zip(whole, most))
             packed = np.empty(len(y), row_type(kinds))
-            for j in range(d):
-                packed[f"f{j}"] = x[:, j]
+            for a, b, _ in runs(kinds):
+                packed[f"f{a}"] = x[:, a:b]
             size = max(1, BLOCK_BYTES // max(1, packed.itemsize))
             cuts = range(0, len(y), size)
             yield pa.RecordBatch.from_arrays([pa.array([kinds] * len(cuts)),
@@ -181,7 +193,7 @@ def class_counts(packed: DataFrame) -> dict[int, int]:
             y, n = np.unique(numbers(batch.column(0), np.int32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(n.astype(np.int64))], ["y", "n"])
 
-    found = packed.select("_y").mapInArrow(part, "y int, n bigint").groupBy("y").agg(F.sum("n").alias("n"))
+    found = summed(packed.select("_y").mapInArrow(part, "y int, n bigint"), "y", "n")
     return {r["y"]: r["n"] for r in found.collect()}  # at most one row per class
 
 
@@ -192,14 +204,14 @@ def sums(packed: DataFrame, scale, w, t, every: bool) -> Sums:
     def part(batches):
         import pyarrow as pa
         got = Sums(w, t, every)
-        step = max(1, PAIRS // (len(t) if every else 2))
+        step = max(1, min(PAIRS // (len(t) if every else 2), NUMBERS // max(1, len(w))))
         for batch in batches:
-            for _, y, rows in same_kinds(batch):
+            for kinds, y, rows in same_kinds(batch):
                 for a in range(0, len(y), step):
                     some = rows[a:a + step]
                     x = np.empty((len(some), len(w)))
-                    for j in range(len(w)):
-                        np.multiply(some[f"f{j}"], scale[j], out=x[:, j])
+                    for i, j, _ in runs(kinds):
+                        np.multiply(some[f"f{i}"], scale[i:j], out=x[:, i:j])
                     got.add(y[a:a + step], x)
         flat = got.flat()
         some = np.flatnonzero(flat)
@@ -207,7 +219,7 @@ def sums(packed: DataFrame, scale, w, t, every: bool) -> Sums:
 
     total = Sums(w, t, every)
     flat = np.zeros(len(total.flat()))
-    parts = packed.mapInArrow(part, "i bigint, s double").groupBy("i").agg(F.sum("s").alias("s")).toArrow()
+    parts = summed(packed.mapInArrow(part, "i bigint, s double"), "i", "s").toArrow()
     flat[parts.column("i").to_numpy()] = parts.column("s").to_numpy()
     return total.take(flat)
 
@@ -272,7 +284,7 @@ def _scale(prep):
 
 def ordinal_fit(train: DataFrame, cols: list[str], n_ranks: int, reg: float = 0.01, max_iter: int = 40,
                 thresholds: str = "immediate", bin_width: int = 1, tol: float = 1e-7) -> dict:
-    """Fit on the labelled rows; ranks may be binned (``bin_width``) into classes.
+    """Fit on the labelled rows; ranks may be binned (``bin_width``) into classes.  ``cols`` are numbers or vectors of numbers.
 
     ``theta`` holds the negative thresholds, as ``ordinal_predict`` adds them to the score.
     """
@@ -284,12 +296,13 @@ def ordinal_fit(train: DataFrame, cols: list[str], n_ranks: int, reg: float = 0.
         raise ValueError("no labelled row to learn from")
     prep = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_shared", handleInvalid="keep"),
                             StandardScaler(inputCol="_shared", outputCol="_sharedz", withMean=False, withStd=True)]).fit(x)
-    rows = cut_lineage(_blocks_of(prep, x, len(cols)))
+    d = prep.stages[1].std.size  # a column may be a vector of some features
+    rows = cut_lineage(_blocks_of(prep, x, d))
     count = class_counts(rows)
     n, n_classes = sum(count.values()), -(-n_ranks // bin_width)
     below = np.cumsum([count.get(c, 0) for c in range(1, n_classes)])
     start = np.log((below + 0.5) / (n - below + 0.5))  # thresholds of the class shares alone
-    w, t, loss = _newton(rows, _scale(prep), n, start, len(cols), reg, max_iter, thresholds == "all", tol)
+    w, t, loss = _newton(rows, _scale(prep), n, start, d, reg, max_iter, thresholds == "all", tol)
     return {"prep": prep, "w": w.tolist(), "theta": (-t).tolist(), "cols": cols, "bin_width": bin_width,
             "n_ranks": n_ranks, "loss": loss}
 

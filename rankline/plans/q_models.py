@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import os
 import uuid
-from functools import reduce
+from functools import partial, reduce
+from itertools import product
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from rankline.plans.q_history import FIXTURE_VOCAB, WORD, _features_sql, input_r
 from rankline.plans.sql_twins import with_views
 from rankline.schema import DRIVERS, RANK_MAX
 from rankline.session import cut_lineage, ensure_checkpoint_dir
-from rankline.sources.fixtures import view
+from rankline.sources.fixtures import dealt_view, view
 from rankline.streaming.jobs import score_rows
 
 PCA_K = 10
@@ -350,58 +351,94 @@ def model_leaderboard(spark, sf):
 FEATURE_SETS = ("base positional", "base one-hot", "base PCA", "enhanced positional")
 
 
+SET_LABELS = ["SubjectID", "UpdateDT", "Model", "Rank"]
+
+
+def _set_plans(obs):
+    """(base positional, base one-hot, enhanced positional) features of the observed rows, and whether a row is older than the split."""
+    older = F.unix_micros(F.col("UpdateDT").cast("timestamp")) <= F.lit(M.time_cutoff(obs))
+    return (*FE.base_features(obs, obs.where(older), FIXTURE_VOCAB), FE.rank_features(obs, FIXTURE_VOCAB)), older
+
+
 def feature_set_frames(spark, sf):
     """name -> (train, test, feature columns, number of principal components or None), one time split."""
-    obs = FE.training_rows(rankings(spark, sf))
-    cut = M.time_cutoff(obs)
-    older = F.unix_micros(F.col("UpdateDT").cast("timestamp")) <= F.lit(cut)
-    positional, onehot = FE.base_features(obs, obs.where(older), FIXTURE_VOCAB)
-    enhanced = FE.rank_features(obs, FIXTURE_VOCAB)
-    labels = ["SubjectID", "UpdateDT", "Model", "Rank"]
+    plans, older = _set_plans(FE.training_rows(rankings(spark, sf)))
     out = {}
     # written once each and dealt out, so that every pass of every learner uses all cores
-    dealt = lambda df: cut_lineage(df.repartition(max(2, spark.sparkContext.defaultParallelism)))
-    positional, onehot, enhanced = dealt(positional), dealt(onehot), dealt(enhanced)
+    positional, onehot, enhanced = [cut_lineage(df.repartition(max(2, spark.sparkContext.defaultParallelism))) for df in plans]
     for name, df, k in zip(FEATURE_SETS, (positional, onehot, onehot, enhanced), (None, None, PCA_K, None)):
-        out[name] = (df.where(older), df.where(~older), [c for c in df.columns if c not in labels], k)
+        out[name] = (df.where(older), df.where(~older), [c for c in df.columns if c not in SET_LABELS], k)
     return out
 
 
-# Learners of the grid, each of its full size and on every set.
-GRID_LEARNERS = ("Random Forest", "Gradient Boosting", "Histogram boosting", "Ordinal LogisticIT")
+def _as_vectors(df, older, cols):
+    """(Rank, older, x): the features as one vector per row, the shorter of its sparse and dense forms; dealt out and written once."""
+    whole = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in cols]
+    x = df.where(older.isNotNull()).select("Rank", older.alias("older"), array_to_vector(F.array(*whole)).alias("_dense"))
+    size = VectorSizeHint(inputCol="_dense", size=len(cols), handleInvalid="optimistic")
+    x = VectorAssembler(inputCols=["_dense"], outputCol="x", handleInvalid="keep").transform(size.transform(x)).drop("_dense")
+    return cut_lineage(x.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism)))
+
+
+def feature_set_vectors(spark, sf, pool):
+    """name -> a call that waits for (train, test, feature names) of a feature set, made by the threads of ``pool``.
+
+    The sets are tables (Rank, older, x) with the features in one vector: hundreds of columns would be read and assembled
+    one by one in every pass of every learner.  The components are fitted once, on the older rows, and written as well."""
+    plans, older = _set_plans(FE.training_rows(dealt_view(spark, sf, "rankings")))
+
+    def whole(df):
+        cols = [c for c in df.columns if c not in SET_LABELS]
+        return _as_vectors(df, older, cols), cols
+
+    def components(onehot):
+        table, _ = onehot.get()
+        pca = ML.pipeline(["x"], None, pca_k=PCA_K).fit(table.where("older"))
+        parts = pca.transform(table).select("Rank", "older", F.col("features").alias("x"))
+        return cut_lineage(parts), [f"pc{i + 1}" for i in range(PCA_K)]
+
+    made = {name: pool.apply_async(whole, (df,)) for name, df in zip(("base positional", "base one-hot", "enhanced positional"), plans)}
+    made["base PCA"] = pool.apply_async(components, (made["base one-hot"],))
+
+    def ready(name):
+        table, cols = made[name].get()
+        return table.where("older AND Rank IS NOT NULL"), table.where("NOT older"), cols
+
+    return {name: partial(ready, name) for name in FEATURE_SETS}
+
+
+# Learners of the grid, each of its full size and on every set; those of many small passes first, so that the others fill the cores.
+GRID_LEARNERS = ("Gradient Boosting", "Histogram boosting", "Ordinal LogisticIT", "Random Forest")
+# Fits at a time.
+GRID_FITS = 6
 
 
-def _grid_predictions(name, train, test, cols, k):
+def _grid_predictions(name, train, test, cols):
     """The test rows with the predictions of one learner on one feature set."""
     if name in ("Random Forest", "Gradient Boosting"):
-        return ML.pipeline(cols, ML.regressor(name), pca_k=k).fit(train).transform(test)
-    if k:  # the other learners take columns: the components become some
-        pca = ML.pipeline(cols, None, pca_k=k).fit(train)
-        cols = [f"pc{i + 1}" for i in range(k)]
-        arr = vector_to_array("features")
-        train, test = (cut_lineage(pca.transform(x).select("Rank", *[arr[i].alias(c) for i, c in enumerate(cols)])) for x in (train, test))
+        return ML.pipeline(["x"], ML.regressor(name)).fit(train).transform(test)
     if name == "Histogram boosting":
-        return B.fit(train, cols).transform(test)
-    return ML.ordinal_predict(ML.ordinal_fit(train, cols, RANK_MAX), test)
+        return B.fit(train, cols, vector="x").transform(test)
+    return ML.ordinal_predict(ML.ordinal_fit(train, ["x"], RANK_MAX), test)
 
 
 @register("feature_set_leaderboard")
 def feature_set_leaderboard(spark, sf):
-    """Every learner on every feature set (four fits at a time), judged on the same newest rows; median baseline appended."""
+    """Every learner on every feature set (some fits at a time), judged on the same newest rows; median baseline appended."""
     from multiprocessing.pool import ThreadPool
     ensure_checkpoint_dir(spark)
-    frames = feature_set_frames(spark, sf)
-    jobs = [(m, s) for m in GRID_LEARNERS for s in frames]
-
-    def one(job):
-        name, feature_set = job
-        pred = _grid_predictions(name, *frames[feature_set])
-        return cut_lineage(pred.select(F.col("Rank").alias("y"), F.col("prediction").alias("p"), F.lit(name).alias("model_name"),
-                                       F.lit(feature_set).alias("feature_set")))
-
-    with ThreadPool(4) as pool:
-        parts = pool.map(one, jobs, 1)
-    train, test = frames["enhanced positional"][:2]
+    with ThreadPool(GRID_FITS) as pool:
+        sets = feature_set_vectors(spark, sf, pool)
+
+        def one(job):
+            feature_set, name = job
+            pred = _grid_predictions(name, *sets[feature_set]())
+            return cut_lineage(pred.select(F.col("Rank").alias("y"), F.col("prediction").alias("p"), F.lit(name).alias("model_name"),
+                                           F.lit(feature_set).alias("feature_set")))
+
+        # the sets that are ready first are taken first, the components last
+        parts = pool.map(one, product(("enhanced positional", "base positional", "base one-hot", "base PCA"), GRID_LEARNERS), 1)
+    train, test, _ = sets["enhanced positional"]()
     med = train.agg(F.median("Rank").alias("p"))
     parts.append(test.select(F.col("Rank").alias("y")).crossJoin(F.broadcast(med))
                  .withColumns({"model_name": F.lit("Median"), "feature_set": F.lit("none")}))

@@ -140,3 +140,49 @@ def test_fits_of_a_rung_overlap(spark, monkeypatch):
     monkeypatch.setattr(B, "histograms", counted)
     B.tune(df, ["a", "b"], [{"rate": 0.1}, {"rate": 0.2}, {"rate": 0.3}], rounds=2, rungs=2)
     assert most[0] > 1
+
+
+def test_a_vector_of_features_gives_the_trees_of_the_columns(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+    rows, df = table(spark, 600, 9)
+    # columns that mostly have one value, and one with more values than are counted one by one
+    df = df.withColumns({"d": (F.col("a") == 3).cast("double"), "e": F.when(F.col("c") > 0, 0.0).otherwise(F.col("a")),
+                         "f": F.monotonically_increasing_id().cast("double")}).cache()
+    cols = ["a", "b", "c", "d", "e"]
+    whole = VectorAssembler(inputCols=cols, outputCol="x", handleInvalid="keep").transform(df).select("Rank", "x")
+    one, two = B.fit(df, cols, rounds=B.KEEP + 2), B.fit(whole, cols, rounds=B.KEEP + 2, vector="x")
+    by_columns = {tuple(r) for r in one.transform(df).select("Rank", *cols, F.round("prediction", 9)).collect()}
+    assert {tuple(r[:1]) + tuple(None if v != v else float(v) for v in r[1]) + (r[2],)
+            for r in two.transform(whole).select("Rank", "x", F.round("prediction", 9)).collect()} == by_columns
+    assert one.importances().keys() == two.importances().keys()
+    f = VectorAssembler(inputCols=["d", "f"], outputCol="x").transform(df)
+    edges = B.vector_edges(f, "x", 2, bins=4)
+    assert edges[0] == [0.0] and len(edges[1]) == 3
+    df.unpersist()
+
+
+def test_sums_of_some_leaves_with_and_without_common_bins_are_equal(spark):
+    _, df = table(spark, 500, 11)
+    cols = ["a", "b", "c"]
+    rows = B.binned(df, cols, B.bin_edges(df, cols), 10.0)
+    tree = B.Tree()
+    left, right = tree.split(0, {"feature": 0, "bin": 4, "missing_left": False, "gain": 1.0, "left_value": 0.0, "right_value": 0.0})
+    args = rows, [], tree, [left, right], 3, 64, "huber", 10.0
+    plain, rest = B.histograms(*args), B.histograms(*args, [2, -1, 1])
+    assert (plain == rest).all() and plain[..., 2].sum() == 3 * 500
+    whole = B.histograms(rows, [], B.Tree(), [0], 3, 64, "huber", 10.0)
+    assert (whole[0] - plain[0] == plain[1]).all()  # what is left of a leaf's sums are the other leaf's
+
+
+def test_a_pass_is_not_dealt_out_over_all_shuffle_partitions(spark, capsys):
+    from rankline.session import summed
+    parts = spark.range(100).selectExpr("id % 7 AS cell", "1.0D AS g")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "173")
+    try:
+        summed(parts, "cell", "g").explain()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and ", 173)" not in plan and f", {spark.sparkContext.defaultParallelism})" in plan

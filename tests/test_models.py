@@ -150,3 +150,23 @@ def test_every_learner_is_fitted_whole_on_every_feature_set(spark, monkeypatch):
     assert len({(r.n, r.n_incomplete) for r in rows}) == 1  # all judged on the same rows
     assert sorted(a[0] for a in asked) == ["fit"] * 4 + ["ordinal_fit"] * 4 + ["regressor"] * 8
     assert not any(size for _, size in asked)
+
+
+def test_learners_of_the_grid_read_one_vector_per_row(spark):
+    from multiprocessing.pool import ThreadPool
+    from rankline.plans import q_models as Q
+    folder = small_events(spark)
+    with ThreadPool(4) as pool:
+        sets = {k: v() for k, v in Q.feature_set_vectors(spark, folder, pool).items()}
+    frames = Q.feature_set_frames(spark, folder)
+    assert list(sets) == list(Q.FEATURE_SETS)
+    for name, (train, test, cols) in sets.items():
+        assert train.columns == test.columns == ["Rank", "older", "x"]
+        wide_train, wide_test, names, k = frames[name]
+        assert len(cols) == (k or len(names))
+        for narrow, wide in ((train, wide_train.where("Rank IS NOT NULL")), (test, wide_test)):
+            got = sorted((r.Rank or -1, r.x.toArray().tolist()) for r in narrow.collect())
+            if k:
+                assert len(got) == wide.count() and all(len(x) == k for _, x in got)
+            else:
+                assert got == sorted((r.Rank or -1, [float(r[c]) for c in names]) for r in wide.collect())

@@ -151,3 +151,15 @@ def test_blocks_of_empty_and_missing_features(spark):
     got = np.frombuffer(rows[0]._x, float)
     assert np.isnan(got[1]) and got[[0, 2, 3]].tolist() == [1.0, float("inf"), 2.0]
     assert OR.blocks(df.limit(0), 2).count() == 0
+
+
+def test_a_vector_of_features_is_fitted_as_its_columns_are(spark):
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, (300, 3))
+    df = spark.createDataFrame([(int(np.clip(a + b, 1, 6)), int(a), int(b), int(c)) for a, b, c in x], "Rank int, a int, b int, c int")
+    whole = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x").transform(df)
+    one, two = OR.ordinal_fit(df, ["a", "b", "c"], 6), OR.ordinal_fit(whole, ["x"], 6)
+    assert np.allclose(one["w"], two["w"]) and np.allclose(one["theta"], two["theta"])
+    predicted = lambda fitted, d: sorted((r.a, r.b, r.c, r.prediction) for r in OR.ordinal_predict(fitted, d).collect())
+    assert predicted(one, df) == predicted(two, whole)
